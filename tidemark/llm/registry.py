@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, secret_scan
+from tidemark.llm import fingerprint, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": simhash.query,
     "op8_fingerprint": fingerprint.query,
     "op10_secret_scan": secret_scan.query,
 }
