@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, secret_scan, simhash
+from tidemark.llm import fingerprint, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
+    "op5_toxicity": toxicity.query,
     "op8_fingerprint": fingerprint.query,
     "op10_secret_scan": secret_scan.query,
 }
