@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, language_id, secret_scan, simhash, toxicity
+from tidemark.llm import fingerprint, language_id, lattice_lm, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
     "op5_toxicity": toxicity.query,
     "op6_language_id": language_id.query,
+    "op7_lattice_lm": lattice_lm.query,
     "op8_fingerprint": fingerprint.query,
     "op10_secret_scan": secret_scan.query,
 }
