@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, language_id, lattice_lm, secret_scan, simhash, toxicity
+from tidemark.llm import decontamination, fingerprint, language_id, lattice_lm, secret_scan, segmentation, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
+    "op3_decontamination": decontamination.query,
+    "op4_segmentation": segmentation.query,
     "op5_toxicity": toxicity.query,
     "op6_language_id": language_id.query,
     "op7_lattice_lm": lattice_lm.query,
     "op8_fingerprint": fingerprint.query,
     "op10_secret_scan": secret_scan.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.SQL,
+}
