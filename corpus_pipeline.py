@@ -1,24 +1,55 @@
-"""The corpus pipeline: documents through the stages of STAGES, in order."""
+"""The corpus pipeline: documents through the stages of STAGES, in order.
+
+Each stage works on all rows that the one before it kept and returns the columns of ``documents``; the last
+returns encoded texts. What a stage returns is written to the shared folder and read again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import secret_scan
+from tidemark.llm import decontamination, secret_scan, segmentation, simhash, toxicity
 from tidemark.llm.shared import written
 
 
-def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity reaches the threshold go."""
+    return toxicity.keep_ordinary(spark, docs, sf_dir)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest doc_id stays."""
+    return simhash.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window of words with the benchmark go."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark."""
     return secret_scan.redact_documents(docs)
 
 
-STAGES = [("secret_scan", scan_secrets)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces, with the scores of its best segmentations."""
+    return segmentation.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("sentencepiece_encoding", encode),
+]
+#: Models, fingerprints and segmentations have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again for the next one."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, fingerprint, language_id, lattice_lm, secret_scan, segmentation, simhash, toxicity
+from tidemark.llm import chat_format, decontamination, fingerprint, language_id, lattice_lm, secret_scan, segmentation, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat_format.query,
     "op2_simhash": simhash.query,
     "op3_decontamination": decontamination.query,
     "op4_segmentation": segmentation.query,
@@ -16,8 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": language_id.query,
     "op7_lattice_lm": lattice_lm.query,
     "op8_fingerprint": fingerprint.query,
+    "op9_warc": warc.query,
     "op10_secret_scan": secret_scan.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.SQL,
+    "op9_warc": warc.SQL,
 }
