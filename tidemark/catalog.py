@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import queries_data, queries_functions, queries_metadata, queries_relational, queries_validation  # noqa: F401  (each registers its queries)
+from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "val_l3_chunk"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
