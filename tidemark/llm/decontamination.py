@@ -122,8 +122,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that share a window with the benchmark."""
-    hit = find_hits(docs, items, key, text).where("n_hit > 0").select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    hit = find_hits(docs, items, key, text).where("n_hit > 0").select(F.col(key).alias("_tidemark_key"), F.col("text_hash").alias("_tidemark_hash"))
+    return docs.join(hit, F.col(key).eqNullSafe(F.col("_tidemark_key")) & (F.xxhash64(text) == F.col("_tidemark_hash")), "left_anti")
 
 
 SQL = rf"""

@@ -201,7 +201,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         return once
     prints = docs.alias("d").join(often.select(key).distinct().alias("f"), at, "left_semi")
     same = F.pandas_udf(lambda t: t.map(lambda x: signed(simhash(x, words))), "long")(F.col(text))
-    return once.unionByName(prints.withColumn("_print", same).dropDuplicates([key, "_print"]).drop("_print"))
+    return once.unionByName(prints.withColumn("_tidemark_print", same).dropDuplicates([key, "_tidemark_print"]).drop("_tidemark_print"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

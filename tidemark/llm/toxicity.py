@@ -203,16 +203,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return ToxicityModel(fitted((0, 1)), mean, scale, w)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity``, the probability that a text is toxic."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name``, the probability that a text is toxic."""
     if model is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
 
     @F.pandas_udf("double")
     def score(texts):
         return texts.map(model.score)
 
-    return docs.withColumn("toxicity", score(F.col(text)))
+    return docs.withColumn(name, score(F.col(text)))
 
 
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel | None:
@@ -230,4 +230,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those whose toxicity reaches the threshold."""
-    return score_toxicity(docs, trained(spark, docs, sf_dir)).where(F.col("toxicity") < threshold).drop("toxicity")
+    name = "_tidemark_toxicity"
+    return score_toxicity(docs, trained(spark, docs, sf_dir), name=name).where(F.col(name) < threshold).drop(name)
