@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.masking import CLASSES
+from tidemark.sources.scratch import cut_lineage
 
 # --- diffs --------------------------------------------------------------------------------------
 
@@ -167,17 +168,17 @@ def metrics_text(metrics: DataFrame) -> DataFrame:
 # --- graphs -------------------------------------------------------------------------------------
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(ancestor, descendant) pairs of (src, dst) edges by doubling of path lengths; cycles end it as no pair is new.
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant) pairs of (src, dst) edges: each turn goes one edge on from the pairs found last.
 
-    For catalogs: the result is as large as the relation itself.
+    Cycles end it, as no pair is new. For catalogs: the result is as large as the relation itself.
     """
-    found = edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant")).distinct().persist()
-    before, n = -1, found.count()
-    while n != before and most:
-        longer = found.alias("a").join(found.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant")
-        found = found.unionByName(longer).distinct().persist()
-        before, n, most = n, found.count(), most - 1
+    step = cut_lineage(edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant")).distinct())
+    found = last = step
+    while not last.isEmpty():
+        longer = last.alias("a").join(step.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant").distinct()
+        last = cut_lineage(longer.join(found, ["ancestor", "descendant"], "left_anti"))
+        found = cut_lineage(found.unionByName(last))
     return found
 
 
@@ -191,14 +192,15 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): 0 without predecessors, else one more than the highest of them; nodes on or behind a cycle have none."""
-    looped = cycles(edges).select(F.col("member").alias("node"))
-    behind = closure(edges).join(looped, F.col("ancestor") == F.col("node")).select(F.col("descendant").alias("node"))
+    pairs = closure(edges)
+    looped = pairs.where("ancestor = descendant").select(F.col("ancestor").alias("node"))
+    behind = pairs.join(looped, F.col("ancestor") == F.col("node")).select(F.col("descendant").alias("node"))
     stuck = looped.unionByName(behind).distinct()
-    rest = nodes.join(stuck, "node", "left_anti").persist()
+    rest = cut_lineage(nodes.join(stuck, "node", "left_anti"))
     level = rest.withColumn("level", F.lit(0))
     now, step = rest.select("node"), 0
     while not now.isEmpty():  # a turn for each level of the graph
-        now = edges.join(now, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(rest, "node", "left_semi").persist()
+        now = cut_lineage(edges.join(now, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(rest, "node", "left_semi"))
         step += 1
         level = level.unionByName(now.withColumn("level", F.lit(step)))
     return level.groupBy("node").agg(F.max("level").alias("level"))
@@ -206,7 +208,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, position) by level and name; empty if the graph has a cycle."""
-    has = cycles(edges).agg(F.count("*").alias("looped"))
+    has = closure(edges).where("ancestor = descendant").agg(F.count("*").alias("looped"))
     ranked = levels(nodes, edges).withColumn("position", F.row_number().over(Window.orderBy("level", "node")))
     return ranked.join(F.broadcast(has)).where("looped = 0").select("node", "position")
 

@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def target_name(schema: str, name: str, tables: dict[str, str], schemas: dict[str, str]) -> str:
+    """Where a table goes: by a map of tables, else of schemas, else as it is; maps have lower-case keys."""
+    found = tables.get(f"{schema}.{name}".lower())
+    return found or f"{schemas.get(schema.lower(), schema)}.{name}"
+
+
 def sort_rows(df: DataFrame, *order: tuple[str, bool]) -> DataFrame:
     """Sort by (column, ascending) pairs with nulls lowest, as T-SQL orders them."""
     return df.orderBy(*[F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order])

@@ -69,6 +69,35 @@ def derived_table(spark, d):
     return table(spark, d, "orders").groupBy("o_orderstatus", "o_custkey").agg(F.count("*").alias("n")).groupBy("o_orderstatus").agg(F.max("n").alias("most"))
 
 
+# --- projections ------------------------------------------------------------------------------
+
+
+@register("project_rename", "SELECT o_orderkey AS id, o_custkey AS customer FROM orders")
+def project_rename(spark, d):
+    """Names by a map of tables, then of schemas, then as they are; keys in any case."""
+    name = relational.target_name("dbo", "Orders", {"dbo.orders": "sales.orders_new"}, {"dbo": "public"})
+    table(spark, d, "orders").select("o_orderkey", "o_custkey").withColumnsRenamed({"o_orderkey": "id", "o_custkey": "customer"}).createOrReplaceTempView(name.replace(".", "_"))
+    return spark.table("sales_orders_new")
+
+
+@register("project_computed", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS twice, l_returnflag || '-' || l_linestatus AS code FROM lineitem")
+def project_computed(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (col("l_quantity") * 2).alias("twice"), F.concat("l_returnflag", lit("-"), "l_linestatus").alias("code"))
+
+
+@register("project_override_cast", "SELECT event_id, value::DECIMAL(18,2)::VARCHAR AS value, json_extract_string(props, '$.k')::INT AS k FROM events")
+def project_override_cast(spark, d):
+    """Casts by column, as overrides of a type map."""
+    k = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    overrides = {"value": "decimal(18,2)", "k": "int"}
+    return k.select("event_id", *[col(c).cast(kind).alias(c) for c, kind in overrides.items()]).withColumn("value", col("value").cast("string"))
+
+
+@register("project_quoted_alias", "SELECT o_orderkey AS \"order no\", o_totalprice AS \"Total (all)\" FROM orders")
+def project_quoted_alias(spark, d):
+    return table(spark, d, "orders").select(col("o_orderkey").alias("order no"), col("o_totalprice").alias("Total (all)"))
+
+
 # --- joins --------------------------------------------------------------------------------------
 
 JOIN_COLUMNS = "c_custkey, o_orderkey"
