@@ -13,7 +13,7 @@ def test_stages_follow_each_other(spark, data):
     model = toxicity.trained(spark, docs, data)
     assert kept[1] == {r["doc_id"] for r in docs.collect() if model.score(r["text"]) < toxicity.THRESHOLD}
     groups = {}
-    for r in simhash.near_duplicates(seen[1]).collect():
+    for r in simhash.near_duplicates(seen[1], radius=P.NEAR).collect():
         groups.setdefault(r["component_id"], set()).add(r["doc_id"])
     assert kept[2] == {min(g) for g in groups.values()}
     hits = decontamination.find_hits(seen[2], spark.read.parquet(f"{data}/benchmark.parquet")).where("n_hit > 0")

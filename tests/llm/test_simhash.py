@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidemark.llm import simhash as S
@@ -48,19 +49,21 @@ def same_partition(a, b):
     return len(set(zip(a, b))) == len(set(a)) == len(set(b))
 
 
-def test_bk_forest_finds_every_link():
+@pytest.mark.parametrize("radius", [3, 7])
+def test_bk_forest_finds_every_link(radius):
     points = clusters(3, 300)
-    member, earlier = S.BKForest(np.zeros(len(points), np.int64), points).spanning(3)
+    member, earlier = S.BKForest(np.zeros(len(points), np.int64), points).spanning(radius)
     label = np.arange(len(points))
     label[member] = earlier
-    assert same_partition(label.tolist(), roots_by_brute(points))
+    assert same_partition(label.tolist(), roots_by_brute(points, radius))
 
 
-def test_links_and_components_with_split_shards(spark):
+@pytest.mark.parametrize("radius", [3, 7])
+def test_links_and_components_with_split_shards(spark, radius):
     points = clusters(1, 400)
     df = spark.createDataFrame([(S.signed(int(x)),) for x in points], "print long")
-    roots = {r["vertex"] % 2**64: r["root"] for r in connected_components(S.link_prints(df, 3, shard=100)).collect()}
-    assert same_partition([roots.get(int(x), S.signed(int(x))) for x in points], roots_by_brute(points))
+    roots = {r["vertex"] % 2**64: r["root"] for r in connected_components(S.link_prints(df, radius, shard=100)).collect()}
+    assert same_partition([roots.get(int(x), S.signed(int(x))) for x in points], roots_by_brute(points, radius))
 
 
 def test_components_of_a_long_path(spark):

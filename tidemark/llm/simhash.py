@@ -58,7 +58,12 @@ def signed(x: int) -> int:
 
 
 class BKForest:
-    """BK-trees of many shards, built and searched together: one array of children by (node, distance)."""
+    """BK-trees of many shards, built and searched together: one array of children by (node, distance).
+
+    Columns before distance 0 and after 64 stay empty, so a search can look at all edges near a distance.
+    """
+
+    PAD = 16
 
     def __init__(self, shards: np.ndarray, prints: np.ndarray):
         """``shards`` is sorted; the first member of each is the root of its tree. Members differ."""
@@ -66,13 +71,13 @@ class BKForest:
         first = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
         self.sizes = np.diff(np.r_[first, n])
         self.root = np.repeat(first, self.sizes).astype(np.int32)
-        self.child = np.full((n, 65), -1, np.int32)
+        self.child = np.full((n, 65 + 2 * self.PAD), -1, np.int32)
         rest = np.flatnonzero(self.root != np.arange(n)).astype(np.int32)
         at = self.root[rest]
         while len(rest):  # all members go down one edge; the first to want a free edge becomes its child
-            d = np.bitwise_count(prints[rest] ^ prints[at])
+            d = np.bitwise_count(prints[rest] ^ prints[at]) + np.int16(self.PAD)
             free = np.flatnonzero(self.child[at, d] < 0)
-            _, lead = np.unique(at[free].astype(np.int64) * 65 + d[free], return_index=True)
+            _, lead = np.unique(at[free].astype(np.int64) * 128 + d[free], return_index=True)
             lead = free[lead]
             self.child[at[lead], d[lead]] = rest[lead]
             at = self.child[at, d]
@@ -81,25 +86,21 @@ class BKForest:
 
     def earlier_within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) pairs within the radius where the member comes first; only edges within it are followed."""
-        found_q, found_m = [], []
+        if radius > self.PAD:
+            raise ValueError(f"the radius is at most {self.PAD}")
+        found_q, found_m, edges = [], [], np.arange(self.PAD - radius, self.PAD + radius + 1, dtype=np.int16)
         q, node = queries, self.root[queries]
         while len(q):
             d = np.bitwise_count(self.prints[q] ^ self.prints[node]).astype(np.int16)
             hit = (d <= radius) & (node < q)
             found_q.append(q[hit])
             found_m.append(node[hit])
-            next_q, next_node = [], []
-            for step in range(-radius, radius + 1):
-                edge = d + step
-                ok = (edge > 0) & (edge <= 64)
-                c = np.where(ok, self.child[node, np.clip(edge, 0, 64)], -1)
-                go = (c >= 0) & (c < q)  # a subtree's members all come after its root
-                next_q.append(q[go])
-                next_node.append(c[go])
-            q, node = np.concatenate(next_q), np.concatenate(next_node)
+            near = self.child[node[:, None], d[:, None] + edges]
+            go = (near >= 0) & (near < q[:, None])  # a subtree's members all come after its root
+            q, node = np.repeat(q, go.sum(1)), near[go]
         return np.concatenate(found_q), np.concatenate(found_m)
 
-    def spanning(self, radius: int, room: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    def spanning(self, radius: int, room: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
         """Members and the earlier member each is connected to, one pair a member at most."""
         n = len(self.prints)
         label = np.arange(n, dtype=np.int32)
