@@ -104,13 +104,20 @@ def scan_values(spark, d):
 # --- loads --------------------------------------------------------------------------------------
 
 
+def own_table(spark, name: str) -> str:
+    """The name of a managed table of this application, which leftovers of others can't meet."""
+    own = "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId)
+    spark.sql(f"DROP TABLE IF EXISTS tidemark_{name}_{own}")
+    return f"tidemark_{name}_{own}"
+
+
 def into_table(name: str, *parts: DataFrame) -> DataFrame:
     """Append parts to a new managed table of the warehouse and read it back."""
     spark = parts[0].sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS tidemark_{name}")
+    to = own_table(spark, name)
     for part in parts:
-        part.write.mode("append").format("parquet").saveAsTable(f"tidemark_{name}")
-    return spark.table(f"tidemark_{name}")
+        part.write.mode("append").format("parquet").saveAsTable(to)
+    return spark.table(to)
 
 
 @register("sink_copy", "SELECT o_orderkey, o_custkey FROM orders")
@@ -134,19 +141,19 @@ def sink_file_offload(spark, d):
 def copy_matrix(spark, d):
     """One reader and one writer, whatever the formats."""
     joined = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), col("n_regionkey") == col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    spark.sql("DROP TABLE IF EXISTS tidemark_matrix")
-    joined.write.format("json").saveAsTable("tidemark_matrix")
-    return spark.table("tidemark_matrix")
+    to = own_table(spark, "matrix")
+    joined.write.format("json").saveAsTable(to)
+    return spark.table(to)
 
 
 @register("sink_provision", "SELECT r_regionkey, r_name FROM region")
 def sink_provision(spark, d):
     """Policies for an existing table: ignore keeps it, overwrite replaces it."""
-    r = table(spark, d, "region").select("r_regionkey", "r_name")
-    r.limit(1).write.mode("overwrite").saveAsTable("tidemark_provision")
-    r.limit(2).write.mode("ignore").saveAsTable("tidemark_provision")
-    r.write.mode("overwrite").saveAsTable("tidemark_provision")
-    return spark.table("tidemark_provision")
+    r, to = table(spark, d, "region").select("r_regionkey", "r_name"), own_table(spark, "provision")
+    r.limit(1).write.mode("overwrite").saveAsTable(to)
+    r.limit(2).write.mode("ignore").saveAsTable(to)
+    r.write.mode("overwrite").saveAsTable(to)
+    return spark.table(to)
 
 
 @register("sink_reports", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS line FROM region")
