@@ -1,9 +1,10 @@
-"""Operator 5: toxicity by class-conditional Kneser-Ney models of characters.
+"""Operator 5: toxicity by class-conditional Kneser-Ney models of words and of characters.
 
-Two interpolated Kneser-Ney models of order ``ORDER``, one of toxic and one of ordinary texts, have counts of
-their own at the highest order and share the continuation counts they back off to, so an expression that
-neither class knows well tells nothing. A text is judged by its length-normalised log-likelihood ratio and
-by those of its most telling words; a logistic fit on out-of-fold ratios turns them into a probability.
+Two interpolated Kneser-Ney models, one of toxic and one of ordinary texts, have counts of their own at the
+highest order and share the counts they back off to, so an expression that neither class knows well tells
+nothing. There is such a pair for characters, of order ``ORDER``, and one for words. A text is judged by its
+length-normalised log-likelihood ratios and by those of its most telling words; a logistic fit on
+out-of-fold ratios turns them into a probability.
 
 The models are fitted on a bounded sample of labelled rows: at most ``max_docs``, half of each class, chosen
 by a hash of the key. Rows are scored whole. Null and empty texts get the score of a text that tells
@@ -111,20 +112,73 @@ class Ratio:
         return values
 
 
-FEATURES = 5
+@dataclass
+class WordRatio:
+    """log P(toxic) - log P(ordinary) of whole words, 0 for those that neither class has."""
+
+    words: HashLookup
+
+    @classmethod
+    def fit(cls, keys: np.ndarray, counts: np.ndarray) -> WordRatio:
+        """``keys`` are distinct words' hashes; ``counts`` are those in ordinary and in toxic texts."""
+        if not len(keys) or not counts.sum(0).all():
+            return cls(HashLookup(np.empty(0, np.uint64), np.empty(0)))
+        shared, logs = counts.sum(1) / counts.sum(), []
+        for c in (0, 1):
+            total, rest = counts[:, c].sum(), DISCOUNT * (counts[:, c] > 0).sum()
+            # Over the backoff's share alone, which is what a word that the class lacks gets.
+            logs.append(np.log((np.maximum(counts[:, c] - DISCOUNT, 0) / (rest * shared)) + 1) if total else np.zeros(len(keys)))
+        ratio = logs[1] - logs[0]
+        told = np.abs(ratio) > 0.02
+        return cls(HashLookup(keys[told], ratio[told]))
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.words.get(keys)[0]
+
+
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+def word_keys(x: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word of ``symbols``: sums of code points times powers, brought to the word's start."""
+    ends = np.flatnonzero((x == 32) & (np.r_[np.uint32(32), x[:-1]] != 32))
+    if not len(ends):
+        return np.empty(0, np.uint64)
+    starts = np.flatnonzero((x != 32) & (np.r_[np.uint32(32), x[:-1]] == 32))
+    out = []
+    with np.errstate(over="ignore"):
+        cut = np.searchsorted(ends, np.arange(block, len(x) + block, block))
+        for a, b in zip(np.r_[0, cut[:-1]], cut):
+            if b > a:
+                lo, hi = starts[a], ends[b - 1]
+                powers = np.cumprod(np.r_[np.uint64(1), np.full(hi - lo, BASE, np.uint64)])
+                sums = np.r_[np.uint64(0), np.cumsum((x[lo:hi].astype(np.uint64) + np.uint64(1)) * powers[:-1])]
+                back = np.cumprod(np.r_[np.uint64(1), np.full(hi - lo, INVERSE, np.uint64)])
+                out.append((sums[ends[a:b] - lo] - sums[starts[a:b] - lo]) * back[starts[a:b] - lo])
+    return np.concatenate(out)
+
+
+FEATURES = 9
+
+
+def highest(x: np.ndarray) -> list[float]:
+    """The three highest values, 0 where there are fewer or none above it."""
+    top = np.partition(x, len(x) - 3)[-3:] if len(x) > 3 else x
+    top = np.sort(np.maximum(top, 0))[::-1]
+    return [*map(float, top), *[0.0] * (3 - len(top))]
 
 
-def features(ratio: Ratio, text: str | None, block: int = 1 << 20) -> list[float]:
-    """Mean ratio a symbol, the highest, second and third highest ratio of a word, and log words."""
+def features(models: tuple[Ratio, WordRatio], text: str | None, block: int = 1 << 20) -> list[float]:
+    """Mean ratio a symbol and a word, the three highest of words by either model, and log words."""
+    ratio, whole = models
     x = symbols(text)
     r = np.concatenate([ratio.of(x[at : at + block + ORDER - 1]) for at in range(0, max(1, len(x) - ORDER + 1), block)])
     ends = np.flatnonzero(x[ORDER - 1 :] == 32)
     if len(r) < 2 or not len(ends):
         return [0.0] * FEATURES
     words = np.diff(np.r_[0.0, np.cumsum(r, dtype=np.float64)[ends]])
-    top = np.sort(words)[::-1][:3]
-    top = np.r_[top, np.zeros(3 - len(top))]
-    return [float(r.mean()), *map(float, np.maximum(top, 0)), float(np.log1p(len(words)))]
+    told = whole.of(word_keys(x))
+    return [float(r.mean()), *highest(words), float(np.log1p(len(words))), float(told.mean()) if len(told) else 0.0, *highest(told)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,29 +197,31 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 
 @dataclass
 class ToxicityModel:
-    ratio: Ratio
+    models: tuple[Ratio, WordRatio]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def score(self, text: str | None) -> float:
-        z = (np.array(features(self.ratio, text)) - self.mean) / self.scale
+        z = (np.array(features(self.models, text)) - self.mean) / self.scale
         return float(1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30))))
 
 
 def count_grams(rows: dict[str, list]) -> dict[str, Sequence]:
-    """Grams by class and fold, with counts, of a batch of labelled rows."""
+    """Grams (code points) and words (hashes) by class and fold, with counts, of a batch of labelled rows."""
     out: dict[str, list] = {"gram": [], "toxic": [], "fold": [], "n": []}
-    parts: dict[tuple[int, int], list[np.ndarray]] = {}
+    parts: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     for text, toxic, fold in zip(rows["text"], rows["toxic"], rows["fold"]):
-        parts.setdefault((toxic, fold), []).append(windows(symbols(text)))
+        x = symbols(text)
+        parts.setdefault((toxic, fold), []).append((windows(x), word_keys(x)))
     for (toxic, fold), found in parts.items():
-        grams = np.concatenate(found)
+        grams = np.concatenate([g for g, _ in found])
         _, first, n = np.unique(hashed(grams), return_index=True, return_counts=True)
-        out["gram"] += [g.tobytes() for g in grams[first]]
-        out["n"] += n.tolist()
-        out["toxic"] += [toxic] * len(n)
-        out["fold"] += [fold] * len(n)
+        keys, m = np.unique(np.concatenate([k for _, k in found]), return_counts=True)
+        out["gram"] += [g.tobytes() for g in grams[first]] + [k.tobytes() for k in keys]
+        out["n"] += [*n.tolist(), *m.tolist()]
+        out["toxic"] += [toxic] * (len(n) + len(m))
+        out["fold"] += [fold] * (len(n) + len(m))
     return out
 
 
@@ -183,16 +239,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     sample = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "toxic", F.pmod(F.xxhash64(key, F.lit(9)), F.lit(2)).cast("int").alias("fold"))
     sample = written(sample.repartition(docs.sparkSession.sparkContext.defaultParallelism), "labelled")
     counted = mapped(sample, count_grams, "gram binary, toxic int, fold int, n long").groupBy("gram").agg(*[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}") for c in (0, 1) for f in (0, 1)])
-    table = counted.toArrow()
+    # A word that occurs once tells nothing of another text; without these the table is bounded by the sample's common words.
+    once = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") < 2
+    table = counted.where(~((F.octet_length("gram") == 8) & once)).toArrow()
     if not table.num_rows:
         return None
-    grams = np.frombuffer(b"".join(table.column("gram").to_pylist()), np.uint32).reshape(-1, ORDER)
+    found = table.column("gram").to_pylist()
+    is_word = np.array([len(g) == 8 for g in found], bool)
+    grams = np.frombuffer(b"".join([g for g in found if len(g) > 8]), np.uint32).reshape(-1, ORDER)
+    keys = np.frombuffer(b"".join([g for g in found if len(g) == 8]), np.uint64)
     n = {(c, f): table.column(f"n{c}{f}").to_numpy().astype(np.float64) for c in (0, 1) for f in (0, 1)}
 
-    def fitted(folds: tuple[int, ...]) -> Ratio:
+    def fitted(folds: tuple[int, ...]) -> tuple[Ratio, WordRatio]:
         counts = np.stack([sum(n[c, f] for f in folds) for c in (0, 1)], 1)
         seen = counts.sum(1) > 0
-        return Ratio.fit(grams[seen], counts[seen])
+        return Ratio.fit(grams[seen[~is_word]], counts[seen & ~is_word]), WordRatio.fit(keys[seen[is_word]], counts[seen & is_word])
 
     others = {0: fitted((1,)), 1: fitted((0,))}
     told = mapped(sample, lambda r: {"x": [features(others[f], t) for t, f in zip(r["text"], r["fold"])], "toxic": r["toxic"]}, "x array<double>, toxic int").collect()
