@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import sys
 import types
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import mapped
-from tidemark.llm.vocabulary import MODEL_PATH, SPACE, Vocabulary, load_vocabulary
+from tidemark.llm.vocabulary import MODEL_PATH, SPACE, BatchLattice, Vocabulary, load_vocabulary
 
 NBEST, CACHE, LONG = 4, 150_000, 200
 MARK = "\ud8a1"  # stands for a literal space mark; no text that is valid UTF-8 has it
@@ -48,6 +49,7 @@ class Segmenter:
     def __init__(self, vocabulary: Vocabulary, nbest: int = NBEST, name: str = MODEL_PATH):
         self.vocabulary, self.nbest, self.name = vocabulary, nbest, f"{name}:{nbest}"
         self.logp = vocabulary.logp.tolist()
+        self.lattice = BatchLattice(vocabulary)
         self.bytes = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in vocabulary.pieces]
         for value, piece in enumerate(vocabulary.byte_ids):
             self.bytes[piece] = bytes([value])
@@ -165,27 +167,49 @@ class Segmenter:
                 cache[part] = found
         return found
 
+    def batch(self, names: list[str]) -> dict[str, Part]:
+        """As ``part``, for many parts at once."""
+        out: dict[str, Part] = {}
+        char_logp = lambda c: sum([self.logp[x] for x in self.char_ids(c)])
+        for at, codes in self.lattice.by_length(names):
+            score, loss, path, starts = self.lattice.best(self.lattice.edges(codes, self.vocabulary.logp, char_logp), codes.shape[1])
+            for k, s, d, ids, begins in zip(at.tolist(), score.tolist(), loss.tolist(), path.T[:, ::-1].tolist(), starts.T[:, ::-1].tolist()):
+                if ids[0] < 0 or -1 in ids:
+                    ids = [x for i, b in zip(ids, begins) if i > -2 for x in ((i,) if i >= 0 else self.char_ids(names[k][b]))]
+                out[names[k]] = tuple(ids), s, None if d == math.inf else d
+        return out
+
+    def names(self, text: str) -> list[str]:
+        """A text's parts."""
+        found = PARTS.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)) if text else []
+        if max(map(len, found), default=0) > LONG:
+            found = [y for x in found for y in (self.cuts(x) if len(x) > LONG else (x,))]
+        return found
+
+    def prepare(self, names: set[str]) -> None:
+        """Have the best segmentations of all these parts in the cache."""
+        cache = process_cache(self.name)
+        new = [x for x in names if x not in cache]
+        if len(cache) + len(new) > CACHE:
+            kept = {x: cache[x] for x in names if x in cache}
+            cache.clear()
+            cache.update(kept)
+        long = [x for x in new if len(x) > LONG]
+        cache.update(self.batch([x for x in new if len(x) <= LONG]))
+        cache.update((x, self.part(x)) for x in long)
+
     def parts(self, text: str) -> tuple[list[str], list[Part]]:
         """A text's parts and the best segmentation of each."""
-        cache = process_cache(self.name)
-        names = PARTS.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)) if text else []
-        if max(map(len, names), default=0) > LONG:
-            names = [y for x in names for y in (self.cuts(x) if len(x) > LONG else (x,))]
-        out: list[Part] = []
-        for x in names:
-            found = cache.get(x)
-            if found is None:
-                found = self.part(x)
-                if len(x) <= LONG:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[x] = found
-            out.append(found)
-        return names, out
+        names, cache = self.names(text), process_cache(self.name)
+        self.prepare({x for x in names if x not in cache})
+        return names, [cache[x] for x in names]
 
     def encode(self, text: str) -> tuple[list[int], float, list[float]]:
         """Ids of the best segmentation, its score, and the scores of the N best."""
-        names, parts = self.parts(text)
+        return self.combine(*self.parts(text))
+
+    def combine(self, names: list[str], parts: list[Part]) -> tuple[list[int], float, list[float]]:
+        """As ``encode``, of a text's parts."""
         score = sum([p[1] for p in parts])
         return list(chain.from_iterable([p[0] for p in parts])), score, [score - loss for loss, _ in self.losses(names, parts)]
 
@@ -223,17 +247,20 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(rows: dict[str, list]) -> dict[str, list]:
-        names = ("piece_ids", "n_pieces", "score", "nbest_scores", "pieces_sha256", "decoded_sha256", "exact")
-        out: dict[str, list] = {n: [] for n in names}
-        for t in rows["text"]:
+        columns = ("piece_ids", "n_pieces", "score", "nbest_scores", "pieces_sha256", "decoded_sha256", "exact")
+        out: dict[str, list] = {n: [] for n in columns}
+        named = [None if t is None else segmenter.names(t) for t in rows["text"]]
+        segmenter.prepare(set(chain.from_iterable(filter(None, named))))
+        cache = process_cache(segmenter.name)
+        for t, names in zip(rows["text"], named):
             if t is None:
                 row = (None,) * 7
             else:
-                found, score, scores = segmenter.encode(t)
+                found, score, scores = segmenter.combine(names, [cache[x] for x in names])
                 back = segmenter.decode(found)
                 packed = np.array(found, "<i4").tobytes()
                 row = (found if ids else None, len(found), score, scores, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t)
-            for n, v in zip(names, row):
+            for n, v in zip(columns, row):
                 out[n].append(v)
         return {"key": rows["key"], **out}
 

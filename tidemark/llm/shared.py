@@ -58,14 +58,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, of: Callable[[dict[str, list]], dict[str, Sequence]], schema: str | StructType) -> DataFrame:
-    """Apply ``of`` to each Arrow batch as Python lists by column; it returns columns of ``schema``."""
+def mapped(df: DataFrame, of: Callable[[dict[str, list]], dict[str, Sequence]], schema: str | StructType, rows: int = 512) -> DataFrame:
+    """Apply ``of`` to pieces of at most ``rows`` rows as Python lists by column; it returns columns of ``schema``."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, rows):
                 out = of({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -112,7 +112,7 @@ class HashLookup:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys = keys.astype(np.uint64)
-        bits = max(4, int(2 * max(len(keys), 1)).bit_length())
+        bits = max(4, int(4 * max(len(keys), 1)).bit_length())
         self.shift = np.uint64(64 - bits)
         slot = (mix(keys) >> self.shift).astype(np.int64)
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
@@ -130,7 +130,7 @@ class HashLookup:
         found = (self.keys[slot] == keys) & self.full[slot]
         values = np.where(found, self.values[slot], np.float32(0))
         if len(self.more_keys):
-            odd = np.flatnonzero(~found)
+            odd = np.flatnonzero(self.full[slot] & ~found)  # a key that isn't in its slot was there after another
             at = np.minimum(np.searchsorted(self.more_keys, keys[odd]), len(self.more_keys) - 1)
             hit = self.more_keys[at] == keys[odd]
             values[odd[hit]], found[odd[hit]] = self.more_values[at[hit]], True

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
+from tidemark.llm.shared import HashLookup
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 ZIPF_OFFSET = 10.0
@@ -128,3 +131,126 @@ def expected_counts(vocabulary: Vocabulary, logp: list[float], text: str, weight
             else:
                 for b in text[i].encode("utf-8", "surrogatepass"):
                     counts[vocabulary.byte_ids[b]] += share
+
+
+class BatchLattice:
+    """The lattices of many words at once: words of one length share each step of the recursions."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    LONGEST = 100
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        known = [(p, i) for p, i in vocabulary.edges.items() if i >= 0]
+        self.most = max(len(p) for p, _ in known)
+        keys = np.array([int(self._hash(np.array([[ord(c) for c in p]], np.uint64))[0]) for p, _ in known], np.uint64)
+        self.table = HashLookup(keys, np.array([i for _, i in known], np.float64))
+
+    def _hash(self, rows: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(rows), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(rows.shape[1]):
+                h = (h + rows[:, i] + np.uint64(1)) * self.BASE
+        return h
+
+    def by_length(self, words: list[str], rows: int = 4096):
+        """(positions of the words in the list, their code points) for batches of words of one length."""
+        sizes = np.array([len(w) for w in words])
+        order = np.argsort(sizes, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            for i in range(0, len(at), rows):
+                part = at[i : i + rows]
+                yield part, np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), -1).astype(np.uint64)
+
+    def edges(self, codes: np.ndarray, logp: np.ndarray, char_logp: Callable[[str], float] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each piece length that occurs: it, the ids (-1: none) and log-probabilities by word and start."""
+        out, (m, n) = [], codes.shape
+        h = np.zeros((m, n), np.uint64)
+        with np.errstate(over="ignore"):
+            for size in range(1, min(n, self.most) + 1):
+                h = (h[:, : n - size + 1] + codes[:, size - 1 :] + np.uint64(1)) * self.BASE
+                ids, found = self.table.get(h.ravel())
+                if size > 1 and not found.any():
+                    continue
+                ids = np.where(found, ids, -1).astype(np.int64).reshape(h.shape)
+                lp = np.where(ids >= 0, logp[ids], -np.inf)
+                if size == 1 and (ids < 0).any():
+                    listed = logp.tolist()
+                    of = char_logp or (lambda c: self.vocabulary.bytes_logp(c, listed))
+                    chars, at = np.unique(codes[ids < 0], return_inverse=True)
+                    lp[ids < 0] = np.array([of(chr(int(c))) for c in chars])[at]
+                out.append((size, ids, lp))
+        return out
+
+    @staticmethod
+    def _sum(terms: np.ndarray) -> np.ndarray:
+        top = terms.max(0)
+        return top + np.log(np.exp(terms - top).sum(0))
+
+    def forward(self, edges: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        """Log-probability of reaching each place of each word over all segmentations."""
+        f = np.zeros((n + 1, edges[0][1].shape[0]))
+        for j in range(1, n + 1):
+            f[j] = self._sum(np.stack([f[j - s] + lp[:, j - s] for s, _, lp in edges if s <= j]))
+        return f
+
+    def best(self, edges: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Viterbi: the best scores, what the second best segmentations lose, and ids and starts of the best pieces from the end back.
+
+        Of equal scores the longer last piece is taken. An id of -1 stands for a character's bytes, -2 for nothing more.
+        """
+        m, words = edges[0][1].shape[0], np.arange(edges[0][1].shape[0])
+        score, gap, back = np.zeros((n + 1, m)), np.full((n + 1, m), np.inf), np.zeros((n + 1, m), np.int64)
+        for j in range(1, n + 1):
+            usable = [(s, lp) for s, _, lp in reversed(edges) if s <= j]
+            sizes = np.array([s for s, _ in usable])
+            terms = np.stack([score[j - s] + lp[:, j - s] for s, lp in usable])
+            top = terms.argmax(0)
+            score[j], back[j] = terms[top, words], sizes[top]
+            terms[top, words] = -np.inf
+            gap[j] = score[j] - terms.max(0)
+        ids = np.full((edges[-1][0], m, n), -1, np.int32)
+        for s, found, _ in edges:
+            ids[s - 1, :, : n - s + 1] = found
+        at, loss, path, starts = np.full(m, n), np.full(m, np.inf), [], []
+        while at.any():
+            on = at > 0
+            size = np.maximum(back[at, words], 1)
+            loss = np.where(on, np.minimum(loss, gap[at, words]), loss)
+            begin = np.maximum(at - size, 0)
+            path.append(np.where(on, ids[size - 1, words, begin], -2))
+            starts.append(begin)
+            at = np.where(on, begin, 0)
+        return score[n], loss, np.stack(path), np.stack(starts)
+
+    def marginals(self, words: list[str], logp: np.ndarray) -> np.ndarray:
+        """Log-probabilities of words over all their segmentations; very long words go one at a time."""
+        out, listed = np.zeros(len(words)), logp.tolist()
+        for at, codes in self.by_length(words):
+            n = codes.shape[1]
+            out[at] = [marginal(self.vocabulary, listed, words[k])[0] for k in at] if n > self.LONGEST else self.forward(self.edges(codes, logp), n)[n]
+        return out
+
+    def add_expected(self, words: list[str], weights: np.ndarray, logp: np.ndarray, counts: np.ndarray) -> None:
+        """Add to ``counts`` the expected pieces of words that occur ``weights`` times."""
+        listed = logp.tolist()
+        for at, codes in self.by_length(words):
+            n = codes.shape[1]
+            if n > self.LONGEST:
+                for k in at:
+                    expected_counts(self.vocabulary, listed, words[k], float(weights[k]), counts)
+                continue
+            edges = self.edges(codes, logp)
+            f = self.forward(edges, n)
+            b = np.zeros_like(f)
+            for i in range(n - 1, -1, -1):
+                b[i] = self._sum(np.stack([b[i + s] + lp[:, i] for s, _, lp in edges if s <= n - i]))
+            for s, ids, lp in edges:
+                share = weights[at][:, None] * np.exp(f[: n - s + 1].T + lp + b[s:].T - f[n][:, None])
+                hit = ids >= 0
+                counts += np.bincount(ids[hit], share[hit], len(counts))
+                if s == 1 and not hit.all():
+                    chars, place = np.unique(codes[~hit], return_inverse=True)
+                    for c, w in zip(chars.tolist(), np.bincount(place, share[~hit])):
+                        for byte in chr(c).encode("utf-8", "surrogatepass"):
+                            counts[self.vocabulary.byte_ids[byte]] += w
