@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import lower_bytes, mapped, pieces, remainder, written
-from tidemark.llm.vocabulary import MODEL_PATH, SPACE, Vocabulary, expected_counts, load_vocabulary, marginal
+from tidemark.llm.shared import lower_bytes, mapped, mix, pieces, remainder, written
+from tidemark.llm.vocabulary import MODEL_PATH, SPACE, BatchLattice, load_vocabulary
 
-HOT, ROUNDS = 100_000, 2
+HOT, ROUNDS = 100_000, 4
 PAIR = np.dtype([("id", "<i8"), ("tag", "<u4"), ("n", "<u4")])
-SUMS = "id long, tag long, copies long, n_tokens long, n_known long, base double, score double"
+SUM = np.dtype([("id", "<i8"), ("tag", "<i8"), ("copies", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
 
 def row_id(key: int | None, text: str | None) -> tuple[int, int]:
@@ -73,24 +73,22 @@ def count_words(docs: DataFrame, room: int = 300_000) -> DataFrame:
     return docs.select("text", "train").mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fit_pieces(words: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, prior: float = 0.1) -> np.ndarray:
+def fit_pieces(words: DataFrame, lattice: BatchLattice, rounds: int = ROUNDS, prior: float = 0.1) -> np.ndarray:
     """Log-probabilities of the pieces after ``rounds`` of expectation maximisation over all training words."""
+    vocabulary = lattice.vocabulary
     logp = vocabulary.logp
     known = words.where("c > 0")
     for _ in range(rounds):
-        now = logp.tolist()
 
-        def expect(batches: Iterator[pa.RecordBatch], now: list[float] = now) -> Iterator[pa.RecordBatch]:
-            counts = [0.0] * len(now)
+        def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = logp) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(len(now))
             for batch in batches:
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if word is None:
-                        counts[vocabulary.end_id] += c
-                    else:
-                        expected_counts(vocabulary, now, SPACE + word.decode("utf-8", "surrogatepass"), c, counts)
-            found = np.array(counts)
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["piece", "n"])
+                found, c = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
+                ends = np.array([w is None for w in found], bool)
+                counts[vocabulary.end_id] += c[ends].sum()
+                lattice.add_expected([SPACE + w.decode("utf-8", "surrogatepass") for w in found if w is not None], c[~ends], now, counts)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["piece", "n"])
 
         # A row a piece at most: the vocabulary's size, whatever the corpus.
         found = known.select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
@@ -102,20 +100,42 @@ def fit_pieces(words: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, p
     return logp
 
 
+def compact(records: list[np.ndarray]) -> np.ndarray:
+    """One record a row id, the others added to it."""
+    x = np.concatenate(records) if records else np.empty(0, SUM)
+    x = x[np.lexsort((x["tag"], x["id"]))]
+    first = np.flatnonzero(np.r_[True, (x["id"][1:] != x["id"][:-1]) | (x["tag"][1:] != x["tag"][:-1])]) if len(x) else np.empty(0, np.int64)
+    out = x[first].copy()
+    for name in SUM.names[2:]:
+        out[name] = np.add.reduceat(x[name], first) if len(x) else x[name]
+    return out
+
+
+def dealt(records: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Records packed by bucket of their id: a row a bucket, however many there are."""
+    place = ((mix(records["id"].view(np.uint64) ^ mix(records["tag"].astype(np.uint64))) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(place, kind="stable")
+    records, place = records[order], place[order]
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, np.int64)
+    parts = np.split(records, first[1:]) if len(first) else []
+    return pa.RecordBatch.from_arrays([pa.array(place[first], pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["bucket", "records"])
+
+
 def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
     """Token counts, base score and lattice score (log10) of each row of ``docs``, learnt from rows where ``train``."""
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    vocabulary = load_vocabulary(model_path)
+    lattice = BatchLattice(load_vocabulary(model_path))
     counted = written(count_words(rows), "words")
-    logp = fit_pieces(counted, vocabulary, rounds).tolist()
-    end_logp = logp[vocabulary.end_id] / math.log(10)
+    logp = fit_pieces(counted, lattice, rounds)
+    end_logp = logp[lattice.vocabulary.end_id] / math.log(10)
 
     def weigh(r: dict[str, list]) -> dict[str, list]:
-        told = [end_logp if w is None else marginal(vocabulary, logp, SPACE + w.decode("utf-8", "surrogatepass"))[0] / math.log(10) for w in r["word"]]
-        return {"word": r["word"], "c": r["c"], "n": r["n"], "lp": told}
+        told = np.full(len(r["word"]), end_logp)
+        told[[w is not None for w in r["word"]]] = lattice.marginals([SPACE + w.decode("utf-8", "surrogatepass") for w in r["word"] if w is not None], logp) / math.log(10)
+        return {"word": r["word"], "c": r["c"], "n": r["n"], "lp": told.tolist()}
 
-    words = written(mapped(counted, weigh, "word binary, c long, n long, lp double"), "word-scores")
+    words = written(mapped(counted, weigh, "word binary, c long, n long, lp double", 10_000), "word-scores")
     tokens, distinct, everything, end_c = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("n"), F.max(F.when(F.col("word").isNull(), F.col("c")))).first()
     tokens, distinct, everything, end_c = tokens or 0, distinct or 0, everything or 0, end_c or 0
     unit = math.log10(tokens + (distinct + 1))
@@ -125,15 +145,20 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(table)
     end = (end_c > 0, math.log10(end_c + 1) - unit, end_logp)
 
-    def common_sums(r: dict[str, list]) -> dict[str, list]:
-        hot_words, out = shared.value, []
-        for k, t in zip(r["key"], r["text"]):
-            known, base, score, words = int(end[0]), end[1], end[2], lower_bytes(t).split()
-            for w, n in Counter(words).items():
-                if (x := hot_words.get(w)) is not None:
-                    known, base, score = known + n * x[0], base + n * x[1], score + n * x[2]
-            out.append((*row_id(k, t), 1, len(words) + 1, known, base, score))
-        return dict(zip(("id", "tag", "copies", "n_tokens", "n_known", "base", "score"), map(list, zip(*out)))) if out else {c: [] for c in ("id", "tag", "copies", "n_tokens", "n_known", "base", "score")}
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_words = shared.value
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known, base, score, words = int(end[0]), end[1], end[2], lower_bytes(t).split()
+                for w, n in Counter(words).items():
+                    if (x := hot_words.get(w)) is not None:
+                        known, base, score = known + n * x[0], base + n * x[1], score + n * x[2]
+                out.append((*row_id(k, t), 1, len(words) + 1, known, base, score))
+            if out:
+                yield dealt(compact([np.array(out, SUM)]), buckets)
 
     def pack(batches: Iterator[pa.RecordBatch], room: int = 4_000_000) -> Iterator[pa.RecordBatch]:
         hot_words, held, size = shared.value, {}, 0
@@ -168,13 +193,10 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
         def flush() -> pa.RecordBatch:
             pairs, c, lp = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            ids = np.stack([pairs["id"], pairs["tag"].astype(np.int64)], 1)
-            order = np.lexsort((ids[:, 1], ids[:, 0]))
-            ids, n, c, lp = ids[order], pairs["n"][order].astype(np.float64), c[order], lp[order]
-            first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(1)])
-            add = lambda x: np.add.reduceat(x, first)
-            zero = np.zeros(len(first), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first, 0], ids[first, 1], zero, zero, add(n * (c > 0)).astype(np.int64), add(n * (np.log10(c + 1) - unit)), add(n * lp))], names=["id", "tag", "copies", "n_tokens", "n_known", "base", "score"])
+            out = np.zeros(len(pairs), SUM)
+            out["id"], out["tag"], n = pairs["id"], pairs["tag"], pairs["n"].astype(np.int64)
+            out["n_known"], out["base"], out["score"] = n * (c > 0), n * (np.log10(c + 1) - unit), n * lp
+            return dealt(compact([out]), buckets)
 
         for batch in batches:
             for part in pieces(batch, 4096):
@@ -188,13 +210,27 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
         if held:
             yield flush()
 
-    sums = mapped(rows.select("key", "text"), common_sums, SUMS)
+    def merge(batches: Iterator[pa.RecordBatch], room: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for data in batch.column(0):
+                held.append(np.frombuffer(data.as_py(), SUM))
+                size += len(held[-1])
+                if size > room:  # what is left is a record a row of this partition
+                    held = [compact(held)]
+                    size = 0
+        whole = compact(held)
+        for at in range(0, len(whole), 10_000):
+            x = whole[at : at + 10_000]
+            each = np.repeat(np.arange(len(x)), x["copies"])
+            n = x["copies"][each]
+            yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["id"][each], x["tag"][each], x["n_tokens"][each] // n, x["n_known"][each] // n, x["base"][each] / n, x["score"][each] / n)], names=["id", "tag", "n_tokens", "n_known", "base", "score"])
+
+    sums = rows.select("key", "text").mapInArrow(common_sums, "bucket int, records binary")
     packed = rows.select("key", "text").mapInArrow(pack, "word binary, rows binary")
-    rare = packed.join(words.select("word", "c", "lp").hint("shuffle_merge"), "word").select("rows", "c", "lp").mapInArrow(unpack, SUMS)
-    whole = sums.unionByName(rare).groupBy("id", "tag").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
-    one = whole.withColumns({c: F.expr(f"{c} div copies") for c in ("n_tokens", "n_known")} | {c: F.col(c) / F.col("copies") for c in ("base", "score")})
-    told = one.select(F.when(F.col("tag") % 2 == 0, F.col("id")).cast(kind).alias(key), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", "copies")
-    return told.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    rare = packed.join(words.select("word", "c", "lp").hint("shuffle_merge"), "word").select("rows", "c", "lp").mapInArrow(unpack, "bucket int, records binary")
+    whole = sums.unionByName(rare).repartitionById(buckets, "bucket").select("records").mapInArrow(merge, "id long, tag long, n_tokens long, n_known long, base double, score double")
+    return whole.select(F.when(F.col("tag") % 2 == 0, F.col("id")).cast(kind).alias(key), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
