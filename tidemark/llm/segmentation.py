@@ -186,23 +186,38 @@ class Segmenter:
             found = [y for x in found for y in (self.cuts(x) if len(x) > LONG else (x,))]
         return found
 
-    def prepare(self, names: set[str]) -> None:
-        """Have the best segmentations of all these parts in the cache."""
-        cache = process_cache(self.name)
-        new = [x for x in names if x not in cache]
-        if len(cache) + len(new) > CACHE:
-            kept = {x: cache[x] for x in names if x in cache}
-            cache.clear()
-            cache.update(kept)
-        long = [x for x in new if len(x) > LONG]
-        cache.update(self.batch([x for x in new if len(x) <= LONG]))
-        cache.update((x, self.part(x)) for x in long)
+    def prepare(self, names: set[str]) -> dict[str, Part]:
+        """The best segmentations of all these parts.
+
+        Parts that come a second time move from one cache to another, so the many that come once push no
+        frequent ones out.
+        """
+        often, once = process_cache(self.name), process_cache(f"{self.name}:once")
+        out, new = {}, []
+        for x in names:
+            found = often.get(x)
+            if found is None:
+                found = once.pop(x, None)
+                if found is None:
+                    new.append(x)
+                    continue
+                often[x] = found
+            out[x] = found
+        if len(often) > CACHE:
+            often.clear()
+        made = self.batch([x for x in new if len(x) <= LONG])
+        if len(once) + len(made) > CACHE:
+            once.clear()
+        once.update(made)
+        out.update(made)
+        out.update((x, self.part(x)) for x in new if len(x) > LONG)
+        return out
 
     def parts(self, text: str) -> tuple[list[str], list[Part]]:
         """A text's parts and the best segmentation of each."""
-        names, cache = self.names(text), process_cache(self.name)
-        self.prepare({x for x in names if x not in cache})
-        return names, [cache[x] for x in names]
+        names = self.names(text)
+        found = self.prepare(set(names))
+        return names, [found[x] for x in names]
 
     def encode(self, text: str) -> tuple[list[int], float, list[float]]:
         """Ids of the best segmentation, its score, and the scores of the N best."""
@@ -250,13 +265,12 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
         columns = ("piece_ids", "n_pieces", "score", "nbest_scores", "pieces_sha256", "decoded_sha256", "exact")
         out: dict[str, list] = {n: [] for n in columns}
         named = [None if t is None else segmenter.names(t) for t in rows["text"]]
-        segmenter.prepare(set(chain.from_iterable(filter(None, named))))
-        cache = process_cache(segmenter.name)
+        parts = segmenter.prepare(set(chain.from_iterable(filter(None, named))))
         for t, names in zip(rows["text"], named):
             if t is None:
                 row = (None,) * 7
             else:
-                found, score, scores = segmenter.combine(names, [cache[x] for x in names])
+                found, score, scores = segmenter.combine(names, [parts[x] for x in names])
                 back = segmenter.decode(found)
                 packed = np.array(found, "<i4").tobytes()
                 row = (found if ids else None, len(found), score, scores, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t)
