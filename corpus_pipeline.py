@@ -12,7 +12,8 @@ from tidemark.llm import decontamination, secret_scan, segmentation, simhash, to
 from tidemark.llm.shared import written
 
 
-NEAR = 7
+#: Jaccard distance of sets of five-word shingles, an exact bound.
+NEAR = 0.2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest doc_id stays.
 
-    Documents alike in 0.8 or more of their shingles of five words mostly differ in up to 7 bits of a
-    fingerprint of shingles of three, and unrelated ones in about 32.
+    Two documents are linked if they are alike in 0.8 or more of their shingles of five words.
     """
     return simhash.keep_first(docs, radius=NEAR)
 

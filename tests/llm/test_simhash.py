@@ -1,9 +1,12 @@
+import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tidemark.llm import simhash as S
 from tidemark.llm.components import connected_components
 
@@ -93,3 +96,29 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 4, 5, 7]
     assert S.near_duplicates(no_docs).collect() == [] and S.keep_first(no_docs).collect() == []
+
+
+def test_pipeline_links_texts_by_their_shingles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    rows = docs.collect()
+    sets = [set(S.shingle_hashes(r["text"], 5).tolist()) for r in rows]
+    places = {}
+    for i, s in enumerate(sets):
+        for h in s or {-1}:
+            places.setdefault(h, []).append(i)
+    shared = Counter(p for at in places.values() for p in itertools.combinations(at, 2))
+    label = list(range(len(rows)))
+    for (a, b), n in sorted(shared.items()):
+        if n >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            lo, hi = sorted((label[a], label[b]))
+            label = [lo if x == hi else x for x in label]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == {rows[i]["doc_id"] for i in range(len(rows)) if label[i] == i}
+
+
+def test_large_buckets_are_dealt_out(spark):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:100], f"a{i}"]) for i in range(700)] + [" ".join([*(f"v{j}" for j in range(60)), f"b{i}"]) for i in range(300)] + ["only once here today again"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, radius=corpus_pipeline.NEAR).collect()}
+    assert found == {i: 0 if i < 700 else 700 if i < 1000 else 1000 for i in range(1001)}

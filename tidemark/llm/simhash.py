@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alike import link_sets, set_documents, set_print
 from tidemark.llm.components import connected_components
 from tidemark.llm.shared import lower_bytes, mapped, written
 
 WORDS, RADIUS, SHARD = 3, 3, 2048
+SET_WORDS = 5
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -176,18 +178,32 @@ def simhash_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return made.withColumnRenamed("key", key)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """Key, fingerprint (hex) and component_id, the smallest key that links lead to."""
-    made = written(simhash_documents(docs, key, text, words), "simhash")
+def set_hashes(text: str | None) -> np.ndarray:
+    return shingle_hashes(text, SET_WORDS)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int | float = RADIUS) -> DataFrame:
+    """Key, fingerprint (hex) and component_id, the smallest key that links lead to.
+
+    A whole ``radius`` counts differing bits of SimHashes. A fraction is a Jaccard distance of the sets of
+    five-word shingles, computed exactly; the fingerprint is then a digest of the set.
+    """
+    if isinstance(radius, float):
+        made = written(set_documents(docs, key, text, set_hashes).withColumnRenamed("key", key), "sets")
+        edges = link_sets(made, 1 - radius, set_hashes)
+    else:
+        made = written(simhash_documents(docs, key, text, words), "simhash")
     groups = written(made.groupBy("print").agg(F.min(key).alias("least")), "prints")
-    roots = connected_components(link_prints(groups.select("print"), radius)).toDF("print", "root")
+    if not isinstance(radius, float):
+        edges = link_prints(groups.select("print"), radius)
+    roots = connected_components(edges).toDF("print", "root")
     rooted = groups.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.join(ids, "root").select("print", "component_id")
     return made.join(members, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int | float = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest key; of repeated rows one stays.
 
     Rows without a key cannot be told apart afterwards: where a group has only such rows, one of them stays.
@@ -201,7 +217,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     if often.isEmpty():
         return once
     prints = docs.alias("d").join(often.select(key).distinct().alias("f"), at, "left_semi")
-    same = F.pandas_udf(lambda t: t.map(lambda x: signed(simhash(x, words))), "long")(F.col(text))
+    of = (lambda x: set_print(np.unique(set_hashes(x)))) if isinstance(radius, float) else (lambda x: signed(simhash(x, words)))
+    same = F.pandas_udf(lambda t: t.map(of), "long")(F.col(text))
     return once.unionByName(prints.withColumn("_tidemark_print", same).dropDuplicates([key, "_tidemark_print"]).drop("_tidemark_print"))
 
 
