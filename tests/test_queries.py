@@ -52,3 +52,8 @@ def test_query(name, spark, duck):
         assert rows_of(df.columns, rows) == rows_of(names, want)
     else:
         assert rows
+
+
+def test_all_changes_are_ordered(spark, duck):
+    found = [tuple(r) for r in QUERIES["cdc_order_all"](spark, DATA).collect()]
+    assert found == duck.execute(ORACLE_SQL["cdc_order_all"]).fetchall() and len(found) > 300

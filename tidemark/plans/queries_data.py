@@ -281,6 +281,12 @@ def cdc_order(spark, d):
     return cdc.in_order(events(spark, d).select("lsn", "seq", "op")).limit(300)
 
 
+@register("cdc_order_all", f"WITH {EVENTS_SQL} SELECT lsn, seq::BIGINT AS seq, op FROM e ORDER BY lsn, seq")
+def cdc_order_all(spark, d):
+    """All events of the change table in order."""
+    return cdc.in_order(events(spark, d).select("lsn", "seq", "op"))
+
+
 @register("cdc_lsn_codec", "SELECT o_orderkey, lpad(printf('%x', o_orderkey), 8, '0') || '000000ff' || '0001' AS hexed, '0x' || lpad(printf('%x', o_orderkey), 8, '0') || ':000000ff:0001' AS again FROM orders")
 def cdc_lsn_codec(spark, d):
     hexed = cdc.lsn_hex(F.concat(lit("0x"), F.hex("o_orderkey"), lit(":FF:1")))
