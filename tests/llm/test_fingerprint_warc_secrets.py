@@ -126,3 +126,12 @@ def test_secret_rows(spark, odd_docs, no_docs, data):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in base) for k in range(3))
     clean = S.redact_documents(odd_docs)
     assert clean.columns == odd_docs.columns and clean.count() == 11
+
+
+def test_short_texts_share_hashes_with_their_edited_text():
+    draw = random.Random(2)
+    for n in range(20, 121):
+        for _ in range(5):
+            a, b = ("".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for _ in range(2))
+            prints = P.winnow(a)
+            assert P.likeness(prints, P.winnow(P.edited(a, b))) > P.likeness(prints, P.winnow(b)) and len(prints) >= 3

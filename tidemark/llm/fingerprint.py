@@ -4,7 +4,9 @@ Rolling hashes of all k-grams of code points are cut to the minimum of each wind
 k-grams, the rightmost one on ties, and kept with their positions. Two texts that share k + w - 1 code
 points share a kept hash, whatever surrounds the passage.
 
-A text of under k code points has one hash, of the whole text; fewer than w k-grams count as one window.
+A text of under k code points has one hash, of the whole text. Unless w is given, texts of few k-grams have
+windows of a quarter of them, so that they keep several hashes; a smaller window keeps every hash that a larger
+one would, so what long and short texts share is still found. With w given, fewer k-grams count as one window.
 Null counts as empty; the empty text has no hashes and two such are alike (likeness 1). Very long texts are
 hashed whole, in blocks. Repeated rows give repeated results; rows of one key are ordered by text. Rows
 without a key come last in the order. Columns other than key and text are not read.
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import code_points, mix, pieces
 
 K, WINDOW, BLOCK = 12, 40, 1 << 20
+SHARE = 4
 BASE = 0x9E3779B97F4A7C15
 RECORD = np.dtype([("position", "<u4"), ("hash", "<u4")])
 
@@ -58,13 +61,13 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - done : w - done + len(x) - w + 1]) if done < w else out
 
 
-def winnow(text: str | None, k: int = K, w: int = WINDOW, block: int = BLOCK) -> np.ndarray:
+def winnow(text: str | None, k: int = K, w: int | None = None, block: int = BLOCK) -> np.ndarray:
     """Kept positions (of k-grams, in code points) and 32-bit hashes, in order of position."""
     points = code_points(text)
     if not len(points):
         return np.empty(0, RECORD)
     grams = max(1, len(points) - k + 1)
-    w = min(w, grams)
+    w = min(w or min(WINDOW, max(1, grams // SHARE)), grams)
     kept = []
     for at in range(0, grams - w + 1, block):  # windows that begin in [at, at + block)
         windows = min(block, grams - w + 1 - at)
@@ -100,7 +103,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int = WINDOW) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int | None = None) -> DataFrame:
     """Key and winnowed fingerprint, with positions, of each text."""
     @F.pandas_udf("string")
     def prints(texts):
@@ -109,7 +112,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return docs.select(key, prints(F.col(text)).alias("fingerprint"))
 
 
-def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int = WINDOW) -> DataFrame:
+def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness, with the next row by descending key.
 
     Rows are dealt out by ranges of the key, once, and sorted there. The first row of each range also goes to
