@@ -168,3 +168,14 @@ def test_the_rest_works_without_the_training_data_subpackage(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse", "metastore_db"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'val_l3_chunk' in q and not any(n.startswith('op1_') or n == 'pipeline' for n in q); print(len(q), len(e.oracle_sql()))"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+
+
+def test_equal_ranges_are_exact_on_large_and_repeated_keys(spark):
+    n = 1_500_000
+    shuffled = spark.range(n).select(((F.col("id") * 700_001) % n).alias("k"))
+    found = sorted(tuple(r) for r in relational.equal_ranges(shuffled, "k", 8).collect())
+    assert found == [(b + 1, b * n // 8, (b + 1) * n // 8 - 1, n // 8) for b in range(8)]
+    keys = sorted([5] * 11 + [7] * 3 + [1, 2, 9])
+    found = sorted(tuple(r) for r in relational.equal_ranges(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 4).collect())
+    cut = [[k for i, k in enumerate(keys) if i * 4 // len(keys) == b] for b in range(4)]
+    assert found == [(b + 1, x[0], x[-1], len(x)) for b, x in enumerate(cut)]

@@ -86,11 +86,21 @@ def stream_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str], blo
     return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda r: r["digest"]), "\n"), 256).alias("digest"))
 
 
-def equal_ranges(df: DataFrame, key: str, n: int) -> DataFrame:
-    """(bucket, low, high, rows) of ``n`` buckets of nearly equal size by key.
+def equal_ranges(df: DataFrame, key: str, n: int, ranges: int = 32) -> DataFrame:
+    """(bucket, low, high, rows) of ``n`` buckets by the exact rank of the key, as NTILE over ``rank * n // count``.
 
-    Bounds come from approximate quantiles in one pass; nothing is sorted on one task. Buckets tile the keys.
+    Approximate quantiles only deal the distinct keys to ``ranges``; ranks are counted within each range, after
+    the rows of the ranges before it, so nothing is sorted on one task. Equal keys can lie in several buckets.
+    Null keys come last.
     """
-    bounds = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100_000).alias("bounds"))
-    place = F.size(F.filter("bounds", lambda b: b < F.col(key)))
-    return df.select(key).join(F.broadcast(bounds)).groupBy((place + 1).alias("bucket")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("rows"))
+    bounds = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("bounds"))
+    place = F.when(F.col("_key").isNull(), ranges).otherwise(F.size(F.filter("bounds", lambda b: b < F.col("_key"))))
+    keys = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).join(F.broadcast(bounds)).select("_key", "_n", place.alias("_place"))
+    sizes = keys.groupBy("_place").agg(F.sum("_n").alias("_size"))  # one row a range
+    before = sizes.select("_place", (F.sum("_size").over(Window.orderBy("_place")) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_all"))
+    ahead = F.sum("_n").over(Window.partitionBy("_place").orderBy(F.col("_key").asc_nulls_last())) - F.col("_n")
+    ranked = keys.select("*", ahead.alias("_ahead")).join(F.broadcast(before), "_place").select("_key", "_n", "_all", (F.col("_before") + F.col("_ahead")).alias("_first"))
+    spread = ranked.select("*", F.explode(F.sequence(F.expr(f"_first * {n} div _all"), F.expr(f"(_first + _n - 1) * {n} div _all"))).alias("_b"))
+    start = lambda b: F.expr(f"({b} * _all + {n - 1}) div {n}")
+    rows = F.least(F.expr("_first + _n"), start("(_b + 1)")) - F.greatest(F.col("_first"), start("_b"))
+    return spread.groupBy((F.col("_b") + 1).cast("int").alias("bucket")).agg(F.min("_key").alias("low"), F.max("_key").alias("high"), F.sum(rows).alias("rows"))

@@ -311,7 +311,7 @@ def win_agg_over(spark, d):
 
 @register("win_ntile_ranges", "SELECT bucket, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS rows FROM (SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) * 8 // count(*) OVER () + 1)::INT AS bucket FROM orders) GROUP BY bucket")
 def win_ntile_ranges(spark, d):
-    """Equal-count ranges by quantile bounds (exact up to 100,000 rows, then within a 100,000th): no sort on one task."""
+    """Equal-count ranges by exact ranks, counted within ranges of the key: no sort on one task."""
     return relational.equal_ranges(table(spark, d, "orders"), "o_orderkey", 8)
 
 
