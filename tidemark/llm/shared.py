@@ -116,6 +116,7 @@ class HashLookup:
         self.shift = np.uint64(64 - bits)
         slot = (mix(keys) >> self.shift).astype(np.int64)
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+        self.keys[int(mix(np.zeros(1, np.uint64))[0] >> self.shift)] = 1  # no empty slot looks like its own key
         self.full = np.zeros(1 << bits, bool)
         _, first = np.unique(slot, return_index=True)
         self.keys[slot[first]], self.values[slot[first]], self.full[slot[first]] = keys[first], values[first], True
@@ -127,10 +128,11 @@ class HashLookup:
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of ``keys`` and which of them are present."""
         slot = (mix(keys) >> self.shift).astype(np.int64)
-        found = (self.keys[slot] == keys) & self.full[slot]
+        found = self.keys[slot] == keys
         values = np.where(found, self.values[slot], np.float32(0))
         if len(self.more_keys):
-            odd = np.flatnonzero(self.full[slot] & ~found)  # a key that isn't in its slot was there after another
+            odd = np.flatnonzero(~found)
+            odd = odd[self.full[slot[odd]]]  # a key that isn't in its slot was there after another
             at = np.minimum(np.searchsorted(self.more_keys, keys[odd]), len(self.more_keys) - 1)
             hit = self.more_keys[at] == keys[odd]
             values[odd[hit]], found[odd[hit]] = self.more_values[at[hit]], True

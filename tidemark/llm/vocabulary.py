@@ -141,10 +141,10 @@ class BatchLattice:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        known = [(p, i) for p, i in vocabulary.edges.items() if i >= 0]
-        self.most = max(len(p) for p, _ in known)
-        keys = np.array([int(self._hash(np.array([[ord(c) for c in p]], np.uint64))[0]) for p, _ in known], np.uint64)
-        self.table = HashLookup(keys, np.array([i for _, i in known], np.float64))
+        known = vocabulary.edges
+        self.most = max(len(p) for p in known)
+        keys = np.array([int(self._hash(np.array([[ord(c) for c in p]], np.uint64))[0]) for p in known], np.uint64)
+        self.table = HashLookup(keys, np.array(list(known.values()), np.float64))
 
     def _hash(self, rows: np.ndarray) -> np.ndarray:
         h = np.zeros(len(rows), np.uint64)
@@ -165,21 +165,27 @@ class BatchLattice:
     def edges(self, codes: np.ndarray, logp: np.ndarray, char_logp: Callable[[str], float] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each piece length that occurs: it, the ids (-1: none) and log-probabilities by word and start."""
         out, (m, n) = [], codes.shape
-        h = np.zeros((m, n), np.uint64)
-        with np.errstate(over="ignore"):
-            for size in range(1, min(n, self.most) + 1):
-                h = (h[:, : n - size + 1] + codes[:, size - 1 :] + np.uint64(1)) * self.BASE
-                ids, found = self.table.get(h.ravel())
-                if size > 1 and not found.any():
-                    continue
-                ids = np.where(found, ids, -1).astype(np.int64).reshape(h.shape)
-                lp = np.where(ids >= 0, logp[ids], -np.inf)
-                if size == 1 and (ids < 0).any():
+        flat, start, column = codes.ravel(), np.arange(m * n), np.tile(np.arange(n), m)
+        h = np.zeros(m * n, np.uint64)
+        for size in range(1, min(n, self.most) + 1):
+            with np.errstate(over="ignore"):
+                h = (h + flat[start + (size - 1)] + np.uint64(1)) * self.BASE
+            values, found = self.table.get(h)
+            piece = np.flatnonzero(found & (values >= 0))
+            if size == 1 or len(piece):
+                all_ids, all_lp, at = np.full(m * n, -1, np.int32), np.full(m * n, -np.inf), values[piece].astype(np.int32)
+                all_ids[start[piece]], all_lp[start[piece]] = at, logp[at]
+                ids, lp = (x.reshape(m, n)[:, : n - size + 1] for x in (all_ids, all_lp))
+                if size == 1 and len(piece) < m * n:
                     listed = logp.tolist()
                     of = char_logp or (lambda c: self.vocabulary.bytes_logp(c, listed))
                     chars, at = np.unique(codes[ids < 0], return_inverse=True)
                     lp[ids < 0] = np.array([of(chr(int(c))) for c in chars])[at]
                 out.append((size, ids, lp))
+            on = np.flatnonzero(found & (column < n - size))  # only what some piece begins with can grow
+            start, column, h = start[on], column[on], h[on]
+            if not len(h):
+                break
         return out
 
     @staticmethod
