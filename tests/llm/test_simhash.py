@@ -116,9 +116,45 @@ def test_pipeline_links_texts_by_their_shingles(spark):
     assert kept == {rows[i]["doc_id"] for i in range(len(rows)) if label[i] == i}
 
 
-def test_large_buckets_are_dealt_out(spark):
-    base = [f"w{i}" for i in range(120)]
-    texts = [" ".join([*base[:100], f"a{i}"]) for i in range(700)] + [" ".join([*(f"v{j}" for j in range(60)), f"b{i}"]) for i in range(300)] + ["only once here today again"]
+def brute_groups(sets, bound=0.8):
+    """The least index that links lead to, of every set."""
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= bound * len(sets[i] | sets[j]):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return label
+
+
+def test_large_shards_lose_no_link(spark):
+    """Shards above the room: copies of one text that are alike only to it, a passage that many texts share, and chains."""
+    draw = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(words, tag, changes):
+        out = list(words)
+        for k, at in enumerate(draw.choice(len(out), changes, replace=False)):
+            out[at] = f"{tag}x{k}"
+        return " ".join(out)
+
+    texts = [" ".join(base)] + [edited(base, f"a{i}", int(draw.integers(1, 9))) for i in range(400)]
+    passage = [f"p{i}" for i in range(60)]
+    texts += [" ".join(passage + [f"o{i // 2}y{j}" for j in range(60)] + ([f"z{i}"] if i % 2 else [])) for i in range(400)]
+    texts += [" ".join([*(f"v{j}" for j in range(k, 60 + k)), f"b{i}"]) for i in range(100) for k in range(4)]
+    texts += ["only once here today again"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, radius=corpus_pipeline.NEAR).collect()}
-    assert found == {i: 0 if i < 700 else 700 if i < 1000 else 1000 for i in range(1001)}
+    want = brute_groups([set(S.shingle_hashes(t, 5).tolist()) for t in texts])
+    assert [found[i] for i in range(len(texts))] == want and len(set(want)) < len(texts) / 2
+
+
+def test_repeated_keys_with_several_texts(spark):
+    texts = {"t1": "one two three four five six seven", "t2": "some other words stand here in a row"}
+    rows = [(1, "t1"), (2, "t1"), (2, "t2"), (3, "t2"), (None, "t1"), (2, "t2")]
+    docs = spark.createDataFrame([(k, texts[t]) for k, t in rows], "doc_id long, text string")
+    for radius in (3, 0.2):
+        assert sorted((r["doc_id"], r["text"]) for r in S.keep_first(docs, radius=radius).collect()) == [(1, texts["t1"]), (2, texts["t2"])]
+    unkeyed = spark.createDataFrame([(None, texts["t1"]), (None, texts["t1"] + " eight nine ten eleven twelve thirteen fourteen fifteen"), (None, texts["t1"]), (None, texts["t2"])], "doc_id long, text string")
+    assert S.keep_first(unkeyed, radius=0.2).count() == 3
+    assert S.near_duplicates(unkeyed, radius=0.2).where("component_id IS NULL").count() == 4

@@ -1,29 +1,35 @@
-"""Near-duplicate links by the exact Jaccard likeness of sets of word shingles.
+"""Near-duplicate links by the exact Jaccard likeness of sets of word shingles, among candidates of BK-trees.
 
-Texts of equal sets are brought together first. Candidates come from min-hashes in bands: 20 bands of 4, so a
-pair alike in 0.8 shares a band but for 3 in 100,000. Buckets of the same members count once. The members of a
-bucket meet in one task with their whole sets, and a pair is linked only if its likeness reaches the bound;
-pairs that links join already are not compared. A bucket of over ``ROOM`` members is dealt to parts, anew in
-each band, and its least and greatest member go to every part, so no task holds a large group.
+Texts of equal sets are brought together first. Sets are dealt to shards by min-hashes in bands, so many bands
+of so many rows that a pair alike in the bound shares none but for ``MISS`` at most; shards of the same members
+count once. In a shard a BK-tree of the sets' SimHashes gives the pairs within ``RADIUS`` bits, and of these,
+pairs that links join already aside, those whose exact likeness reaches the bound are linked.
+
+A shard of over ``ROOM`` members is never compared whole. All its members are compared with one hub, the one
+whose SimHash is nearest to the majority of the shard's bits; those alike are linked to it. Two members that are
+linked to one hub need no comparison, so shards without others are done, which is how groups of near copies
+end. The others are dealt again by more and longer bands, together with the linked ones, until all shards are
+small. The hub is left out then, as it met all members, so this ends. No pair is left out for a shard's size.
 
 Null texts and texts without words have the empty set and are alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bktree import BKForest
 from tidemark.llm.shared import mapped, mix, written
 
-BANDS, DEEP, ROOM = 20, 4, 256
-_SALTS, _FACTORS = (mix(np.arange(lo, lo + BANDS * DEEP, dtype=np.uint64)) for lo in (1, 1001))
-_ODD = _FACTORS | np.uint64(1)
+MISS, ROOM, RADIUS, SMALL_TABLE = 3e-5, 256, 24, 100_000
 
 
 def set_print(hashes: np.ndarray) -> int:
@@ -31,13 +37,22 @@ def set_print(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)).view(np.int64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
+def band_shape(bound: float, turn: int) -> tuple[int, int]:
+    """How many bands of how many rows each; longer ones in later turns."""
+    rows = 4 * min(turn + 1, 3)
+    return math.ceil(math.log(MISS) / math.log1p(-(min(bound, 0.999) ** rows))), rows
+
+
+def bands(hashes: np.ndarray, bound: float, turn: int = 0) -> np.ndarray:
     """One value a band: equal for two sets if their min-hashes in the band are."""
-    least = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[at : at + 4096] ^ _SALTS[:, None]) * _ODD[:, None]).min(1))
-    value = np.zeros(BANDS, np.uint64)
-    for column in least.reshape(BANDS, DEEP).T:
+    count, rows = band_shape(bound, turn)
+    at = np.arange(count * rows, dtype=np.uint64) + np.uint64(1 + 100_000 * turn)
+    salts, factors = mix(at), mix(at + np.uint64(50_000)) | np.uint64(1)
+    least = np.full(count * rows, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[k : k + 4096] ^ salts[:, None]) * factors[:, None]).min(1))
+    value = np.zeros(count, np.uint64)
+    for column in least.reshape(count, rows).T:
         value = mix(value + column)
     return value.view(np.int64)
 
@@ -52,62 +67,131 @@ def alike(a: np.ndarray, b: np.ndarray, bound: float) -> bool:
     return shared >= bound * (len(both) - shared)
 
 
-def links(sets: list[np.ndarray], bound: float) -> list[tuple[int, int]]:
-    """Pairs that connect all sets which a chain of alike pairs connects."""
-    label, out = np.arange(len(sets)), []
-    for i in range(1, len(sets)):
-        for j in range(i):
-            if label[i] != label[j] and alike(sets[i], sets[j], bound):
-                out.append((i, j))
-                label[label == label[i]] = label[j]
+def links(shards: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], hubs: list[int | None], bound: float) -> list[tuple[int, int]]:
+    """Pairs that connect all sets of a shard which a chain of alike pairs connects.
+
+    ``shards`` is sorted; ``prints`` are SimHashes. Sets of a shard with the same hub are connected already.
+    """
+    of, home = list(range(len(sets))), {}
+    for i, (s, hub) in enumerate(zip(shards.tolist(), hubs)):
+        if hub is not None:
+            of[i] = home.setdefault((s, hub), i)
+
+    def root(i: int) -> int:
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in BKForest(shards, prints, RADIUS).earlier_within(np.arange(len(sets), dtype=np.int32), RADIUS))):
+        a, b = root(i), root(j)
+        if a != b and alike(sets[i], sets[j], bound):
+            out.append((i, j))
+            of[max(a, b)] = min(a, b)
     return out
 
 
-def set_documents(docs: DataFrame, key: str, text: str, hashes) -> DataFrame:
-    """Key, text, digest of the set (``print``) and bands of each text."""
-    kind = docs.schema[key].dataType.simpleString()
+def alike_prints(text: Column, hashes: Callable, majority: Callable, bound: float) -> Column:
+    """A struct of each text: digest of its set (``print``), SimHash of the set and bands."""
+
+    @F.pandas_udf("print long, simhash long, bands array<long>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = hashes(t)
+            rows.append((set_print(h), int(np.uint64(majority(h)).view(np.int64)), bands(h, bound)))
+        return pd.DataFrame(rows, columns=["print", "simhash", "bands"])
+
+    return made(text)
+
+
+def shards_of(dealt: DataFrame) -> DataFrame:
+    """Members (shard, print, simhash, hub) of shards that have a pair to compare, with their number ``n``; equal shards once."""
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("print", "hub")).alias("x"), F.bit_xor(F.xxhash64("hub", "print")).alias("y"), F.min("print").alias("lo"), F.max("print").alias("hi")]
+    met = dealt.groupBy("shard").agg(*same, F.count(F.when(F.col("hub").isNull(), 1)).alias("open")).where("n > 1 AND open > 0")
+    once = written(met.groupBy("n", "x", "y", "lo", "hi").agg(F.min("shard").alias("shard")).select("shard", "n"), "shards")
+    return written(dealt.join(once, "shard"), "shard-members")
 
-    def made(r):
-        sets = [np.unique(hashes(x)) for x in r["text"]]
-        return {"key": r["key"], "text": r["text"], "print": [set_print(s) for s in sets], "bands": [bands(s) for s in sets]}
 
-    return mapped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), made, f"key {kind}, text string, print long, bands array<long>")
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to broadcast if it has few rows (of some longs each), else as it is."""
+    return F.broadcast(df) if df.count() <= SMALL_TABLE else df
 
 
-def link_sets(made: DataFrame, bound: float, hashes) -> DataFrame:
+def shard_hubs(large: DataFrame) -> DataFrame:
+    """(shard, hub, parts): the open member nearest to the majority of the open ones' bits, and how many tasks compare with it."""
+    still = large.where(F.col("hub").isNull())
+    sums = still.groupBy("shard").agg(*[F.sum(F.getbit("simhash", F.lit(i)).cast("int") * 2 - 1).alias(f"b{i}") for i in range(64)])
+    bits = F.lit(0).cast("long")
+    for i in range(64):
+        bits = bits.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
+    centre = written(sums.select("shard", bits.alias("centre")), "centres")
+    near = still.join(small(centre), "shard").groupBy("shard").agg(F.min(F.struct(F.bit_count(F.col("simhash").bitwiseXOR(F.col("centre"))).alias("far"), "print")).alias("of"), F.max("n").alias("n"))
+    hubs = written(near.select("shard", F.col("of.print").alias("new_hub"), F.ceil(F.col("n") / ROOM).cast("int").alias("parts")), "hubs")
+    most = hubs.groupBy("new_hub").agg(F.max("parts").alias("parts"))
+    return written(hubs.drop("parts").join(most, "new_hub").select("shard", "new_hub", "parts"), "hubs")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, bound: float) -> DataFrame:
+    """Of the (print, new_hub, parts) pairs those that are alike; a hub's set goes to each of its parts."""
+    hub_sets = hubs.select("new_hub", "parts").distinct().join(sets.select(F.col("print").alias("new_hub"), F.col("hashes").alias("hub_hashes")), "new_hub")
+    hub_sets = hub_sets.select("new_hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub_hashes")
+    dealt = pairs.select("print", "new_hub", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int").alias("part")).join(sets.select("print", "hashes"), "print").join(hub_sets, ["new_hub", "part"])
+
+    def keep(r: dict[str, list]) -> dict[str, list]:
+        found = [(p, h) for p, h, a, b in zip(r["print"], r["new_hub"], r["hashes"], r["hub_hashes"]) if alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), bound)]
+        return {"print": [p for p, _ in found], "new_hub": [h for _, h in found]}
+
+    return mapped(dealt.select("print", "new_hub", "hashes", "hub_hashes"), keep, "print long, new_hub long", 64)
+
+
+def link_sets(made: DataFrame, bound: float, hashes: Callable) -> DataFrame:
     """Edges (a, b) between the prints of ``made`` that connect all texts alike in ``bound`` or more."""
-    one = written(made.groupBy("print").agg(F.first("bands").alias("bands")), "bands")
-    dealt = one.select("print", F.posexplode("bands").alias("band", "value"))
-    sums = [F.count("*").alias("n"), F.bit_xor("print").alias("x"), F.bit_xor(F.xxhash64("print")).alias("y"), F.min("print").alias("lo"), F.max("print").alias("hi")]
-    met = dealt.groupBy("band", "value").agg(*sums).where("n > 1")
-    # A large bucket is dealt anew in each band, so every band of it counts.
-    apart = F.when(F.col("n") > ROOM, F.col("band"))
-    once = met.groupBy("n", "x", "y", "lo", "hi", apart.alias("apart")).agg(F.min(F.struct("band", "value")).alias("at"))
-    buckets = written(once.select("at.band", "at.value", "lo", "hi", F.ceil(F.col("n") / ROOM).cast("int").alias("parts")), "buckets")
-    group = F.xxhash64("band", "value", "part").alias("group")
-    members = dealt.join(buckets, ["band", "value"]).withColumn("part", F.pmod(F.xxhash64("print", "band"), F.col("parts")).cast("int")).select("print", group)
-    ends = buckets.where("parts > 1").select("band", "value", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.explode(F.array("lo", "hi")).alias("print"), group)
-    rows = written(members.unionByName(ends).distinct(), "members")
-    wanted = made.select("print", "text").join(rows.select("print").distinct(), "print", "left_semi").dropDuplicates(["print"])
-    sets = mapped(wanted, lambda r: {"print": r["print"], "hashes": [np.unique(hashes(x)).tobytes() for x in r["text"]]}, "print long, hashes binary")
-    grouped = rows.join(sets, "print").select("group", "print", "hashes").repartition("group").sortWithinPartitions("group", "print")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, prints, held = None, [], []
+    one = written(made.groupBy("print").agg(F.first("simhash").alias("simhash"), F.first("bands").alias("bands")), "bands")
+    dealt = one.select("print", "simhash", F.lit(None).cast("long").alias("hub"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("shard"), "print", "simhash", "hub")
+    members = shards_of(dealt)
+    wanted = made.select("print", "text").join(members.select("print").distinct(), "print", "left_semi").dropDuplicates(["print"])
+    sets = written(mapped(wanted, lambda r: {"print": r["print"], "hashes": [hashes(x).tobytes() for x in r["text"]]}, "print long, hashes binary"), "sets")
+    edges, ready, turn = [], members.where(F.col("n") <= ROOM), 0
+    while not (large := members.where(F.col("n") > ROOM)).isEmpty():
+        hubs = shard_hubs(large)
+        met = written(large.join(small(hubs), "shard").where("print <> new_hub"), "met")
+        linked = written(compared(met.select("print", "new_hub", "parts").distinct(), sets, hubs, bound), "linked")
+        edges.append(linked.toDF("a", "b"))
+        told = met.join(linked.withColumn("linked", F.lit(True)), ["print", "new_hub"], "left").select("shard", "print", "simhash", F.when(F.col("linked"), F.col("new_hub")).otherwise(F.col("hub")).alias("hub"))
+        told = written(told, "told")
+        open_ = written(told.groupBy("shard").agg(F.count(F.when(F.col("hub").isNull(), 1)).alias("open")).where("open > 0").select("shard"), "open")
+        if open_.isEmpty():
+            break
+        told, turn = told.join(small(open_), "shard", "left_semi"), turn + 1
+        again = sets.join(told.select("print").distinct(), "print", "left_semi")
+        again = mapped(again, lambda r, turn=turn: {"print": r["print"], "bands": [bands(np.frombuffer(x, np.uint64), bound, turn) for x in r["hashes"]]}, "print long, bands array<long>")
+        dealt = told.join(again, "print").select("shard", "print", "simhash", "hub", F.posexplode("bands").alias("band", "value"))
+        members = shards_of(dealt.select(F.xxhash64("shard", "band", "value").alias("shard"), "print", "simhash", "hub"))
+        ready = ready.unionByName(members.where(F.col("n") <= ROOM))
+    grouped = ready.select("shard", "print", "simhash", "hub").join(sets, "print").select("shard", "print", "simhash", "hub", "hashes").repartition("shard").sortWithinPartitions("shard", "print")
+
+    def link(batches: Iterator[pa.RecordBatch], room: int = 1024, room_bytes: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
 
         def linked() -> pa.RecordBatch:
-            found = links(held, bound)
-            return pa.RecordBatch.from_arrays([pa.array([prints[p[side]] for p in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+            shard, print_, simhash, hub, sets_ = zip(*held)
+            found = links(np.array(shard), np.array(simhash, np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in sets_], hub, bound)
+            return pa.RecordBatch.from_arrays([pa.array([print_[p[side]] for p in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for g, p, h in zip(*(batch.column(c).to_pylist() for c in ("group", "print", "hashes"))):
-                if g != now and held:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[-1][0] and (len(held) >= room or size >= room_bytes):
                     yield linked()
-                    prints, held = [], []
-                now = g
-                prints.append(p)
-                held.append(np.frombuffer(h, np.uint64))
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
         if held:
             yield linked()
 
-    return grouped.mapInArrow(link, "a long, b long")
+    out = grouped.mapInArrow(link, "a long, b long")
+    for found in edges:
+        out = out.unionByName(found)
+    return out

@@ -8,8 +8,12 @@ each shard a BK-tree (children keyed by their integer distance from the parent)
 within the radius only, and a spanning forest of the links found is kept: one edge a member at most, not
 all pairs. Trees go where their shard is; nothing is broadcast or brought to the driver.
 
+By exact likeness (``radius`` a fraction) the same trees hold SimHashes of five-word sets, in shards of
+min-hash bands: at a likeness of 0.8 about 10 of 64 bits differ, so blocks of equal bits would be too short to
+deal by. See ``alike``.
+
 Null texts and texts without words have fingerprint 0 and are linked like any other. Texts of fewer words
-than a shingle have one shingle of all words. Repeated rows share a fingerprint and thus a component. A
+than a shingle have one shingle of all words. Long texts are hashed whole, their bits counted in blocks. Repeated rows share a fingerprint and thus a component. A
 component without any key gets a null id. Empty tables give empty results; columns other than the key and
 the text are not read.
 """
@@ -24,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.alike import link_sets, set_documents, set_print
+from tidemark.llm.alike import alike_prints, link_sets
+from tidemark.llm.bktree import BKForest
 from tidemark.llm.components import connected_components
 from tidemark.llm.shared import lower_bytes, mapped, written
 
@@ -45,9 +50,8 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(starts))
 
 
-def simhash(text: str | None, words: int = WORDS) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text, words)
+def majority_bits(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8")
@@ -55,73 +59,13 @@ def simhash(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-class BKForest:
-    """BK-trees of many shards, built and searched together: one array of children by (node, distance).
+def simhash(text: str | None, words: int = WORDS) -> int:
+    """The SimHash of a text's shingles, repeats included."""
+    return majority_bits(shingle_hashes(text, words))
 
-    Columns before distance 0 and after 64 stay empty, so a search can look at all edges near a distance.
-    """
 
-    PAD = 16
-
-    def __init__(self, shards: np.ndarray, prints: np.ndarray):
-        """``shards`` is sorted; the first member of each is the root of its tree. Members differ."""
-        self.prints, n = prints, len(prints)
-        first = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
-        self.sizes = np.diff(np.r_[first, n])
-        self.root = np.repeat(first, self.sizes).astype(np.int32)
-        self.child = np.full((n, 65 + 2 * self.PAD), -1, np.int32)
-        rest = np.flatnonzero(self.root != np.arange(n)).astype(np.int32)
-        at = self.root[rest]
-        while len(rest):  # all members go down one edge; the first to want a free edge becomes its child
-            d = np.bitwise_count(prints[rest] ^ prints[at]) + np.int16(self.PAD)
-            free = np.flatnonzero(self.child[at, d] < 0)
-            _, lead = np.unique(at[free].astype(np.int64) * 128 + d[free], return_index=True)
-            lead = free[lead]
-            self.child[at[lead], d[lead]] = rest[lead]
-            at = self.child[at, d]
-            on = at != rest
-            rest, at = rest[on], at[on]
-
-    def earlier_within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) pairs within the radius where the member comes first; only edges within it are followed."""
-        if radius > self.PAD:
-            raise ValueError(f"the radius is at most {self.PAD}")
-        found_q, found_m, edges = [], [], np.arange(self.PAD - radius, self.PAD + radius + 1, dtype=np.int16)
-        q, node = queries, self.root[queries]
-        while len(q):
-            d = np.bitwise_count(self.prints[q] ^ self.prints[node]).astype(np.int16)
-            hit = (d <= radius) & (node < q)
-            found_q.append(q[hit])
-            found_m.append(node[hit])
-            near = self.child[node[:, None], d[:, None] + edges]
-            go = (near >= 0) & (near < q[:, None])  # a subtree's members all come after its root
-            q, node = np.repeat(q, go.sum(1)), near[go]
-        return np.concatenate(found_q), np.concatenate(found_m)
-
-    def spanning(self, radius: int, room: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-        """Members and the earlier member each is connected to, one pair a member at most."""
-        n = len(self.prints)
-        label = np.arange(n, dtype=np.int32)
-        block = int(np.clip(room // max(1, self.sizes.max(initial=1)), 16, 8192))
-        queries = np.flatnonzero(np.repeat(self.sizes, self.sizes) > 1).astype(np.int32)
-        for at in range(0, len(queries), block):
-            a, b = self.earlier_within(queries[at : at + block], radius)
-            while len(a):
-                x, y = label[a], label[b]
-                apart = x != y
-                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-                while True:
-                    jumped = label[label]
-                    if (jumped == label).all():
-                        break
-                    label = jumped
-        joined = np.flatnonzero(label != np.arange(n))
-        return joined, label[joined]
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _shards(bits: Column, taken: list[tuple[int, int]], count: int) -> list[tuple[Column, tuple[int, int]]]:
@@ -179,47 +123,62 @@ def simhash_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def set_hashes(text: str | None) -> np.ndarray:
-    return shingle_hashes(text, SET_WORDS)
+    """The set of a text's shingles of five words, sorted."""
+    return np.unique(shingle_hashes(text, SET_WORDS))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int | float = RADIUS) -> DataFrame:
-    """Key, fingerprint (hex) and component_id, the smallest key that links lead to.
+def printed(docs: DataFrame, text: str, words: int, radius: int | float) -> DataFrame:
+    """``docs`` with a struct ``_tidemark`` of what tells its text apart: ``print``, and what links need beside it."""
+    if isinstance(radius, float):
+        made = alike_prints(F.col(text), set_hashes, majority_bits, 1 - radius)
+    else:
+        made = F.struct(F.pandas_udf(lambda t: t.map(lambda x: signed(simhash(x, words))), "long")(F.col(text)).alias("print"))
+    return docs.withColumn("_tidemark", made)
 
-    A whole ``radius`` counts differing bits of SimHashes. A fraction is a Jaccard distance of the sets of
-    five-word shingles, computed exactly; the fingerprint is then a digest of the set.
-    """
+
+def rooted_prints(made: DataFrame, groups: DataFrame, text: str, radius: int | float) -> DataFrame:
+    """``groups``, a row a print, with the root of its component."""
     if isinstance(radius, float):
-        made = written(set_documents(docs, key, text, set_hashes).withColumnRenamed("key", key), "sets")
-        edges = link_sets(made, 1 - radius, set_hashes)
+        edges = link_sets(made.select("_tidemark.*", F.col(text).alias("text")), 1 - radius, set_hashes)
     else:
-        made = written(simhash_documents(docs, key, text, words), "simhash")
-    groups = written(made.groupBy("print").agg(F.min(key).alias("least")), "prints")
-    if not isinstance(radius, float):
         edges = link_prints(groups.select("print"), radius)
     roots = connected_components(edges).toDF("print", "root")
-    rooted = groups.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return written(groups.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int | float = RADIUS) -> DataFrame:
+    """Key, fingerprint (hex) and component_id, the smallest key that links lead to.
+
+    A whole ``radius`` counts differing bits of SimHashes. A fraction is a Jaccard distance of the sets of
+    five-word shingles: BK-trees of the sets' SimHashes find candidates and exact likeness decides; the
+    fingerprint is then a digest of the set.
+    """
+    made = printed(docs.select(key, text), text, words, radius)
+    made = written(made if isinstance(radius, float) else made.drop(text), "prints")
+    groups = written(made.groupBy("_tidemark.print").agg(F.min(key).alias("least")), "distinct-prints")
+    rooted = rooted_prints(made, groups, text, radius)
+    # The ids are a table of their own, so the join's hot roots can be split.
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     members = rooted.join(ids, "root").select("print", "component_id")
-    return made.join(members, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return made.select(key, F.col("_tidemark.print").alias("print")).join(members, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int | float = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, that of the smallest key; of repeated rows one stays.
+    """``docs`` with one row of each near-duplicate group: that of the smallest key, missing keys last, then of the least print.
 
-    Rows without a key cannot be told apart afterwards: where a group has only such rows, one of them stays.
+    Rows are told apart by key and print, so a key that several texts have keeps those that are first in their
+    groups. Of rows with the same key and print one stays.
     """
-    found = near_duplicates(docs, key, text, words, radius)
-    first = written(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "fingerprint").agg(F.count("*").alias("rows")), "first")
+    made = written(printed(docs, text, words, radius), "prints")
+    by_key = made.groupBy(F.col("_tidemark.print").alias("print"), F.col(key).alias("key")).agg(F.count("*").alias("rows"))
+    groups = written(by_key.groupBy("print").agg(F.min(F.struct(F.isnull("key").alias("unkeyed"), "key", "print", "rows")).alias("least")), "distinct-prints")
+    rooted = rooted_prints(made, groups, text, radius)
+    first = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_tidemark_key"), F.col("least.print").alias("_tidemark_print"), F.col("least.rows").alias("rows")), "first")
+    at = F.col(key).eqNullSafe(F.col("_tidemark_key")) & (F.col("_tidemark.print") == F.col("_tidemark_print"))
     sole = F.col("rows") == 1
-    at = F.col(f"d.{key}").eqNullSafe(F.col(f"f.{key}"))
-    once = docs.alias("d").join(first.where(sole).where(F.col(key).isNotNull()).alias("f"), F.col(f"d.{key}") == F.col(f"f.{key}"), "left_semi")
-    often = first.where(~sole | F.col(key).isNull())
-    if often.isEmpty():
-        return once
-    prints = docs.alias("d").join(often.select(key).distinct().alias("f"), at, "left_semi")
-    of = (lambda x: set_print(np.unique(set_hashes(x)))) if isinstance(radius, float) else (lambda x: signed(simhash(x, words)))
-    same = F.pandas_udf(lambda t: t.map(of), "long")(F.col(text))
-    return once.unionByName(prints.withColumn("_tidemark_print", same).dropDuplicates([key, "_tidemark_print"]).drop("_tidemark_print"))
+    once = made.join(first.where(sole), at, "left_semi")
+    often = made.join(first.where(~sole), at, "left_semi").withColumn("_tidemark_print", F.col("_tidemark.print")).dropDuplicates([key, "_tidemark_print"]).drop("_tidemark_print")
+    return once.unionByName(often).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
