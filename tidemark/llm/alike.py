@@ -2,14 +2,18 @@
 
 Texts of equal sets are brought together first. Sets are dealt to shards by min-hashes in bands, so many bands
 of so many rows that a pair alike in the bound shares none but for ``MISS`` at most; shards of the same members
-count once. In a shard a BK-tree of the sets' SimHashes gives the pairs within ``RADIUS`` bits, and of these,
-pairs that links join already aside, those whose exact likeness reaches the bound are linked.
-
-A shard of over ``ROOM`` members is never compared whole. All its members are compared with one hub, the one
-whose SimHash is nearest to the majority of the shard's bits; those alike are linked to it. Two members that are
-linked to one hub need no comparison, so shards without others are done, which is how groups of near copies
-end. The others are dealt again by more and longer bands, together with the linked ones, until all shards are
-small. The hub is left out then, as it met all members, so this ends. No pair is left out for a shard's size.
+count once. In a shard a BK-tree of the sets' SimHashes gives the pairs within ``RADIUS`` bits, which cut the
+shard into clusters; equal clusters of several shards count once. Only then are the sets themselves shuffled,
+to their clusters, and pairs of candidates that links do not join yet are linked if their likeness reaches the
+bound.
+
+A shard of over ``ROOM`` members is never searched whole. All its members are compared with one hub, the one
+whose SimHash is nearest to the majority of the shard's bits; those alike are linked to it. Two members that
+are linked to one hub need no comparison, so shards without others are done, which is how groups of near copies
+end. Where at most ``GUESTS`` others are left, the linked ones are dealt to parts and the others go to all
+parts. Else the shard is dealt again: by the sets' sizes, which differ little in alike pairs, and then by more
+and longer bands, until all shards are small. The hub is left out then, as it met all members, so this ends.
+No pair is left out for a shard's size.
 
 Null texts and texts without words have the empty set and are alike.
 """
@@ -26,10 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bktree import BKForest
+from tidemark.llm.bktree import BKForest, joined
 from tidemark.llm.shared import mapped, mix, written
 
-MISS, ROOM, RADIUS, SMALL_TABLE = 3e-5, 256, 24, 100_000
+MISS, ROOM, GUESTS, RADIUS, SMALL_TABLE = 3e-5, 256, 64, 24, 100_000
 
 
 def set_print(hashes: np.ndarray) -> int:
@@ -67,15 +71,19 @@ def alike(a: np.ndarray, b: np.ndarray, bound: float) -> bool:
     return shared >= bound * (len(both) - shared)
 
 
-def links(shards: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], hubs: list[int | None], bound: float) -> list[tuple[int, int]]:
-    """Pairs that connect all sets of a shard which a chain of alike pairs connects.
+def candidates(shards: np.ndarray, prints: np.ndarray, sizes: np.ndarray, hubs: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard within ``RADIUS`` bits whose sizes allow the bound and that no hub joins (-1: none)."""
+    a, b = BKForest(shards, prints, RADIUS).earlier_within(np.arange(len(prints), dtype=np.int32), RADIUS)
+    fit = (np.minimum(sizes[a], sizes[b]) >= bound * np.maximum(sizes[a], sizes[b])) & ((hubs[a] != hubs[b]) | (hubs[a] < 0))
+    return a[fit], b[fit]
+
 
-    ``shards`` is sorted; ``prints`` are SimHashes. Sets of a shard with the same hub are connected already.
-    """
-    of, home = list(range(len(sets))), {}
-    for i, (s, hub) in enumerate(zip(shards.tolist(), hubs)):
-        if hub is not None:
-            of[i] = home.setdefault((s, hub), i)
+def links(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], hubs: np.ndarray, bound: float) -> list[tuple[int, int]]:
+    """Of the candidates (a, b) alike pairs that connect all that a chain of alike pairs or a hub connects."""
+    of, home, out = list(range(len(sets))), {}, []
+    for i, hub in enumerate(hubs.tolist()):
+        if hub >= 0:
+            of[i] = home.setdefault(hub, i)
 
     def root(i: int) -> int:
         while of[i] != i:
@@ -83,37 +91,89 @@ def links(shards: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], hubs:
             i = of[i]
         return i
 
-    out = []
-    for i, j in zip(*(x.tolist() for x in BKForest(shards, prints, RADIUS).earlier_within(np.arange(len(sets), dtype=np.int32), RADIUS))):
-        a, b = root(i), root(j)
-        if a != b and alike(sets[i], sets[j], bound):
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = root(i), root(j)
+        if x != y and alike(sets[i], sets[j], bound):
             out.append((i, j))
-            of[max(a, b)] = min(a, b)
+            of[max(x, y)] = min(x, y)
     return out
 
 
 def alike_prints(text: Column, hashes: Callable, majority: Callable, bound: float) -> Column:
-    """A struct of each text: digest of its set (``print``), SimHash of the set and bands."""
+    """A struct of each text: digest of its set (``print``), SimHash and size of the set, and bands."""
 
-    @F.pandas_udf("print long, simhash long, bands array<long>")
+    @F.pandas_udf("print long, simhash long, size long, bands array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             h = hashes(t)
-            rows.append((set_print(h), int(np.uint64(majority(h)).view(np.int64)), bands(h, bound)))
-        return pd.DataFrame(rows, columns=["print", "simhash", "bands"])
+            rows.append((set_print(h), int(np.uint64(majority(h)).view(np.int64)), len(h), bands(h, bound)))
+        return pd.DataFrame(rows, columns=["print", "simhash", "size", "bands"])
 
     return made(text)
 
 
+MEMBER = ("shard", "print", "simhash", "size", "hub")
+
+
 def shards_of(dealt: DataFrame) -> DataFrame:
-    """Members (shard, print, simhash, hub) of shards that have a pair to compare, with their number ``n``; equal shards once."""
+    """Members of shards that have a pair to compare, with their number ``n``; of shards with the same members one."""
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("print", "hub")).alias("x"), F.bit_xor(F.xxhash64("hub", "print")).alias("y"), F.min("print").alias("lo"), F.max("print").alias("hi")]
     met = dealt.groupBy("shard").agg(*same, F.count(F.when(F.col("hub").isNull(), 1)).alias("open")).where("n > 1 AND open > 0")
     once = written(met.groupBy("n", "x", "y", "lo", "hi").agg(F.min("shard").alias("shard")).select("shard", "n"), "shards")
     return written(dealt.join(once, "shard"), "shard-members")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], room: int, room_bytes: int = 1 << 26) -> Iterator[pa.Table]:
+    """Tables of whole groups (equal values of the first column, which come together), of about ``room`` rows each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        first = batch.column(0).to_numpy()
+        ends = [*(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), batch.num_rows]
+        at = 0
+        for k, end in enumerate(ends):
+            start = ends[k - 1] if k else 0
+            begins = bool(k) or not held or held[-1].column(0)[-1].as_py() != first[0]
+            if begins and (held or start > at):
+                rows = sum(x.num_rows for x in held) + start - at
+                if rows >= room or sum(x.nbytes for x in held) + batch.slice(at, start - at).nbytes >= room_bytes:
+                    yield pa.Table.from_batches([*held, batch.slice(at, start - at)])
+                    held, at = [], start
+        if batch.num_rows > at:
+            held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbered(values: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value, -1 for null."""
+    x = values.combine_chunks().dictionary_encode()
+    return x.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def clusters(members: DataFrame, bound: float) -> DataFrame:
+    """Members of small shards by clusters of candidates (column ``shard``); members without one and equal clusters are left out."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 4096):
+            shards, hubs = numbered(t["shard"]), numbered(t["hub"])
+            prints, simhash, sizes = (t[c].to_numpy() for c in ("print", "simhash", "size"))
+            a, b = candidates(shards, simhash.view(np.uint64), sizes, hubs, bound)
+            label = joined(np.arange(len(prints), dtype=np.int32), a, b)
+            order = np.argsort(label, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0]) if len(order) else order
+            sizes_of = np.diff(np.r_[first, len(order)])
+            with np.errstate(over="ignore"):
+                each = mix(prints[order].view(np.uint64) ^ mix(np.where(hubs[order] < 0, np.uint64(0), mix(t["hub"].fill_null(0).to_numpy()[order].view(np.uint64)) | np.uint64(1))))
+                names = mix(np.add.reduceat(each, first)) if len(first) else each
+            kept = np.repeat(sizes_of > 1, sizes_of)
+            out = t.take(pa.array(order[kept])).set_column(0, "shard", pa.array(np.repeat(names, sizes_of)[kept].view(np.int64)))
+            yield from out.combine_chunks().to_batches()
+
+    dealt = members.select(*MEMBER).repartition("shard").sortWithinPartitions("shard", "print")
+    return dealt.mapInArrow(cut, "shard long, print long, simhash long, size long, hub long").dropDuplicates(["shard", "print"])
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` to broadcast if it has few rows (of some longs each), else as it is."""
     return F.broadcast(df) if df.count() <= SMALL_TABLE else df
@@ -146,52 +206,53 @@ def compared(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, bound: float) -
     return mapped(dealt.select("print", "new_hub", "hashes", "hub_hashes"), keep, "print long, new_hub long", 64)
 
 
+def dealt_again(told: DataFrame, sets: DataFrame, bound: float, turn: int) -> DataFrame:
+    """Members of large shards dealt to smaller ones: by size at first, then by bands."""
+    if turn == 1:
+        level = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.lit(-math.log(bound * 0.999)))
+        return told.select(F.explode(F.array(level, level + 1)).alias("level"), *MEMBER).select(F.xxhash64("shard", "level").alias("shard"), *MEMBER[1:])
+    again = sets.join(told.select("print").distinct(), "print", "left_semi")
+    again = mapped(again, lambda r: {"print": r["print"], "bands": [bands(np.frombuffer(x, np.uint64), bound, turn - 1) for x in r["hashes"]]}, "print long, bands array<long>")
+    dealt = told.join(again, "print").select(*MEMBER, F.posexplode("bands").alias("band", "value"))
+    return dealt.select(F.xxhash64("shard", "band", "value").alias("shard"), *MEMBER[1:])
+
+
 def link_sets(made: DataFrame, bound: float, hashes: Callable) -> DataFrame:
     """Edges (a, b) between the prints of ``made`` that connect all texts alike in ``bound`` or more."""
-    one = written(made.groupBy("print").agg(F.first("simhash").alias("simhash"), F.first("bands").alias("bands")), "bands")
-    dealt = one.select("print", "simhash", F.lit(None).cast("long").alias("hub"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("shard"), "print", "simhash", "hub")
-    members = shards_of(dealt)
+    one = written(made.groupBy("print").agg(*[F.first(c).alias(c) for c in ("simhash", "size", "bands")]), "bands")
+    dealt = one.select("print", "simhash", "size", F.lit(None).cast("long").alias("hub"), F.posexplode("bands").alias("band", "value"))
+    members = shards_of(dealt.select(F.xxhash64("band", "value").alias("shard"), *MEMBER[1:]))
     wanted = made.select("print", "text").join(members.select("print").distinct(), "print", "left_semi").dropDuplicates(["print"])
     sets = written(mapped(wanted, lambda r: {"print": r["print"], "hashes": [hashes(x).tobytes() for x in r["text"]]}, "print long, hashes binary"), "sets")
-    edges, ready, turn = [], members.where(F.col("n") <= ROOM), 0
+    edges, ready, turn = [], members.where(F.col("n") <= ROOM).select(*MEMBER), 0
     while not (large := members.where(F.col("n") > ROOM)).isEmpty():
         hubs = shard_hubs(large)
         met = written(large.join(small(hubs), "shard").where("print <> new_hub"), "met")
         linked = written(compared(met.select("print", "new_hub", "parts").distinct(), sets, hubs, bound), "linked")
         edges.append(linked.toDF("a", "b"))
-        told = met.join(linked.withColumn("linked", F.lit(True)), ["print", "new_hub"], "left").select("shard", "print", "simhash", F.when(F.col("linked"), F.col("new_hub")).otherwise(F.col("hub")).alias("hub"))
+        told = met.join(linked.withColumn("linked", F.lit(True)), ["print", "new_hub"], "left").select("shard", "print", "simhash", "size", F.when(F.col("linked"), F.col("new_hub")).otherwise(F.col("hub")).alias("hub"))
         told = written(told, "told")
-        open_ = written(told.groupBy("shard").agg(F.count(F.when(F.col("hub").isNull(), 1)).alias("open")).where("open > 0").select("shard"), "open")
-        if open_.isEmpty():
-            break
-        told, turn = told.join(small(open_), "shard", "left_semi"), turn + 1
-        again = sets.join(told.select("print").distinct(), "print", "left_semi")
-        again = mapped(again, lambda r, turn=turn: {"print": r["print"], "bands": [bands(np.frombuffer(x, np.uint64), bound, turn) for x in r["hashes"]]}, "print long, bands array<long>")
-        dealt = told.join(again, "print").select("shard", "print", "simhash", "hub", F.posexplode("bands").alias("band", "value"))
-        members = shards_of(dealt.select(F.xxhash64("shard", "band", "value").alias("shard"), "print", "simhash", "hub"))
-        ready = ready.unionByName(members.where(F.col("n") <= ROOM))
-    grouped = ready.select("shard", "print", "simhash", "hub").join(sets, "print").select("shard", "print", "simhash", "hub", "hashes").repartition("shard").sortWithinPartitions("shard", "print")
-
-    def link(batches: Iterator[pa.RecordBatch], room: int = 1024, room_bytes: int = 1 << 26) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def linked() -> pa.RecordBatch:
-            shard, print_, simhash, hub, sets_ = zip(*held)
-            found = links(np.array(shard), np.array(simhash, np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in sets_], hub, bound)
-            return pa.RecordBatch.from_arrays([pa.array([print_[p[side]] for p in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != held[-1][0] and (len(held) >= room or size >= room_bytes):
-                    yield linked()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield linked()
+        still = written(told.groupBy("shard").agg(F.count("*").alias("n"), F.count(F.when(F.col("hub").isNull(), 1)).alias("open")).where("open > 0"), "open")
+        few = still.where((F.col("open") <= GUESTS) & (F.col("open") < F.col("n"))).select("shard", F.ceil((F.col("n") - F.col("open")) / ROOM).cast("int").alias("parts"))
+        parts = F.when(F.col("hub").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("print", "shard"), F.col("parts")).cast("int")))
+        guests = told.join(small(few), "shard").select(F.explode(parts).alias("part"), *MEMBER)
+        ready = ready.unionByName(guests.select(F.xxhash64("shard", "part").alias("shard"), *MEMBER[1:]))
+        many = still.join(few, "shard", "left_anti").select("shard")
+        turn += 1
+        members = shards_of(dealt_again(told.join(small(many), "shard", "left_semi"), sets, bound, turn))
+        ready = ready.unionByName(members.where(F.col("n") <= ROOM).select(*MEMBER))
+    found = written(clusters(ready, bound), "clusters")
+    grouped = found.join(sets, "print").select(*MEMBER, "hashes").repartition("shard").sortWithinPartitions("shard", "print")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 1024):
+            prints, simhash, sizes = (t[c].to_numpy() for c in ("print", "simhash", "size"))
+            shards, hubs = numbered(t["shard"]), numbered(t["hub"])
+            a, b = candidates(shards, simhash.view(np.uint64), sizes, hubs, bound)
+            pairs = links(a, b, [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()], hubs, bound)
+            yield pa.RecordBatch.from_arrays([pa.array([prints[p[side]] for p in pairs], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
     out = grouped.mapInArrow(link, "a long, b long")
-    for found in edges:
-        out = out.unionByName(found)
+    for more in edges:
+        out = out.unionByName(more)
     return out

@@ -5,6 +5,21 @@ from __future__ import annotations
 import numpy as np
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, of which each is the least member of its component, after the links (a, b)."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+    return label
+
+
 class BKForest:
     """BK-trees of many shards, built and searched together: one array of children by (node, distance).
 
@@ -55,15 +70,6 @@ class BKForest:
         queries = np.flatnonzero(np.repeat(self.sizes, self.sizes) > 1).astype(np.int32)
         for at in range(0, len(queries), block):
             a, b = self.earlier_within(queries[at : at + block], radius)
-            while len(a):
-                x, y = label[a], label[b]
-                apart = x != y
-                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-                while True:
-                    jumped = label[label]
-                    if (jumped == label).all():
-                        break
-                    label = jumped
-        joined = np.flatnonzero(label != np.arange(n))
-        return joined, label[joined]
+            label = joined(label, a, b)
+        member = np.flatnonzero(label != np.arange(n))
+        return member, label[member]
