@@ -11,9 +11,8 @@ A shard of over ``ROOM`` members is never searched whole. All its members are co
 whose SimHash is nearest to the majority of the shard's bits; those alike are linked to it. Two members that
 are linked to one hub need no comparison, so shards without others are done, which is how groups of near copies
 end. Where at most ``GUESTS`` others are left, the linked ones are dealt to parts and the others go to all
-parts. Else the shard is dealt again: by the sets' sizes, which differ little in alike pairs, and then by more
-and longer bands, until all shards are small. The hub is left out then, as it met all members, so this ends.
-No pair is left out for a shard's size.
+parts. Else the members of such shards are dealt again by more and longer bands, until all shards are small. A
+shard's hub is left out then, as it met all members, so this ends. No pair is left out for a shard's size.
 
 Null texts and texts without words have the empty set and are alike.
 """
@@ -42,8 +41,8 @@ def set_print(hashes: np.ndarray) -> int:
 
 
 def band_shape(bound: float, turn: int) -> tuple[int, int]:
-    """How many bands of how many rows each; longer ones in later turns."""
-    rows = 4 * min(turn + 1, 3)
+    """How many bands of how many rows each; longer ones in later turns, up to 24 rows."""
+    rows = 4 * min(turn + 1, 6)
     return math.ceil(math.log(MISS) / math.log1p(-(min(bound, 0.999) ** rows))), rows
 
 
@@ -206,17 +205,6 @@ def compared(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, bound: float) -
     return mapped(dealt.select("print", "new_hub", "hashes", "hub_hashes"), keep, "print long, new_hub long", 64)
 
 
-def dealt_again(told: DataFrame, sets: DataFrame, bound: float, turn: int) -> DataFrame:
-    """Members of large shards dealt to smaller ones: by size at first, then by bands."""
-    if turn == 1:
-        level = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.lit(-math.log(bound * 0.999)))
-        return told.select(F.explode(F.array(level, level + 1)).alias("level"), *MEMBER).select(F.xxhash64("shard", "level").alias("shard"), *MEMBER[1:])
-    again = sets.join(told.select("print").distinct(), "print", "left_semi")
-    again = mapped(again, lambda r: {"print": r["print"], "bands": [bands(np.frombuffer(x, np.uint64), bound, turn - 1) for x in r["hashes"]]}, "print long, bands array<long>")
-    dealt = told.join(again, "print").select(*MEMBER, F.posexplode("bands").alias("band", "value"))
-    return dealt.select(F.xxhash64("shard", "band", "value").alias("shard"), *MEMBER[1:])
-
-
 def link_sets(made: DataFrame, bound: float, hashes: Callable) -> DataFrame:
     """Edges (a, b) between the prints of ``made`` that connect all texts alike in ``bound`` or more."""
     one = written(made.groupBy("print").agg(*[F.first(c).alias(c) for c in ("simhash", "size", "bands")]), "bands")
@@ -238,8 +226,12 @@ def link_sets(made: DataFrame, bound: float, hashes: Callable) -> DataFrame:
         guests = told.join(small(few), "shard").select(F.explode(parts).alias("part"), *MEMBER)
         ready = ready.unionByName(guests.select(F.xxhash64("shard", "part").alias("shard"), *MEMBER[1:]))
         many = still.join(few, "shard", "left_anti").select("shard")
+        # Longer bands need no shard beside them: each set is dealt again once, however many large shards it was in.
         turn += 1
-        members = shards_of(dealt_again(told.join(small(many), "shard", "left_semi"), sets, bound, turn))
+        again = told.join(small(many), "shard", "left_semi").groupBy("print").agg(F.first("simhash").alias("simhash"), F.first("size").alias("size"), F.min("hub").alias("hub"))
+        banded = mapped(sets.join(again.select("print"), "print", "left_semi"), lambda r, turn=turn: {"print": r["print"], "bands": [bands(np.frombuffer(x, np.uint64), bound, turn) for x in r["hashes"]]}, "print long, bands array<long>")
+        dealt = again.join(banded, "print").select("print", "simhash", "size", "hub", F.posexplode("bands").alias("band", "value"))
+        members = shards_of(dealt.select(F.xxhash64(F.lit(turn), "band", "value").alias("shard"), *MEMBER[1:]))
         ready = ready.unionByName(members.where(F.col("n") <= ROOM).select(*MEMBER))
     found = written(clusters(ready, bound), "clusters")
     grouped = found.join(sets, "print").select(*MEMBER, "hashes").repartition("shard").sortWithinPartitions("shard", "print")
