@@ -55,3 +55,19 @@ def test_query(spark, data):
     assert set(found) == {r[0] for r in rows}
     for conv, r in found.items():
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == brute([x for x in rows if x[0] == conv])
+
+
+def test_long_system_turns_count(spark):
+    rows = [(1, 0, "system", "word " * 2000)] + [(1, i, "user", f"short {i}") for i in range(1, 5)]
+    rows += [(2, 0, "system", "word " * 500)] + [(2, i, "assistant" if i % 2 else "user", "more words " * 40) for i in range(1, 60)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS)
+    count = C.token_counter(C.TOKENS_PATH)
+    windows = C.budgeted_windows(df).collect()
+    for w in windows:
+        assert w["tokens"] == sum(count(*t) for t in C.parse_turns(w["formatted"]))
+        if w["conv_id"] == 2:
+            assert w["tokens"] <= C.BUDGET and C.parse_turns(w["formatted"])[0][0] == "system"
+    assert sum(w["conv_id"] == 1 for w in windows) >= 4
+    found = {r["conv_id"]: r for r in C.read_back(C.budgeted_windows(df)).collect()}
+    for conv, r in found.items():
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == brute([x for x in rows if x[0] == conv])

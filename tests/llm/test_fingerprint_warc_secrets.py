@@ -1,7 +1,12 @@
 import base64
+import collections
 import hashlib
 import io
+import math
 import random
+import re
+import string
+import time
 
 import duckdb
 from hypothesis import given, settings
@@ -128,6 +133,69 @@ def test_secret_rows(spark, odd_docs, no_docs, data):
     assert clean.columns == odd_docs.columns and clean.count() == 11
 
 
+def brute_base(text):
+    """The base spans by the contract's words, a character at a time where no pattern is needed."""
+    out, text = [], text or ""
+    at = 0
+    while m := re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A).search(text, at):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+        at = m.end()
+    for kind, start, letters, least in ((1, "AKIA", string.ascii_uppercase + string.digits, 20), (2, "", "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            end = at + len(start)
+            if text.startswith(start, at) and (start == "" or end < len(text)):
+                while end < len(text) and text[end] in letters:
+                    end += 1
+                if end > at + len(start):
+                    if end - at >= least:
+                        out.append((at, kind, end))
+                    at = end
+                    continue
+            at += 1
+    return sorted(out)
+
+
+def brute_random(text):
+    samples, alphabet = S.labelled_samples(), set(S.ALPHABET)
+    models = []
+    for label in (0, 1):
+        pairs = collections.Counter(p for t, k in samples if k == label for p in zip(t, t[1:]))
+        firsts = collections.Counter()
+        for (a, _), n in pairs.items():
+            firsts[a] += n
+        models.append(lambda a, b, pairs=pairs, firsts=firsts: math.log((pairs[a, b] + 0.5) / (firsts[a] + 0.5 * len(alphabet))))
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text or ""):
+        told = [models[1](a, b) - models[0](a, b) for a, b in zip(m[0], m[0][1:])]
+        if sum(told) / len(told) >= 0.5:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_query_against_brute_force(spark, data):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = S.query(spark, data).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = brute_base(docs[r["doc_id"]])
+        added = [x for x in brute_random(docs[r["doc_id"]]) if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
+        assert r["base_sha256"] == hashlib.sha256(S.joined(base).encode()).hexdigest() and r["spans"] == S.joined(sorted(base + added))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in base) for k in range(3))
+
+
+def test_many_and_overlapping_secrets():
+    ratio = S.default_ratio()
+    one = "x " + "Zq8" + "0123456789abcdef" * 2 + "Kp9vXw3LmTq7Rz "
+    base, spans = S.scan_text(one, ratio, 0.5)
+    assert [k for _, k, _ in base] == [2] and [k for _, k, _ in spans] == [3, 2]
+    assert S.redacted(one, spans) == "x [SECRET] "
+    began = time.perf_counter()
+    base, spans = S.scan_text(one * 20_000, ratio, 0.5)
+    assert len(base) == 20_000 and len(spans) == 40_000 and time.perf_counter() - began < 20
+
+
 def test_short_texts_share_hashes_with_their_edited_text():
     draw = random.Random(2)
     for n in range(20, 121):

@@ -105,3 +105,76 @@ def test_lattice_likelihood(spark, odd_docs, no_docs, data):
     for hot in (2, 1000):
         assert told(lattice_lm.score_texts(odd_docs, train, rounds=1, hot=hot).collect()) == base_by_brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert lattice_lm.score_texts(no_docs, train, rounds=1).collect() == []
+
+
+def test_lattice_scores_against_marginals(spark, data):
+    """Word by word and for whole texts: the score is the sum over words of the log of all segmentations' probability, and the end's."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    vocabulary = load_vocabulary()
+    for rounds in (0, 2):
+        counted = lattice_lm.count_words(docs.select("text", (~(lattice_lm.remainder("doc_id", 7) == 2)).alias("train")))
+        logp = lattice_lm.fit_pieces(counted, BatchLattice(vocabulary), rounds).tolist()
+        found = {r["doc_id"]: r["score"] for r in lattice_lm.score_texts(docs, ~(lattice_lm.remainder("doc_id", 7) == 2), rounds=rounds).collect()}
+        for k in sorted(rows)[:12]:
+            words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rows[k]))
+            want = (sum(marginal(vocabulary, logp, SPACE + w)[0] for w in words) + logp[vocabulary.end_id]) / math.log(10)
+            assert abs(found[k] - want) < 1e-6 * max(1, abs(want))
+
+
+def all_segmentations(vocabulary, logp, text):
+    if not text:
+        return 1.0
+    return sum(math.exp(logp[v] if v >= 0 else vocabulary.bytes_logp(text[0], logp)) * all_segmentations(vocabulary, logp, text[j:]) for j, v in vocabulary.lattice(text)[0])
+
+
+def test_marginal_against_all_segmentations():
+    vocabulary = load_vocabulary()
+    logp = vocabulary.logp.tolist()
+    for word in ("the", "other", "\u00e9te", "zqx"):
+        assert abs(marginal(vocabulary, logp, SPACE + word)[0] - math.log(all_segmentations(vocabulary, logp, SPACE + word))) < 1e-9
+
+
+def test_language_vectors_against_definition():
+    encoder = language_id.Encoder(64, 3)
+    text = "Une  \u00c9t\u00e9, 42 ans!"
+    letters = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    want = np.zeros(64)
+    for i in range(len(letters) - 2):
+        bound = np.ones(64)
+        for place, c in enumerate(reversed(letters[i : i + 3])):
+            bound = bound * np.roll(encoder.letter(ord(c)), place)
+        want += bound
+    assert np.array_equal(encoder.encode(text), want)
+    draw = np.random.default_rng(4)
+    model = language_id.Prototypes(["a", "b"], np.zeros(64), language_id.unit(draw.normal(size=(2, 64))), encoder)
+    cosines = [float(v @ want / np.linalg.norm(v) / np.linalg.norm(want)) for v in model.vectors]
+    name, score = model.predict(text)
+    assert name == "ab"[int(np.argmax(cosines))] and abs(score - (1 + max(cosines)) / 2) < 1e-6
+
+
+def test_every_language_has_a_prototype(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} word", f"l{i:04d}") for i in range(1200)]
+    model = language_id.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=50, dimensions=64)
+    assert len(model.languages) == 1200
+
+
+def test_shared_backoff_against_definition():
+    """Interpolated Kneser-Ney of continuation counts, level by level from the definition."""
+    draw = np.random.default_rng(3)
+    grams = np.unique(draw.integers(97, 100, (80, toxicity.ORDER)).astype(np.uint32), axis=0)
+    tuples = [tuple(g) for g in grams.tolist()]
+
+    def p(context, last):  # of suffixes of length len(context) + 1
+        n = len(context) + 1
+        # A type is counted by the distinct types one longer that end in it.
+        longer = {t[-n - 1 :] for t in tuples}
+        counts = Counter(t[-n:] for t in longer)
+        if n == 1:
+            return (counts[(last,)] + 1) / (sum(counts.values()) + len(counts) + 1)
+        same = {k: v for k, v in counts.items() if k[:-1] == context}
+        total = sum(same.values())
+        return (max(same.get((*context, last), 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * p(context[1:], last)) / total
+
+    for g, found in zip(tuples, toxicity.shared_backoff(grams)):
+        assert abs(found - p(g[1:-1], g[-1])) < 1e-9

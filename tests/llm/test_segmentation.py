@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,3 +54,53 @@ def test_documents(spark, odd_docs, no_docs, data):
     assert S.encode_documents(no_docs).collect() == []
     rows = S.query(spark, data).collect()
     assert len(rows) == 200 and all(r["exact"] for r in rows)
+
+
+def k_best(text, n):
+    """The n best scores of a whole text by dynamic programming over its whole lattice."""
+    t = SPACE + text.replace(SPACE, S.MARK).replace(" ", SPACE)
+    best = [[0.0], *([] for _ in t)]
+    for i, edges in enumerate(SEGMENTER.vocabulary.lattice(t)):
+        best[i] = sorted(best[i], reverse=True)[:n]
+        for j, v in edges:
+            lp = sum(SEGMENTER.logp[k] for k in ((v,) if v >= 0 else SEGMENTER.char_ids(t[i])))
+            best[j] += [x + lp for x in best[i]]
+    return sorted(best[-1], reverse=True)[:n]
+
+
+def test_query_against_whole_lattices(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = {r["doc_id"]: r for r in S.encode_documents(docs).collect()}
+    for r in S.query(spark, data).collect():
+        text, full = texts[r["doc_id"]], rows[r["doc_id"]]
+        digests = [hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for ids in full["nbest_ids"]]
+        assert list(r["nbest_sha256"]) == digests and r["pieces_sha256"] == digests[0] and len(set(digests)) == len(digests)
+        assert list(full["piece_ids"]) == list(full["nbest_ids"][0]) and r["n_pieces"] == len(full["piece_ids"])
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert all(SEGMENTER.decode(ids) == text for ids in full["nbest_ids"])
+        scores = [sum(SEGMENTER.logp[i] for i in ids) for ids in full["nbest_ids"]]
+        assert np.allclose(scores, r["nbest_scores"], rtol=1e-9) and (len(text) > 6000 or np.allclose(k_best(text, 4) if text else [0.0], scores, rtol=1e-9))
+
+
+def test_tables_are_decoded(spark, odd_docs, no_docs):
+    back = S.decode_documents(S.encode_documents(odd_docs.select("doc_id", "text"))).select("doc_id", "text")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, odd_docs.select("doc_id", "text").collect()))
+    assert S.decode_documents(S.encode_documents(no_docs)).collect() == []
+
+
+def test_blocks_of_long_texts(monkeypatch):
+    text = "one  two three   four \u65e5\u672c " * 300 + "x" * 900 + " end"
+    whole = SEGMENTER.segmentations(text)
+    monkeypatch.setattr(S, "BLOCK", 64)
+    small = S.Segmenter(SEGMENTER.vocabulary, 5, "blocks")
+    found = small.segmentations(text)
+    assert [ids for _, ids in found] == [ids for _, ids in whole] and np.allclose([x for x, _ in found], [x for x, _ in whole])
+
+
+def test_full_tables_shrink():
+    small = S.Segmenter(SEGMENTER.vocabulary, 5, "small")
+    small.table().room = 20
+    texts = [" ".join(f"w{i}{j % 7}" for j in range(30)) for i in range(40)]
+    for text in texts:
+        assert small.encode(text)[0] == SEGMENTER.encode(text)[0]

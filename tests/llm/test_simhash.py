@@ -69,6 +69,13 @@ def test_links_and_components_with_split_shards(spark, radius):
     assert same_partition([roots.get(int(x), S.signed(int(x))) for x in points], roots_by_brute(points, radius))
 
 
+def test_shards_that_stay_large_are_dealt_again(spark):
+    points = clusters(5, 500)
+    df = spark.createDataFrame([(S.signed(int(x)),) for x in points], "print long")
+    roots = {r["vertex"] % 2**64: r["root"] for r in connected_components(S.link_prints(df, 3, shard=6)).collect()}
+    assert same_partition([roots.get(int(x), S.signed(int(x))) for x in points], roots_by_brute(points, 3))
+
+
 def test_components_of_a_long_path(spark):
     found = connected_components(spark.range(300).selectExpr("id AS a", "id + 1 AS b")).collect()
     assert len(found) == 301 and len({r["root"] for r in found}) == 1

@@ -4,12 +4,16 @@ Token counts of turns are summed into prefixes, in two levels (within blocks of
 a conversation of any length is spread over tasks. Cutting the prefix sums at multiples of the room for new
 turns gives turn-aligned spans: turns between two multiples make up one span, and a turn across a multiple
 one of its own. A window holds the system turn, as many turns before the span as the history budget allows,
-and the span; only the span's assistant texts are under its loss mask, so no target is learnt twice. A turn
-longer than the room is a window by itself and the only way to exceed the budget.
+and the span; only the span's assistant texts are under its loss mask, so no target is learnt twice. The room is
+what budget, history and the conversation's own system turn (but at least the tokens set apart for one) leave.
+A turn longer than the room is a span by itself. Only such a turn, or a system turn that leaves no room, whose
+windows are of a turn each, can exceed the budget; ``tokens`` counts all that a window holds.
 
 Turns are ordered by turn number, then role and text; missing numbers come first. Null texts and roles are
 empty. Control strings within texts and roles are escaped, reversibly. Only a first turn of role ``system``
-is repeated. A missing conversation id is one conversation. Repeated rows are turns of their own. Empty
+is repeated. Very long conversations are spread by blocks of turn numbers; rows of one block, such as turns without a
+number, are ordered in one task, and so are the windows of a conversation as they are read back, one at a time.
+A missing conversation id is one conversation. Repeated rows are turns of their own. Empty
 tables give empty results; other columns are not read.
 """
 
@@ -76,7 +80,6 @@ def token_counter(path: str):
 
 def budgeted_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, tokens_path: str = TOKENS_PATH) -> DataFrame:
     """A row a window: conv, start (tokens before its span), formatted, mask (start, end pairs), fresh (where its span begins), tokens."""
-    room = budget - history - system
     count = token_counter(tokens_path)
     kinds = {c: turns.schema[c].dataType.simpleString() for c in (conv, turn)}
     base = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
@@ -102,14 +105,15 @@ def budgeted_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     is_system = (F.col("nth") + F.col("rows_before") == 1) & F.col("system_tokens").isNotNull()
     ordered = ordered.select(
         "key", "conv", "role", "text", (F.col("nth") + F.col("rows_before")).alias("nth"), is_system.alias("is_system"),
-        F.when(is_system, 0).otherwise(F.col("tokens")).alias("tokens"), F.when(is_system, 0).otherwise(F.col("before") + F.col("upto") - lead).alias("end"),
-    ).withColumn("begin", F.col("end") - F.col("tokens"))
+        "tokens", F.when(is_system, 0).otherwise(F.col("before") + F.col("upto") - lead).alias("end"),
+        F.greatest(F.lit(budget - history) - F.greatest(lead, F.lit(system)), F.lit(1)).alias("room"),
+    ).withColumn("begin", F.when(F.col("is_system"), 0).otherwise(F.col("end") - F.col("tokens")))
     spans = ["key", "from_cut", "to_cut"]
-    ordered = written(ordered.select("*", F.floor(F.col("begin") / room).alias("from_cut"), F.floor(F.greatest(F.col("end") - 1, F.col("begin")) / room).alias("to_cut")), "spans")
+    ordered = written(ordered.select("*", F.expr("begin div room").alias("from_cut"), F.expr("greatest(end - 1, begin) div room").alias("to_cut")), "spans")
     fresh = ordered.select(*spans, "conv", F.lit(2).alias("place"), "nth", "role", "text", "tokens", "begin")
     starts = ordered.groupBy(spans).agg(F.min("begin").alias("start"), F.min("nth").alias("first_nth"), F.first("conv").alias("conv"))
-    before = starts.where("start > 0").select(*spans, "conv", "start", F.explode(F.array(F.floor(F.col("start") / history), F.floor(F.col("start") / history) - 1)).alias("bucket"))
-    past = ordered.where(~F.col("is_system")).select(F.col("key"), F.floor(F.col("begin") / history).alias("bucket"), "nth", "role", "text", "tokens", "begin", "end")
+    before = starts.where("start > 0").select(*spans, "conv", "start", F.explode(F.array(F.expr(f"start div {history}"), F.expr(f"start div {history}") - 1)).alias("bucket"))
+    past = ordered.where(~F.col("is_system")).select(F.col("key"), F.expr(f"begin div {history}").alias("bucket"), "nth", "role", "text", "tokens", "begin", "end")
     repeated = before.join(past, ["key", "bucket"]).where((F.col("end") <= F.col("start")) & (F.col("begin") >= F.col("start") - history)).select(*spans, "conv", F.lit(1).alias("place"), "nth", "role", "text", "tokens", "begin")
     leads = starts.where("first_nth > 1").join(led, "key").select(*spans, "conv", F.lit(0).alias("place"), F.lit(0).alias("nth"), F.lit("system").alias("role"), F.col("system_text").alias("text"), F.col("system_tokens").alias("tokens"), F.lit(0).alias("begin"))
     rows = fresh.unionByName(repeated).unionByName(leads)

@@ -7,7 +7,8 @@ tasks look their windows up in as they read the texts; texts are read once and n
 pass are joined to the benchmark's by their words, so hits are exact, and hits are extended to the words
 they cover.
 
-A null text has no words. Items without words match nothing. Rows of one key with different texts are told
+Very long texts are read whole, a row at a time. A window that several items share counts for each of them. A
+null text has no words. Items without words match nothing. Rows of one key with different texts are told
 apart by a hash of the text; repeated rows get equal results. Items without an id are listed as ``null``;
 items that share an id count once. Empty tables give no hits, and other columns are not read.
 """
@@ -22,7 +23,7 @@ from tidemark.llm.shared import written
 SPAN, GRAM = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_BITS, BROADCAST_WINDOWS = 20, 200_000
+MAX_BITS, BROADCAST_WINDOWS, BROADCAST_ITEMS = 24, 200_000, 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -84,7 +85,8 @@ def bitmap(windows: DataFrame, count: int) -> tuple[list[int], int]:
 def find_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:
     """Per row of ``docs``: key, text_hash, n_words, n_hit, items (sorted ids)."""
     windows = written(benchmark_windows(items, item, item_text, span, k), "windows")
-    sizes = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}
+    told = windows.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items")).collect()
+    sizes, listed = {r["length"]: r["n"] for r in told}, sum(r["items"] for r in told)
     count = sum(sizes.values())
     table, bits = bitmap(windows, count)
     member = F.lit(table).cast("array<bigint>")
@@ -104,7 +106,7 @@ def find_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     told = written(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), read.alias("read")), "passed")
     passed = told.where(F.size("read.passed") > 0).select("key", "text_hash", F.inline("read.passed"))
     tests = windows.select("gram", "length", "items")
-    tests = F.broadcast(tests) if count <= BROADCAST_WINDOWS else tests.hint("shuffle_merge")
+    tests = F.broadcast(tests) if count <= BROADCAST_WINDOWS and listed <= BROADCAST_ITEMS else tests.hint("shuffle_merge")
     hits = passed.join(tests, ["length", "gram"]).groupBy("key", "text_hash").agg(F.collect_set(F.struct("at", "length")).alias("spans"), F.collect_set("items").alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
     hits = hits.select(F.col("key").alias("hit_key"), F.col("text_hash").alias("hit_hash"), covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))

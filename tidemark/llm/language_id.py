@@ -5,7 +5,8 @@ each permuted (rolled) by its place; a text's vector bundles (sums) those of its
 prototype bundles the normalised vectors of its training texts, less the mean of all languages, and a text
 goes to the language of the highest cosine.
 
-Prototypes are fitted on a bounded sample of at most about ``max_docs`` rows, chosen by a hash of the key.
+Prototypes are fitted on a bounded sample of at most about ``max_docs`` rows, or one row a language where there
+are more languages, chosen by a hash of the key. Every language has a prototype, a vector each at the driver.
 Every text is read whole. Null texts and those without a letter get ``und`` and score 0; without prototypes
 every text does. Ties of cosines go to the language that sorts first. Repeated rows get equal results, an
 empty table an empty one, and columns other than key, text and, in training, language are not read.
@@ -20,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import code_points, mapped, mix, remainder
+from tidemark.llm.shared import code_points, mapped, mix, remainder, written
 
-DIMENSIONS, GRAM, MAX_DOCS, MAX_LANGUAGES, UNKNOWN = 1024, 3, 8000, 1000, "und"
+DIMENSIONS, GRAM, MAX_DOCS, UNKNOWN = 1024, 3, 8000, "und"
 SPACE = 32
 
 
@@ -116,17 +117,15 @@ class Prototypes:
 
 
 def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, dimensions: int = DIMENSIONS, gram: int = GRAM) -> Prototypes:
-    """Prototypes of the languages of a bounded sample of ``docs``; at most ``MAX_LANGUAGES``, the most frequent."""
-    known = docs.where(F.col(lang).isNotNull())
-    sizes = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
-    span = 1 << 20
-    # Each language gives an equal share of the sample, or all it has.
-    shares = {r[lang]: min(1.0, max_docs / max(1, len(sizes)) / r["count"]) * span for r in sizes}
-    encoder = Encoder(dimensions, gram)
-    if not shares:
+    """Prototypes of the languages of a bounded sample of ``docs``."""
+    known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")), F.lit(3)).alias("draw"))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")), "languages")
+    count, encoder = sizes.count(), Encoder(dimensions, gram)
+    if not count:
         return Prototypes([], np.zeros(dimensions), np.zeros((0, dimensions)), encoder)
-    limit = F.create_map([F.lit(x) for pair in shares.items() for x in pair])[F.col(lang)]
-    sample = known.where(F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(3)), F.lit(span)) < limit)
+    # Each language gives an equal share of the sample, or all it has, and one row at least.
+    span = 1 << 20
+    sample = known.join(sizes, "lang").where((F.pmod(F.col("draw"), F.lit(span)) * F.col("n") < F.lit(span * max_docs / count)) | (F.col("draw") == F.col("first"))).select("lang", "text")
 
     def bundle(rows: dict[str, list]) -> dict[str, Sequence]:
         sums: dict[str, np.ndarray] = {}
@@ -135,13 +134,11 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
                 sums[name] = sums.get(name, 0) + unit(x)
         return {"lang": list(sums), "sum": [v.astype(np.float64).tolist() for v in sums.values()]}
 
-    parts = mapped(sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")), bundle, "lang string, sum array<double>")
-    found = parts.select("lang", F.posexplode("sum").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x")).collect()
-    languages = sorted({r["lang"] for r in found})
-    vectors = np.zeros((len(languages), dimensions))
-    for r in found:
-        vectors[languages.index(r["lang"]), r["place"]] = r["x"]
-    vectors = unit(vectors)
+    parts = mapped(sample, bundle, "lang string, sum array<double>")
+    sums = parts.select("lang", F.posexplode("sum").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
+    found = {r["lang"]: r["v"] for r in sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("v")).collect()}
+    languages = sorted(found)
+    vectors = unit(np.array([found[x] for x in languages]).reshape(len(languages), dimensions))
     centre = vectors.mean(0) if len(languages) > 1 else np.zeros(dimensions)
     return Prototypes(languages, centre, unit(vectors - centre), encoder)
 

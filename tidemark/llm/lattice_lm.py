@@ -9,7 +9,8 @@ Word counts are summed over all training texts. Words that make up a ``1 / hot``
 (at most ``hot`` of them) go to all tasks as a table; the others are joined by word, packed by the word's
 occurrences within a task, so no key holds much. Nothing that grows with the corpus reaches the driver.
 
-Null texts are empty: one token, the end. Rows are told apart by key and text; equal rows are scored once
+A row's sums meet in a bucket of its hash, about ``BUCKET_ROWS`` rows each. Very long words are scored one at a
+time, very long texts as the words they have. Null texts are empty: one token, the end. Rows are told apart by key and text; equal rows are scored once
 and returned as often as they occur. Rows without a key count as the empty key for the held-out split. An
 empty table gives an empty result, and columns other than key and text are not read.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import lower_bytes, mapped, mix, pieces, remainder, written
 from tidemark.llm.vocabulary import MODEL_PATH, SPACE, BatchLattice, load_vocabulary
 
-HOT, ROUNDS = 100_000, 4
+HOT, ROUNDS, BUCKET_ROWS = 100_000, 4, 1_000_000
 PAIR = np.dtype([("id", "<i8"), ("tag", "<u4"), ("n", "<u4")])
 SUM = np.dtype([("id", "<i8"), ("tag", "<i8"), ("copies", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
@@ -136,7 +137,8 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
         return {"word": r["word"], "c": r["c"], "n": r["n"], "lp": told.tolist()}
 
     words = written(mapped(counted, weigh, "word binary, c long, n long, lp double", 10_000), "word-scores")
-    tokens, distinct, everything, end_c = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("n"), F.max(F.when(F.col("word").isNull(), F.col("c")))).first()
+    ends = [F.max(F.when(F.col("word").isNull(), F.col(x))) for x in ("c", "n")]
+    tokens, distinct, everything, end_c, n_rows = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("n"), *ends).first()
     tokens, distinct, everything, end_c = tokens or 0, distinct or 0, everything or 0, end_c or 0
     unit = math.log10(tokens + (distinct + 1))
     # At most ``hot`` words can have a share of 1 / hot.
@@ -145,7 +147,7 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(table)
     end = (end_c > 0, math.log10(end_c + 1) - unit, end_logp)
 
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n_rows or 0) // BUCKET_ROWS)
 
     def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words = shared.value

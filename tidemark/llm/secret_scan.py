@@ -4,7 +4,9 @@ Two first-order Markov models over characters, one of random strings and one of
 trained from labelled samples. A long token is a secret when the log-likelihood ratio per transition of
 the random model to the ordinary one is high enough. Spans of the pattern kinds always stay.
 
-Nulls and empty texts have no spans. Very long texts are scanned whole. Repeated rows give repeated
+Nulls and empty texts have no spans. Very long texts are scanned whole, in time that grows with their length.
+Spans of different kinds may overlap and are all listed, by start and then by kind; a ratio equal to the
+threshold counts as a secret. Repeated rows give repeated
 results, an empty table an empty one, and columns other than the key and the text are not read.
 """
 
@@ -96,10 +98,16 @@ def random_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[i
 
 
 def scan_text(text: str | None, ratio: np.ndarray, threshold: float) -> tuple[list, list]:
-    """The base spans and all spans of a text; spans of the model that touch a base span are left out."""
+    """The base spans and all spans of a text; spans of the model that lie within a base span are left out."""
     text = text or ""
     base = base_spans(text)
-    added = [x for x in random_spans(text, ratio, threshold) if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+    added, at, reach = [], 0, 0
+    for x in random_spans(text, ratio, threshold):
+        while at < len(base) and base[at][0] <= x[0]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if x[2] > reach:
+            added.append(x)
     return base, sorted(base + added)
 
 

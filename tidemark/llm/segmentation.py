@@ -200,7 +200,7 @@ class Segmenter:
         if found is None:
             told, table = self.search(part, self.nbest), self.table()
             best = tuple(table.pieces(np.array([table.index[part]]))[0].tolist()) if part in table.index else self.part(part)[0]
-            found = [(told[0][0] - score, ids) for score, ids in told if ids != best][: self.nbest - 1]
+            found = [(max(0.0, told[0][0] - score), ids) for score, ids in told if ids != best][: self.nbest - 1]
             if len(part) <= LONG:
                 if len(cache) >= CACHE // 10:
                     cache.clear()

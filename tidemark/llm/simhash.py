@@ -3,7 +3,7 @@
 Each text gets a 64-bit SimHash of its word shingles. Equal fingerprints are brought together first, so
 copies cost nothing later. Distinct fingerprints are dealt to shards: the 64 bits are cut into
 ``radius + 1`` blocks, and two fingerprints within the radius agree on a whole block, so they meet in the
-shard of that block's value. A shard with too many members is dealt again by blocks of its other bits. In
+shard of that block's value. A shard with too many members is dealt again by blocks of its other bits, and so on. In
 each shard a BK-tree (children keyed by their integer distance from the parent) is searched along edges
 within the radius only, and a spanning forest of the links found is kept: one edge a member at most, not
 all pairs. Trees go where their shard is; nothing is broadcast or brought to the driver.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.alike import alike_prints, link_sets
@@ -68,30 +68,37 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _shards(bits: Column, taken: list[tuple[int, int]], count: int) -> list[tuple[Column, tuple[int, int]]]:
-    """Blocks of the bits that are not in ``taken`` ((offset, width) pairs): (value, (offset, width)) each."""
-    free = [i for i in range(64) if not any(o <= i < o + w for o, w in taken)]
+def block_masks(mask: int, count: int) -> list[int]:
+    """``mask`` with each of ``count`` equal blocks of the bits that it lacks."""
+    free = [i for i in range(64) if not mask >> i & 1]
     edges = [round(i * len(free) / count) for i in range(count + 1)]
-    out = []
-    for lo, hi in zip(edges, edges[1:]):
-        mask = sum(1 << b for b in free[lo:hi])
-        out.append((bits.bitwiseAND(F.lit(signed(mask))), (free[lo], hi - lo)))
-    return out
-
-
-def link_prints(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (column ``print``) within the radius of each other."""
-    blocks = radius + 1
-    p = F.col("print")
-    first = [F.struct(F.lit(i).alias("block"), v.alias("value"), F.lit(-1).alias("block2"), F.lit(0).cast("long").alias("value2")) for i, (v, _) in enumerate(_shards(p, [], blocks))]
-    dealt = prints.select("print", F.inline(F.array(*first)))
-    large = written(dealt.groupBy("block", "value").count().where(F.col("count") > shard).drop("count"), "large-shards")
-    if not large.isEmpty():
-        tops = [t for _, t in _shards(p, [], blocks)]
-        again = F.array(*[F.array(*[F.struct(F.col("block"), F.col("value"), F.lit(j).alias("block2"), v.alias("value2")) for j, (v, _) in enumerate(_shards(p, [top], blocks))]) for top in tops])
-        marked = dealt.join(large.withColumn("large", F.lit(True)), ["block", "value"], "left")
-        dealt = marked.select("print", F.inline(F.when(F.col("large"), F.get(again, F.col("block"))).otherwise(F.array(F.struct("block", "value", "block2", "value2")))))
-    keyed = dealt.select("print", F.xxhash64("block", "value", "block2", "value2").alias("shard"))
+    return [mask | sum(1 << b for b in free[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+
+
+def link_prints(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, deepest: int = 4) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints (column ``print``) within the radius of each other.
+
+    Shards of over ``shard`` members are dealt again, up to ``deepest`` times; what is large then shares all but
+    a few bits, and is searched as it is.
+    """
+    masks, small = block_masks(0, radius + 1), None
+    dealt = prints.select("print", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    for turn in range(deepest):
+        value = F.col("print").bitwiseAND(F.col("mask")).alias("value")
+        valued = dealt.select("print", "mask", value)
+        large = written(valued.groupBy("mask", "value").count().where(F.col("count") > shard).select("mask", "value", F.lit(True).alias("large")), "large-shards")
+        if large.isEmpty():
+            break
+        marked = written(valued.join(large, ["mask", "value"], "left").select("print", "mask", "large"), "dealt")
+        rest = marked.where(F.col("large").isNull()).select("print", "mask")
+        small = rest if small is None else small.unionByName(rest)
+        split = {m: block_masks(m, radius + 1) for m in masks}
+        table = prints.sparkSession.createDataFrame([(signed(m), signed(x)) for m, found in split.items() for x in found], "mask long, next long")
+        # A few thousand rows at most: the masks of a level, whatever the input.
+        dealt = marked.where("large").join(F.broadcast(table), "mask").select("print", F.col("next").alias("mask"))
+        masks = sorted({x for found in split.values() for x in found})
+    dealt = dealt if small is None else dealt.unionByName(small)
+    keyed = dealt.select("print", F.xxhash64("mask", F.col("print").bitwiseAND(F.col("mask"))).alias("shard"))
     # A hash that two shards share joins them into one tree, which only adds distances to compute.
     rows = keyed.distinct().repartition("shard").sortWithinPartitions("shard", "print")
 

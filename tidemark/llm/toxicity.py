@@ -2,12 +2,16 @@
 
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary texts, have counts of their own at the
 highest order and share the counts they back off to, so an expression that neither class knows well tells
-nothing. There is such a pair for characters, of order ``ORDER``, and one for words. A text is judged by its
+nothing. There is such a pair for characters, of order ``ORDER``. For words there are two unigram models with
+absolute discounting that back off to their shared shares; words that the sample has once are left to the
+characters. Of either, log-ratios within ``LEAST`` are taken as 0, so an entry of the models is off by less
+than that. A text is judged by its
 length-normalised log-likelihood ratios and by those of its most telling words; a logistic fit on
 out-of-fold ratios turns them into a probability.
 
 The models are fitted on a bounded sample of labelled rows: at most ``max_docs``, half of each class, chosen
-by a hash of the key. Rows are scored whole. Null and empty texts get the score of a text that tells
+by a hash of the key. Rows are scored whole, very long texts in blocks. Equal scores at the threshold count as
+toxic. Null and empty texts get the score of a text that tells
 nothing; rows without a key are scored and never learnt from; rows with several labels count as toxic if any
 does. With no labelled rows of both classes every score is 0. Repeated rows get equal scores, an empty table
 an empty result, and columns other than key and text are not read.
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import HashLookup, code_points, mapped, remainder, written
 
-ORDER, DISCOUNT, MAX_DOCS, THRESHOLD, SMOOTHING = 5, 0.75, 12_000, 0.3, 0.5
+ORDER, DISCOUNT, MAX_DOCS, THRESHOLD, SMOOTHING, LEAST = 5, 0.75, 12_000, 0.3, 0.5, 0.02
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,8 +98,8 @@ class Ratio:
             logs.append(np.log(p))
             rests.append(np.log(rest))
         rest, ratio = rests[1] - rests[0], logs[1] - logs[0]
-        told = np.abs(ratio - rest[context]) > 0.02
-        known = np.abs(rest) > 0.02
+        told = np.abs(ratio - rest[context]) > LEAST
+        known = np.abs(rest) > LEAST
         return cls(HashLookup(hashed(grams)[told], ratio[told]), HashLookup(keys[known], rest[known]))
 
     def of(self, x: np.ndarray) -> np.ndarray:
@@ -129,7 +133,7 @@ class WordRatio:
             # Over the backoff's share alone, which is what a word that the class lacks gets.
             logs.append(np.log((np.maximum(counts[:, c] - DISCOUNT, 0) / (rest * shared)) + 1) if total else np.zeros(len(keys)))
         ratio = logs[1] - logs[0]
-        told = np.abs(ratio) > 0.02
+        told = np.abs(ratio) > LEAST
         return cls(HashLookup(keys[told], ratio[told]))
 
     def of(self, keys: np.ndarray) -> np.ndarray:
