@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def int_chunks(df: DataFrame, key: str, size: int) -> DataFrame:
     """(chunk_id, start, end): closed ranges of ``size`` keys from the least key on, the last cut at the greatest."""
-    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo IS NOT NULL")
-    starts = bounds.select("lo", "hi", F.posexplode(F.sequence(F.col("lo"), F.col("hi"), F.lit(size).cast("long"))).alias("chunk_id", "start"))
-    return starts.select("chunk_id", F.col("start").cast("long").alias("start"), F.least(F.col("start") + size - 1, F.col("hi")).cast("long").alias("end"))
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    ids = df.sparkSession.range(0 if lo is None else (hi - lo) // size + 1)
+    start = F.lit(lo or 0).cast("long") + F.col("id") * size
+    # Compared before the end is added up, which could pass the greatest long.
+    end = F.when(start > F.lit(hi or 0) - size, F.lit(hi or 0)).otherwise(start + (size - 1))
+    return ids.select(F.col("id").cast("int").alias("chunk_id"), start.alias("start"), end.cast("long").alias("end"))
 
 
 def date_chunks(df: DataFrame, key: str, days: int) -> DataFrame:
@@ -31,9 +32,11 @@ def adaptive_days(df: DataFrame, key: str, target: int) -> DataFrame:
 
 
 def uuid_chunks(df: DataFrame, key: str) -> DataFrame:
-    """Sixteen bands by the first hex digit, cut to the least and greatest value; empty bands go."""
+    """Sixteen bands by the first hex digit, cut to the least and greatest value, and bands ``other`` and ``null``; empty bands go."""
     x = F.lower(F.col(key))
-    return df.groupBy(F.substring(x, 1, 1).alias("band")).agg(F.min(x).alias("start"), F.max(x).alias("end"), F.count("*").alias("rows")).where(F.col("band").rlike("^[0-9a-f]$"))
+    first = F.substring(x, 1, 1)
+    band = F.when(x.isNull(), "null").when(first.rlike("^[0-9a-f]$"), first).otherwise("other")
+    return df.groupBy(band.alias("band")).agg(F.min(x).alias("start"), F.max(x).alias("end"), F.count("*").alias("rows"))
 
 
 def string_chunk(df: DataFrame, key: str) -> DataFrame:
@@ -47,7 +50,7 @@ def chunk_digest(schema: str, table: str, start: Column, end: Column) -> Column:
 
 def split_skewed(chunks: DataFrame, rows: Column, most: int) -> DataFrame:
     """Chunks of more than ``most`` rows in two, at the middle of their range."""
-    middle = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2)
+    middle = F.col("start") + F.call_function("div", F.col("end") - F.col("start"), F.lit(2))
     whole = F.array(F.struct(F.col("start"), F.col("end")))
     halves = F.array(F.struct(F.col("start"), middle.alias("end")), F.struct((middle + 1).alias("start"), F.col("end")))
     return chunks.select("chunk_id", F.inline(F.when((rows > most) & (F.col("end") > F.col("start")), halves).otherwise(whole)))
@@ -65,9 +68,9 @@ def grouped(chunks: DataFrame, workers: int) -> DataFrame:
     return chunks.join(F.broadcast(n)).select("chunk_id", F.floor(F.col("chunk_id") / F.greatest(F.ceil(F.col("n") / workers), F.lit(1))).cast("int").alias("worker"))
 
 
-def id_ranges(rows: int, size: int) -> list[tuple[int, int]]:
-    """Half-open ranges for an estimate of rows."""
-    return [(i * size, (i + 1) * size) for i in range(max(1, math.ceil(rows / size)))]
+def id_ranges(spark: SparkSession, rows: int, size: int) -> DataFrame:
+    """(start, end): half-open ranges for an estimate of rows."""
+    return spark.range(max(1, -(-rows // size))).select((F.col("id") * size).alias("start"), ((F.col("id") + 1) * size).alias("end"))
 
 
 def choose_key(df: DataFrame, keys: list[str], identity: str | None = None) -> tuple[str, str]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.relational import floor_div
+
 
 def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The target with the staged rows in place of those of the same keys."""
@@ -36,7 +38,7 @@ def merge_output(target: DataFrame, source: DataFrame, keys: Sequence[str], valu
 
 def quarantine(rows: DataFrame, bad: Column, key: str, chunk: int, cause: str) -> DataFrame:
     """Chunks of keys with bad rows: range, rows, cause."""
-    return rows.where(bad).groupBy(F.floor(F.col(key) / chunk).cast("long").alias("chunk_id")).agg(F.min(key).alias("key_start"), F.max(key).alias("key_end"), F.count("*").alias("bad_rows"), F.lit(cause).alias("cause"))
+    return rows.where(bad).groupBy(floor_div(F.col(key), chunk).cast("long").alias("chunk_id")).agg(F.min(key).alias("key_start"), F.max(key).alias("key_end"), F.count("*").alias("bad_rows"), F.lit(cause).alias("cause"))
 
 
 def as_json_lines(df: DataFrame) -> DataFrame:

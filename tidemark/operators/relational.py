@@ -14,6 +14,19 @@ def target_name(schema: str, name: str, tables: dict[str, str], schemas: dict[st
     return found or f"{schemas.get(schema.lower(), schema)}.{name}"
 
 
+def floor_div(value: Column, n: int) -> Column:
+    """The floor of an integer column over ``n``, exact for all integers."""
+    return F.call_function("div", value - F.pmod(value, F.lit(n)), F.lit(n))
+
+
+def not_in(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """NOT IN over the one column of ``values``: no row if it has a null; null keys only pass if it has no row."""
+    name = values.columns[0]
+    seen = values.agg(F.count("*").alias("_n"), F.count(F.when(F.col(name).isNull(), 1)).alias("_nulls"))
+    kept = df.join(values.select(F.col(name).alias("_v")), F.col(key) == F.col("_v"), "left_anti")
+    return kept.join(F.broadcast(seen)).where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull())).drop("_n", "_nulls")
+
+
 def sort_rows(df: DataFrame, *order: tuple[str, bool]) -> DataFrame:
     """Sort by (column, ascending) pairs with nulls lowest, as T-SQL orders them."""
     return df.orderBy(*[F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order])
@@ -79,15 +92,43 @@ def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def stream_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str], block: int = 10_000) -> DataFrame:
-    """A digest that depends on rows and their order: digests of key blocks, then of these in order."""
+    """A digest that depends on rows and their order: of blocks of ``block`` keys, then of as many of these, level by level."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    blocks = df.groupBy(F.floor(F.col(order[0]) / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("_text")))).alias("rows"))
-    digests = blocks.select("block", F.sha2(F.array_join(F.transform("rows", lambda r: r["_text"]), "\n"), 256).alias("digest"))
-    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda r: r["digest"]), "\n"), 256).alias("digest"))
+    digests = df.select(floor_div(F.col(order[0]), block).alias("block"), F.struct(*order, text.alias("digest")).alias("row"))
+    for _ in range(4):
+        joined = F.transform(F.array_sort(F.collect_list("row")), lambda r: r["digest"])
+        digests = digests.groupBy("block").agg(F.sha2(F.array_join(joined, "\n"), 256).alias("digest")).select(floor_div(F.col("block"), block).alias("block"), F.struct("block", "digest").alias("row"))
+    # What is left is a row for each 10^16 keys or more.
+    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["digest"]), "\n"), 256).alias("digest"))
+
+
+def ranked_values(df: DataFrame, group: str, value: str, ranges: int = 64) -> DataFrame:
+    """(group, value, first, last, n): the exact places, from 0, of each distinct value among the n of its group.
+
+    Approximate quantiles of each group deal its values to ranges; places are counted within a range, after the
+    rows of the ranges before it, so no group is sorted on one task. Null values have no place.
+    """
+    known = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    bounds = known.groupBy("_g").agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_bounds"), F.count("*").alias("n"))
+    values = known.groupBy("_g", "_v").agg(F.count("*").alias("_times")).withColumnRenamed("_g", "_of")
+    values = values.join(bounds, F.col("_of").eqNullSafe(F.col("_g"))).select("_g", "_v", "_times", "n", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_place"))
+    sizes = values.groupBy("_g", "_place").agg(F.sum("_times").alias("_size"))  # at most ``ranges`` rows a group
+    before = sizes.select(F.col("_g").alias("_bg"), F.col("_place").alias("_bp"), (F.sum("_size").over(Window.partitionBy("_g").orderBy("_place")) - F.col("_size")).alias("_before"))
+    ahead = F.sum("_times").over(Window.partitionBy("_g", "_place").orderBy("_v")) - F.col("_times")
+    placed = values.select("*", ahead.alias("_ahead")).join(before, F.col("_g").eqNullSafe(F.col("_bg")) & (F.col("_place") == F.col("_bp")))
+    first = F.col("_before") + F.col("_ahead")
+    return placed.select(F.col("_g").alias(group), F.col("_v").alias(value), first.alias("first"), (first + F.col("_times") - 1).alias("last"), "n")
+
+
+def values_at(df: DataFrame, group: str, value: str, **places: Column) -> DataFrame:
+    """The group's values at exact places, each an expression of its number of values ``n``, as columns."""
+    ranked = ranked_values(df, group, value)
+    found = [F.max(F.when((place >= F.col("first")) & (place <= F.col("last")), F.col(value))).alias(name) for name, place in places.items()]
+    return ranked.groupBy(group).agg(*found)
 
 
 def equal_ranges(df: DataFrame, key: str, n: int, ranges: int = 32) -> DataFrame:
-    """(bucket, low, high, rows) of ``n`` buckets by the exact rank of the key, as NTILE over ``rank * n // count``.
+    """(bucket, low, high, rows) of ``n`` buckets by the exact rank of the key, with NTILE's sizes: the first ones have a row more.
 
     Approximate quantiles only deal the distinct keys to ``ranges``; ranks are counted within each range, after
     the rows of the ranges before it, so nothing is sorted on one task. Equal keys can lie in several buckets.
@@ -100,7 +141,13 @@ def equal_ranges(df: DataFrame, key: str, n: int, ranges: int = 32) -> DataFrame
     before = sizes.select("_place", (F.sum("_size").over(Window.orderBy("_place")) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_all"))
     ahead = F.sum("_n").over(Window.partitionBy("_place").orderBy(F.col("_key").asc_nulls_last())) - F.col("_n")
     ranked = keys.select("*", ahead.alias("_ahead")).join(F.broadcast(before), "_place").select("_key", "_n", "_all", (F.col("_before") + F.col("_ahead")).alias("_first"))
-    spread = ranked.select("*", F.explode(F.sequence(F.expr(f"_first * {n} div _all"), F.expr(f"(_first + _n - 1) * {n} div _all"))).alias("_b"))
-    start = lambda b: F.expr(f"({b} * _all + {n - 1}) div {n}")
+    base, extra = F.expr(f"_all div {n}"), F.expr(f"_all % {n}")
+    sized = ranked.select("*", base.alias("_base"), extra.alias("_extra"), (extra * (base + 1)).alias("_cut"))
+
+    def bucket(at: str) -> Column:
+        return F.expr(f"if({at} < _cut, ({at}) div (_base + 1), _extra + ({at} - _cut) div greatest(_base, 1))")
+
+    spread = sized.select("*", F.explode(F.sequence(bucket("_first"), bucket("_first + _n - 1"))).alias("_b"))
+    start = lambda b: F.expr(f"{b} * _base + least({b}, _extra)")
     rows = F.least(F.expr("_first + _n"), start("(_b + 1)")) - F.greatest(F.col("_first"), start("_b"))
     return spread.groupBy((F.col("_b") + 1).cast("int").alias("bucket")).agg(F.min("_key").alias("low"), F.max("_key").alias("high"), F.sum(rows).alias("rows"))

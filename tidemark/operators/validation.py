@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.relational import column_profile
+from tidemark.operators.relational import column_profile, floor_div
 
 
 def status(ok: Column) -> Column:
@@ -36,12 +37,20 @@ def aggregate_level(source: DataFrame, target: DataFrame, columns: Sequence[str]
     return s.join(F.broadcast(t), "column_name").select("column_name", F.round(F.col("s.sum_value"), 2).alias("source_sum"), F.round(F.col("t.sum_value"), 2).alias("target_sum"), status(ok).alias("status"))
 
 
+def exact(df: DataFrame, name: str) -> Column:
+    """A numeric column such that sums don't depend on order: decimals and integers as they are, floats to four places."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType):
+        return F.col(name)
+    return F.col(name).cast("decimal(28,0)" if isinstance(kind, T.IntegralType) else "decimal(28,4)")
+
+
 def range_level(source: DataFrame, target: DataFrame, key: str, size: int, sums: Sequence[str]) -> DataFrame:
     """Per key range: rows, least and greatest key, and sums of both sides; one shuffle of partial sums a side."""
 
     def of(df: DataFrame, name: str) -> DataFrame:
-        aggs = [F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"), *[F.sum(F.col(c).cast("decimal(18,4)")).alias(c) for c in sums]]
-        return df.groupBy(F.floor(F.col(key) / size).cast("long").alias("chunk")).agg(*aggs).select("chunk", F.struct("rows", "low", "high", *sums).alias(name))
+        aggs = [F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"), *[F.sum(exact(df, c)).alias(c) for c in sums]]
+        return df.groupBy(floor_div(F.col(key), size).cast("long").alias("chunk")).agg(*aggs).select("chunk", F.struct("rows", "low", "high", *sums).alias(name))
 
     both = of(source, "s").join(of(target, "t"), "chunk", "full_outer")
     same = F.col("s.rows").eqNullSafe(F.col("t.rows")) & F.col("s.low").eqNullSafe(F.col("t.low")) & F.col("s.high").eqNullSafe(F.col("t.high"))
@@ -63,15 +72,48 @@ def sample_level(source: DataFrame, target: DataFrame, key: str, every: int, col
 
 
 def row_digest(columns: Sequence[str], casts: dict[str, str] | None = None) -> Column:
-    """MD5 of the columns' texts with separators, alike on both sides; floats as fixed decimals."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast((casts or {}).get(c, "string")).cast("string"), F.lit("")) for c in columns]))
+    """MD5 of the columns' texts, each after its length and null apart from empty, alike on both sides; floats as fixed decimals."""
+    texts = [F.col(c).cast((casts or {}).get(c, "string")).cast("string") for c in columns]
+    return F.md5(F.concat_ws("|", *[F.when(x.isNull(), "-").otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x)) for x in texts]))
+
+
+def key_sample(source: DataFrame, target: DataFrame, keys: Sequence[str], share: float, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
+    """A sample of keys of any types, by a hash of their texts, alike on both sides: state, and the columns that differ.
+
+    Rows that only the target has are told like those that only the source has.
+    """
+    text = F.concat_ws("|", *[F.when(F.col(k).isNull(), "-").otherwise(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string"))) for k in keys])
+    chosen = F.substring(F.md5(text), 1, 6) < F.lit(f"{int(share * 0x1000000):06x}") if share < 1 else F.lit(True)
+    s, t = (df.where(chosen).select(*[F.col(k).alias(f"{side}_{i}") for i, k in enumerate(keys)], F.struct(*columns).alias(side)) for df, side in ((source, "s"), (target, "t")))
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & F.col(f"s_{i}").eqNullSafe(F.col(f"t_{i}"))
+    differs = []
+    for c in columns:
+        same = F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+        differs.append(F.when(~(same | close(F.col(f"s.{c}"), F.col(f"t.{c}"), 1e-9) if c in numeric else same), c))
+    found = F.array_compact(F.array(*differs))
+    state = F.when(F.col("t").isNull(), "missing_in_target").when(F.col("s").isNull(), "missing_in_source").when(F.size(found) == 0, "match").otherwise("mismatch")
+    names = F.when(state == "mismatch", F.array_join(found, ",")).otherwise("")
+    return s.join(t, on, "full_outer").select(*[F.coalesce(f"s_{i}", f"t_{i}").alias(k) for i, k in enumerate(keys)], state.alias("state"), names.alias("columns"))
+
+
+def result_issues(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows of two results by their keys: state (match, mismatch, missing_in_target, missing_in_source), rows of either side."""
+    s, t = (df.select(*[F.col(k).alias(f"{n}_{k}") for k in keys], F.struct(*columns).alias(n)) for df, n in ((source, "s"), (target, "t")))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"s_{k}").eqNullSafe(F.col(f"t_{k}"))
+    state = F.when(F.col("t").isNull(), "missing_in_target").when(F.col("s").isNull(), "missing_in_source").when(F.col("s").eqNullSafe(F.col("t")), "match").otherwise("mismatch")
+    return s.join(t, on, "full_outer").select(*[F.coalesce(f"s_{k}", f"t_{k}").alias(k) for k in keys], state.alias("state"), F.col("s").alias("source"), F.col("t").alias("target"))
 
 
-def hash_level(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str], casts: dict[str, str] | None = None) -> DataFrame:
+def hash_level(source: DataFrame, target: DataFrame, key: str | Sequence[str], columns: Sequence[str], casts: dict[str, str] | None = None) -> DataFrame:
     """Keys by state of their row hashes: match, mismatch, missing_in_target, missing_in_source."""
-    s, t = source.select(key, row_digest(columns, casts).alias("s")), target.select(key, row_digest(columns, casts).alias("t"))
+    keys = [key] if isinstance(key, str) else list(key)
+    s, t = source.select(*keys, row_digest(columns, casts).alias("s")), target.select(*keys, row_digest(columns, casts).alias("t"))
     state = F.when(F.col("t").isNull(), "missing_in_target").when(F.col("s").isNull(), "missing_in_source").when(F.col("s") == F.col("t"), "match").otherwise("mismatch")
-    return s.join(t, key, "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return s.join(t, keys, "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def cell_differences(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

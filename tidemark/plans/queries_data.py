@@ -217,7 +217,7 @@ def chunk_composite(spark, d):
     return chunking.int_chunks(table(spark, d, "lineitem"), "l_orderkey", 900)
 
 
-@register("chunk_key_select")
+@register("chunk_key_select", "SELECT * FROM (VALUES ('orders', 'o_orderkey', 'integer'), ('pages', 'url', 'uuid'), ('events', 'ts', 'datetime'), ('embeddings', 'vec_id', 'integer')) v(table_name, column_name, kind)")
 def chunk_key_select(spark, d):
     rows = [(t, *chunking.choose_key(table(spark, d, t), k)) for t, k in (("orders", ["o_orderkey"]), ("pages", ["url"]), ("events", []), ("embeddings", ["vec_id"]))]
     return spark.createDataFrame(rows, "table_name string, column_name string, kind string")
@@ -240,14 +240,14 @@ def chunk_adaptive_size(spark, d):
     return told.withColumn("next_size", chunking.next_size(col("size"), col("ms"), col("failed")))
 
 
-@register("chunk_group", f"SELECT chunk_id, (chunk_id // ceil(count(*) OVER () / 4.0))::INT AS worker FROM ({INT_CHUNKS})")
+@register("chunk_group", f"SELECT chunk_id, (chunk_id // ceil(count(*) OVER () / 4.0)::INT)::INT AS worker FROM ({INT_CHUNKS})")
 def chunk_group(spark, d):
     return chunking.grouped(chunking.int_chunks(table(spark, d, "orders"), "o_orderkey", 400), 4)
 
 
 @register("chunk_id_ranges", "SELECT i * 1000 AS start, (i + 1) * 1000 AS \"end\" FROM (SELECT count(*) AS n FROM orders), unnest(range(0, greatest(1, ceil(n / 1000.0)::BIGINT))) t(i)")
 def chunk_id_ranges(spark, d):
-    return spark.createDataFrame(chunking.id_ranges(table(spark, d, "orders").count(), 1000), "start long, end long")
+    return chunking.id_ranges(spark, table(spark, d, "orders").count(), 1000)
 
 
 # --- change data capture ------------------------------------------------------------------------
@@ -276,9 +276,10 @@ def cdc_decode(spark, d):
     return cdc.decode(changes(spark, d)).groupBy("op").agg(F.count("*").alias("n"))
 
 
-@register("cdc_order", f"WITH {EVENTS_SQL} SELECT lsn, seq::BIGINT AS seq, op FROM e ORDER BY lsn, seq LIMIT 300")
+@register("cdc_order", f"WITH {EVENTS_SQL} SELECT lsn, seq::BIGINT AS seq, op FROM e ORDER BY lsn, seq")
 def cdc_order(spark, d):
-    return cdc.in_order(events(spark, d).select("lsn", "seq", "op")).limit(300)
+    """All events of the change table in order."""
+    return cdc.in_order(events(spark, d).select("lsn", "seq", "op"))
 
 
 @register("cdc_order_all", f"WITH {EVENTS_SQL} SELECT lsn, seq::BIGINT AS seq, op FROM e ORDER BY lsn, seq")
@@ -317,6 +318,14 @@ def cdc_dedup(spark, d):
     return events(spark, d).select("o_orderkey", "op", "seq")
 
 
+@register("cdc_dedup_tables", "SELECT t AS table_name, o_orderkey FROM orders, (VALUES ('orders'), ('lines')) v(t)")
+def cdc_dedup_tables(spark, d):
+    """Two tables that change at the same positions, each event twice: one of each stays."""
+    e = table(spark, d, "orders").select("o_orderkey", F.lower(F.lpad(F.hex("o_orderkey"), 20, "0")).alias("lsn"), lit(1).cast("long").alias("seq"), lit("INSERT").alias("op"))
+    both = e.withColumn("table_name", F.explode(F.array(lit("orders"), lit("lines"), lit("orders"), lit("lines"))))
+    return cdc.deduplicate(both).select("table_name", "o_orderkey")
+
+
 @register("cdc_checkpoint", f"WITH {EVENTS_SQL} SELECT table_name, max(lsn) AS last_lsn, (max(lsn || seq)[21:])::BIGINT AS last_seq, count(*) AS rows_applied FROM e GROUP BY table_name")
 def cdc_checkpoint(spark, d):
     return cdc.checkpoints(events(spark, d))

@@ -38,14 +38,27 @@ def filter_and_or(spark, d):
 @register("filter_in_subquery", """SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS in_any, c_acctbal > (SELECT min(s_acctbal) FROM supplier) AS over_some
 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def filter_in_subquery(spark, d):
-    """IN and = ANY as a semi join, > SOME as > MIN, NOT IN as an anti join (keys are never null)."""
+    """IN and = ANY as a semi join, > SOME as > MIN, NOT IN as an anti join that minds nulls."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     least = table(spark, d, "supplier").agg(F.min("s_acctbal").alias("least"))
     done = o.where("o_orderstatus = 'F'").select(col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", lit(True))
-    kept = c.join(o.where("o_orderstatus = 'P'"), col("c_custkey") == col("o_custkey"), "left_anti")
+    kept = relational.not_in(c, "c_custkey", o.where("o_orderstatus = 'P'").select("o_custkey"))
     return kept.join(done, "c_custkey", "left").join(F.broadcast(least)).select("c_custkey", F.coalesce("hit", lit(False)).alias("in_any"), (col("c_acctbal") > col("least")).alias("over_some"))
 
 
+NOT_IN = "SELECT {0} AS case_no, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) WHERE k NOT IN (SELECT CASE WHEN o_custkey % 4 = 0 THEN {1} ELSE o_custkey END FROM orders WHERE {2})"
+
+
+@register("filter_not_in_nulls", " UNION ALL ".join(NOT_IN.format(*x) for x in ((0, "NULL", "o_custkey % 2 = 0"), (1, "o_custkey", "o_custkey % 2 = 0"), (2, "o_custkey", "false"))))
+def filter_not_in_nulls(spark, d):
+    """NOT IN over values with a null, without one, and over none, for keys of which some are null."""
+    k = table(spark, d, "customer").select(F.when(col("c_custkey") % 10 != 0, col("c_custkey")).alias("k"))
+    o = table(spark, d, "orders").where("o_custkey % 2 = 0").select("o_custkey")
+    cases = (o.select(F.when(col("o_custkey") % 4 != 0, col("o_custkey")).alias("v")), o, o.where("false"))
+    counts = [relational.not_in(k, "k", v).agg(lit(i).alias("case_no"), F.count("*").alias("n")) for i, v in enumerate(cases)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @register("filter_exists", """SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) THEN 1 ELSE 0 END AS has_large
 FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
 def filter_exists(spark, d):
@@ -234,19 +247,22 @@ def agg_checksum(spark, d):
     return relational.checksum(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
 
 
-@register("agg_stream_hash")
+STREAM_HASH = "SELECT o_orderkey // 10000 AS b, sha256(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus, chr(10) ORDER BY o_orderkey)) AS x FROM orders GROUP BY 1"
+for _ in range(3):
+    STREAM_HASH = f"SELECT b // 10000 AS b, sha256(string_agg(x, chr(10) ORDER BY b)) AS x FROM ({STREAM_HASH}) GROUP BY 1"
+
+
+@register("agg_stream_hash", f"SELECT sha256(string_agg(x, chr(10) ORDER BY b)) AS digest FROM ({STREAM_HASH})")
 def agg_stream_hash(spark, d):
     return relational.stream_hash(table(spark, d, "orders"), ["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
 @register("agg_duration_stats", "WITH v AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type) SELECT event_type, len(v)::BIGINT AS n, round(list_avg(v), 6) AS mean, v[1] AS least, v[-1] AS most, v[floor(len(v) * 0.95)::INT + 1] AS p95 FROM v")
 def agg_duration_stats(spark, d):
-    """p95 is the value at place floor(0.95 n) of the sorted values: a rank filter, no collected lists."""
+    """p95 is the value at place floor(0.95 n) of the sorted values, by exact ranks within ranges of them."""
     e = table(spark, d, "events")
     n = e.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
-    placed = e.select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("value")).alias("place"))
-    p95 = placed.join(F.broadcast(n.select("event_type", "n")), "event_type").where(col("place") == F.floor(col("n") * 0.95) + 1).select("event_type", col("value").alias("p95"))
-    return n.join(p95, "event_type")
+    return n.join(relational.values_at(e, "event_type", "value", p95=F.floor(col("n") * 0.95)), "event_type")
 
 
 @register("agg_usage_meter", "SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, coalesce(sum(event_id), 0)::BIGINT AS units FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type")
@@ -270,7 +286,10 @@ def agg_progress(spark, d):
 
 @register("agg_percentile", "SELECT o_orderstatus, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS median, percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice) AS quarter FROM orders GROUP BY o_orderstatus")
 def agg_percentile(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.round(F.percentile("o_totalprice", 0.5), 4).alias("median"), F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice)").alias("quarter"))
+    """By exact ranks within ranges of the values, so that no group's values meet in one task."""
+    half = (col("n") - 1) * 0.5
+    found = relational.values_at(table(spark, d, "orders"), "o_orderstatus", "o_totalprice", low=F.floor(half), high=F.ceil(half), quarter=F.ceil(col("n") * 0.25) - 1)
+    return found.select("o_orderstatus", F.round((col("low") + col("high")) / 2, 4).alias("median"), "quarter")
 
 
 # --- windows ------------------------------------------------------------------------------------
@@ -309,7 +328,7 @@ def win_agg_over(spark, d):
     return o.join(F.broadcast(o.agg(F.count("*").alias("everything")))).select("o_orderkey", F.count("*").over(Window.partitionBy("o_custkey")).alias("n"), F.sum("o_orderkey").over(Window.partitionBy("o_custkey")).alias("own"), "everything")
 
 
-@register("win_ntile_ranges", "SELECT bucket, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS rows FROM (SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) * 8 // count(*) OVER () + 1)::INT AS bucket FROM orders) GROUP BY bucket")
+@register("win_ntile_ranges", "SELECT bucket, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS rows FROM (SELECT o_orderkey, (ntile(8) OVER (ORDER BY o_orderkey))::INT AS bucket FROM orders) GROUP BY bucket")
 def win_ntile_ranges(spark, d):
     """Equal-count ranges by exact ranks, counted within ranges of the key: no sort on one task."""
     return relational.equal_ranges(table(spark, d, "orders"), "o_orderkey", 8)

@@ -60,11 +60,37 @@ def by_status(df):
     return df.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
 
 
-@register("val_query_result", f"{T}, s AS (SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM orders GROUP BY 1), u AS (SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM t GROUP BY 1) SELECT o_orderstatus, s.n AS source_n, u.n AS target_n, s.n = u.n AND s.keys = u.keys AS same FROM s JOIN u USING (o_orderstatus) ORDER BY 1 LIMIT 10")
+@register("val_query_result", f"{T}, s AS (SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM orders GROUP BY 1), u AS (SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM t GROUP BY 1) SELECT o_orderstatus, s.n AS source_n, u.n AS target_n, coalesce(s.n = u.n AND s.keys = u.keys, false) AS same FROM s FULL JOIN u USING (o_orderstatus)")
 def val_query_result(spark, d):
-    """Two queries' results compared row by row of their order, at most ten issues."""
-    s, t = by_status(table(spark, d, "orders")), by_status(faulty_copy(spark, d)).select("o_orderstatus", col("n").alias("target_n"), col("keys").alias("target_keys"))
-    return s.join(t, "o_orderstatus").select("o_orderstatus", col("n").alias("source_n"), "target_n", ((col("n") == col("target_n")) & (col("keys") == col("target_keys"))).alias("same")).orderBy("o_orderstatus").limit(10)
+    """Two queries' results compared row by row, those of one side included."""
+    found = validation.result_issues(by_status(table(spark, d, "orders")), by_status(faulty_copy(spark, d)), ["o_orderstatus"], ["n", "keys"])
+    return found.select("o_orderstatus", col("source.n").alias("source_n"), col("target.n").alias("target_n"), (col("state") == "match").alias("same"))
+
+
+@register("val_query_issues", f"""{T}, s AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_custkey % 3 > 0 GROUP BY ALL), u AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM t WHERE o_custkey % 3 < 2 GROUP BY ALL)
+SELECT o_custkey, o_orderstatus, CASE WHEN u.n IS NULL THEN 'missing_in_target' WHEN s.n IS NULL THEN 'missing_in_source' ELSE 'mismatch' END AS state FROM s FULL JOIN u USING (o_custkey, o_orderstatus) WHERE s.n IS DISTINCT FROM u.n""")
+def val_query_issues(spark, d):
+    """Issues between two results of which each lacks groups of the other."""
+    of = lambda df, keep: df.where(keep).groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    found = validation.result_issues(of(table(spark, d, "orders"), "o_custkey % 3 > 0"), of(faulty_copy(spark, d), "o_custkey % 3 < 2"), ["o_custkey", "o_orderstatus"], ["n"])
+    return found.where("state <> 'match'").select("o_custkey", "o_orderstatus", "state")
+
+
+@register("val_l4_keys", f"""{T}, s AS (SELECT *, left(md5(length(o_custkey::VARCHAR) || ':' || o_custkey || '|' || length(o_orderkey::VARCHAR) || ':' || o_orderkey), 6) AS h FROM orders), u AS (SELECT *, left(md5(length(o_custkey::VARCHAR) || ':' || o_custkey || '|' || length(o_orderkey::VARCHAR) || ':' || o_orderkey), 6) AS h FROM t)
+SELECT coalesce(s.o_custkey, u.o_custkey) AS o_custkey, coalesce(s.o_orderkey, u.o_orderkey) AS o_orderkey, CASE WHEN u.h IS NULL THEN 'missing_in_target' WHEN s.h IS NULL THEN 'missing_in_source' WHEN abs(s.o_totalprice - u.o_totalprice) > 1e-9 * greatest(abs(s.o_totalprice), abs(u.o_totalprice)) THEN 'mismatch' ELSE 'match' END AS state,
+CASE WHEN abs(s.o_totalprice - u.o_totalprice) > 1e-9 * greatest(abs(s.o_totalprice), abs(u.o_totalprice)) THEN 'o_totalprice' ELSE '' END AS columns FROM (SELECT * FROM s WHERE h < '333333') s FULL JOIN (SELECT * FROM u WHERE h < '333333') u ON s.o_custkey = u.o_custkey AND s.o_orderkey = u.o_orderkey""")
+def val_l4_keys(spark, d):
+    """A fifth of composite keys, by a hash of them, with the columns that differ and rows of either side."""
+    return validation.key_sample(table(spark, d, "orders"), faulty_copy(spark, d), ["o_custkey", "o_orderkey"], 0.2, ["o_orderstatus", "o_totalprice"], ["o_totalprice"])
+
+
+@register("val_row_hash_nulls", "SELECT * FROM (VALUES ('match', 2), ('mismatch', 3)) v(state, n)")
+def val_row_hash_nulls(spark, d):
+    """Null against empty and texts with separators don't match; equal rows do."""
+    kind = "k int, g string, a string, b string"
+    s = spark.createDataFrame([(1, "x", None, "x"), (2, "x", "a|b", "c"), (3, "x", "1:a", None), (4, "x", None, None), (5, "x", "a", "b")], kind)
+    t = spark.createDataFrame([(1, "x", "", "x"), (2, "x", "a", "b|c"), (3, "x", "1", ":a"), (4, "x", None, None), (5, "x", "a", "b")], kind)
+    return validation.hash_level(s, t, ["k", "g"], ["a", "b"])
 
 
 @register("val_query_equiv", f"{T}, a AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM t GROUP BY ALL) SELECT o_custkey, o_orderstatus, coalesce(a.n, 0) - coalesce(b.n, 0) AS surplus FROM a FULL JOIN b USING (o_custkey, o_orderstatus) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")

@@ -11,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, and read again; a temporary folder serves where that is unset."""
+    """``df`` written to the folder that ``spark.checkpoint.dir`` names, and read again; on a single machine a temporary folder serves where that is unset."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     path = f"{folder.rstrip('/')}/tidemark-loop-{uuid.uuid4().hex}"

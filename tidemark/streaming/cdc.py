@@ -36,9 +36,10 @@ def in_order(events: DataFrame) -> DataFrame:
 
 
 def deduplicate(events: DataFrame) -> DataFrame:
-    """One event of each identity; without an LSN the identity is the event's content."""
-    content = F.sha2(F.to_json(F.struct(*events.columns)), 256)
-    return events.withColumn("_id", F.when(F.col("lsn").isNull(), content).otherwise(F.concat_ws(":", "lsn", "seq", "op"))).dropDuplicates(["_id"]).drop("_id")
+    """One event of each (table, lsn, seq, op); without an LSN the identity is the event's content."""
+    content = F.when(F.col("lsn").isNull(), F.sha2(F.to_json(F.struct(*events.columns)), 256))
+    identity = [c for c in ("table_name", "lsn", "seq", "op") if c in events.columns]
+    return events.withColumn("_content", content).dropDuplicates([*identity, "_content"]).drop("_content")
 
 
 def latest(events: DataFrame, keys: Sequence[str]) -> DataFrame:
