@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import mapped
 from tidemark.llm.vocabulary import MODEL_PATH, SPACE, BatchLattice, Vocabulary, load_vocabulary
 
-NBEST, CACHE, LONG, BLOCK, ROWS = 4, 600_000, 200, 1 << 20, 2048
+NBEST, CACHE, LONG, BLOCK, ROWS = 4, 400_000, 200, 1 << 20, 1024
 MARK = "\ud8a1"  # stands for a literal space mark; no text that is valid UTF-8 has it
 PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -311,7 +311,7 @@ class Segmenter:
             for names in self.blocks(text):
                 held.append((k, names))
                 size += len(names)
-                if size > BLOCK // 2:
+                if size > BLOCK // 4:
                     flush()
                     size = 0
         if held:
@@ -370,10 +370,10 @@ class Segmenter:
         return self.decode_bytes(ids).decode("utf-8", "surrogatepass")
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, nbest: int = NBEST, ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, nbest: int = NBEST, ids: bool = True, nbest_ids: bool = True) -> DataFrame:
     """Key, the N best segmentations (best first) with their scores, and digests of them and of the decoded text.
 
-    ``nbest_ids`` has all N, ``piece_ids`` the best; without ``ids`` the digests stand for both.
+    The column ``nbest_ids`` has all N, ``piece_ids`` the best; without either their digests stand for them.
     """
     segmenter = Segmenter(load_vocabulary(model_path), nbest, model_path)
     kind = docs.schema[key].dataType.simpleString()
@@ -391,7 +391,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
                 ways = [segmenter.changed(best, changes).astype("<i4") for _, changes in found]
                 back = segmenter.decode_bytes(best.tolist())
                 digests = [digest(x) for x in ways]
-                row = (best if ids else None, ways if ids else None, len(best), score, [s for s, _ in found], digests[0], digests, digest(back), back == t.encode("utf-8", "surrogatepass"))
+                row = (best if ids else None, ways if nbest_ids else None, len(best), score, [s for s, _ in found], digests[0], digests, digest(back), back == t.encode("utf-8", "surrogatepass"))
             for n, v in zip(columns, row):
                 out[n].append(v)
         return {"key": rows["key"], **out}
@@ -401,7 +401,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
         f"key {kind}, piece_ids array<int>, nbest_ids array<array<int>>, n_pieces int, score double, nbest_scores array<double>, pieces_sha256 string, nbest_sha256 array<string>, decoded_sha256 string, exact boolean",
         ROWS,
     )
-    return (made if ids else made.drop("piece_ids", "nbest_ids")).withColumnRenamed("key", key)
+    return made.drop(*([] if ids else ["piece_ids"]), *([] if nbest_ids else ["nbest_ids"])).withColumnRenamed("key", key)
 
 
 def decode_documents(encoded: DataFrame, ids: str = "piece_ids", text: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
@@ -417,4 +417,4 @@ def decode_documents(encoded: DataFrame, ids: str = "piece_ids", text: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded, decoded again, and its N best segmentations' scores."""
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False, nbest_ids=False)
