@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bktree import BKForest, joined
 from tidemark.llm.shared import mapped, mix, written
 
-MISS, ROOM, GUESTS, RADIUS, SMALL_TABLE = 3e-5, 256, 64, 24, 100_000
+MISS, ROOM, GUESTS, RADIUS, SMALL_TABLE = 3e-5, 512, 64, 24, 100_000
 
 
 def set_print(hashes: np.ndarray) -> int:
