@@ -1,6 +1,7 @@
 """Edge cases of operators that the registered queries don't reach, and streams from end to end."""
 
 import decimal
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -179,3 +180,39 @@ def test_equal_ranges_are_exact_on_large_and_repeated_keys(spark):
     found = sorted(tuple(r) for r in relational.equal_ranges(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 4).collect())
     cut = [[k for i, k in enumerate(keys) if i * 4 // len(keys) == b] for b in range(4)]
     assert found == [(b + 1, x[0], x[-1], len(x)) for b, x in enumerate(cut)]
+
+
+def test_keys_beyond_doubles(spark):
+    keys = [2**60 + k for k in range(0, 1000, 7)] + [-(2**60) - 3, -1, 0]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    found = {r["k"]: r["c"] for r in df.select("k", relational.floor_div(F.col("k"), 200).alias("c")).collect()}
+    assert found == {k: k // 200 for k in keys}
+
+
+def test_events_of_several_tables_stay_apart(spark):
+    rows = [("orders", "00a", 1, "INSERT", 1), ("lines", "00a", 1, "INSERT", 2), ("orders", "00a", 1, "INSERT", 1), ("orders", None, 1, "INSERT", 1), ("orders", None, 1, "INSERT", 2), ("orders", None, 1, "INSERT", 2)]
+    df = spark.createDataFrame(rows, "table_name string, lsn string, seq long, op string, k int")
+    assert sorted(map(repr, map(tuple, cdc.deduplicate(df).collect()))) == sorted(map(repr, set(rows)))
+
+
+def test_every_uuid_is_in_a_band(spark):
+    found = {r["band"]: r["rows"] for r in chunking.uuid_chunks(spark.createDataFrame([("zz",), ("0a",), (None,), ("0B",), ("",)], "u string"), "u").collect()}
+    assert found == {"other": 2, "0": 2, "null": 1}
+
+
+def test_values_at_exact_places(spark):
+    draw = random.Random(5)
+    rows = [(g, draw.choice([None, *range(40)]) if g else draw.random()) for g in (0, 1, None) for _ in range(500)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g int, v double")
+    n = F.col("n")
+    found = {r["g"]: (r["low"], r["mid"], r["top"]) for r in relational.values_at(df, "g", "v", low=n * 0, mid=F.floor(n * 0.5), top=n - 1).collect()}
+    for g in (0, 1, None):
+        values = sorted(float(v) for h, v in rows if h == g and v is not None)
+        assert found[g] == (values[0], values[len(values) // 2], values[-1])
+
+
+def test_key_samples_see_rows_of_either_side(spark):
+    s = spark.createDataFrame([("a", 1, 1.0, "x"), ("b", 1, 2.0, "y"), ("c", None, 3.0, None)], "p string, q int, v double, w string")
+    t = spark.createDataFrame([("a", 1, 1.0, "z"), ("c", None, 3.0 + 1e-12, None), ("d", 2, 1.0, "n")], "p string, q int, v double, w string")
+    found = sorted((r["p"], r["state"], r["columns"]) for r in validation.key_sample(s, t, ["p", "q"], 1.0, ["v", "w"], ["v"]).collect())
+    assert found == [("a", "mismatch", "w"), ("b", "missing_in_target", ""), ("c", "match", ""), ("d", "missing_in_source", "")]
