@@ -149,6 +149,37 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     assert found == batch == {1: "a2", 2: "again", 3: "c", 4: "d"}
 
 
+@pytest.mark.parametrize("fold", [1, 2, 3])
+def test_folded_versions_hold_the_whole_log(spark, tmp_path, fold):
+    source, target, points = (str(tmp_path / n) for n in ("source", "target", "points"))
+    parts = [[(k, f"v{n}", 4, n + 1, 1) for k in range(n % 2, 10, 2)] for n in range(5)]
+    write_changes(spark, source, [*parts, [(3, "gone", 1, 9, 1)]])
+    cdc.run_stream(spark, source, CHANGE, target, points, ["k"], ["v"], files_per_batch=1, fold=fold).awaitTermination()
+    found = {r["k"]: r["v"] for r in cdc.current_rows(spark, target, 5, ["k"], ["v"], fold=fold).collect()}
+    assert found == {k: "v3" if k % 2 else "v4" for k in range(10) if k != 3}
+
+
+def test_pages_number_all_events_of_each_table(spark):
+    rows = [(t, None if n % 50 == 0 else f"{(n * 7919) % 997 << (40 if t == 'a' else 0):020x}", n) for t in ("a", "b", None) for n in range(500)]
+    found = cdc.pages(spark.createDataFrame(rows, "table_name string, lsn string, seq long"), 30, ranges=8).collect()
+    for t in ("a", "b", None):
+        own = sorted((r for r in found if r["table_name"] == t), key=lambda r: (r["lsn"] is not None, r["lsn"] or "", r["seq"]))
+        assert [r["page"] for r in own] == [i // 30 for i in range(500)]
+
+
+@pytest.mark.parametrize(("rows", "wanted"), [(0, 0), (7, 7), (400, 300)])
+def test_hash_sample_has_its_size(spark, rows, wanted):
+    df = spark.range(300).withColumnRenamed("id", "k")
+    found = [r["k"] for r in relational.hash_sample(df, "k", rows, 300).collect()]
+    assert len(found) == len(set(found)) == wanted
+    assert relational.hash_sample(df.where("k < 0"), "k", rows, 0).collect() == []
+
+
+def test_checksum_tells_nulls_and_separators_apart(spark):
+    sums = {str(r): relational.checksum(spark.createDataFrame([r], "a string, b string"), ["a", "b"]).first()["checksum"] for r in ((None, "x"), ("", "x"), ("a|b", "c"), ("a", "b|c"), ("-", "x"))}
+    assert len(set(sums.values())) == 5
+
+
 def test_late_events_do_not_bring_deleted_rows_back(spark):
     empty = spark.createDataFrame([], "k long, v string, last_lsn string, last_seq long, deleted boolean")
     event = lambda *rows: spark.createDataFrame(list(rows), "k long, v string, op string, lsn string, seq long")

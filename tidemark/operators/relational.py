@@ -86,9 +86,15 @@ def keyed_difference(source: DataFrame, target: DataFrame, keys: Sequence[str],
     return s.join(t, list(keys), "full_outer").select(*keys, state.alias("state"))
 
 
+def row_digest(columns: Sequence[str], casts: dict[str, str] | None = None) -> Column:
+    """MD5 of the columns' texts, each after its length and null apart from empty, alike on both sides; floats as fixed decimals."""
+    texts = [F.col(c).cast((casts or {}).get(c, "string")).cast("string") for c in columns]
+    return F.md5(F.concat_ws("|", *[F.when(x.isNull(), "-").otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x)) for x in texts]))
+
+
 def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Row count and an order-free checksum of rows: the sum of 64-bit hashes, exact in decimals."""
-    return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("checksum"))
+    """Row count and an order-free checksum of rows: the sum of 60 bits of each row's digest, exact in decimals."""
+    return df.agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring(row_digest(columns), 1, 15), 16, 10).cast("decimal(20,0)")).alias("checksum"))
 
 
 def stream_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str], block: int = 10_000) -> DataFrame:
@@ -151,3 +157,16 @@ def equal_ranges(df: DataFrame, key: str, n: int, ranges: int = 32) -> DataFrame
     start = lambda b: F.expr(f"{b} * _base + least({b}, _extra)")
     rows = F.least(F.expr("_first + _n"), start("(_b + 1)")) - F.greatest(F.col("_first"), start("_b"))
     return spread.groupBy((F.col("_b") + 1).cast("int").alias("bucket")).agg(F.min("_key").alias("low"), F.max("_key").alias("high"), F.sum(rows).alias("rows"))
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, total: int, seed: int = 7) -> DataFrame:
+    """``rows`` of the ``total`` rows: those of the least hashes of key and seed, and any that share the last one's hash.
+
+    Hashes beyond twice the expected cut are left out as rows are read; the cut among the others is exact, by
+    ranks within ranges, so that neither the table nor the sample is sorted or limited on one task.
+    """
+    hashed = df.withColumn("_hash", F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long"))
+    near = hashed.where(F.col("_hash") < int(min(1.0, 2 * rows / max(total, 1)) * 2**60))
+    near = near if near.count() >= min(rows, total) else hashed
+    cut = values_at(near.withColumn("_all", F.lit(0)), "_all", "_hash", cut=F.lit(rows - 1)).select("cut")
+    return near.join(F.broadcast(cut), F.col("cut").isNull() | (F.col("_hash") <= F.col("cut"))).drop("_hash", "cut")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.relational import column_profile, floor_div
+from tidemark.operators.relational import column_profile, floor_div, row_digest
 
 
 def status(ok: Column) -> Column:
@@ -71,12 +71,6 @@ def sample_level(source: DataFrame, target: DataFrame, key: str, every: int, col
     return s.join(t, key, "left").select(key, state.alias("state"))
 
 
-def row_digest(columns: Sequence[str], casts: dict[str, str] | None = None) -> Column:
-    """MD5 of the columns' texts, each after its length and null apart from empty, alike on both sides; floats as fixed decimals."""
-    texts = [F.col(c).cast((casts or {}).get(c, "string")).cast("string") for c in columns]
-    return F.md5(F.concat_ws("|", *[F.when(x.isNull(), "-").otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x)) for x in texts]))
-
-
 def key_sample(source: DataFrame, target: DataFrame, keys: Sequence[str], share: float, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
     """A sample of keys of any types, by a hash of their texts, alike on both sides: state, and the columns that differ.
 

@@ -9,6 +9,7 @@ from tidemark.operators import chunking, loads
 from tidemark.plans.queries_relational import COPY_SQL, STAGED_SQL, faulty_copy, staged_customers
 from tidemark.plans.registry import register
 from tidemark.sources import scans
+from tidemark.sources.scratch import new_folder
 from tidemark.sources.scans import table
 from tidemark.streaming import cdc
 
@@ -66,12 +67,16 @@ def table_size_estimate(spark, d):
     return scans.table_size_mb(spark, f"{d}/orders.parquet")
 
 
-@register("catalog_discover")
+#: The catalog as DuckDB describes it, with types under their Spark names.
+CATALOG_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, (row_number() OVER () - 1)::INT AS ordinal, column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS data_type, true AS nullable FROM (DESCRIBE {t})" for t in TABLES)
+
+
+@register("catalog_discover", CATALOG_SQL)
 def catalog_discover(spark, d):
     return scans.discover(spark, {t: table(spark, d, t) for t in TABLES})
 
 
-@register("catalog_cdc_status")
+@register("catalog_cdc_status", "SELECT * FROM (VALUES ('orders', true), ('lineitem', true), ('missing_one', false)) v(table_name, tracked)")
 def catalog_cdc_status(spark, d):
     """Requested names against the tables that are there; the others are refused."""
     asked = spark.createDataFrame([("orders",), ("lineitem",), ("missing_one",)], "table_name string")
@@ -79,14 +84,20 @@ def catalog_cdc_status(spark, d):
     return asked.join(there, "table_name", "left").select("table_name", F.coalesce("found", lit(False)).alias("tracked"))
 
 
-@register("catalog_detail")
+@register("catalog_detail", f"SELECT table_name, count(*) AS columns, string_agg(DISTINCT data_type, ',' ORDER BY data_type) AS types FROM ({CATALOG_SQL}) GROUP BY table_name")
 def catalog_detail(spark, d):
     return scans.discover(spark, {t: table(spark, d, t) for t in TABLES}).groupBy("table_name").agg(F.count("*").alias("columns"), F.array_join(F.array_sort(F.collect_set("data_type")), ",").alias("types"))
 
 
-@register("scan_change_table")
+CHANGES_SQL = """SELECT o_orderkey, o_totalprice + v.add AS o_totalprice, operation, lpad(printf('%x', o_orderkey), 20, '0') AS lsn, seq::BIGINT AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS table_name
+FROM orders, (VALUES (2, 1, 0.0::DOUBLE), (3, 2, 0.0::DOUBLE), (4, 3, 5.0::DOUBLE), (1, 4, 0.0::DOUBLE)) v(operation, seq, add), unnest(range(CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END)) t(i)
+WHERE operation = 2 OR (operation IN (3, 4) AND o_orderkey % 3 = 0) OR (operation = 1 AND o_orderkey % 7 = 0)"""
+
+
+@register("scan_change_table", f"SELECT * FROM ({CHANGES_SQL}) WHERE lsn > '000000000000000001f4' ORDER BY lsn, seq")
 def scan_change_table(spark, d):
-    return cdc.in_order(changes(spark, d).where(col("lsn") > "0" * 17 + "1f4")).limit(200)
+    """All rows of the change table after a position, in order."""
+    return cdc.in_order(changes(spark, d).where(col("lsn") > "0" * 17 + "1f4"))
 
 
 @register("scan_watermark", "SELECT event_id FROM events WHERE ts > (SELECT min(ts) + INTERVAL 2 DAY FROM events) ORDER BY ts, event_id LIMIT 100")
@@ -364,6 +375,18 @@ def cdc_poll_loop(spark, d):
     return cdc.pages(events(spark, d), 500).groupBy("table_name", "page").agg(F.count("*").alias("rows")).withColumn("streaming", col("rows") < 500)
 
 
+@register("cdc_stream_apply", APPLIED_SQL)
+def cdc_stream_apply(spark, d):
+    """The change table as files, a stream that applies them in four batches, and the rows that its log ends with."""
+    source, target, points = (new_folder(spark, n) for n in ("changes", "log", "points"))
+    captured = changes(spark, d)
+    captured.repartition(4).write.parquet(source)
+    stream = cdc.run_stream(spark, source, captured.schema.simpleString()[len("struct<") : -1].replace(":", " "), target, points, ["o_orderkey"], ["o_totalprice"], files_per_batch=1, fold=3)
+    stream.awaitTermination()
+    last = max(p["batchId"] for p in stream.recentProgress if "addBatch" in p["durationMs"])
+    return cdc.current_rows(spark, target, last, ["o_orderkey"], ["o_totalprice"], fold=3)
+
+
 @register("cdc_bus", f"WITH {EVENTS_SQL} SELECT o_orderkey, op, lsn FROM e")
 def cdc_bus(spark, d):
     """Envelopes as JSON and back."""

@@ -130,7 +130,7 @@ EMAIL = "(CASE c_custkey % 3 WHEN 0 THEN lower(c_name) || '@example.com' WHEN 1
 email = lambda: F.when(col("c_custkey") % 3 == 0, F.concat(F.lower(name()), lit("@example.com"))).when(col("c_custkey") % 3 == 1, "@example.com").otherwise("nobody")
 over("mask_partial_email", *C, "CASE c_custkey % 3 WHEN 0 THEN left(lower(c_name), 1) || '***@example.com' WHEN 1 THEN '*@example.com' ELSE '***REDACTED***' END AS v", lambda: dict(v=M.partial_email(email())))
 over("mask_last_four", *C, "'****' || right('4111-' || (c_custkey + 10000), 4) AS v", lambda: dict(v=M.last_four(F.concat(lit("4111-"), (col("c_custkey") + 10000).cast("string")))))
-over("mask_fpe_numeric", *C, None, lambda: dict(shape=F.regexp_replace(M.fpe_numeric(F.concat(lit("AB-"), (col("c_custkey") + 10000).cast("string"))), "[0-9]", "9")))
+over("mask_fpe_numeric", *C, "regexp_replace('AB-' || (c_custkey + 10000), '[0-9]', '9', 'g') AS shape", lambda: dict(shape=F.regexp_replace(M.fpe_numeric(F.concat(lit("AB-"), (col("c_custkey") + 10000).cast("string"))), "[0-9]", "9")))
 over("tx_cdc_value_convert", *C, "CASE WHEN c_custkey % 2 = 1 THEN 'true' ELSE 'false' END AS b, '\\x' || lower(hex(c_name)) AS x, c_acctbal::DECIMAL(19,4)::VARCHAR AS m", lambda: dict(b=(col("c_custkey") % 2).cast("boolean").cast("string"), x=F.concat(lit("\\x"), F.lower(F.hex("c_name"))), m=col("c_acctbal").cast("decimal(19,4)").cast("string")))
 
 
@@ -142,7 +142,7 @@ def mask_pipeline(spark, d):
     return M.apply_pipeline(c, {"string": "strip_trailing_nulls"}, masks, {"segment": ["redact"]})
 
 
-@register("mask_policy")
+@register("mask_policy", "SELECT * FROM (VALUES ('auto', 'email', 'hash'), ('auto', 'ssn', 'hash'), ('strict', 'email', 'hash'), ('strict', 'ssn', 'hash')) v(policy, column_name, mask)")
 def mask_policy(spark, d):
     rows = [(p, c, m) for p in ("none", "auto", "strict") for c, m in sorted(M.mask_policy(["c_name", "email", "ssn", "c_acctbal"], p, {}).items())]
     return spark.createDataFrame(rows, "policy string, column_name string, mask string")

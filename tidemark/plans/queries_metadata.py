@@ -151,7 +151,7 @@ def report_job(spark, d):
     return table(spark, d, "orders").groupBy(col("o_orderpriority").alias("job")).agg(F.count("*").alias("tables"), F.count(F.when(col("o_orderstatus") == "F", 1)).alias("passed"), F.sum("o_custkey").alias("rows"))
 
 
-@register("report_metrics")
+@register("report_metrics", "SELECT unnest(['# TYPE events_' || event_type || ' counter', 'events_' || event_type || ' ' || n]) AS line FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)")
 def report_metrics(spark, d):
     counted = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("value")).select(F.concat(lit("events_"), "event_type").alias("name"), lit("counter").alias("kind"), "value")
     return M.metrics_text(counted)
@@ -174,13 +174,16 @@ def lineage_closure(spark, d):
     return M.closure(edges(spark))
 
 
-@register("lineage_levels", f"WITH RECURSIVE l AS (SELECT node, 0 AS level FROM (SELECT src AS node FROM {EDGES_SQL} UNION SELECT dst FROM {EDGES_SQL}) UNION SELECT e.dst, l.level + 1 FROM l JOIN {EDGES_SQL} e ON e.src = l.node) SELECT node, max(level) AS level FROM l GROUP BY node")
+LEVELS_SQL = f"WITH RECURSIVE l AS (SELECT node, 0 AS level FROM (SELECT src AS node FROM {EDGES_SQL} UNION SELECT dst FROM {EDGES_SQL}) UNION SELECT e.dst, l.level + 1 FROM l JOIN {EDGES_SQL} e ON e.src = l.node) SELECT node, max(level) AS level FROM l GROUP BY node"
+
+
+@register("lineage_levels", LEVELS_SQL)
 def lineage_levels(spark, d):
     e = edges(spark)
     return M.levels(nodes_of(e), e)
 
 
-@register("lineage_toposort")
+@register("lineage_toposort", f"SELECT node, (row_number() OVER (ORDER BY level, node))::INT AS position FROM ({LEVELS_SQL})")
 def lineage_toposort(spark, d):
     e = edges(spark)
     return M.topological_order(nodes_of(e), e)
@@ -226,7 +229,10 @@ def ops_dry_run(spark, d):
     return M.dry_run(told.unionByName(told.select(lit("gone").alias("table_name"), lit(None).cast("long").alias("row_count"))), 400)
 
 
-@register("ddl_generate")
+DDL_SQL = "SELECT '{t}' AS table_name, 'CREATE TABLE \"{t}\" (' || string_agg('\"' || column_name || '\" ' || CASE column_type WHEN 'VARCHAR' THEN 'TEXT' WHEN 'DOUBLE' THEN 'DOUBLE PRECISION' ELSE column_type END || CASE WHEN column_name = '{k}' THEN ' NOT NULL' ELSE '' END, ', ' ORDER BY n) || ', PRIMARY KEY ({k}))' AS ddl FROM (SELECT *, row_number() OVER () AS n FROM (DESCRIBE {t}))"
+
+
+@register("ddl_generate", DDL_SQL.format(t="orders", k="o_orderkey") + " UNION ALL " + DDL_SQL.format(t="nation", k="n_nationkey"))
 def ddl_generate(spark, d):
     rows = [(t, M.create_table(t, table(spark, d, t), k)) for t, k in (("orders", ("o_orderkey",)), ("nation", ("n_nationkey",)))]
     return spark.createDataFrame(rows, "table_name string, ddl string")

@@ -242,9 +242,15 @@ def agg_column_profile(spark, d):
     return relational.column_profile(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_suppkey"]).withColumn("sum_value", F.round("sum_value", 2))
 
 
-@register("agg_checksum")
+CHECKED = ("o_orderkey", "o_custkey", "o_orderstatus", "cents")
+CHECKED_SQL = " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}, '-')" for c in CHECKED)
+
+
+@register("agg_checksum", f"SELECT count(*) AS rows, sum(('0x' || left(md5({CHECKED_SQL}), 15))::BIGINT)::VARCHAR AS checksum FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS cents FROM orders)")
 def agg_checksum(spark, d):
-    return relational.checksum(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+    """Amounts go in as whole cents, which every engine writes alike."""
+    o = table(spark, d, "orders").withColumn("cents", F.round(col("o_totalprice") * 100).cast("long"))
+    return relational.checksum(o, CHECKED).withColumn("checksum", col("checksum").cast("string"))
 
 
 STREAM_HASH = "SELECT o_orderkey // 10000 AS b, sha256(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus, chr(10) ORDER BY o_orderkey)) AS x FROM orders GROUP BY 1"
@@ -368,12 +374,12 @@ def row_sample_topn(spark, d):
     return first(table(spark, d, "orders"), "source").unionByName(first(faulty_copy(spark, d), "target"))
 
 
-@register("sample_random")
+@register("sample_random", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || ':7') LIMIT (SELECT greatest(100, count(*) // 100) FROM orders)")
 def sample_random(spark, d):
-    """max(100, 1 %) random keys: a Bernoulli sample somewhat larger, cut by random order."""
-    o = table(spark, d, "orders")
-    n = max(100, o.count() // 100)
-    return o.select("o_orderkey").orderBy(F.rand(7)).limit(n)
+    """max(100, 1 %) keys by the order of their hashes, which a seed makes another sample."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    total = o.count()
+    return relational.hash_sample(o, "o_orderkey", max(100, total // 100), total)
 
 
 @register("tablesample")

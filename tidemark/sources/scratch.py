@@ -1,24 +1,29 @@
-"""Cutting the lineage of DataFrames that a loop builds upon."""
+"""Folders that driver and executors share, and cutting the lineage of DataFrames that a loop builds upon."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, and read again; on a single machine a temporary folder serves where that is unset."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; on a single machine a temporary folder serves where that is unset."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    path = f"{folder.rstrip('/')}/tidemark-loop-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again."""
+    spark = df.sparkSession
+    path = new_folder(spark, "loop")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -114,29 +114,35 @@ def run_states(events: Sequence[str], start: str = "IDLE", failed_may_catch_up:
     return out
 
 
-def run_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], columns: Sequence[str], files_per_batch: int = 1000) -> StreamingQuery:
-    """Apply a folder of change files to a versioned target until all are read.
+def log_versions(number: int, fold: int) -> range:
+    """Versions of a change log that hold its state as of ``number``: from the last one that others were folded into."""
+    return range(number - number % fold, number + 1)
 
-    Each batch writes the target's next version, named by the batch, from the version before; a batch that is
-    run again overwrites the same version from the same input, so a lost driver or executor changes nothing.
+
+def run_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], columns: Sequence[str], files_per_batch: int = 1000, fold: int = 16) -> StreamingQuery:
+    """Apply a folder of change files to a versioned change log until all are read.
+
+    Each batch writes the last event of each of its keys as a version named by the batch, so its cost goes by the
+    batch and not by the target; every ``fold``-th version also takes in those since the fold before, which may
+    be deleted then. A batch that is run again overwrites the same version from the same input, so a lost driver
+    or executor changes nothing.
     """
     changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def apply(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        events = deduplicate(decode(batch))
-        if number == 0:
-            fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields if f.name in (*keys, *columns))
-            before = session.createDataFrame([], f"{fields}, last_lsn string, last_seq long, deleted boolean")
-        else:
-            before = session.read.parquet(f"{target}/version={number - 1}")
-        apply_idempotent(before, events, keys, columns).write.mode("overwrite").parquet(f"{target}/version={number}")
+        events = decode(batch).select(*keys, *columns, "lsn", "seq", "op")
+        if number and number % fold == 0:
+            events = events.unionByName(batch.sparkSession.read.parquet(*[f"{target}/version={v}" for v in log_versions(number - 1, fold)]))
+        # Repeated events are equal, so the last of each key absorbs them.
+        latest(events, keys).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_rows(spark: SparkSession, target: str, version: int, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    return spark.read.parquet(f"{target}/version={version}").where("NOT deleted").select(*keys, *columns)
+def current_rows(spark: SparkSession, target: str, version: int, keys: Sequence[str], columns: Sequence[str], fold: int = 16) -> DataFrame:
+    """The rows of a change log as of ``version``: each key's last event by (lsn, seq), deletes taken out."""
+    log = spark.read.parquet(*[f"{target}/version={v}" for v in log_versions(version, fold)])
+    return latest(log, keys).where("op <> 'DELETE'").select(*keys, *columns)
 
 
 def stream_lag(captured: DataFrame, applied: DataFrame) -> DataFrame:
@@ -146,7 +152,21 @@ def stream_lag(captured: DataFrame, applied: DataFrame) -> DataFrame:
     return c.join(a, "table_name", "left").select("table_name", "captured", F.coalesce("applied", F.lit(0)).alias("applied"), F.greatest(F.lit(0), F.col("captured") - F.coalesce("applied", F.lit(0))).alias("lag"), "max_lsn")
 
 
-def pages(events: DataFrame, rows: int) -> DataFrame:
-    """Events with the poll (page) that brings them, by position within each table."""
-    place = F.row_number().over(Window.partitionBy("table_name").orderBy("lsn", "seq"))
-    return events.withColumn("page", F.floor((place - 1) / rows).cast("int"))
+def pages(events: DataFrame, rows: int, ranges: int = 64) -> DataFrame:
+    """Events with the poll (page) that brings them, by position within each table.
+
+    Approximate quantiles of the LSN deal a table's events to ranges; places are counted within a range, after the
+    rows of the ranges before it, so no table's events are sorted on one task unless they share one LSN.
+    """
+    digits = lambda at: F.conv(F.substring("lsn", at, 10), 16, 10).cast("double")
+    # A double keeps the order of LSNs; those too near to tell apart share a range.
+    mark = digits(1) * 2.0**40 + digits(11)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    bounds = events.groupBy(F.col("table_name").alias("_of")).agg(F.percentile_approx(mark, [i / ranges for i in range(1, ranges)], 10_000).alias("_bounds"))
+    place = F.when(F.col("lsn").isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < mark)))
+    dealt = events.join(bounds, same("table_name", "_of")).withColumn("_range", place).drop("_of", "_bounds")
+    sizes = dealt.groupBy(F.col("table_name").alias("_of"), F.col("_range").alias("_at")).agg(F.count("*").alias("_size"))  # at most ``ranges`` + 1 rows a table
+    before = sizes.select("_of", "_at", (F.sum("_size").over(Window.partitionBy("_of").orderBy("_at")) - F.col("_size")).alias("_before"))
+    ahead = F.row_number().over(Window.partitionBy("table_name", "_range").orderBy("lsn", "seq")) - 1
+    placed = dealt.withColumn("_ahead", ahead).join(before, same("table_name", "_of") & (F.col("_range") == F.col("_at")))
+    return placed.withColumn("page", F.call_function("div", F.col("_before") + F.col("_ahead"), F.lit(rows)).cast("int")).drop("_range", "_ahead", "_of", "_at", "_before")
