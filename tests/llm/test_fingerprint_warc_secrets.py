@@ -86,6 +86,16 @@ def test_archives(spark):
     assert W.deduplicate_archives(pages.limit(0), new_path(spark, "warc")).collect() == []
 
 
+def test_archives_of_many_records_and_files(spark):
+    pages = spark.range(0, 12_000, 1, 1).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat(repeat('x', 500), id % 9000) AS html")
+    for file_bytes, files in ((W.FILE_BYTES, 1), (3_000_000, 4)):
+        path = new_path(spark, "warc")
+        found = W.deduplicate_archives(pages, path, file_bytes=file_bytes).selectExpr("page_id", "payload_bytes", "record_type", "refers_to").collect()
+        want = [(i, 500 + len(str(i % 9000)), "response" if i < 9000 else "revisit", None if i < 9000 else i % 9000) for i in range(12_000)]
+        assert sorted(map(tuple, found)) == want
+        assert spark.read.format("binaryFile").load(path).count() >= files
+
+
 def test_broken_archives_are_refused():
     for data in (b"nonsense\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"):
         try:

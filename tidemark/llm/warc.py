@@ -1,10 +1,13 @@
 """Operator 9: WARC archives in which repeated payloads are revisits, written and read back.
 
-Digests of payloads are shuffled without the payloads and reduced to the first page of each; pages are
-joined to that by digest. The first keeps its payload as a response, the others become revisit records that
-name it, with fresh headers all. Archives are written by Spark's own writer (records separated by the four
-bytes that WARC asks for, gzip over the whole file), so a lost executor leaves no half file. Reading goes by
-each record's Content-Length, whatever the payload holds, and joins revisits to the responses they name.
+Heads of pages (id, url, digest and size) are shuffled by digest without the payloads, reduced to the first
+page of each and joined to that. The first keeps its payload as a response, the others become revisit records
+that name it, with fresh headers all. Revisits are written from their heads alone; payloads meet only the ids
+of revisits, to leave those out, and are shuffled for that only where the ids are too many for Spark to
+broadcast. Archives are written by Spark's own writer (records separated by the four bytes that WARC asks for,
+gzip over the whole file), so a lost executor leaves no half file. A file holds as many records as pages of
+the mean size fill ``FILE_BYTES`` with. Reading goes by each record's Content-Length, whatever the payload
+holds, and joins revisits to the responses they name.
 
 Null html is an empty payload and a null url an empty one; line ends in a url are written percent-encoded.
 Pages that repeat the first's page_id and payload are responses too. A missing page_id sorts after all
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import new_path
+from tidemark.llm.shared import new_path, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
+FILE_BYTES, FILE_RECORDS, HEAD_BYTES = 1 << 27, 20_000, 1024
 FIELDS = "page_id long, record_id string, record_type string, refers_to_id string, payload_bytes long, payload_digest string"
 
 
@@ -45,19 +49,33 @@ def record_id(page: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.lit("-") if a > 1 else F.lit(""), F.substring(h, a, n))], F.lit(">"))
 
 
-def mark_revisits(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
-    """Pages with digest, size, record_type and, for revisits, the page and url of the response."""
+def captures(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url, payload, digest and size of each page."""
     payload = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(
+    return pages.select(
         F.col(page).cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
         payload.alias("payload"), base32_sha1(F.encode(payload, "UTF-8")).alias("digest"), F.octet_length(payload).cast("long").alias("size"),
     )
-    heads = rows.select("page_id", "url", "digest", "size")
+
+
+def mark_revisits(rows: DataFrame, least: int = 0) -> DataFrame:
+    """Heads of captures with record_type and, for revisits, the page and url of the response."""
+    heads = written(rows.select("page_id", "url", "digest", "size"), "captures")
     known = F.col("page_id").isNotNull()
     firsts = heads.where(F.col("size") >= least).groupBy("digest").agg(F.min(F.when(known, F.struct("page_id", "url"))).alias("first"))
-    joined = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("size") >= least)
-    return joined.select("page_id", "url", "payload", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("first"))
+    marked = heads.join(firsts, "digest", "left").select("page_id", "url", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("first"))
+    return written(marked, "marks")
+
+
+def with_payloads(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """All records: revisits as they are marked, responses with their payloads."""
+    # Digests first, so that in a sorted partition sizes of pages come in no order.
+    capture = F.concat_ws(":", "digest", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    revisits = marks.where("record_type = 'revisit'")
+    left_out = revisits.select(capture.alias("capture")).distinct()
+    responses = rows.withColumn("capture", capture).join(left_out, "capture", "left_anti").drop("capture")
+    return revisits.withColumn("payload", F.lit(None).cast("string")).unionByName(responses.withColumn("record_type", F.lit("response")), allowMissingColumns=True)
 
 
 def record_texts(marked: DataFrame, date: str = DATE) -> DataFrame:
@@ -80,9 +98,16 @@ def record_texts(marked: DataFrame, date: str = DATE) -> DataFrame:
     return marked.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block).alias("value"))
 
 
-def write_archives(marked: DataFrame, path: str, records_per_file: int = 20_000) -> None:
-    """Gzipped WARC files, one or more a task, each of at most ``records_per_file`` records."""
-    record_texts(marked).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def records_per_file(marks: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """How many responses of the mean size fill a file, at most ``FILE_RECORDS``."""
+    mean = marks.where("record_type = 'response'").agg(F.avg("size")).first()[0]
+    return max(1, min(FILE_RECORDS, int(file_bytes // ((mean or 0) + HEAD_BYTES))))
+
+
+def write_archives(rows: DataFrame, marks: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Gzipped WARC files, one or more a task, of about ``file_bytes`` before compression."""
+    records = record_texts(with_payloads(rows, marks))
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file(marks, file_bytes)).text(path)
 
 
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -140,9 +165,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(found.withColumn("payload_bytes", F.col("original_bytes")).select(columns))
 
 
-def deduplicate_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
+def deduplicate_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages`` as archives under ``path``, read them back and resolve their revisits."""
-    write_archives(mark_revisits(pages, least=least), path)
+    rows = captures(pages)
+    write_archives(rows, mark_revisits(rows, least), path, file_bytes)
     return resolve_revisits(read_archives(pages.sparkSession, path))
 
 
