@@ -247,3 +247,17 @@ def test_key_samples_see_rows_of_either_side(spark):
     t = spark.createDataFrame([("a", 1, 1.0, "z"), ("c", None, 3.0 + 1e-12, None), ("d", 2, 1.0, "n")], "p string, q int, v double, w string")
     found = sorted((r["p"], r["state"], r["columns"]) for r in validation.key_sample(s, t, ["p", "q"], 1.0, ["v", "w"], ["v"]).collect())
     assert found == [("a", "mismatch", "w"), ("b", "missing_in_target", ""), ("c", "match", ""), ("d", "missing_in_source", "")]
+
+
+def test_migration_rules_take_nulls_and_any_case(spark):
+    columns = spark.createDataFrame([("a", "NText"), ("a", None), ("b", "GEOGRAPHY")], "table_name string, type string")
+    tables = spark.createDataFrame([("a", None, None), ("b", True, 1)], "table_name string, has_key boolean, triggers int")
+    found = sorted(map(tuple, metadata.premigration_issues(columns, tables).collect()))
+    assert found == [("a", "deprecated_type"), ("a", "no_primary_key"), ("b", "active_triggers"), ("b", "unsupported_type")]
+    assert metadata.premigration_issues(columns.limit(0), tables.limit(0)).collect() == []
+    plan = spark.createDataFrame([("f", "FOREIGN_KEY"), ("i", "index"), ("x", None)], "name string, kind string")
+    assert sorted(map(tuple, metadata.constraint_plan(plan).collect())) == [("f", "disable"), ("i", "drop_and_rebuild"), ("x", "keep")]
+    kinds = "name string, type string, nullable boolean, target_type string, target_nullable boolean"
+    rows = [("a", "int", None, "int", False), ("b", "int", True, "int", None), ("c", None, False, None, None), ("d", "alias_type", False, "int", False)]
+    found = dict(map(tuple, metadata.transfer_preflight(spark.createDataFrame(rows, kinds)).collect()))
+    assert found == {"a": "blocker:nulls", "b": "ok", "c": "blocker:missing", "d": "warning:alias"}

@@ -76,6 +76,7 @@ def schema_drift(source: DataFrame, target: DataFrame) -> DataFrame:
 # Types that block a table, types of large objects, and the weights of the score.
 BLOCKED_TYPES = ("hierarchyid", "geography", "geometry", "sql_variant")
 LARGE_TYPES = ("text", "ntext", "image", "xml")
+DEPRECATED_TYPES = ("text", "ntext", "image")
 WEIGHTS = {"blocked": 40, "large": 8, "ci_collation": 5, "computed": 5, "no_key": 50, "temporal": 20, "in_memory": 15, "over_1m_rows": 10, "over_100m_rows": 10, "sensitive": 3}
 
 
@@ -239,3 +240,24 @@ def create_table(name: str, df: DataFrame, keys: tuple[str, ...] = ()) -> str:
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE PRECISION", "string": "TEXT", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMPTZ", "boolean": "BOOLEAN", "date": "DATE", "binary": "BYTEA"}
     columns = [f'"{f.name}" {kinds.get(f.dataType.simpleString(), f.dataType.simpleString().upper())}{"" if f.nullable and f.name not in keys else " NOT NULL"}' for f in df.schema.fields]
     return f'CREATE TABLE "{name}" (' + ", ".join([*columns, *([f"PRIMARY KEY ({', '.join(keys)})"] if keys else [])]) + ")"
+
+
+def premigration_issues(columns: DataFrame, tables: DataFrame) -> DataFrame:
+    """(table_name, issue) of columns (table_name, type) and tables (table_name, has_key, triggers); an unknown key counts as none."""
+    kind = F.lower("type")
+    of_column = F.when(kind.isin(*BLOCKED_TYPES), "unsupported_type").when(kind.isin(*DEPRECATED_TYPES), "deprecated_type")
+    of_table = F.array(F.when(~F.coalesce("has_key", F.lit(False)), "no_primary_key"), F.when(F.col("triggers") > 0, "active_triggers"))
+    return columns.select("table_name", of_column.alias("issue")).unionByName(tables.select("table_name", F.explode(of_table).alias("issue"))).where("issue IS NOT NULL")
+
+
+def constraint_plan(constraints: DataFrame) -> DataFrame:
+    """(name, action) of constraints (name, kind) for the time of a load; kinds that aren't known are kept."""
+    kind = F.lower("kind")
+    return constraints.select("name", F.when(kind.isin("foreign_key", "check", "trigger"), "disable").when(kind == "index", "drop_and_rebuild").otherwise("keep").alias("action"))
+
+
+def transfer_preflight(columns: DataFrame) -> DataFrame:
+    """(name, verdict) of columns (name, type, nullable, target_type, target_nullable); unknown nullability counts as nullable."""
+    nulls = F.coalesce("nullable", F.lit(True)) & ~F.coalesce("target_nullable", F.lit(True))
+    verdict = F.when(F.col("target_type").isNull(), "blocker:missing").when(nulls, "blocker:nulls").when(F.lower("type") == "alias_type", "warning:alias").otherwise("ok")
+    return columns.select("name", verdict.alias("verdict"))

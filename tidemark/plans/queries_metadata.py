@@ -81,8 +81,7 @@ preflight, PREFLIGHT = given([("a", "int", True, "integer", False), ("b", "alias
 
 @register("diff_transfer_preflight", f"SELECT name, CASE WHEN target_type IS NULL THEN 'blocker:missing' WHEN nullable AND NOT target_nullable THEN 'blocker:nulls' WHEN type = 'alias_type' THEN 'warning:alias' ELSE 'ok' END AS verdict FROM {PREFLIGHT}")
 def diff_transfer_preflight(spark, d):
-    verdict = F.when(col("target_type").isNull(), "blocker:missing").when(col("nullable") & ~col("target_nullable"), "blocker:nulls").when(col("type") == "alias_type", "warning:alias").otherwise("ok")
-    return preflight(spark).select("name", verdict.alias("verdict"))
+    return M.transfer_preflight(preflight(spark))
 
 
 # --- readiness ----------------------------------------------------------------------------------

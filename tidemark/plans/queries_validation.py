@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import relational, validation
+from tidemark.operators import metadata, relational, validation
 from tidemark.plans.queries_relational import COPY_SQL, faulty_copy
 from tidemark.plans.registry import register
 from tidemark.sources.scans import table
@@ -119,9 +119,7 @@ def val_schema(spark, d):
 def val_premigration(spark, d):
     columns = spark.createDataFrame([("a", "hierarchyid"), ("a", "ntext"), ("b", "int"), ("c", "int")], "table_name string, type string")
     tables = spark.createDataFrame([("a", True, 0), ("b", False, 0), ("c", True, 2)], "table_name string, has_key boolean, triggers int")
-    kind = F.when(col("type").isin("hierarchyid", "geography", "geometry", "sql_variant"), "unsupported_type").when(col("type").isin("text", "ntext", "image"), "deprecated_type")
-    whole = F.array(F.when(~col("has_key"), "no_primary_key"), F.when(col("triggers") > 0, "active_triggers"))
-    return columns.select("table_name", kind.alias("issue")).unionByName(tables.select("table_name", F.explode(whole).alias("issue"))).where("issue IS NOT NULL")
+    return metadata.premigration_issues(columns, tables)
 
 
 @register("val_fk", f"{T} SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM t) GROUP BY l_orderkey")
@@ -155,8 +153,7 @@ def val_identity(spark, d):
 @register("val_constraint_plan", "SELECT * FROM (VALUES ('fk_a', 'disable'), ('ix_a', 'drop_and_rebuild'), ('tr_a', 'disable'), ('pk_a', 'keep')) v(name, action)")
 def val_constraint_plan(spark, d):
     told = spark.createDataFrame([("fk_a", "foreign_key"), ("ix_a", "index"), ("tr_a", "trigger"), ("pk_a", "primary_key")], "name string, kind string")
-    action = F.when(col("kind").isin("foreign_key", "check", "trigger"), "disable").when(col("kind") == "index", "drop_and_rebuild").otherwise("keep")
-    return told.select("name", action.alias("action"))
+    return metadata.constraint_plan(told)
 
 
 @register("val_rollup", "SELECT 4 AS checks, 2 AS passed, 1 AS failed, 1 AS warned, 'FAILED' AS status")
