@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontamination, fingerprint, language_id, lattice_lm, secret_scan, segmentation, simhash, toxicity, warc
+from tidemark.llm import centroids, chat_format, decontamination, fingerprint, language_id, lattice_lm, secret_scan, segmentation, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.query,
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": fingerprint.query,
     "op9_warc": warc.query,
     "op10_secret_scan": secret_scan.query,
+    "op13_centroids": centroids.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.SQL,
     "op9_warc": warc.SQL,
+    "op13_centroids": centroids.SQL,
 }
