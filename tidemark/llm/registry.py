@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import centroids, chat_format, decontamination, fingerprint, language_id, lattice_lm, ranked_search, secret_scan, segmentation, simhash, toxicity, warc
+from tidemark.llm import centroids, chat_format, decontamination, fingerprint, language_id, lattice_lm, quality, ranked_search, secret_scan, segmentation, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": fingerprint.query,
     "op9_warc": warc.query,
     "op10_secret_scan": secret_scan.query,
+    "op11_quality": quality.query,
     "op12_ranked_search": ranked_search.query,
     "op13_centroids": centroids.query,
 }
