@@ -56,6 +56,40 @@ def split_skewed(chunks: DataFrame, rows: Column, most: int) -> DataFrame:
     return chunks.select("chunk_id", F.inline(F.when((rows > most) & (F.col("end") > F.col("start")), halves).otherwise(whole)))
 
 
+def measured(chunks: DataFrame, df: DataFrame, key: str, size: int) -> DataFrame:
+    """``int_chunks`` of ``size`` keys with the rows that each has: one count a chunk, added up before the shuffle."""
+    least = df.agg(F.min(key).alias("_least"))
+    at = F.call_function("div", F.col(key) - F.col("_least"), F.lit(size)).cast("int")
+    held = df.where(F.col(key).isNotNull()).join(F.broadcast(least)).groupBy(at.alias("chunk_id")).agg(F.count("*").alias("rows"))
+    return chunks.join(held, "chunk_id", "left").select("chunk_id", "start", "end", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def weighted_chunks(df: DataFrame, key: str, chunks: int, k: int = 1600) -> DataFrame:
+    """(chunk_id, start, end): closed ranges of keys that tile the table, with about as many rows each, wherever its keys lie.
+
+    A quantile sketch of the keys, merged from those of all tasks, tells the cuts: ``k`` bounds its size and its error,
+    some 0.2 % of the rows at 1600, whatever the table's. Keys that repeat beyond a chunk's share have one of their own;
+    null keys lie in none.
+    """
+    cuts = [i / chunks for i in range(1, chunks)]
+    sketch = df.agg(F.kll_sketch_agg_bigint(F.col(key).cast("long"), k).alias("sketch"), F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi")).where("lo IS NOT NULL")
+    inner = F.array(*[F.kll_sketch_get_quantile_bigint("sketch", F.lit(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    # A cut is the last key of its chunk; the last chunk ends with the greatest key.
+    ends = F.array_sort(F.array_distinct(F.concat(F.filter(inner, lambda c: c < F.col("hi")), F.array("hi"))))
+    told = sketch.select("lo", ends.alias("ends"))
+    one = F.transform("ends", lambda e, i: F.struct(i.cast("int").alias("chunk_id"), F.when(i == 0, F.col("lo")).otherwise(F.get("ends", i - 1) + 1).alias("start"), e.alias("end")))
+    return told.select(F.inline(one))
+
+
+def rows_by_chunk(chunks: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """``chunks`` with the rows that each has; the plan is small and goes to the rows."""
+    ends = chunks.agg(F.array_sort(F.collect_list(F.struct("end", "chunk_id"))).alias("_ends"))
+    # The chunk of a key is the first whose end isn't before it.
+    at = F.get(F.filter("_ends", lambda e: e["end"] >= F.col(key).cast("long")), F.lit(0))["chunk_id"]
+    held = df.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.count("*").alias("_n")).join(F.broadcast(ends)).groupBy(at.alias("chunk_id")).agg(F.sum("_n").alias("rows"))
+    return chunks.join(held, "chunk_id", "left").select("chunk_id", "start", "end", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def next_size(size: Column, ms: Column, failed: Column, target: int = 2000, least: int = 1000, most: int = 100_000) -> Column:
     """Half after a failure, 1.5 times when fast, 0.7 times when slow; within limits."""
     grown = F.when(failed, size / 2).when(ms < 0.5 * target, size * 1.5).when(ms > 1.5 * target, size * 0.7).otherwise(size)

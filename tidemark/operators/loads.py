@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 from tidemark.operators.relational import floor_div
 
 
-def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target with the staged rows in place of those of the same keys."""
-    return target.join(staged.select(*keys), list(keys), "left_anti").unionByName(staged)
+def one_per_key(rows: DataFrame, keys: Sequence[str], last_by: str | None = None) -> DataFrame:
+    """``rows`` with one row a key: the last by a column where one is named, else a repeated key is an error, as it is to a database."""
+    rest = F.struct(*[c for c in rows.columns if c not in keys])
+    if last_by is not None:
+        kept = F.max_by(rest, last_by)
+    else:
+        kept = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*[F.first(k).alias(k) for k in keys]))))).otherwise(F.first(rest))
+    return rows.groupBy(*keys).agg(kept.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
+def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str], last_by: str | None = None) -> DataFrame:
+    """The target with the staged rows in place of those of the same keys; of a key that is staged repeatedly the last by ``last_by``, or an error."""
+    staged = one_per_key(staged, keys, last_by)
+    return target.join(staged.select(*keys), list(keys), "left_anti").unionByName(staged.select(*target.columns))
 
 
 def reload_range(target: DataFrame, key: str, low: object, high: object, rows: DataFrame) -> DataFrame:
@@ -20,9 +31,12 @@ def reload_range(target: DataFrame, key: str, low: object, high: object, rows: D
     return target.where(~F.coalesce(F.col(key).between(low, high), F.lit(False))).unionByName(rows)
 
 
-def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str], delete_unmatched: bool = False) -> DataFrame:
-    """MERGE: matched rows take ``update`` columns from the source, others are inserted; optionally unmatched target rows go."""
-    t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
+def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str], delete_unmatched: bool = False, last_by: str | None = None) -> DataFrame:
+    """MERGE: matched rows take ``update`` columns from the source, others are inserted; optionally unmatched target rows go.
+
+    Of a key that the source has repeatedly the last by ``last_by`` counts, or it is an error.
+    """
+    t, s = target.withColumn("_t", F.lit(True)).alias("t"), one_per_key(source, keys, last_by).withColumn("_s", F.lit(True)).alias("s")
     both = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "full_outer")
     matched, new = F.col("_t") & F.col("_s"), F.col("_t").isNull()
     if delete_unmatched:

@@ -74,16 +74,23 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select("rows", F.inline(rows))
 
 
+def full_by_keys(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A full outer join of (keys, s) and (keys, t); null keys meet null keys."""
+    a, b = source.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], "s"), target.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "t")
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & F.col(f"_s{i}").eqNullSafe(F.col(f"_t{i}"))
+    return a.join(b, on, "full_outer").select(*[F.coalesce(f"_s{i}", f"_t{i}").alias(k) for i, k in enumerate(keys)], "s", "t")
+
+
 def keyed_difference(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Keys with their state: match, changed, missing_in_target, missing_in_source; one full outer join."""
-    s = source.select(*keys, F.struct(*columns).alias("_s"))
-    t = target.select(*keys, F.struct(*columns).alias("_t"))
-    same = None
+    """Keys with their state: match, changed, missing_in_target, missing_in_source; one full outer join. A null key is a key like any other."""
+    s, t = (df.select(*keys, F.struct(*columns).alias(n)) for df, n in ((source, "s"), (target, "t")))
+    same = F.lit(True)
     for c in columns:
-        x = F.col(f"_s.{c}").eqNullSafe(F.col(f"_t.{c}"))
-        same = x if same is None else same & x
-    state = F.when(F.col("_t").isNull(), "missing_in_target").when(F.col("_s").isNull(), "missing_in_source").when(same, "match").otherwise("changed")
-    return s.join(t, list(keys), "full_outer").select(*keys, state.alias("state"))
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+    state = F.when(F.col("t").isNull(), "missing_in_target").when(F.col("s").isNull(), "missing_in_source").when(same, "match").otherwise("changed")
+    return full_by_keys(s, t, keys).select(*keys, state.alias("state"))
 
 
 def row_digest(columns: Sequence[str], casts: dict[str, str] | None = None) -> Column:
@@ -97,15 +104,28 @@ def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring(row_digest(columns), 1, 15), 16, 10).cast("decimal(20,0)")).alias("checksum"))
 
 
+def digest_sum(columns: Sequence[str]) -> Column:
+    """An aggregate over rows in any order: the sum of 60 bits of each row's digest, as a decimal text."""
+    return F.sum(F.conv(F.substring(row_digest(columns), 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+
+
 def stream_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str], block: int = 10_000) -> DataFrame:
-    """A digest that depends on rows and their order: of blocks of ``block`` keys, then of as many of these, level by level."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    digests = df.select(floor_div(F.col(order[0]), block).alias("block"), F.struct(*order, text.alias("digest")).alias("row"))
+    """A digest of rows with their order keys: of blocks of ``block`` keys, then of as many of these, level by level.
+
+    A block's rows are counted and summed as they are read, so repeated and null keys, of which one block has all, cost
+    no more than others. Each value goes in after its length, and null apart from any text.
+    """
+    rows = [*order, *[c for c in columns if c not in order]]
+    leaf = F.concat(F.count("*").cast("string"), F.lit(":"), digest_sum(rows))
+    digests = df.groupBy(floor_div(F.col(order[0]), block).alias("block")).agg(F.sha2(leaf, 256).alias("digest"))
     for _ in range(4):
-        joined = F.transform(F.array_sort(F.collect_list("row")), lambda r: r["digest"])
-        digests = digests.groupBy("block").agg(F.sha2(F.array_join(joined, "\n"), 256).alias("digest")).select(floor_div(F.col("block"), block).alias("block"), F.struct("block", "digest").alias("row"))
-    # What is left is a row for each 10^16 keys or more.
-    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["digest"]), "\n"), 256).alias("digest"))
+        row = F.struct(F.coalesce(F.col("block").cast("string"), F.lit("-")).alias("of"), "block", "digest")
+        joined = F.transform(F.array_sort(F.collect_list(row)), lambda r: F.concat(r["of"], F.lit(":"), r["digest"]))
+        # At most ``block`` rows, and one of null keys.
+        digests = digests.groupBy(floor_div(F.col("block"), block).alias("block")).agg(F.sha2(F.array_join(joined, "\n"), 256).alias("digest"))
+    # What is left is a row for each 10^20 keys or more.
+    row = F.struct(F.coalesce(F.col("block").cast("string"), F.lit("-")), "digest")
+    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["digest"]), "\n"), 256).alias("digest"))
 
 
 def ranked_values(df: DataFrame, group: str, value: str, ranges: int = 64) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.relational import column_profile, floor_div, row_digest
+from tidemark.operators.relational import column_profile, digest_sum, floor_div, full_by_keys, row_digest
+from tidemark.sources.scratch import cut_lineage
 
 
 def status(ok: Column) -> Column:
@@ -37,26 +39,47 @@ def aggregate_level(source: DataFrame, target: DataFrame, columns: Sequence[str]
     return s.join(F.broadcast(t), "column_name").select("column_name", F.round(F.col("s.sum_value"), 2).alias("source_sum"), F.round(F.col("t.sum_value"), 2).alias("target_sum"), status(ok).alias("status"))
 
 
-def exact(df: DataFrame, name: str) -> Column:
-    """A numeric column such that sums don't depend on order: decimals and integers as they are, floats to four places."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.DecimalType):
-        return F.col(name)
-    return F.col(name).cast("decimal(28,0)" if isinstance(kind, T.IntegralType) else "decimal(28,4)")
+LARGE = 1e15
+
+
+def sum_parts(df: DataFrame, name: str) -> list[Column]:
+    """Aggregates that tell a numeric column's sum on both sides alike, whatever order its rows come in.
+
+    Decimals and integers are summed as they are, floats to four places; those of ``LARGE`` and more apart, in doubles,
+    as decimals can't hold them; NaN and infinities are counted.
+    """
+    kind, x = df.schema[name].dataType, F.col(name)
+    if not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType):
+        whole = x if isinstance(kind, T.DecimalType) else x.cast("decimal(28,0)")
+        return [F.sum(whole).cast("double").alias(name), F.lit(None).cast("double").alias(f"{name}_large"), F.lit("").alias(f"{name}_odd")]
+    x = x.cast("double")
+    plain = F.abs(x) < LARGE  # not so of NaN, which Spark holds to be larger than any number
+    odd = [F.count(F.when(test, 1)).cast("string") for test in (F.isnan(x), x == float("inf"), x == float("-inf"))]
+    return [
+        F.sum(F.when(plain, x).cast("decimal(28,4)")).cast("double").alias(name),
+        F.sum(F.when(~plain & ~F.isnan(x) & (F.abs(x) < float("inf")), x)).alias(f"{name}_large"),
+        F.concat_ws(",", *odd).alias(f"{name}_odd"),
+    ]
 
 
 def range_level(source: DataFrame, target: DataFrame, key: str, size: int, sums: Sequence[str]) -> DataFrame:
-    """Per key range: rows, least and greatest key, and sums of both sides; one shuffle of partial sums a side."""
+    """Per key range: rows, least and greatest key, and sums of both sides; one shuffle of partial sums a side.
+
+    Rows without a key are a range of their own. Sums are those of finite values below ``LARGE``; larger ones and those
+    that aren't finite are compared too.
+    """
 
     def of(df: DataFrame, name: str) -> DataFrame:
-        aggs = [F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"), *[F.sum(exact(df, c)).alias(c) for c in sums]]
-        return df.groupBy(floor_div(F.col(key), size).cast("long").alias("chunk")).agg(*aggs).select("chunk", F.struct("rows", "low", "high", *sums).alias(name))
+        parts = [p for c in sums for p in sum_parts(df, c)]
+        aggs = [F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"), *parts]
+        grouped = df.groupBy(floor_div(F.col(key), size).cast("long").alias("chunk")).agg(*aggs)
+        return grouped.select("chunk", F.struct(*[c for c in grouped.columns if c != "chunk"]).alias(name))
 
-    both = of(source, "s").join(of(target, "t"), "chunk", "full_outer")
+    both = full_by_keys(of(source, "s"), of(target, "t"), ["chunk"])
     same = F.col("s.rows").eqNullSafe(F.col("t.rows")) & F.col("s.low").eqNullSafe(F.col("t.low")) & F.col("s.high").eqNullSafe(F.col("t.high"))
     for c in sums:
-        same = same & close(F.col(f"s.{c}").cast("double"), F.col(f"t.{c}").cast("double"), 1e-9)
-    return both.select("chunk", F.coalesce("s.rows", F.lit(0)).alias("source_rows"), F.coalesce("t.rows", F.lit(0)).alias("target_rows"), *[F.col(f"{n}.{c}").cast("double").alias(f"{x}_{c}") for c in sums for n, x in (("s", "source"), ("t", "target"))], status(same).alias("status"))
+        same = same & close(F.col(f"s.{c}"), F.col(f"t.{c}"), 1e-9) & close(F.col(f"s.{c}_large"), F.col(f"t.{c}_large"), 1e-9) & F.col(f"s.{c}_odd").eqNullSafe(F.col(f"t.{c}_odd"))
+    return both.select("chunk", F.coalesce("s.rows", F.lit(0)).alias("source_rows"), F.coalesce("t.rows", F.lit(0)).alias("target_rows"), *[F.col(f"{n}.{c}").alias(f"{x}_{c}") for c in sums for n, x in (("s", "source"), ("t", "target"))], status(same).alias("status"))
 
 
 def sample_level(source: DataFrame, target: DataFrame, key: str, every: int, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
@@ -103,11 +126,90 @@ def result_issues(source: DataFrame, target: DataFrame, keys: Sequence[str], col
 
 
 def hash_level(source: DataFrame, target: DataFrame, key: str | Sequence[str], columns: Sequence[str], casts: dict[str, str] | None = None) -> DataFrame:
-    """Keys by state of their row hashes: match, mismatch, missing_in_target, missing_in_source."""
+    """Keys by state of their row hashes: match, mismatch, missing_in_target, missing_in_source. A null key is a key like any other."""
     keys = [key] if isinstance(key, str) else list(key)
-    s, t = source.select(*keys, row_digest(columns, casts).alias("s")), target.select(*keys, row_digest(columns, casts).alias("t"))
+    s, t = (df.select(*keys, row_digest(columns, casts).alias(n)) for df, n in ((source, "s"), (target, "t")))
     state = F.when(F.col("t").isNull(), "missing_in_target").when(F.col("s").isNull(), "missing_in_source").when(F.col("s") == F.col("t"), "match").otherwise("mismatch")
-    return s.join(t, keys, "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return full_by_keys(s, t, keys).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@dataclass
+class DigestTree:
+    """Digests over key ranges of a table, level by level up to one: ``levels[0]`` has a row (node, digest, rows) a range."""
+
+    levels: list[DataFrame]
+
+    @property
+    def root(self) -> tuple[str | None, int]:
+        row = self.levels[-1].first()
+        return (row["digest"], row["rows"]) if row else (None, 0)
+
+
+def range_node(df: DataFrame, keys: Sequence[str], size: int) -> Column:
+    """The range of a row: ``size`` whole-number keys, or one of 65,536 parts by the hash of keys of other types; -1 without a key."""
+    if len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, T.IntegralType):
+        return F.when(F.col(keys[0]).isNull(), F.lit(NO_KEY)).otherwise(floor_div(F.col(keys[0]), size).cast("long"))
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(1 << 16)).cast("long")
+
+
+NO_KEY, FANOUT = -(1 << 62), 64
+
+
+def digest_tree(df: DataFrame, keys: Sequence[str], columns: Sequence[str], size: int = 10_000) -> DigestTree:
+    """One pass over the table, which sums row digests by range before the shuffle; the levels above read the one below."""
+    rows = [*keys, *[c for c in columns if c not in keys]]
+    leaf = F.sha2(F.concat(F.count("*").cast("string"), F.lit(":"), digest_sum(rows)), 256)
+    levels = [cut_lineage(df.groupBy(range_node(df, keys, size).alias("node")).agg(leaf.alias("digest"), F.count("*").alias("rows")))]
+    pairs = F.array_sort(F.collect_list(F.struct("node", "digest")))  # at most FANOUT rows
+    joined = F.sha2(F.array_join(F.transform(pairs, lambda r: F.concat(r["node"].cast("string"), F.lit(":"), r["digest"])), ","), 256)
+    last = False
+    while not last:
+        last = levels[-1].count() <= FANOUT
+        up = F.lit(0).cast("long") if last else floor_div(F.col("node"), FANOUT)
+        levels.append(cut_lineage(levels[-1].groupBy(up.alias("up")).agg(joined.alias("digest"), F.sum("rows").alias("rows")).withColumnRenamed("up", "node")))
+    return DigestTree(levels)
+
+
+def differing(source: DigestTree, target: DigestTree) -> DataFrame:
+    """(node) of the ranges whose digests differ: from the top down, below differing nodes only."""
+    if source.root == target.root:
+        return source.levels[0].select("node").limit(0)
+    at = None
+    for level in range(min(len(source.levels), len(target.levels)) - 2, -1, -1):
+        a, b = (t.levels[level].select("node", F.col("digest").alias(n)) for t, n in ((source, "a"), (target, "b")))
+        if at is not None:
+            a, b = (x.join(at.withColumnRenamed("node", "up"), floor_div(F.col("node"), FANOUT) == F.col("up"), "left_semi") for x in (a, b))
+        at = cut_lineage(a.join(b, "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("node"))
+    return at
+
+
+def compare_by_digests(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], size: int = 10_000) -> DataFrame:
+    """One row on two tables: status, digests and rows of both, differing ranges, rows read again for them, and the first difference.
+
+    Only rows of ranges whose digests differ are joined, so equal tables meet in no join and a few faults in a few
+    ranges. The first difference is that of the least key: its state and the columns that differ. Null keys meet null
+    keys; rows of one key are compared as a set.
+    """
+    trees = [digest_tree(df, keys, columns, size) for df in (source, target)]
+    at = differing(*trees)
+    rest = [c for c in columns if c not in keys]
+
+    def within(df: DataFrame, name: str) -> DataFrame:
+        chosen = df.withColumn("_node", range_node(df, keys, size)).join(at.withColumnRenamed("node", "_node"), "_node", "left_semi")
+        return chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name), F.count("*").alias("_rows")).select(*keys, F.struct(name, "_rows").alias(name))
+
+    joined = full_by_keys(within(source, "s"), within(target, "t"), keys)
+    one = lambda c: ~F.transform(F.col("s.s"), lambda r: r[c]).eqNullSafe(F.transform(F.col("t.t"), lambda r: r[c]))
+    names = F.array_join(F.array_compact(F.array(*[F.when(one(c), F.lit(c)) for c in rest])), ",")
+    state = F.when(F.col("t").isNull(), "missing_in_target").when(F.col("s").isNull(), "missing_in_source").when(F.col("s.s") == F.col("t.t"), "match").otherwise("changed")
+    told = joined.select(*keys, state.alias("state"), F.when(state == "changed", names).otherwise("").alias("columns"), (F.coalesce("s._rows", F.lit(0)) + F.coalesce("t._rows", F.lit(0))).alias("read"))
+    place = F.struct(*keys)
+    found = told.agg(F.coalesce(F.sum("read"), F.lit(0)).alias("rows_compared"), F.count(F.when(F.col("state") != "match", 1)).alias("differences"), F.min_by(F.struct("*"), F.when(F.col("state") != "match", place)).alias("first"))
+    roots = [t.root for t in trees]
+    return found.join(F.broadcast(at.agg(F.count("*").alias("ranges")))).select(
+        status(F.lit(roots[0] == roots[1])).alias("status"), *[F.lit(v).alias(f"{n}_{w}") for n, root in zip(("source", "target"), roots) for w, v in zip(("digest", "rows"), root)],
+        F.col("ranges").alias("differing_ranges"), "rows_compared", "differences", *[F.col(f"first.{k}").alias(f"first_{k}") for k in keys], F.col("first.state").alias("first_state"), F.col("first.columns").alias("first_columns"),
+    )
 
 
 def cell_differences(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

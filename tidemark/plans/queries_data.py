@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import contextlib
+from datetime import timedelta
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import chunking, loads
 from tidemark.plans.queries_relational import COPY_SQL, STAGED_SQL, faulty_copy, staged_customers
 from tidemark.plans.registry import register
 from tidemark.sources import scans
-from tidemark.sources.scratch import new_folder
+from tidemark.sources.scratch import new_folder, remove_at_end
 from tidemark.sources.scans import table
 from tidemark.streaming import cdc
+from tidemark.streaming.poll import pages_of, poll, poll_into
+from tidemark.streaming.store import StoredTable, take_snapshot
 
 col, lit = F.col, F.lit
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
@@ -119,6 +124,7 @@ def own_table(spark, name: str) -> str:
     """The name of a managed table of this application, which leftovers of others can't meet."""
     own = "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId)
     spark.sql(f"DROP TABLE IF EXISTS tidemark_{name}_{own}")
+    remove_at_end(spark, "table", f"tidemark_{name}_{own}")
     return f"tidemark_{name}_{own}"
 
 
@@ -314,19 +320,80 @@ def cdc_apply_upsert(spark, d):
     return cdc.apply_changes(empty, events(spark, d), ["o_orderkey"], ["o_totalprice"])
 
 
+def stored(spark, name: str, buckets: int = 16) -> StoredTable:
+    return StoredTable(spark, new_folder(spark, name), "o_orderkey long, o_totalprice double", ["o_orderkey"], buckets)
+
+
 @register("cdc_batch_txn", APPLIED_SQL)
 def cdc_batch_txn(spark, d):
-    """Two batches, the first applied twice: whole batches, and no difference."""
-    empty = spark.createDataFrame([], "o_orderkey long, o_totalprice double, last_lsn string, last_seq long, deleted boolean")
-    e = events(spark, d)
-    first, second = e.where("seq <= 1"), e.where("seq > 1")
-    step = lambda target, batch: cdc.apply_idempotent(target, batch, ["o_orderkey"], ["o_totalprice"])
-    return step(step(step(empty, first), first), second).where("NOT deleted").select("o_orderkey", "o_totalprice")
+    """Batches on a stored target: the first twice, the second broken off before its commit and run again."""
+    e, target = events(spark, d), stored(spark, "batches")
+
+    def broken() -> None:
+        raise OSError("lost before the commit")
+
+    target.apply(e.where("seq <= 1"), batch=0)
+    target.apply(e.where("seq <= 1"), batch=0)
+    with contextlib.suppress(OSError):
+        target.apply(e.where("seq > 1"), batch=1, before_commit=broken)
+    target.apply(e.where("seq > 1"), batch=1)
+    return target.rows()
+
+
+@register("sink_upsert_stored", f"WITH s AS ({STAGED_SQL}) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM s) UNION ALL SELECT * FROM s")
+def sink_upsert_stored(spark, d):
+    """A load and an upsert into a stored table: the second rewrites the buckets of its keys alone."""
+    target = StoredTable(spark, new_folder(spark, "customers"), "c_custkey long, c_name string, c_acctbal double", ["c_custkey"], 64)
+    for at, rows in enumerate((table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), staged_customers(spark, d))):
+        target.apply(rows.select("*", F.lpad(lit(str(at)), 20, "0").alias("lsn"), lit(0).cast("long").alias("seq"), lit("INSERT").alias("op"), lit("customer").alias("table_name")), batch=at)
+    return target.rows()
+
+
+def captured_in_bands(spark, d, bands: int = 6) -> tuple[str, str]:
+    """Decoded changes as files in order of commit time, a band of time a file; repeats come a band later. Path and schema."""
+    path = new_folder(spark, "captured")
+    at = table(spark, d, "orders").select(col("o_orderkey").alias("k"), col("o_orderdate").cast("timestamp").alias("ts"))
+    e = cdc.decode(changes(spark, d)).join(at, col("o_orderkey") == col("k")).drop("k")
+    low, high = at.agg(F.min("ts"), F.max("ts")).first()
+    share = (F.unix_micros("ts") - int(low.timestamp() * 1e6)) / max(1, int((high - low).total_seconds() * 1e6))
+    band = F.least(F.floor(share * bands), lit(bands - 1)).cast("int")
+    twice = e.where("o_orderkey % 11 = 0").dropDuplicates(["table_name", "lsn", "seq", "op"])
+    dealt = e.dropDuplicates(["table_name", "lsn", "seq", "op"]).withColumn("band", band).unionByName(twice.withColumn("band", band + 1))
+    for i in range(bands + 1):
+        dealt.where(col("band") == i).drop("band").coalesce(1).write.parquet(f"{path}/band={i}")
+    return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.drop("band").schema)
 
 
 @register("cdc_dedup", f"WITH {EVENTS_SQL} SELECT o_orderkey, op, seq::BIGINT AS seq FROM e")
 def cdc_dedup(spark, d):
-    return events(spark, d).select("o_orderkey", "op", "seq")
+    """A stream of change files, a band of time a batch, whose repeats come in the band after: state keeps two bands' identities."""
+    path, schema = captured_in_bands(spark, d)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/band=*")
+    once = cdc.drop_repeats(stream, "ts", "900 days").select("o_orderkey", "op", "seq")
+    to = new_folder(spark, "once")
+    once.writeStream.format("parquet").option("path", to).option("checkpointLocation", new_folder(spark, "points")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("o_orderkey long, op string, seq long").parquet(to)
+
+
+LATE_SQL = """d AS (SELECT event_id, ts, CASE WHEN event_id % 13 = 0 THEN band + 2 ELSE band END AS batch FROM (SELECT event_id, ts, least(5, (6 * (epoch_us(ts) - lo)) // greatest(1, hi - lo)) AS band FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events))),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS mark FROM d GROUP BY batch)"""
+
+
+@register("late_data", f"WITH {LATE_SQL} SELECT event_id, coalesce(ts < mark, false) AS late FROM d JOIN m USING (batch)")
+def late_data(spark, d):
+    """Events in bands of time, a band a batch and some of them two bands late, with a delay of two days: none is lost."""
+    path, to = new_folder(spark, "bands"), new_folder(spark, "late")
+    e = table(spark, d, "events").select("event_id", "ts")
+    bounds = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    us = lambda c: F.unix_micros(col(c).cast("timestamp"))
+    band = F.least(lit(5), F.call_function("div", 6 * (us("ts") - us("lo")), F.greatest(lit(1), us("hi") - us("lo"))))
+    dealt = e.join(F.broadcast(bounds)).select("event_id", "ts", (band + F.when(col("event_id") % 13 == 0, 2).otherwise(0)).alias("band"))
+    for i in range(8):
+        dealt.where(col("band") == i).drop("band").coalesce(1).write.parquet(f"{path}/band={i}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/band=*")
+    cdc.keep_late(stream, "ts", timedelta(days=2), to, new_folder(spark, "points")).awaitTermination()
+    read = lambda name: spark.read.schema(e.schema).parquet(f"{to}/{name}/batch=*").select("event_id", lit(name == "late").alias("late"))
+    return read("on_time").unionByName(read("late"))
 
 
 @register("cdc_dedup_tables", "SELECT t AS table_name, o_orderkey FROM orders, (VALUES ('orders'), ('lines')) v(t)")
@@ -339,7 +406,20 @@ def cdc_dedup_tables(spark, d):
 
 @register("cdc_checkpoint", f"WITH {EVENTS_SQL} SELECT table_name, max(lsn) AS last_lsn, (max(lsn || seq)[21:])::BIGINT AS last_seq, count(*) AS rows_applied FROM e GROUP BY table_name")
 def cdc_checkpoint(spark, d):
-    return cdc.checkpoints(events(spark, d))
+    """Positions stored with each of three batches, the second of which fails between its rows and its position and is read again from the stored one."""
+    e, target = events(spark, d), stored(spark, "positions")
+    bound = lambda share: e.agg(F.percentile_approx(F.conv("lsn", 16, 10).cast("long"), share)).first()[0]
+    cuts = [f"{bound(s) or 0:020x}" for s in (0.3, 0.6)]
+
+    def broken() -> None:
+        raise OSError("lost between rows and position")
+
+    target.apply(e.where(col("lsn") <= cuts[0]), ordered=True)
+    with contextlib.suppress(OSError):
+        target.apply(e.where(col("lsn") <= cuts[1]), ordered=True, before_commit=broken)
+    target.apply(e.where(col("lsn") <= cuts[1]), ordered=True)
+    target.apply(e, ordered=True)
+    return target.positions()
 
 
 @register("cdc_watermark_events", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'DELETE' ELSE 'INSERT' END AS op FROM events WHERE event_id > 300")
@@ -352,6 +432,32 @@ def cdc_snapshot(spark, d):
     return cdc.snapshot_events(table(spark, d, "customer").select("c_custkey"), "customer").select("c_custkey", "op", "lsn")
 
 
+@register("cdc_snapshot_log", APPLIED_SQL)
+def cdc_snapshot_log(spark, d):
+    """Orders loaded in four key ranges while the log runs on: each range is read when a third of its own keys has changed and another third changes around the read."""
+    e, target = events(spark, d), stored(spark, "snapshot")
+    low, high = table(spark, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    step = (high - low) // 4 + 1
+    chunks = [(low + i * step, low + (i + 1) * step - 1) for i in range(4)]
+    hexed = lambda key: f"{key:020x}"
+    # The log's clock: the position before and after each read, and that of the state which is read.
+    clock = iter([(hexed(a + (b - a) * part // 3), 9) for a, b in chunks for part in (1, 2)])
+
+    def read(a, b):
+        """The range as it is halfway between the two positions."""
+        past = e.where(col("o_orderkey").between(a, b) & ((col("op") == "INSERT") | (col("lsn") <= hexed(a + (b - a) // 2))))
+        return cdc.latest(past, ["o_orderkey"]).where("op <> 'DELETE'").select("o_orderkey", "o_totalprice")
+
+    def log(after, until):
+        place = F.struct("lsn", "seq")
+        return e.where((col("op") != "INSERT") & (place > F.struct(lit(after[0]), lit(after[1]).cast("long"))) & (place <= F.struct(lit(until[0]), lit(until[1]).cast("long"))))
+
+    take_snapshot(target, "orders", chunks, read, lambda: next(clock), log)
+    end = (hexed(chunks[-1][0] + (chunks[-1][1] - chunks[-1][0]) * 2 // 3), 9)
+    target.apply(log(end, ("f" * 20, 9)))
+    return target.rows()
+
+
 @register("cdc_retention_clamp", f"WITH {EVENTS_SQL}, p AS (SELECT table_name, max(lsn) AS last_lsn FROM e GROUP BY table_name), m AS (SELECT * FROM (VALUES ('even', repeat('0', 20)), ('odd', repeat('f', 20))) v(table_name, min_lsn)) SELECT table_name, greatest(last_lsn, min_lsn) AS from_lsn, last_lsn < min_lsn AS restarted FROM p JOIN m USING (table_name)")
 def cdc_retention_clamp(spark, d):
     least = spark.createDataFrame([("even", "0" * 20), ("odd", "f" * 20)], "table_name string, min_lsn string")
@@ -371,20 +477,44 @@ def cdc_fsm(spark, d):
 
 @register("cdc_poll_loop", f"WITH {EVENTS_SQL}, p AS (SELECT table_name, ((row_number() OVER (PARTITION BY table_name ORDER BY lsn, seq) - 1) // 500)::INT AS page FROM e) SELECT table_name, page, count(*) AS rows, count(*) < 500 AS streaming FROM p GROUP BY table_name, page")
 def cdc_poll_loop(spark, d):
-    """Polls of 500 events by (lsn, seq): a poll that isn't full ends the catch-up."""
+    """A stream source that polls 500 events by (lsn, seq), for two tables at once: a poll that isn't full ends the catch-up."""
+    log, to = new_folder(spark, "log"), new_folder(spark, "polls")
+    events(spark, d).repartitionByRange(4, "lsn").sortWithinPartitions("lsn", "seq").write.partitionBy("table_name").parquet(log)
+    names = ("even", "odd")
+    running = [pages_of(spark, poll(spark, f"{log}/table_name={t}", 500, "o_orderkey long, op string, lsn string, seq long"), f"{to}/{t}", new_folder(spark, "points")) for t in names]
+    for stream in running:
+        stream.processAllAvailable()
+        stream.stop()
+    polled = [spark.read.schema("o_orderkey long, page int").parquet(f"{to}/{t}/poll=*").withColumn("table_name", lit(t)) for t in names]
+    return polled[0].unionByName(polled[1]).groupBy("table_name", "page").agg(F.count("*").alias("rows")).withColumn("streaming", col("rows") < 500)
+
+
+@register("cdc_poll_pages", f"WITH {EVENTS_SQL}, p AS (SELECT table_name, ((row_number() OVER (PARTITION BY table_name ORDER BY lsn, seq) - 1) // 500)::INT AS page FROM e) SELECT table_name, page, count(*) AS rows, count(*) < 500 AS streaming FROM p GROUP BY table_name, page")
+def cdc_poll_pages(spark, d):
+    """The same polls of a change table that is read as a batch."""
     return cdc.pages(events(spark, d), 500).groupBy("table_name", "page").agg(F.count("*").alias("rows")).withColumn("streaming", col("rows") < 500)
 
 
+@register("cdc_poll_apply", APPLIED_SQL)
+def cdc_poll_apply(spark, d):
+    """Polls of a change table applied in order to a stored one, with their positions."""
+    log, target = new_folder(spark, "log"), stored(spark, "polled")
+    events(spark, d).repartitionByRange(4, "lsn").sortWithinPartitions("lsn", "seq").write.parquet(log)
+    changed = poll(spark, log, 5000, "o_orderkey long, o_totalprice double, op string, lsn string, seq long, table_name string")
+    stream = poll_into(target, changed, new_folder(spark, "points"), 5000)
+    stream.processAllAvailable()
+    stream.stop()
+    return target.rows()
+
+
 @register("cdc_stream_apply", APPLIED_SQL)
 def cdc_stream_apply(spark, d):
-    """The change table as files, a stream that applies them in four batches, and the rows that its log ends with."""
-    source, target, points = (new_folder(spark, n) for n in ("changes", "log", "points"))
+    """The change table as files in no order, a stream that applies them to a stored table in four batches, and its rows."""
+    source, target = new_folder(spark, "changes"), stored(spark, "applied")
     captured = changes(spark, d)
     captured.repartition(4).write.parquet(source)
-    stream = cdc.run_stream(spark, source, captured.schema.simpleString()[len("struct<") : -1].replace(":", " "), target, points, ["o_orderkey"], ["o_totalprice"], files_per_batch=1, fold=3)
-    stream.awaitTermination()
-    last = max(p["batchId"] for p in stream.recentProgress if "addBatch" in p["durationMs"])
-    return cdc.current_rows(spark, target, last, ["o_orderkey"], ["o_totalprice"], fold=3)
+    cdc.apply_files(spark, source, captured.schema.simpleString()[len("struct<") : -1].replace(":", " "), target, new_folder(spark, "points"), files_per_batch=1).awaitTermination()
+    return target.rows()
 
 
 @register("cdc_bus", f"WITH {EVENTS_SQL} SELECT o_orderkey, op, lsn FROM e")

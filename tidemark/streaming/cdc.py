@@ -7,11 +7,14 @@ their order. Applying is idempotent: the target keeps each key's last position,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.sources import files
+
 OPERATIONS = {1: "DELETE", 2: "INSERT", 4: "UPDATE"}  # 3 is the row before an update
 
 
@@ -35,10 +38,10 @@ def in_order(events: DataFrame) -> DataFrame:
     return events.orderBy("lsn", "seq")
 
 
-def deduplicate(events: DataFrame) -> DataFrame:
-    """One event of each (table, lsn, seq, op); without an LSN the identity is the event's content."""
+def deduplicate(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One event of each (table, lsn, seq, op) and of ``keys``, if rows of a load share a position; without an LSN the identity is the event's content."""
     content = F.when(F.col("lsn").isNull(), F.sha2(F.to_json(F.struct(*events.columns)), 256))
-    identity = [c for c in ("table_name", "lsn", "seq", "op") if c in events.columns]
+    identity = [c for c in ("table_name", "lsn", "seq", "op", *keys) if c in events.columns]
     return events.withColumn("_content", content).dropDuplicates([*identity, "_content"]).drop("_content")
 
 
@@ -57,13 +60,15 @@ def apply_changes(target: DataFrame, events: DataFrame, keys: Sequence[str], col
 
 
 def apply_idempotent(target: DataFrame, events: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """As ``apply_changes`` on a target that has each key's last_lsn, last_seq and a tombstone flag: events not later than these do nothing."""
-    last = latest(events, keys).select(*keys, F.struct(*columns, F.col("lsn").alias("last_lsn"), F.col("seq").alias("last_seq"), (F.col("op") == "DELETE").alias("deleted")).alias("_new"))
-    both = target.select(*keys, F.struct(*columns, "last_lsn", "last_seq", "deleted").alias("_old")).join(last, list(keys), "full_outer")
-    place = lambda s: F.struct(F.col(f"{s}.last_lsn"), F.col(f"{s}.last_seq"))
-    newer = F.col("_new").isNotNull() & (F.col("_old").isNull() | F.coalesce(place("_new") > place("_old"), F.lit(True)))
-    row = F.when(newer, F.col("_new")).otherwise(F.col("_old"))
-    return both.select(*keys, row.alias("_row")).select(*keys, "_row.*")
+    """As ``apply_changes`` on a target that has each key's last_lsn, last_seq and a tombstone flag: events not later than these do nothing.
+
+    An event without a position is later than a row without one. Null keys are a key like any other.
+    """
+    row = [*columns, "last_lsn", "last_seq", "deleted"]
+    new = events.select(*keys, *columns, F.col("lsn").alias("last_lsn"), F.col("seq").alias("last_seq"), (F.col("op") == "DELETE").alias("deleted"), F.lit(1).alias("_turn"))
+    old = target.select(*keys, *row, F.when(F.col("last_lsn").isNull(), 0).otherwise(2).alias("_turn"))
+    last = old.unionByName(new).groupBy(*keys).agg(F.max_by(F.struct(*row), F.struct("last_lsn", "last_seq", "_turn")).alias("_row"))
+    return last.select(*keys, "_row.*")
 
 
 def checkpoints(events: DataFrame) -> DataFrame:
@@ -122,10 +127,11 @@ def log_versions(number: int, fold: int) -> range:
 def run_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], columns: Sequence[str], files_per_batch: int = 1000, fold: int = 16) -> StreamingQuery:
     """Apply a folder of change files to a versioned change log until all are read.
 
-    Each batch writes the last event of each of its keys as a version named by the batch, so its cost goes by the
-    batch and not by the target; every ``fold``-th version also takes in those since the fold before, which may
-    be deleted then. A batch that is run again overwrites the same version from the same input, so a lost driver
-    or executor changes nothing.
+    Each batch writes the last event of each of its keys as a version named by the batch; every ``fold``-th version
+    also takes in those since the fold before, so one batch in ``fold`` costs as much as the whole log. The log keeps
+    deleted keys and all versions: for targets that are small beside their changes, or whose history is wanted.
+    ``apply_files`` writes to a ``StoredTable``, whose cost goes by the keys that changed. A batch that is run again
+    overwrites the same version from the same input, so a lost driver or executor changes nothing.
     """
     changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
@@ -145,6 +151,59 @@ def current_rows(spark: SparkSession, target: str, version: int, keys: Sequence[
     return latest(log, keys).where("op <> 'DELETE'").select(*keys, *columns)
 
 
+def apply_files(spark: SparkSession, source: str, schema: str, target, checkpoint: str, files_per_batch: int = 1000, of: str = "changes") -> StreamingQuery:
+    """Apply a folder of change files to a ``StoredTable`` until all are read.
+
+    Files come in any order, so each key's own position decides. A batch rewrites the buckets that its keys fall in and
+    commits with its number; one that runs again after a failure finds its number committed, or commits it now.
+    """
+    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        events = decode(batch)
+        target.apply(events if "table_name" in events.columns else events.withColumn("table_name", F.lit(of)), batch=number)
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drop_repeats(stream: DataFrame, time: str, delay: str, identity: Sequence[str] = ("table_name", "lsn", "seq", "op")) -> DataFrame:
+    """One event of each identity of a stream, if repeats come within ``delay`` of event time.
+
+    State holds the identities of the last ``delay`` only, however long the stream runs. Events later than that are
+    dropped with the repeats; ``split_late`` keeps them apart first.
+    """
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([c for c in identity if c in stream.columns])
+
+
+def split_late(batch: DataFrame, time: str, mark: object) -> tuple[DataFrame, DataFrame]:
+    """(on time, late) rows of a batch: late are those before the mark. Rows without a time are on time."""
+    late = F.coalesce(F.col(time) < F.lit(mark), F.lit(False)) if mark is not None else F.lit(False)
+    return batch.where(~late), batch.where(late)
+
+
+def keep_late(stream: DataFrame, time: str, delay: timedelta, to: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream's batches to ``to``/on_time and ``to``/late, none lost.
+
+    An event is late if its time is before the watermark: the greatest time of the batches before, less ``delay``.
+    Each batch stores the greatest time so far beside its rows, which a batch that runs again or a restarted stream
+    reads from the batch before, so a repeat writes the same.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        before = f"{to}/seen/batch={number - 1}"
+        seen = spark.read.schema("seen timestamp_ntz").parquet(before).first()["seen"] if number and files.exists(spark, before) else None
+        batch = batch.withColumn(time, F.col(time).cast("timestamp_ntz")).persist()
+        try:
+            for name, rows in zip(("on_time", "late"), split_late(batch, time, None if seen is None else seen - delay)):
+                rows.write.mode("overwrite").parquet(f"{to}/{name}/batch={number}")
+            batch.agg(F.greatest(F.max(time), F.lit(seen).cast("timestamp_ntz")).alias("seen")).write.mode("overwrite").parquet(f"{to}/seen/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_lag(captured: DataFrame, applied: DataFrame) -> DataFrame:
     """Events captured, applied and behind, by table."""
     a = applied.groupBy("table_name").agg(F.count("*").alias("applied"))
