@@ -213,3 +213,27 @@ def test_short_texts_share_hashes_with_their_edited_text():
             a, b = ("".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for _ in range(2))
             prints = P.winnow(a)
             assert P.likeness(prints, P.winnow(P.edited(a, b))) > P.likeness(prints, P.winnow(b)) and len(prints) >= 3
+
+
+def test_models_learn_the_corpus_and_tell_unseen_identifiers_from_random_strings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratio = S.fit_ratio(docs.where("doc_id % 2 = 0"))
+    seen, held = (set(S.corpus_words(docs.where(f"doc_id % 2 = {i}"))) for i in (0, 1))
+    held = sorted(held - seen - set(S.WORDS))
+    draw = random.Random(3)
+
+    def shapes(words):
+        return "_".join(words), "-".join(words), "".join(words), words[0] + "".join(w.title() for w in words[1:]), "".join(w.title() for w in words), "_".join(words).upper()
+
+    ordinary = [x for _ in range(500) for x in shapes(draw.choices(held, k=draw.randint(3, 7)))]
+    assert len(held) > 500 and sum(bool(S.random_spans(x, ratio, S.THRESHOLD)) for x in ordinary) / len(ordinary) < 0.01
+    for alphabet, size in ((S.ALPHABET[:62], 16), (S.ALPHABET[:64], 40), ("0123456789abcdef", 32), ("0123456789ABCDEF", 32), (S.ALPHABET[:26] + "0123456789", 24)):
+        found = [bool(S.random_spans("".join(draw.choices(alphabet, k=size)), ratio, S.THRESHOLD)) for _ in range(500)]
+        assert sum(found) / 500 > 0.98, (alphabet, size)
+
+
+def test_word_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(None, "same words here") for _ in range(300)] + [(1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)))], "doc_id long, text string")
+    words = S.corpus_words(docs, max_docs=5, max_words=10)
+    assert 1 <= len(words) <= 5 * 10 and S.corpus_words(docs.limit(0)) == []
+    assert S.scan_secrets(docs.limit(0)).collect() == []

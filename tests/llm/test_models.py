@@ -40,6 +40,48 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.score_toxicity(odd_docs, None, name="s").agg({"s": "max"}).first()[0] == 0
 
 
+def test_single_words_and_repeated_keys_count_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, "good plain words every day" if i % 2 else f"good plain horrid{chr(97 + i)} every day") for i in range(12)] + [(2, f"copy {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(12)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs.where("text NOT LIKE 'copy%'"), labels)
+    word = toxicity.word_keys(toxicity.symbols("horrida"))
+    assert len(word) == 1 and model.models[1].of(word)[0] > 0.5  # it occurs once in the sample
+    assert toxicity.fit_toxicity(docs, labels, max_docs=12) is not None
+
+
+def test_word_ratio_against_definition():
+    keys, counts = np.arange(1, 6, dtype=np.uint64), np.array([[5, 0], [1, 4], [0, 1], [3, 3], [1, 0]], float)
+    ratio, shared = toxicity.WordRatio.fit(keys, counts), counts.sum(1) / counts.sum()
+    for k, c, p in zip(keys, counts, shared):
+        logs = []
+        for i in (0, 1):
+            rest = toxicity.DISCOUNT * (counts[:, i] > 0).sum()
+            logs.append(math.log((max(c[i] - toxicity.DISCOUNT, 0) + rest * p) / (rest * p)))  # over what a word that the class lacks gets
+        assert abs(float(ratio.of(np.array([k]))[0]) - (logs[1] - logs[0])) < 0.021
+
+
+def test_logistic_fit_against_its_gradient():
+    draw = np.random.default_rng(4)
+    x, weight = draw.normal(size=(300, 3)), draw.uniform(0.2, 1, 300)
+    y = (x @ np.array([1.0, -2.0, 0.5]) + draw.normal(size=300) > 0.3).astype(float)
+    mean, scale, w = toxicity.logistic(x, y, weight)
+    z = np.c_[(x - mean) / scale, np.ones(300)]
+    p = 1 / (1 + np.exp(-z @ w))
+    ridge = 1e-3 * 300 * np.r_[np.ones(3), 1e-6]
+    assert np.abs(z.T @ (weight * (p - y)) + ridge * w).max() < 1e-3 and w[0] > 0 > w[1]
+
+
+def test_features_of_a_text_by_words():
+    grams = np.array([[ord(c) for c in "hate "], [ord(c) for c in "nice "]], np.uint32)
+    ratio = toxicity.Ratio.fit(grams, np.array([[0, 6], [6, 0]], float))
+    whole = toxicity.WordRatio.fit(toxicity.word_keys(toxicity.symbols("hate nice")), np.array([[0, 6], [6, 0]], float))
+    x = toxicity.features((ratio, whole), "Nice hate, nice!")
+    told = [float(whole.of(toxicity.word_keys(toxicity.symbols(w)))[0]) for w in ("nice", "hate", "nice")]
+    assert len(x) == toxicity.FEATURES and math.isclose(x[5], sum(told) / 3, rel_tol=1e-6) and x[6:] == [max(told), 0.0, 0.0] and math.isclose(x[4], math.log(4))
+    cut = toxicity.features((ratio, whole), "nice hate " * 50, block=37)
+    assert np.allclose(cut, toxicity.features((ratio, whole), "nice hate " * 50))
+
+
 def test_kneser_ney_ratio_against_definition():
     draw = np.random.default_rng(2)
     grams = np.unique(draw.integers(97, 100, (60, toxicity.ORDER)).astype(np.uint32), axis=0)

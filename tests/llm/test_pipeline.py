@@ -26,6 +26,36 @@ def test_stages_follow_each_other(spark, data):
 
 
 def test_stages_take_odd_and_empty_documents(spark, odd_docs, no_docs, data):
-    for docs in (odd_docs, no_docs):
-        for name, stage in P.STAGES:
-            docs = written(stage(spark, docs, data), name)
+    columns = odd_docs.columns
+    docs, seen = odd_docs, []
+    for name, stage in P.STAGES:
+        docs = written(stage(spark, docs, data), name)
+        seen.append(docs)
+    assert all(df.columns == columns for df in seen[:-1])
+    texts = [sorted(repr(r["text"]) for r in df.collect()) for df in seen[:-1]]
+    assert len(texts[0]) == 11  # none of these is toxic
+    # Of the four rows "one two three four" the first stays, as of those without words.
+    assert texts[1].count(repr("one two three four")) == 1 and texts[1] == texts[2] and len(texts[1]) < 9
+    assert texts[3] == texts[1] and seen[-1].count() == len(texts[1]) and all(r["exact"] in (True, None) for r in seen[-1].collect())
+    docs = no_docs
+    for name, stage in P.STAGES:
+        docs = written(stage(spark, docs, data), name)
+        assert docs.collect() == []
+
+
+def test_columns_with_the_names_of_helpers_stay(spark, data):
+    names = ("_tidemark", "_tidemark_key", "_tidemark_print", "_tidemark_hash", "_tidemark_toxicity", "rows", "_TIDEMARK_")
+    docs = spark.createDataFrame([(i, f"plain text number {i} of several words", "en", "s", 10, *(f"{n}{i}" for n in names)) for i in range(6)] + [(1, "plain text number 1 of several words", "en", "s", 10, *(f"{n}1" for n in names))], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        kept = written(stage(spark, kept, data), name)
+    assert kept.columns == docs.columns and kept.count() >= 1
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in kept.collect() for n in names)
+
+
+def test_stages_without_labels_or_benchmark_keep_all(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    stages = dict(P.STAGES)
+    assert stages["toxicity"](spark, docs, str(tmp_path)).count() == docs.count() == stages["benchmark_decontamination"](spark, docs, str(tmp_path)).count()

@@ -83,6 +83,14 @@ def test_query_against_whole_lattices(spark, data):
         assert np.allclose(scores, r["nbest_scores"], rtol=1e-9) and (len(text) > 6000 or np.allclose(k_best(text, 4) if text else [0.0], scores, rtol=1e-9))
 
 
+def test_changes_give_all_segmentations_back(spark, data, odd_docs):
+    for docs in (spark.read.parquet(f"{data}/documents.parquet"), odd_docs):
+        rows = S.encode_documents(docs).withColumn("again", S.changed_ids()).collect()
+        assert all(r["again"] == r["nbest_ids"] for r in rows) and any(any(len(c) for c in r["nbest_changes"][1:]) for r in rows if r["nbest_changes"])
+    lean = S.query(spark, data)
+    assert {"piece_ids", "nbest_changes"} <= set(lean.columns) and "nbest_ids" not in lean.columns
+
+
 def test_tables_are_decoded(spark, odd_docs, no_docs):
     back = S.decode_documents(S.encode_documents(odd_docs.select("doc_id", "text"))).select("doc_id", "text")
     assert sorted(map(repr, back.collect())) == sorted(map(repr, odd_docs.select("doc_id", "text").collect()))

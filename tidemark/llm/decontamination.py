@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import free_name, written
 
 SPAN, GRAM = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,8 +124,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that share a window with the benchmark."""
-    hit = find_hits(docs, items, key, text).where("n_hit > 0").select(F.col(key).alias("_tidemark_key"), F.col("text_hash").alias("_tidemark_hash"))
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("_tidemark_key")) & (F.xxhash64(text) == F.col("_tidemark_hash")), "left_anti")
+    own, print_ = free_name(docs, "_tidemark_key"), free_name(docs, "_tidemark_hash")
+    hit = find_hits(docs, items, key, text).where("n_hit > 0").select(F.col(key).alias(own), F.col("text_hash").alias(print_))
+    return docs.join(hit, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(print_)), "left_anti")
 
 
 SQL = rf"""

@@ -1,13 +1,15 @@
 """Operator 10: secrets in texts, by patterns and by character Markov models.
 
-Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are
-trained from labelled samples. A long token is a secret when the log-likelihood ratio per transition of
-the random model to the ordinary one is high enough. Spans of the pattern kinds always stay.
+Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained
+from labelled samples: random strings of usual secret alphabets, and identifiers of usual shapes whose words come
+from a bounded sample of the corpus itself (at most ``max_docs`` rows and ``max_words`` words of each, by hashes).
+A long token is a secret when the log-likelihood ratio per transition of the random model to the ordinary one is high
+enough. Spans of the pattern kinds always stay. A corpus without words leaves the words of ``WORDS``.
 
 Nulls and empty texts have no spans. Very long texts are scanned whole, in time that grows with their length.
 Spans of different kinds may overlap and are all listed, by start and then by kind; a ratio equal to the
-threshold counts as a secret. Repeated rows give repeated
-results, an empty table an empty one, and columns other than the key and the text are not read.
+threshold counts as a secret. Repeated rows, with or without a key, give repeated results, an empty table an empty
+one, and columns other than the key and the text are not read. Numbers alone are no secrets to the models.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,7 +31,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+THRESHOLD, MAX_DOCS, MAX_WORDS = 0.5, 2000, 200
+WORD = re.compile(r"[A-Za-z]{2,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 WORDS = (
     "user name account customer order item list map set get put load store read write file path open close parse format "
@@ -41,13 +46,31 @@ WORDS = (
 ).split()
 
 
-def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
+def corpus_words(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> list[str]:
+    """Lower-case words of letters of at most ``max_docs`` rows chosen by a hash, at most ``max_words`` distinct ones of each, by a hash too."""
+    span = 1 << 30
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))), F.lit(span))
+    share = min(1.0, 2 * max_docs / max(1, docs.count()))  # twice as many as are wanted, cut below
+
+    def words(rows: dict[str, list]) -> dict[str, Sequence]:
+        found = [{w.lower() for w in WORD.findall(t or "")} for t in rows["text"]]
+        return {"draw": rows["draw"], "words": [sorted(x, key=lambda w: (zlib.crc32(w.encode()), w))[:max_words] for x in found]}
+
+    for part in {share: None, 1.0: None}:  # equal rows are drawn together, or none of them
+        drawn = docs.select(draw.alias("draw"), F.col(text).alias("text")).where(F.col("draw") < int(part * span))
+        rows = mapped(drawn, words, "draw long, words array<string>").orderBy("draw", "words").limit(max_docs).collect()
+        if rows:
+            break
+    return sorted({w for r in rows for w in r["words"]})
+
+
+def labelled_samples(n: int = 4000, seed: int = 11, vocabulary: Sequence[str] = WORDS) -> list[tuple[str, int]]:
     """(string, 1 if random) pairs: strings drawn from usual secret alphabets, and identifiers made of words."""
     draw, out = random.Random(seed), []
-    alphabets = (ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", "0123456789abcdef", ALPHABET[26:62], ALPHABET[:26] + "0123456789")
+    alphabets = (ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", "0123456789abcdef", "0123456789ABCDEF", ALPHABET[26:62], ALPHABET[:26] + "0123456789")
     for k in range(n):
         out.append(("".join(draw.choices(alphabets[k % len(alphabets)], k=draw.randint(20, 48))), 1))
-        words = draw.choices(WORDS, k=draw.randint(3, 7))
+        words = draw.choices(vocabulary, k=draw.randint(3, 7))
         shape = (
             "_".join(words), "-".join(words), "/".join(words), "".join(words), words[0] + "".join(w.title() for w in words[1:]),
             "".join(w.title() for w in words), "_".join(words).upper(), f"{'_'.join(words)}_{draw.randint(0, 2030)}",
@@ -75,6 +98,12 @@ def default_ratio() -> np.ndarray:
     return markov_ratio(labelled_samples())
 
 
+def fit_ratio(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, samples: int = 20_000) -> np.ndarray:
+    """The ratio of the models whose ordinary identifiers are made of the words of ``docs``, in equal parts with those of ``WORDS``."""
+    words = corpus_words(docs, key, text, max_docs, max_words)
+    return markov_ratio(labelled_samples(samples, 11, words) + labelled_samples(samples, 12)) if words else default_ratio()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the pattern kinds, leftmost and non-overlapping within a kind."""
     found = []
@@ -127,9 +156,9 @@ def redacted(text: str | None, spans: list[tuple[int, int, int]], mark: str = "[
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5, samples: Sequence[tuple[str, int]] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, samples: Sequence[tuple[str, int]] | None = None) -> DataFrame:
     """Key, spans by kind counted and listed, and the redacted text of every row of ``docs``."""
-    ratio = markov_ratio(samples) if samples is not None else default_ratio()
+    ratio = markov_ratio(samples) if samples is not None else fit_ratio(docs, key, text)
 
     def scan(rows: dict[str, list]) -> dict[str, Sequence]:
         found = [scan_text(x, ratio, threshold) for x in rows["text"]]
@@ -153,11 +182,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns, secrets replaced in ``text`` and ``n_chars`` to match."""
-    ratio = default_ratio()
+    ratio = fit_ratio(docs)
 
     @F.pandas_udf("string")
     def clean(texts):
-        return texts.map(lambda x: redacted(x, scan_text(x, ratio, 0.5)[1]), na_action="ignore")
+        return texts.map(lambda x: redacted(x, scan_text(x, ratio, THRESHOLD)[1]), na_action="ignore")
 
     text = clean("text")
     changed = docs.withColumn("text", text)

@@ -10,8 +10,9 @@ segmentations of parts are kept as flat arrays in a table of bounded size.
 Decoding is exact: characters without a piece, and the space mark itself where a text has it, are written as
 bytes. Empty texts have one segmentation of no pieces, and null texts, kept apart from them, give nulls.
 Whole texts are encoded in blocks of parts, however long. Ties are broken by the order of the lattice, and
-between parts of equal loss by place, alike in every run. Repeated rows give equal results, an empty table an
-empty one, and other columns are left as they are. Ids that the vocabulary lacks can't be decoded and raise.
+between parts of equal loss by place, alike in every run. Repeated rows give equal results, rows of one key a result
+each, whose ``decoded_sha256`` tells their texts apart; an empty table gives an empty one. Columns other than key and
+text are neither read nor returned. Ids that the vocabulary lacks can't be decoded and raise.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator, Sequence
 from itertools import chain, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import mapped
@@ -370,14 +371,16 @@ class Segmenter:
         return self.decode_bytes(ids).decode("utf-8", "surrogatepass")
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, nbest: int = NBEST, ids: bool = True, nbest_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH, nbest: int = NBEST, nbest_ids: bool = True) -> DataFrame:
     """Key, the N best segmentations (best first) with their scores, and digests of them and of the decoded text.
 
-    The column ``nbest_ids`` has all N, ``piece_ids`` the best; without either their digests stand for them.
+    ``piece_ids`` has the best, ``nbest_changes`` what each of the N puts in its stead: (place, count, ids) for ids
+    instead of ``count`` pieces from a place of the best on, a few integers each; ``changed_ids`` puts them together.
+    ``nbest_ids`` has all N written out, N times the room, and can be left out.
     """
     segmenter = Segmenter(load_vocabulary(model_path), nbest, model_path)
     kind = docs.schema[key].dataType.simpleString()
-    columns = ("piece_ids", "nbest_ids", "n_pieces", "score", "nbest_scores", "pieces_sha256", "nbest_sha256", "decoded_sha256", "exact")
+    columns = ("piece_ids", "nbest_changes", "nbest_ids", "n_pieces", "score", "nbest_scores", "pieces_sha256", "nbest_sha256", "decoded_sha256", "exact")
     digest = lambda x: hashlib.sha256(x).hexdigest()
 
     def encode(rows: dict[str, list]) -> dict[str, list]:
@@ -391,17 +394,28 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
                 ways = [segmenter.changed(best, changes).astype("<i4") for _, changes in found]
                 back = segmenter.decode_bytes(best.tolist())
                 digests = [digest(x) for x in ways]
-                row = (best if ids else None, ways if nbest_ids else None, len(best), score, [s for s, _ in found], digests[0], digests, digest(back), back == t.encode("utf-8", "surrogatepass"))
+                told_changes = [[{"place": a, "count": n, "ids": x} for a, n, x in changes] for _, changes in found]
+                row = (best, told_changes, ways if nbest_ids else None, len(best), score, [s for s, _ in found], digests[0], digests, digest(back), back == t.encode("utf-8", "surrogatepass"))
             for n, v in zip(columns, row):
                 out[n].append(v)
         return {"key": rows["key"], **out}
 
     made = mapped(
         docs.select(F.col(key).alias("key"), F.col(text).alias("text")), encode,
-        f"key {kind}, piece_ids array<int>, nbest_ids array<array<int>>, n_pieces int, score double, nbest_scores array<double>, pieces_sha256 string, nbest_sha256 array<string>, decoded_sha256 string, exact boolean",
+        f"key {kind}, piece_ids array<int>, nbest_changes array<array<struct<place:int,count:int,ids:array<int>>>>, nbest_ids array<array<int>>, n_pieces int, score double, nbest_scores array<double>, pieces_sha256 string, nbest_sha256 array<string>, decoded_sha256 string, exact boolean",
         ROWS,
     )
-    return made.drop(*([] if ids else ["piece_ids"]), *([] if nbest_ids else ["nbest_ids"])).withColumnRenamed("key", key)
+    return made.drop(*([] if nbest_ids else ["nbest_ids"])).withColumnRenamed("key", key)
+
+
+def changed_ids(best: str = "piece_ids", changes: str = "nbest_changes") -> Column:
+    """All N segmentations from the best and the changes to it, without Python."""
+
+    def put(way: Column) -> Column:
+        """From the last change to the first, so that places before it hold."""
+        return F.aggregate(F.reverse(way), F.col(best), lambda ids, c: F.concat(F.slice(ids, 1, c["place"]), c["ids"], F.slice(ids, c["place"] + c["count"] + 1, F.size(ids))))
+
+    return F.transform(F.col(changes), put)
 
 
 def decode_documents(encoded: DataFrame, ids: str = "piece_ids", text: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
@@ -416,5 +430,5 @@ def decode_documents(encoded: DataFrame, ids: str = "piece_ids", text: str = "te
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of ``documents`` encoded, decoded again, and its N best segmentations' scores."""
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False, nbest_ids=False)
+    """Every whole text of ``documents`` encoded into its N best segmentations, and decoded again."""
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), nbest_ids=False)

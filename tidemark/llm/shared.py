@@ -60,6 +60,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mapped(df: DataFrame, of: Callable[[dict[str, list]], dict[str, Sequence]], schema: str | StructType, rows: int = 512) -> DataFrame:
     """Apply ``of`` to pieces of at most ``rows`` rows as Python lists by column; it returns columns of ``schema``."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.alike import alike_prints, link_sets
 from tidemark.llm.bktree import BKForest
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import lower_bytes, mapped, written
+from tidemark.llm.shared import free_name, lower_bytes, mapped, written
 
 WORDS, RADIUS, SHARD = 3, 3, 2048
 SET_WORDS = 5
@@ -134,19 +134,19 @@ def set_hashes(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SET_WORDS))
 
 
-def printed(docs: DataFrame, text: str, words: int, radius: int | float) -> DataFrame:
-    """``docs`` with a struct ``_tidemark`` of what tells its text apart: ``print``, and what links need beside it."""
+def printed(docs: DataFrame, text: str, words: int, radius: int | float, name: str = "_tidemark") -> DataFrame:
+    """``docs`` with a struct ``name`` of what tells its text apart: ``print``, and what links need beside it."""
     if isinstance(radius, float):
         made = alike_prints(F.col(text), set_hashes, majority_bits, 1 - radius)
     else:
         made = F.struct(F.pandas_udf(lambda t: t.map(lambda x: signed(simhash(x, words))), "long")(F.col(text)).alias("print"))
-    return docs.withColumn("_tidemark", made)
+    return docs.withColumn(name, made)
 
 
-def rooted_prints(made: DataFrame, groups: DataFrame, text: str, radius: int | float) -> DataFrame:
+def rooted_prints(made: DataFrame, groups: DataFrame, text: str, radius: int | float, name: str = "_tidemark") -> DataFrame:
     """``groups``, a row a print, with the root of its component."""
     if isinstance(radius, float):
-        edges = link_sets(made.select("_tidemark.*", F.col(text).alias("text")), 1 - radius, set_hashes)
+        edges = link_sets(made.select(f"{name}.*", F.col(text).alias("text")), 1 - radius, set_hashes)
     else:
         edges = link_prints(groups.select("print"), radius)
     roots = connected_components(edges).toDF("print", "root")
@@ -176,15 +176,17 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Rows are told apart by key and print, so a key that several texts have keeps those that are first in their
     groups. Of rows with the same key and print one stays.
     """
-    made = written(printed(docs, text, words, radius), "prints")
-    by_key = made.groupBy(F.col("_tidemark.print").alias("print"), F.col(key).alias("key")).agg(F.count("*").alias("rows"))
+    name = free_name(docs, "_tidemark")
+    own, print_ = free_name(docs, f"{name}_key"), free_name(docs, f"{name}_print")
+    made = written(printed(docs, text, words, radius, name), "prints")
+    by_key = made.groupBy(F.col(f"{name}.print").alias("print"), F.col(key).alias("key")).agg(F.count("*").alias("rows"))
     groups = written(by_key.groupBy("print").agg(F.min(F.struct(F.isnull("key").alias("unkeyed"), "key", "print", "rows")).alias("least")), "distinct-prints")
-    rooted = rooted_prints(made, groups, text, radius)
-    first = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_tidemark_key"), F.col("least.print").alias("_tidemark_print"), F.col("least.rows").alias("rows")), "first")
-    at = F.col(key).eqNullSafe(F.col("_tidemark_key")) & (F.col("_tidemark.print") == F.col("_tidemark_print"))
+    rooted = rooted_prints(made, groups, text, radius, name)
+    first = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(own), F.col("least.print").alias(print_), F.col("least.rows").alias("rows")), "first")
+    at = F.col(key).eqNullSafe(F.col(own)) & (F.col(f"{name}.print") == F.col(print_))
     sole = F.col("rows") == 1
-    once = made.join(first.where(sole), at, "left_semi")
-    often = made.join(first.where(~sole), at, "left_semi").withColumn("_tidemark_print", F.col("_tidemark.print")).dropDuplicates([key, "_tidemark_print"]).drop("_tidemark_print")
+    once = made.join(first.where(sole).drop("rows"), at, "left_semi")
+    often = made.join(first.where(~sole).drop("rows"), at, "left_semi").withColumn(print_, F.col(f"{name}.print")).dropDuplicates([key, print_]).drop(print_)
     return once.unionByName(often).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -3,8 +3,7 @@
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary texts, have counts of their own at the
 highest order and share the counts they back off to, so an expression that neither class knows well tells
 nothing. There is such a pair for characters, of order ``ORDER``. For words there are two unigram models with
-absolute discounting that back off to their shared shares; words that the sample has once are left to the
-characters. Of either, log-ratios within ``LEAST`` are taken as 0, so an entry of the models is off by less
+absolute discounting that back off to their shared shares, of all words of the sample. Of either, log-ratios within ``LEAST`` are taken as 0, so an entry of the models is off by less
 than that. A text is judged by its
 length-normalised log-likelihood ratios and by those of its most telling words; a logistic fit on
 out-of-fold ratios turns them into a probability.
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import HashLookup, code_points, mapped, remainder, written
+from tidemark.llm.shared import HashLookup, code_points, free_name, mapped, remainder, written
 
 ORDER, DISCOUNT, MAX_DOCS, THRESHOLD, SMOOTHING, LEAST = 5, 0.75, 12_000, 0.3, 0.5, 0.02
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -239,13 +238,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     share = {c: min(1.0, max_docs / 2 / n) for c, n in sizes.items()}
     draw = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(span))
     chosen = named.where(draw < F.when(F.col("toxic") == 1, share[1] * span).otherwise(share[0] * span))
-    # At most max_docs rows, but for chance: their size is bounded whatever the input's.
-    sample = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "toxic", F.pmod(F.xxhash64(key, F.lit(9)), F.lit(2)).cast("int").alias("fold"))
+    # At most max_docs rows, but for chance, whatever the input's size: of the rows of one key the one of the least hash.
+    found = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key, "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = found.select("text", "toxic", F.pmod(F.xxhash64(key, F.lit(9)), F.lit(2)).cast("int").alias("fold"))
     sample = written(sample.repartition(docs.sparkSession.sparkContext.defaultParallelism), "labelled")
     counted = mapped(sample, count_grams, "gram binary, toxic int, fold int, n long").groupBy("gram").agg(*[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}") for c in (0, 1) for f in (0, 1)])
-    # A word that occurs once tells nothing of another text; without these the table is bounded by the sample's common words.
-    once = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") < 2
-    table = counted.where(~((F.octet_length("gram") == 8) & once)).toArrow()
+    table = counted.toArrow()
     if not table.num_rows:
         return None
     found = table.column("gram").to_pylist()
@@ -295,5 +293,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those whose toxicity reaches the threshold."""
-    name = "_tidemark_toxicity"
+    name = free_name(docs, "_tidemark_toxicity")
     return score_toxicity(docs, trained(spark, docs, sf_dir), name=name).where(F.col(name) < threshold).drop(name)
