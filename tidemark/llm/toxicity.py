@@ -241,7 +241,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     # At most max_docs rows, but for chance, whatever the input's size: of the rows of one key the one of the least hash.
     found = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key, "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = found.select("text", "toxic", F.pmod(F.xxhash64(key, F.lit(9)), F.lit(2)).cast("int").alias("fold"))
-    sample = written(sample.repartition(docs.sparkSession.sparkContext.defaultParallelism), "labelled")
+    sample = written(sample, "labelled")
     counted = mapped(sample, count_grams, "gram binary, toxic int, fold int, n long").groupBy("gram").agg(*[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}") for c in (0, 1) for f in (0, 1)])
     table = counted.toArrow()
     if not table.num_rows:
