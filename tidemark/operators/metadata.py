@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.masking import CLASSES
-from tidemark.sources.scratch import cut_lineage
+from tidemark.operators.graphs import closure, cycles, levels, topological_order, worst_below  # noqa: F401  (graphs of a catalog)
 
 # --- diffs --------------------------------------------------------------------------------------
 
-SEVERITY = {"match": 0, "info": 1, "warning": 2, "blocker": 3}
-
-
 def diff_objects(source: DataFrame, target: DataFrame) -> DataFrame:
     """Of (name, definition) rows, matched by name in any case: exact, partial, source_only, target_only."""
     s, t = source.select(F.lower("name").alias("name"), F.col("definition").alias("s")), target.select(F.lower("name").alias("name"), F.col("definition").alias("t"))
@@ -46,19 +43,6 @@ def diff_constraints(source: DataFrame, target: DataFrame) -> DataFrame:
     return s.join(t, "name", "full_outer").select("name", issue.alias("issue")).where("issue IS NOT NULL")
 
 
-def worst_below(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, worst) with the worst severity of a node and all below it. Rows: id, parent, severity; trees of at most ``depth`` levels."""
-    rank = F.coalesce(*[F.when(F.col("severity") == s, r) for s, r in SEVERITY.items()], F.lit(0))
-    level = nodes.select(F.col("id").alias("at"), rank.alias("rank"))
-    parents = nodes.select(F.col("id").alias("at"), F.col("parent").alias("up"))
-    everything = level
-    for _ in range(depth):
-        level = level.join(parents, "at").where("up IS NOT NULL").groupBy(F.col("up").alias("at")).agg(F.max("rank").alias("rank"))
-        everything = everything.unionByName(level)
-    name = F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), F.col("worst_rank") + 1)
-    return everything.groupBy(F.col("at").alias("id")).agg(F.max("rank").alias("worst_rank")).select("id", name.alias("worst"))
-
-
 def schema_drift(source: DataFrame, target: DataFrame) -> DataFrame:
     """Concerns of a stream: rows are (table_name, column_name, is_key), names in any case."""
     low = lambda df, n: df.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"), F.col("is_key").alias(n))
@@ -87,52 +71,129 @@ def is_sensitive(name: Column) -> Column:
     return out
 
 
+def tier_of(blocked: Column, warned: Column, score: Column) -> Column:
+    """BLOCKER with any blocker or 80 points, WARNING with any warning or 30, else SAFE."""
+    return F.when(blocked | (score >= 80), "BLOCKER").when(warned | (score >= 30), "WARNING").otherwise("SAFE")
+
+
+#: Rows a minute of plain tables and of those with large objects.
+ROWS_A_MINUTE, LARGE_ROWS_A_MINUTE = 60_000, 5_000
+
+
 def assess_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """(table_name, score, tier): tables have is_temporal, in_memory, row_count, has_key; columns have type, max_length, collation_name, is_computed."""
+    """(table_name, score, blockers, warnings, tier, minutes): tables have is_temporal, in_memory, row_count, has_key; columns have type, max_length, collation_name, is_computed.
+
+    Blockers are unsupported types and a missing key; warnings computed, large, case-insensitive and sensitive columns,
+    temporal and in-memory tables and over 100 million rows. Unknown flags count as false, an unknown key as none and
+    unknown rows as 0. A table without columns has no key to miss.
+    """
     kind = F.lower("type")
+    one = lambda test: F.sum(F.when(test, 1).otherwise(0))
     large = kind.isin(*LARGE_TYPES) | (kind.isin("varchar", "nvarchar", "varbinary") & (F.col("max_length") == -1))
-    points = F.when(kind.isin(*BLOCKED_TYPES), WEIGHTS["blocked"]).otherwise(0) + F.when(large, WEIGHTS["large"]).otherwise(0) + F.when(F.upper(F.coalesce("collation_name", F.lit(""))).contains("_CI_"), WEIGHTS["ci_collation"]).otherwise(0) + F.when(F.col("is_computed"), WEIGHTS["computed"]).otherwise(0)
-    by_table = columns.groupBy("table_name").agg(F.sum(points).alias("points"), F.sum(F.when(kind.isin(*BLOCKED_TYPES), 1).otherwise(0)).alias("blocked"), F.sum(is_sensitive(F.col("column_name")).cast("int")).alias("sensitive"))
-    joined = tables.join(by_table, "table_name")
-    whole = (
-        F.when(~F.col("has_key"), WEIGHTS["no_key"]).otherwise(0) + F.when(F.col("is_temporal"), WEIGHTS["temporal"]).otherwise(0) + F.when(F.col("in_memory"), WEIGHTS["in_memory"]).otherwise(0)
-        + F.when(F.col("row_count") > 1_000_000, WEIGHTS["over_1m_rows"]).otherwise(0) + F.when(F.col("row_count") > 100_000_000, WEIGHTS["over_100m_rows"]).otherwise(0) + F.least(F.lit(15), WEIGHTS["sensitive"] * F.col("sensitive"))
+    by_table = columns.groupBy("table_name").agg(
+        one(kind.isin(*BLOCKED_TYPES)).alias("blocked"), one(large).alias("large"), one(F.upper(F.coalesce("collation_name", F.lit(""))).contains("_CI_")).alias("ci_collation"),
+        one(F.col("is_computed")).alias("computed"), one(is_sensitive(F.col("column_name"))).alias("sensitive"), F.count("*").alias("columns"),
     )
-    score = F.least(F.lit(100), F.col("points") + whole).cast("int")
-    return joined.select("table_name", score.alias("score"), F.col("blocked").cast("int").alias("blocked")).withColumn("tier", F.when(F.col("score") >= 80, "high").when(F.col("score") >= 30, "medium").otherwise("low"))
-
-
-ROUTINE_RULES = ((r"\bcursor\b", 15, False), (r"\b(exec|execute)\s*\(|sp_executesql", 20, False), (r"\bopenquery\b|\bopenrowset\b", 30, True), (r"\bxp_cmdshell\b", 30, True), (r"\bmerge\b", 10, False), (r"#\w+", 5, False), (r"\bpivot\b", 10, False))
+    joined = tables.join(by_table, "table_name", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    no_key, rows = ~flag("has_key") & (n("columns") > 0), n("row_count")
+    points = F.least(F.lit(15), WEIGHTS["sensitive"] * n("sensitive"))
+    for name in ("blocked", "large", "ci_collation", "computed"):
+        points = points + WEIGHTS[name] * n(name)
+    for name, test in (("no_key", no_key), ("temporal", flag("is_temporal")), ("in_memory", flag("in_memory")), ("over_1m_rows", rows > 1_000_000), ("over_100m_rows", rows > 100_000_000)):
+        points = points + F.when(test, WEIGHTS[name]).otherwise(0)
+    blockers = n("blocked") + F.when(no_key, 1).otherwise(0)
+    warnings = n("computed") + sum((F.when(t, 1).otherwise(0) for t in (n("large") > 0, n("ci_collation") > 0, n("sensitive") > 0, flag("is_temporal"), flag("in_memory"), rows > 100_000_000)), F.lit(0))
+    minutes = F.floor(F.greatest(F.lit(0.1), rows / F.when(n("large") > 0, LARGE_ROWS_A_MINUTE).otherwise(ROWS_A_MINUTE)) * 100 + 0.5) / 100
+    told = joined.select("table_name", F.least(F.lit(100), points).cast("int").alias("score"), blockers.cast("int").alias("blockers"), warnings.cast("int").alias("warnings"), minutes.alias("minutes"))
+    return told.withColumn("tier", tier_of(F.col("blockers") > 0, F.col("warnings") > 0, F.col("score")))
+
+
+# What a routine's text can hold, and how hard that is to convert (1 moderate, 2 complex, 3 extreme; 0 only told).
+ROUTINE_PATTERNS = (
+    ("exec_text", r"\b(exec|execute)\s*\(", 2),
+    ("exec", r"\b(exec|execute)\s+[@\[\w]", 1),
+    ("sp_executesql", r"\bsp_executesql\b", 3),
+    ("cursor", r"\bcursor\b", 2),
+    ("fetch", r"\bfetch\b", 1),
+    ("try", r"\btry\b", 1),
+    ("catch", r"\bcatch\b", 1),
+    ("raiserror", r"\braiserror\b", 1),
+    ("merge", r"\bmerge\b", 2),
+    ("output", r"\boutput\s+(inserted|deleted|into|\$action)\b|@\w+(\s+\w+(\([^)]*\))?)*\s+output\b", 2),
+    ("cross_apply", r"\bcross\s+apply\b", 1),
+    ("outer_apply", r"\bouter\s+apply\b", 1),
+    ("unpivot", r"\bunpivot\b", 2),
+    ("pivot", r"\bpivot\b", 2),
+    ("system_variable", r"@@\w+", 1),
+    ("temporary", r"(^|[^#\w])#\w+|##\w+", 1),
+    ("goto", r"\bgoto\b", 2),
+    ("waitfor", r"\bwaitfor\b", 1),
+    ("xml", r"\b(as|for)\s+xml\b|\.(value|query|exist|modify|nodes)\s*\(", 2),
+    ("for_json", r"\bfor\s+json\b", 0),
+    ("openquery", r"\bopenquery\b", 0),
+    ("openrowset", r"\bopenrowset\b", 0),
+    ("linked_server", r"\blinked\s+server\b", 0),
+)
+# Texts that no routine can be converted with, and points and minutes by difficulty.
+ROUTINE_BLOCKERS = ("EXTERNAL NAME", "CREATE ASSEMBLY", "SERVICE_BROKER")
+DIFFICULTIES = ("simple", "moderate", "complex", "extreme")
+ROUTINE_SCORES = (10, 35, 55, 85)
+ROUTINE_MINUTES = (2.0, 5.0, 15.0, 30.0)
 
 
 def assess_routines(routines: DataFrame) -> DataFrame:
-    """(name, score, minutes, blocked) of (name, body) rows; literals and comments don't count."""
-    body = F.lower(F.regexp_replace(F.regexp_replace("body", "'[^']*'", "''"), r"--[^\n]*", ""))
-    score, blocked = F.lit(0), F.lit(False)
-    for pattern, points, blocks in ROUTINE_RULES:
-        hit = body.rlike(pattern)
-        score = score + F.when(hit, points + (15 if blocks else 0)).otherwise(0)
-        blocked = blocked | (hit if blocks else F.lit(False))
-    return routines.select("name", F.least(F.lit(100), score).alias("score"), blocked.alias("blocked")).withColumn("minutes", (10 + F.col("score") * 2).cast("int"))
+    """(name, difficulty, score, minutes, blockers, tier) of (name, body, is_function) rows.
+
+    The hardest pattern outside quotes decides; each blocker adds 15 points. A routine without a text can't be read,
+    which is a blocker of its own.
+    """
+    text = F.trim(F.coalesce("body", F.lit("")))
+    outside, upper, read = F.lower(F.regexp_replace(text, "'(''|[^'])*'", "''")), F.upper(text), text != ""
+    hits = [(outside.rlike(p), d) for _, p, d in ROUTINE_PATTERNS]
+    level = F.greatest(F.lit(0), *[F.when(hit, d).otherwise(0) for hit, d in hits if d])
+    found = sum((F.when(hit, 1).otherwise(0) for hit, _ in hits), F.lit(0))
+    blockers = sum((F.when(upper.contains(m), 1).otherwise(0) for m in ROUTINE_BLOCKERS), F.lit(0)) + F.when(level == 3, 1).otherwise(0)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), level + 1)
+    told = routines.select(
+        "name", F.when(read, pick(DIFFICULTIES)).otherwise("extreme").alias("difficulty"), F.when(read, F.least(F.lit(100), pick(ROUTINE_SCORES) + 15 * blockers)).otherwise(100).cast("int").alias("score"),
+        F.when(read, pick(ROUTINE_MINUTES)).otherwise(0.0).alias("minutes"), F.when(read, blockers).otherwise(1).cast("int").alias("blockers"), ((found > 0) | F.coalesce("is_function", F.lit(False))).alias("_warned"),
+    )
+    return told.withColumn("tier", tier_of(F.col("blockers") > 0, F.col("_warned"), F.col("score"))).drop("_warned")
 
 
 def routine_dependencies(routines: DataFrame, uses: DataFrame, tables: DataFrame) -> DataFrame:
-    """(name, missing, tier): a routine that needs a table that isn't there is of tier high at least."""
+    """(name, missing, tier): a routine that needs a table that isn't there is blocked."""
     there = tables.select(F.lower("table_name").alias("used"), F.lit(1).alias("there"))
     lost = uses.select("name", F.lower("used").alias("used")).join(there, "used", "left").groupBy("name").agg(F.sum(F.when(F.col("there").isNull(), 1).otherwise(0)).cast("int").alias("missing"))
-    return routines.join(lost, "name", "left").select("name", F.coalesce("missing", F.lit(0)).alias("missing"), F.when(F.coalesce("missing", F.lit(0)) > 0, "high").otherwise(F.col("tier")).alias("tier"))
+    return routines.join(lost, "name", "left").select("name", F.coalesce("missing", F.lit(0)).alias("missing"), F.when(F.coalesce("missing", F.lit(0)) > 0, "BLOCKER").otherwise(F.col("tier")).alias("tier"))
 
 
-FEATURES = ((r"\bfor\s+xml\b", "for_xml", "partial"), (r"\bmerge\b", "merge", "partial"), (r"\bopenquery\b", "linked_server", "unsupported"), (r"\bwaitfor\b", "waitfor", "unsupported"), (r"\bcursor\b", "cursor", "risky"))
+# What definitions are searched for, in any place, and types whose behaviour differs.
+UNSUPPORTED_FEATURES = ("CLR", "SERVICE_BROKER", "LINKED_SERVER", "SQL_AGENT")
+MANUAL_FEATURES = (
+    "EXEC", "MERGE", "CROSS APPLY", "OUTER APPLY", "OUTPUT", "PIVOT", "UNPIVOT", "TRY", "RAISERROR", "PRINT", "WAITFOR", "IDENTITY", "@@ROWCOUNT", "NEWID",
+    "GETDATE", "ISNULL", "TOP", "LEN",
+)
+RISKY_TYPES = ("SQL_VARIANT", "HIERARCHYID", "GEOGRAPHY", "GEOMETRY", "ROWVERSION", "TIMESTAMP")
+STATUSES = ("auto_convertible", "performance_risk", "risky", "partial", "unsupported")
 
 
 def analyze_compatibility(objects: DataFrame) -> DataFrame:
-    """(name, features, status) by the worst feature that a definition has."""
-    text = F.lower("definition")
-    names = F.array_compact(F.array(*[F.when(text.rlike(p), n) for p, n, _ in FEATURES]))
-    has = lambda status: F.coalesce(*[F.when(text.rlike(p), True) for p, _, s in FEATURES if s == status], F.lit(False))
-    status = F.when(has("unsupported"), "unsupported").when(has("risky"), "risky").when(has("partial"), "partial").otherwise("auto_convertible")
-    return objects.select("name", F.array_join(names, ",").alias("features"), status.alias("status"))
+    """(name, issues, status, auto_percent) of (name, kind, definition, types, slow) rows.
+
+    Unsupported features come first, then what needs work by hand (features, and every trigger), then risky types of
+    columns, then what is only slow. A procedure has an issue that doesn't change its status. Each issue takes 10 % off.
+    """
+    text, kind = F.upper(F.coalesce("definition", F.lit(""))), F.lower("kind")
+    count = lambda tests: sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
+    unsupported, manual = count(text.contains(f) for f in UNSUPPORTED_FEATURES), count([*(text.contains(f) for f in MANUAL_FEATURES), kind == "trigger"])
+    risky = F.coalesce(F.size(F.filter("types", lambda t: F.upper(t).isin(*RISKY_TYPES))), F.lit(0))
+    slow, low = F.when(F.coalesce("slow", F.lit(False)), 1).otherwise(0), F.when(kind == "procedure", 1).otherwise(0)
+    status = F.when(unsupported > 0, "unsupported").when(manual > 0, "partial").when(risky > 0, "risky").when(slow > 0, "performance_risk").otherwise("auto_convertible")
+    issues = (unsupported + manual + risky + slow + low).cast("int")
+    return objects.select("name", issues.alias("issues"), status.alias("status"), F.greatest(F.lit(0.0), F.lit(100.0) - 10.0 * issues).alias("auto_percent"))
 
 
 # --- reports ------------------------------------------------------------------------------------
@@ -140,7 +201,7 @@ def analyze_compatibility(objects: DataFrame) -> DataFrame:
 
 def _by_status(results: DataFrame) -> DataFrame:
     n = lambda s: F.count(F.when(F.col("status") == s, 1))
-    return results.agg(F.count("*").alias("total"), n("auto_convertible").alias("auto"), n("partial").alias("partial"), n("unsupported").alias("unsupported"), n("risky").alias("risky"))
+    return results.agg(F.count("*").alias("total"), n("auto_convertible").alias("auto"), n("partial").alias("partial"), n("unsupported").alias("unsupported"), n("risky").alias("risky"), n("performance_risk").alias("performance_risk"))
 
 
 def migration_report(results: DataFrame) -> DataFrame:
@@ -160,60 +221,19 @@ def executive_report(results: DataFrame, blockers: int = 0) -> DataFrame:
     return r.select(percent.alias("auto_percent"), days.alias("person_days"), risk.cast("int").alias("risk"), weeks.cast("int").alias("weeks"))
 
 
+def phases(report: DataFrame) -> DataFrame:
+    """(phase, name, weeks) of an executive report's weeks: a quarter to plan, half to migrate, a quarter to cut over, and two more."""
+    quarter, half = F.floor(F.col("weeks") / 4), F.floor(F.col("weeks") / 2)
+    told = F.array(*[F.struct(F.lit(i).alias("phase"), F.lit(n).alias("name"), w.cast("int").alias("weeks")) for i, n, w in ((1, "Assess & Plan", F.greatest(F.lit(1), quarter)), (2, "Migrate Waves", F.greatest(F.lit(2), half)), (3, "Validate & Cutover", F.greatest(F.lit(1), quarter)), (4, "Stabilize", F.lit(2)))])
+    return report.select(F.inline(told))
+
+
 def metrics_text(metrics: DataFrame) -> DataFrame:
     """(name, kind, value) rows as lines of a text exposition."""
     lines = F.array(F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind"), F.concat("name", F.lit(" "), F.col("value").cast("string")))
     return metrics.select(F.explode(lines).alias("line"))
 
 
-# --- graphs -------------------------------------------------------------------------------------
-
-
-def closure(edges: DataFrame) -> DataFrame:
-    """(ancestor, descendant) pairs of (src, dst) edges: each turn goes one edge on from the pairs found last.
-
-    Cycles end it, as no pair is new. For catalogs: the result is as large as the relation itself.
-    """
-    step = cut_lineage(edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant")).distinct())
-    found = last = step
-    while not last.isEmpty():
-        longer = last.alias("a").join(step.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant").distinct()
-        last = cut_lineage(longer.join(found, ["ancestor", "descendant"], "left_anti"))
-        found = cut_lineage(found.unionByName(last))
-    return found
-
-
-def cycles(edges: DataFrame) -> DataFrame:
-    """(member, component) of the strongly connected components of more than one node: nodes that reach each other."""
-    pairs = closure(edges)
-    back = pairs.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("descendant"))
-    mutual = pairs.join(back, ["ancestor", "descendant"]).where("ancestor <> descendant")
-    return mutual.groupBy(F.col("ancestor").alias("member")).agg(F.least(F.min("descendant"), F.first("ancestor")).alias("component"))
-
-
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): 0 without predecessors, else one more than the highest of them; nodes on or behind a cycle have none."""
-    pairs = closure(edges)
-    looped = pairs.where("ancestor = descendant").select(F.col("ancestor").alias("node"))
-    behind = pairs.join(looped, F.col("ancestor") == F.col("node")).select(F.col("descendant").alias("node"))
-    stuck = looped.unionByName(behind).distinct()
-    rest = cut_lineage(nodes.join(stuck, "node", "left_anti"))
-    level = rest.withColumn("level", F.lit(0))
-    now, step = rest.select("node"), 0
-    while not now.isEmpty():  # a turn for each level of the graph
-        now = cut_lineage(edges.join(now, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(rest, "node", "left_semi"))
-        step += 1
-        level = level.unionByName(now.withColumn("level", F.lit(step)))
-    return level.groupBy("node").agg(F.max("level").alias("level"))
-
-
-def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, position) by level and name; empty if the graph has a cycle."""
-    has = closure(edges).where("ancestor = descendant").agg(F.count("*").alias("looped"))
-    ranked = levels(nodes, edges).withColumn("position", F.row_number().over(Window.orderBy("level", "node")))
-    return ranked.join(F.broadcast(has)).where("looped = 0").select("node", "position")
-
-
 # --- operations ---------------------------------------------------------------------------------
 
 

@@ -245,10 +245,33 @@ def chunk_hash(spark, d):
     return chunking.int_chunks(table(spark, d, "orders"), "o_orderkey", 400).select("chunk_id", chunking.chunk_digest("dbo", "orders", col("start"), col("end")).alias("digest"))
 
 
-@register("chunk_split_skew", f"SELECT chunk_id, CASE h WHEN 0 THEN start ELSE start + (\"end\" - start) // 2 + 1 END AS start, CASE WHEN h = 0 AND chunk_id % 2 = 0 THEN start + (\"end\" - start) // 2 ELSE \"end\" END AS \"end\" FROM ({INT_CHUNKS}), (VALUES (0), (1)) v(h) WHERE h = 0 OR chunk_id % 2 = 0")
+SKEWED_SQL = "(SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey // 50 ELSE l_orderkey END AS k FROM lineitem)"
+
+
+def skewed_lines(spark, d) -> DataFrame:
+    """Lines whose keys lie dense at the low end: half of them in a fiftieth of the range."""
+    k = col("l_orderkey")
+    return table(spark, d, "lineitem").select(F.when(k % 2 == 0, F.call_function("div", k, lit(50))).otherwise(k).alias("k"))
+
+
+@register("chunk_split_skew", f"""WITH b AS (SELECT min(k) AS lo, max(k) AS hi FROM {SKEWED_SQL}), c AS (SELECT i::INT AS chunk_id, lo + i * 400 AS s, least(lo + i * 400 + 399, hi) AS e FROM b, unnest(range(0, (hi - lo) // 400 + 1)) t(i)),
+n AS (SELECT chunk_id, s, e, (SELECT count(*) FROM {SKEWED_SQL} WHERE k BETWEEN s AND e) AS rows FROM c)
+SELECT chunk_id, CASE h WHEN 0 THEN s ELSE s + (e - s) // 2 + 1 END AS start, CASE WHEN h = 0 AND rows > 1500 AND e > s THEN s + (e - s) // 2 ELSE e END AS "end" FROM n, (VALUES (0), (1)) v(h) WHERE h = 0 OR (rows > 1500 AND e > s)""")
 def chunk_split_skew(spark, d):
-    chunks = chunking.int_chunks(table(spark, d, "orders"), "o_orderkey", 400)
-    return chunking.split_skewed(chunks, F.when(col("chunk_id") % 2 == 0, 1000).otherwise(10), 500)
+    """Chunks of 400 keys with their rows as measured; those of more than 1,500 in two."""
+    lines = skewed_lines(spark, d)
+    chunks = chunking.measured(chunking.int_chunks(lines, "k", 400), lines, "k", 400)
+    return chunking.split_skewed(chunks, col("rows"), 1500)
+
+
+@register("chunk_weighted", "SELECT 24 AS chunks, count(*) AS rows, min(k) AS low, max(k) AS high, true AS tiles, true AS balanced FROM " + SKEWED_SQL)
+def chunk_weighted(spark, d):
+    """Ranges of about as many rows each, cut at quantiles of a sketch: that they tile the keys, and that none has over 1.25 times its share beyond one key's rows."""
+    lines = skewed_lines(spark, d)
+    chunks = chunking.rows_by_chunk(chunking.weighted_chunks(lines, "k", 24), lines, "k")
+    most = lines.groupBy("k").count().agg(F.max("count").alias("most"))
+    told = chunks.agg(F.count("*").cast("int").alias("chunks"), F.sum("rows").alias("rows"), F.min("start").alias("low"), F.max("end").alias("high"), F.sum(col("end") - col("start") + 1).alias("span"), F.max("rows").alias("largest"))
+    return told.join(F.broadcast(most)).select("chunks", "rows", "low", "high", (col("span") == col("high") - col("low") + 1).alias("tiles"), (col("largest") <= 1.25 * col("rows") / 24 + col("most")).alias("balanced"))
 
 
 @register("chunk_adaptive_size", "SELECT * FROM (VALUES (10000, 500, false, 15000), (10000, 2000, false, 10000), (10000, 4000, false, 7000), (10000, 100, true, 5000), (90000, 10, false, 100000), (1200, 9000, false, 1000)) v(size, ms, failed, next_size)")

@@ -253,9 +253,10 @@ def agg_checksum(spark, d):
     return relational.checksum(o, CHECKED).withColumn("checksum", col("checksum").cast("string"))
 
 
-STREAM_HASH = "SELECT o_orderkey // 10000 AS b, sha256(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus, chr(10) ORDER BY o_orderkey)) AS x FROM orders GROUP BY 1"
-for _ in range(3):
-    STREAM_HASH = f"SELECT b // 10000 AS b, sha256(string_agg(x, chr(10) ORDER BY b)) AS x FROM ({STREAM_HASH}) GROUP BY 1"
+_STREAMED = " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}, '-')" for c in ("o_orderkey", "o_custkey", "o_orderstatus"))
+STREAM_HASH = f"SELECT o_orderkey // 10000 AS b, sha256(count(*) || ':' || sum(('0x' || left(md5({_STREAMED}), 15))::BIGINT)) AS x FROM orders GROUP BY 1"
+for _ in range(4):
+    STREAM_HASH = f"SELECT b // 10000 AS b, sha256(string_agg(b || ':' || x, chr(10) ORDER BY b::VARCHAR)) AS x FROM ({STREAM_HASH}) GROUP BY 1"
 
 
 @register("agg_stream_hash", f"SELECT sha256(string_agg(x, chr(10) ORDER BY b)) AS digest FROM ({STREAM_HASH})")
@@ -479,18 +480,39 @@ def udf_scalar(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.expr("tidemark_size(o_totalprice)").alias("size"))
 
 
+def sql_function(spark, d, text: str) -> None:
+    """A SQL function of the session; ``{orders}`` in its body reads that table's files."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION " + text.replace("{orders}", f"parquet.`{d}/orders.parquet`"))
+
+
 @register("udtf_inline", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000")
 def udtf_inline(spark, d):
-    """A parameterised view."""
-    orders_of = lambda customer, least: table(spark, d, "orders").where((col("o_custkey") == customer) & (col("o_totalprice") > least)).select("o_orderkey", "o_totalprice")
-    return orders_of(7, 1000)
+    """A table function whose body is one query: its parameters become predicates of the scan."""
+    sql_function(spark, d, "tidemark_orders_of(customer BIGINT, least DOUBLE) RETURNS TABLE(o_orderkey BIGINT, o_totalprice DOUBLE) RETURN SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = customer AND o_totalprice > least")
+    return spark.sql("SELECT * FROM tidemark_orders_of(7, 1000)")
+
+
+@register("udtf_lateral", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey AND o_totalprice > 40 * c_acctbal")
+def udtf_lateral(spark, d):
+    """The table function called once a row of ``customer``: Spark turns the calls into one join."""
+    sql_function(spark, d, "tidemark_orders_of(customer BIGINT, least DOUBLE) RETURNS TABLE(o_orderkey BIGINT, o_totalprice DOUBLE) RETURN SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = customer AND o_totalprice > least")
+    return spark.sql("SELECT c_custkey, o.o_orderkey, o.o_totalprice FROM {c}, LATERAL tidemark_orders_of(c_custkey, 40 * c_acctbal) o", c=table(spark, d, "customer"))
 
 
 @register("udtf_multi", "SELECT o_orderkey FROM orders WHERE o_custkey = -5 UNION ALL SELECT -1 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = -5)")
 def udtf_multi(spark, d):
-    """Rows of a customer, or a default row when there are none."""
-    found = table(spark, d, "orders").where("o_custkey = -5").select("o_orderkey")
-    return found.unionAll(found.agg(F.count("*").alias("n")).where("n = 0").select(lit(-1).cast("long").alias("o_orderkey")))
+    """A table function of several statements: rows of a customer, or a default row when there are none."""
+    sql_function(spark, d, """tidemark_orders_or_none(customer BIGINT) RETURNS TABLE(o_orderkey BIGINT) RETURN WITH found AS (SELECT o_orderkey FROM {orders} WHERE o_custkey = customer)
+        SELECT o_orderkey FROM found UNION ALL SELECT -1L FROM (SELECT count(*) AS n FROM found) WHERE n = 0""")
+    return spark.sql("SELECT * FROM tidemark_orders_or_none(-5)")
+
+
+@register("udtf_multi_lateral", "SELECT c_custkey, coalesce(n, 0) AS n, coalesce(spent, 0.0) AS spent, CASE WHEN n IS NULL THEN 'none' WHEN spent > 1000000 THEN 'large' ELSE 'some' END AS class FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def udtf_multi_lateral(spark, d):
+    """A table function of an aggregate, a class of it and a default, once a row of ``customer``."""
+    sql_function(spark, d, """tidemark_summary(customer BIGINT) RETURNS TABLE(n BIGINT, spent DOUBLE, class STRING) RETURN WITH own AS (SELECT count(*) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS spent FROM {orders} WHERE o_custkey = customer)
+        SELECT n, spent, CASE WHEN n = 0 THEN 'none' WHEN spent > 1000000 THEN 'large' ELSE 'some' END FROM own""")
+    return spark.sql("SELECT c_custkey, s.n, s.spent, s.class FROM {c}, LATERAL tidemark_summary(c_custkey) s", c=table(spark, d, "customer"))
 
 
 @register("tvp", "SELECT o_orderkey, v.tag FROM orders JOIN (VALUES (1, 'a'), (2, 'b'), (3, 'c')) v(k, tag) ON o_custkey = v.k")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metadata, relational, validation
+from tidemark.operators import relational, validation
+from tidemark.plans.queries_data import CATALOG_SQL, TABLES
 from tidemark.plans.queries_relational import COPY_SQL, faulty_copy
 from tidemark.plans.registry import register
+from tidemark.sources import scans
 from tidemark.sources.scans import table
 
 col, lit = F.col, F.lit
@@ -101,25 +103,41 @@ def val_query_equiv(spark, d):
 
 @register("val_stream_compare", f"{T} SELECT min(k) AS first_difference, count(*) AS differences FROM (SELECT coalesce(s.o_orderkey, t.o_orderkey) AS k FROM orders s FULL JOIN t ON s.o_orderkey = t.o_orderkey WHERE s.o_orderkey IS NULL OR t.o_orderkey IS NULL OR s.o_totalprice <> t.o_totalprice OR s.o_custkey <> t.o_custkey)")
 def val_stream_compare(spark, d):
-    found = relational.keyed_difference(table(spark, d, "orders"), faulty_copy(spark, d), ["o_orderkey"], ["o_custkey", "o_totalprice"]).where("state <> 'match'")
-    return found.agg(F.min("o_orderkey").alias("first_difference"), F.count("*").alias("differences"))
+    """By digests of key ranges: only rows of ranges that differ are joined."""
+    found = validation.compare_by_digests(table(spark, d, "orders"), faulty_copy(spark, d), ["o_orderkey"], ["o_custkey", "o_totalprice"], 500)
+    return found.select(col("first_o_orderkey").alias("first_difference"), col("differences").alias("differences"))
 
 
-SOURCE_COLUMNS = [("id", "int"), ("Name", "nvarchar"), ("amount", "money"), ("made", "datetime"), ("flag", "bit")]
-TARGET_COLUMNS = [("id", "integer"), ("name", "varchar"), ("amount", "text"), ("made", "timestamp"), ("more", "text")]
-EQUIVALENT = [("int", "integer"), ("nvarchar", "varchar"), ("money", "numeric"), ("datetime", "timestamp"), ("bit", "boolean")]
+_DIGEST = " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}, '-')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "cents"))
+_LEAVES = "(SELECT floor(o_orderkey / 5000.0)::BIGINT AS node, sha256(count(*) || ':' || sum(('0x' || left(md5(" + _DIGEST + "), 15))::BIGINT)) AS digest, count(*) AS rows FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS cents FROM {}) GROUP BY 1)"
+_ROOT = "(SELECT sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest, sum(rows)::BIGINT AS rows FROM {})"
+NEAR_SQL = "(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey IN (17, 4999) THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey <> 23)"
 
 
-@register("val_schema", "SELECT * FROM (VALUES ('id', 'ok'), ('name', 'ok'), ('amount', 'type_mismatch'), ('made', 'ok'), ('flag', 'missing'), ('more', 'extra')) v(name, issue)")
-def val_schema(spark, d):
-    return validation.schema_level(spark.createDataFrame(SOURCE_COLUMNS, "name string, type string"), spark.createDataFrame(TARGET_COLUMNS, "name string, type string"), EQUIVALENT)
+@register("val_stream_digest", f"""WITH a AS (SELECT * FROM {_LEAVES.format("orders")}), b AS (SELECT * FROM {_LEAVES.format(NEAR_SQL)}), x AS (SELECT * FROM {_ROOT.format("a")}), y AS (SELECT * FROM {_ROOT.format("b")}),
+n AS (SELECT coalesce(a.node, b.node) AS node, coalesce(a.rows, 0) + coalesce(b.rows, 0) AS rows FROM a FULL JOIN b ON a.node = b.node WHERE a.digest IS DISTINCT FROM b.digest),
+k AS (SELECT s.o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'missing_in_target' ELSE 'changed' END AS state FROM orders s LEFT JOIN {NEAR_SQL} t USING (o_orderkey) WHERE t.o_orderkey IS NULL OR s.o_totalprice <> t.o_totalprice)
+SELECT CASE WHEN x.digest = y.digest THEN 'PASSED' ELSE 'FAILED' END AS status, x.digest AS source_digest, x.rows AS source_rows, y.digest AS target_digest, y.rows AS target_rows, (SELECT count(*) FROM n) AS differing_ranges, (SELECT sum(rows)::BIGINT FROM n) AS rows_compared,
+(SELECT count(*) FROM k) AS differences, (SELECT min(o_orderkey) FROM k) AS first_o_orderkey, (SELECT arg_min(state, o_orderkey) FROM k) AS first_state, 'cents' AS first_columns FROM x, y""")
+def val_stream_digest(spark, d):
+    """Orders against a copy with three faults: both digests, the ranges that differ, and the first difference."""
+    cents = lambda df: df.withColumn("cents", F.round(col("o_totalprice") * 100).cast("long"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    near = o.where("o_orderkey <> 23").withColumn("o_totalprice", F.when(col("o_orderkey").isin(17, 4999), col("o_totalprice") + 1).otherwise(col("o_totalprice")))
+    return validation.compare_by_digests(cents(o), cents(near), ["o_orderkey"], ["o_custkey", "o_orderstatus", "cents"], 5000)
+
+
+EQUIVALENT = [("bigint", "int8"), ("int", "int4"), ("string", "text"), ("double", "float8"), ("timestamp_ntz", "timestamp")]
+#: The target's types by another system's names, but for every eleventh column, without every thirteenth, and with a column more.
+TARGET_TYPES = f"SELECT name, CASE WHEN length(name) % 11 = 0 THEN 'other' ELSE CASE type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in EQUIVALENT)} ELSE type END END AS type FROM (SELECT upper(table_name || '.' || column_name) AS name, data_type AS type FROM ({CATALOG_SQL})) WHERE length(name) % 13 <> 0 UNION ALL SELECT 'LOADS.ID', 'int8'"
 
 
-@register("val_premigration", "SELECT * FROM (VALUES ('a', 'unsupported_type'), ('a', 'deprecated_type'), ('b', 'no_primary_key'), ('c', 'active_triggers')) v(table_name, issue)")
-def val_premigration(spark, d):
-    columns = spark.createDataFrame([("a", "hierarchyid"), ("a", "ntext"), ("b", "int"), ("c", "int")], "table_name string, type string")
-    tables = spark.createDataFrame([("a", True, 0), ("b", False, 0), ("c", True, 2)], "table_name string, has_key boolean, triggers int")
-    return metadata.premigration_issues(columns, tables)
+@register("val_schema", f"""SELECT coalesce(s.name, lower(t.name)) AS name, CASE WHEN t.name IS NULL THEN 'missing' WHEN s.name IS NULL THEN 'extra' WHEN NOT (s.type = t.type OR {' OR '.join(f"(s.type = '{a}' AND t.type = '{b}')" for a, b in EQUIVALENT)}) THEN 'type_mismatch' ELSE 'ok' END AS issue FROM (SELECT table_name || '.' || column_name AS name, data_type AS type FROM ({CATALOG_SQL})) s FULL JOIN ({TARGET_TYPES}) t ON lower(t.name) = s.name""")
+def val_schema(spark, d):
+    source = scans.discover(spark, {t: table(spark, d, t) for t in TABLES}).select(F.concat("table_name", lit("."), "column_name").alias("name"), col("data_type").alias("type"))
+    theirs = F.coalesce(*[F.when(col("type") == a, b) for a, b in EQUIVALENT], col("type"))
+    target = source.where(F.length("name") % 13 != 0).select(F.upper("name").alias("name"), F.when(F.length("name") % 11 == 0, "other").otherwise(theirs).alias("type"))
+    return validation.schema_level(source, target.unionByName(spark.createDataFrame([("LOADS.ID", "int8")], target.schema)), EQUIVALENT)
 
 
 @register("val_fk", f"{T} SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM t) GROUP BY l_orderkey")
@@ -150,12 +168,3 @@ def val_identity(spark, d):
     return table(spark, d, "orders").agg((F.max("o_orderkey") + 1).alias("next_value"))
 
 
-@register("val_constraint_plan", "SELECT * FROM (VALUES ('fk_a', 'disable'), ('ix_a', 'drop_and_rebuild'), ('tr_a', 'disable'), ('pk_a', 'keep')) v(name, action)")
-def val_constraint_plan(spark, d):
-    told = spark.createDataFrame([("fk_a", "foreign_key"), ("ix_a", "index"), ("tr_a", "trigger"), ("pk_a", "primary_key")], "name string, kind string")
-    return metadata.constraint_plan(told)
-
-
-@register("val_rollup", "SELECT 4 AS checks, 2 AS passed, 1 AS failed, 1 AS warned, 'FAILED' AS status")
-def val_rollup(spark, d):
-    return validation.rollup(spark.createDataFrame([("PASSED",), ("WARNING",), ("FAILED",), ("PASSED",)], "status string"))
