@@ -118,10 +118,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class HashLookup:
-    """An immutable map from 64-bit keys to floats with a vectorised ``get``; absent keys give 0."""
+    """An immutable map from 64-bit keys to floats with a vectorised ``get``; absent keys give 0.
+
+    It travels as its keys and values; each worker lays the slots out for itself.
+    """
+
+    def __reduce__(self) -> tuple:
+        return HashLookup, self.pairs
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys = keys.astype(np.uint64)
+        self.pairs = keys, values.astype(np.float32)
         bits = max(4, int(4 * max(len(keys), 1)).bit_length())
         self.shift = np.uint64(64 - bits)
         slot = (mix(keys) >> self.shift).astype(np.int64)
