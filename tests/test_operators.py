@@ -37,7 +37,7 @@ def one(spark, value, kind="string"):
         (lambda x: tsql.datediff("week", x.cast("timestamp_ntz"), F.lit("2024-01-07").cast("timestamp_ntz")), "2024-01-06", 1), (lambda x: tsql.datediff("hour", x.cast("timestamp_ntz"), F.lit("1969-12-31 23:00:00").cast("timestamp_ntz")), "1969-12-31 22:59:59", 1),
         (lambda x: tsql.dateadd("month", 1, x).cast("string"), "2024-01-31", "2024-02-29 00:00:00"), (lambda x: tsql.dateadd("quarter", -1, x).cast("string"), "2024-05-31", "2024-02-29 00:00:00"), (lambda x: tsql.datepart("week", x.cast("timestamp_ntz")), "2024-01-07", 2),
         (lambda x: masking.partial_email(x), "a@b@c.d", "a***@b@c.d"), (lambda x: masking.partial_email(x), "@b.c", "*@b.c"), (lambda x: masking.partial_email(x), "none", masking.REDACTED), (lambda x: masking.partial_email(x), None, None),
-        (lambda x: masking.last_four(x), "12", "****12"), (lambda x: masking.last_four(x), None, None), (lambda x: masking.money_to_decimal(x), "$1,234.5", decimal.Decimal("1234.5000")), (lambda x: masking.money_to_decimal(x), "free", None),
+        (lambda x: masking.last_four(x), "12", "****"), (lambda x: masking.last_four(x), "1-2345", "****2345"), (lambda x: masking.fpe_numeric(x), "none", "***REDACTED***"), (lambda x: masking.last_four(x), None, None), (lambda x: masking.money_to_decimal(x), "$1,234.5", decimal.Decimal("1234.5000")), (lambda x: masking.money_to_decimal(x), "free", None),
         (lambda x: masking.strip_trailing_nulls(x), "a\u0000b\u0000", "a\u0000b"), (lambda x: masking.redact(x), None, None), (lambda x: cdc.lsn_text(cdc.lsn_hex(x)), "0xA:1:2", "0x0000000a:00000001:0002"),
     ],
 )

@@ -51,16 +51,23 @@ def partial_email(x: Column) -> Column:
 
 
 def last_four(x: Column) -> Column:
+    """The last four digits after a mark; a value of four digits or fewer is hidden whole."""
     digits = F.regexp_replace(x.cast("string"), "[^0-9]", "")
-    return F.when(x.isNotNull(), F.concat(F.lit("****"), F.right(digits, F.lit(4))))
+    return F.when(F.length(digits) > 4, F.concat(F.lit("****"), F.right(digits, F.lit(4)))).when(x.isNotNull(), "****")
 
 
 def fpe_numeric(x: Column, salt: str = "") -> Column:
-    """A text of the same shape, each digit replaced by one drawn from the hash of the text and its place."""
-    digest = F.sha2(F.concat(F.lit(salt), x.cast("string")), 256)
-    chars = F.split(x.cast("string"), "")
-    moved = F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), (F.conv(F.substring(digest, (i % 64) + 1, F.lit(1)), 16, 10).cast("int") % 10).cast("string")).otherwise(c))
-    return F.array_join(moved, "")
+    """A text of the same shape, its digits replaced in order by those of the hash of its digits; without digits all is redacted."""
+    value = x.cast("string")
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    digest = F.sha2(F.concat(F.lit(salt), digits), 256)
+    chars = F.split(value, "")
+    # Each character with the number of digits before it, so that separators don't move the digits.
+    placed = F.aggregate(
+        chars, F.struct(F.lit("").alias("text"), F.lit(0).alias("n")),
+        lambda at, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(at["text"], (F.conv(F.substring(digest, at["n"] % 64 + 1, F.lit(1)), 16, 10).cast("int") % 10).cast("string")).alias("text"), (at["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(at["text"], c).alias("text"), at["n"].alias("n"))),
+    )["text"]
+    return F.when(digits == "", REDACTED).otherwise(placed)
 
 
 TRANSFORMS = {"identity": lambda x: x, "bit_to_bool": bit_to_bool, "money_to_decimal": money_to_decimal, "datetime_to_utc": datetime_to_utc, "strip_trailing_nulls": strip_trailing_nulls, "nullify": nullify, "redact": redact, "hash": sha256_text, "tokenize": tokenize, "partial_email": partial_email, "last_four": last_four, "fpe_numeric": fpe_numeric}

@@ -260,6 +260,9 @@ def isjson(x: Column) -> Column:
 
 
 def json_modify(x: Column, key: str, value: Column) -> Column:
-    """A top-level key of a flat object set to a value."""
-    fields = F.from_json(x, "map<string,string>")
-    return F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != key), F.create_map(lit(key), value.cast("string"))))
+    """A top-level key of an object set to a value of its own type; others keep their types and what is nested in them.
+
+    A null value takes the key out. Keys come out in order of their names. Texts that aren't an object give null.
+    """
+    fields = F.map_filter(F.try_variant_get(F.try_parse_json(x), "$", "map<string,variant>"), lambda k, _: k != key)
+    return F.to_json(F.when(value.isNull(), fields).otherwise(F.map_concat(fields, F.create_map(lit(key), value.cast("variant")))))

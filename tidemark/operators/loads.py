@@ -55,6 +55,37 @@ def quarantine(rows: DataFrame, bad: Column, key: str, chunk: int, cause: str) -
     return rows.where(bad).groupBy(floor_div(F.col(key), chunk).cast("long").alias("chunk_id")).agg(F.min(key).alias("key_start"), F.max(key).alias("key_end"), F.count("*").alias("bad_rows"), F.lit(cause).alias("cause"))
 
 
+#: From how many rows or MB on a table goes by files.
+OFFLOAD_ROWS, OFFLOAD_MB = 2_000_000, 256.0
+
+
+def offload_plan(tables: DataFrame, least_rows: int = OFFLOAD_ROWS, least_mb: float = OFFLOAD_MB, enabled: bool = True) -> DataFrame:
+    """(table_name, mode) of (table_name, rows, mb, same_server) rows: ``files`` for large tables, ``copy`` for others and within one server.
+
+    Unknown rows and sizes count as none.
+    """
+    large = (F.coalesce("rows", F.lit(0)) >= least_rows) | ((F.coalesce("mb", F.lit(0.0)) > 0) & (F.coalesce("mb", F.lit(0.0)) >= least_mb))
+    return tables.select("table_name", F.when(F.lit(enabled) & ~F.coalesce("same_server", F.lit(False)) & large, "files").otherwise("copy").alias("mode"))
+
+
+def as_csv_lines(df: DataFrame) -> DataFrame:
+    """One CSV line a row, quoted where needed, nulls as nothing; the header is ``df.columns``."""
+    return df.select(F.to_csv(F.struct(*df.columns), {"quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}).alias("line"))
+
+
+def as_html_rows(df: DataFrame) -> DataFrame:
+    """One row of an HTML table a row, values escaped."""
+
+    def safe(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text = F.replace(text, F.lit(sign), F.lit(entity))
+        return text
+
+    cells = [F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in df.columns]
+    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"))
+
+
 def as_json_lines(df: DataFrame) -> DataFrame:
     """One JSON object a row, keys in column order."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("line"))

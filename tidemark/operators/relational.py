@@ -54,13 +54,19 @@ def pivot_fixed(df: DataFrame, by: Sequence[str], key: str, values: Sequence[obj
 
 
 def pivot_found(df: DataFrame, by: Sequence[str], key: str, value: Column, most: int = 1000) -> DataFrame:
-    """As ``pivot_fixed``, for the values that the data has; there may be ``most`` of them."""
+    """As ``pivot_fixed``, for the values that the data has; there may be ``most`` of them, each a column. ``pivot_map`` takes any number."""
     values = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(most + 1).collect()]
     if len(values) > most:
-        raise ValueError(f"{key} has more than {most} values")
+        raise ValueError(f"{key} has more than {most} values; pivot_map has them in a map")
     return pivot_fixed(df, by, key, values, value)
 
 
+def pivot_map(df: DataFrame, by: Sequence[str], key: str, value: Column) -> DataFrame:
+    """A row a group with a map ``values`` from each value of ``key`` that it has to the aggregate: for any number of values, none of which passes through the driver."""
+    cells = df.where(F.col(key).isNotNull()).groupBy(*by, key).agg(value.alias("_v"))
+    return cells.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "_v")))).alias("values"))
+
+
 def unpivot_columns(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:
     """Columns as rows, without nulls."""
     return df.unpivot(list(ids), list(columns), name, value).where(F.col(value).isNotNull())

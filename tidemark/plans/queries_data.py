@@ -58,7 +58,14 @@ def scan_bounds(spark, d):
 
 @register("scan_lob_chunks", "SELECT doc_id, text FROM documents")
 def scan_lob_chunks(spark, d):
-    return scans.join_pieces(scans.read_in_pieces(table(spark, d, "documents"), "doc_id", "text", 1000), "doc_id", "text")
+    pieces = scans.in_pieces(table(spark, d, "documents").select("doc_id", "text"), "text", 1000)
+    return pieces.select("doc_id", F.array_join("pieces", "").alias("text"))
+
+
+@register("scan_lob_pieces", "SELECT doc_id, (p - 1)::INT AS piece, substring(text, ((p - 1) * 1000 + 1)::INT, 1000) AS part FROM documents, unnest(range(1, greatest(1, ceil(length(text) / 1000.0)::BIGINT) + 1)) t(p)")
+def scan_lob_pieces(spark, d):
+    """Pieces as rows of their own, for a target that takes them one at a time."""
+    return scans.read_in_pieces(table(spark, d, "documents"), "doc_id", "text", 1000)
 
 
 @register("row_count_estimate", "SELECT count(*) AS n FROM lineitem")
@@ -67,6 +74,19 @@ def row_count_estimate(spark, d):
     return table(spark, d, "lineitem").agg(F.count("*").alias("n"))
 
 
+@register("row_count_catalog", "SELECT 'analysed' AS name, count(*) AS n, true AS estimated FROM orders UNION ALL SELECT 'plain', count(*), false FROM orders")
+def row_count_catalog(spark, d):
+    """Rows by a table's statistics; a table without any is counted."""
+    out = []
+    for name in ("analysed", "plain"):
+        to = own_table(spark, name)
+        table(spark, d, "orders").select("o_orderkey").write.saveAsTable(to)
+        if name == "analysed":
+            spark.sql(f"ANALYZE TABLE {to} COMPUTE STATISTICS")
+        out.append((name, *scans.estimated_rows(spark, to)))
+    return spark.createDataFrame(out, "name string, n long, estimated boolean")
+
+
 @register("table_size_estimate")
 def table_size_estimate(spark, d):
     return scans.table_size_mb(spark, f"{d}/orders.parquet")
@@ -154,6 +174,26 @@ def sink_file_offload(spark, d):
     return into_table("offload", table(spark, d, "part").select("p_partkey", "p_name"))
 
 
+@register("sink_offload_plan", "SELECT t AS table_name, CASE WHEN t <> 'part' AND n >= 5000 THEN 'files' ELSE 'copy' END AS mode FROM (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'part', count(*) * 100 FROM part UNION ALL SELECT 'region', count(*) FROM region)")
+def sink_offload_plan(spark, d):
+    """Tables by their rows: large ones go by files, unless source and target are one server."""
+    n = lambda t, times=1: table(spark, d, t).agg((F.count("*") * times).alias("rows")).select(lit(t).alias("table_name"), "rows", lit(0.0).alias("mb"), lit(t == "part").alias("same_server"))
+    return loads.offload_plan(n("orders").unionByName(n("lineitem")).unionByName(n("part", 100)).unionByName(n("region")), 5000)
+
+
+@register("sink_report_csv", "SELECT c_custkey || ',' || CASE WHEN c_custkey % 3 = 0 THEN '\"a \"\"b\"\", ' || c_custkey || '\"' ELSE c_mktsegment END || ',' AS line FROM customer")
+def sink_report_csv(spark, d):
+    c = table(spark, d, "customer")
+    note = F.when(col("c_custkey") % 3 == 0, F.concat(lit('a "b", '), col("c_custkey").cast("string"))).otherwise(col("c_mktsegment"))
+    return loads.as_csv_lines(c.select("c_custkey", note.alias("note"), lit(None).cast("string").alias("empty")))
+
+
+@register("sink_report_html", "SELECT '<tr><td>' || c_custkey || '</td><td>&lt;' || replace(c_mktsegment, '&', '&amp;') || '&gt; &amp; &quot;x&quot;</td><td></td></tr>' AS line FROM customer")
+def sink_report_html(spark, d):
+    c = table(spark, d, "customer")
+    return loads.as_html_rows(c.select("c_custkey", F.concat(lit("<"), "c_mktsegment", lit('> & "x"')).alias("note"), lit(None).cast("string").alias("empty")))
+
+
 @register("copy_matrix", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def copy_matrix(spark, d):
     """One reader and one writer, whatever the formats."""
@@ -340,7 +380,8 @@ APPLIED_SQL = f"WITH {EVENTS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION
 @register("cdc_apply_upsert", APPLIED_SQL)
 def cdc_apply_upsert(spark, d):
     empty = spark.createDataFrame([], "o_orderkey long, o_totalprice double")
-    return cdc.apply_changes(empty, events(spark, d), ["o_orderkey"], ["o_totalprice"])
+    # The last event of each key absorbs repeats, so they need no shuffle of their own.
+    return cdc.apply_changes(empty, cdc.decode(changes(spark, d)), ["o_orderkey"], ["o_totalprice"])
 
 
 def stored(spark, name: str, buckets: int = 16) -> StoredTable:

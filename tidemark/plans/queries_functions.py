@@ -103,6 +103,9 @@ def fn_openjson(spark, d):
 
 over("fn_json_modify_isjson", *E, "CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END::INT AS ok, json_extract_string(props, '$.k') AS k, event_type AS t", lambda: dict(ok=T.isjson(F.when(col("event_id") % 2 == 0, col("props")).otherwise(lit("{broken"))), k=F.get_json_object(T.json_modify(col("props"), "t", col("event_type")), "$.k"), t=F.get_json_object(T.json_modify(col("props"), "t", col("event_type")), "$.t")))
 
+# Whole texts: a text, a number and a nested value set, an own number kept.
+over("fn_json_modify", *E, """json_merge_patch(props, json_object('t', event_type))::VARCHAR AS a, json_merge_patch(props, json_object('n', event_id))::VARCHAR AS b, json_merge_patch(json_merge_patch(props, '{"o":{"z":[1,true,"x"]}}'), json_object('t', event_type))::VARCHAR AS c""", lambda: dict(a=T.json_modify(col("props"), "t", col("event_type")), b=T.json_modify(col("props"), "n", col("event_id")), c=T.json_modify(F.concat(F.substring("props", lit(1), F.length("props") - 1), lit(',"o":{"z":[1,true,"x"]}}')), "t", col("event_type"))))
+
 
 @register("fn_for_json", "SELECT n_regionkey, '[' || string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']' AS j FROM nation GROUP BY n_regionkey")
 def fn_for_json(spark, d):
@@ -131,6 +134,9 @@ email = lambda: F.when(col("c_custkey") % 3 == 0, F.concat(F.lower(name()), lit(
 over("mask_partial_email", *C, "CASE c_custkey % 3 WHEN 0 THEN left(lower(c_name), 1) || '***@example.com' WHEN 1 THEN '*@example.com' ELSE '***REDACTED***' END AS v", lambda: dict(v=M.partial_email(email())))
 over("mask_last_four", *C, "'****' || right('4111-' || (c_custkey + 10000), 4) AS v", lambda: dict(v=M.last_four(F.concat(lit("4111-"), (col("c_custkey") + 10000).cast("string")))))
 over("mask_fpe_numeric", *C, "regexp_replace('AB-' || (c_custkey + 10000), '[0-9]', '9', 'g') AS shape", lambda: dict(shape=F.regexp_replace(M.fpe_numeric(F.concat(lit("AB-"), (col("c_custkey") + 10000).cast("string"))), "[0-9]", "9")))
+over("mask_last_four_short", *C, "CASE WHEN length('' || (c_custkey * 37)) > 4 THEN '****' || right('' || (c_custkey * 37), 4) ELSE '****' END AS v", lambda: dict(v=M.last_four((col("c_custkey") * 37).cast("string"))))
+MOVED_SQL = "array_to_string(list_transform(range(1, 6), lambda i: (('0x' || sha256('' || (c_custkey + 10000))[i])::INT % 10)::VARCHAR), '')"
+over("mask_fpe_digits", *C, f"CASE WHEN c_custkey % 9 = 0 THEN '***REDACTED***' ELSE left({MOVED_SQL}, 2) || '-' || ({MOVED_SQL})[3:] || ' x' END AS v", lambda: dict(v=M.fpe_numeric(F.when(col("c_custkey") % 9 == 0, "none").otherwise(F.concat(F.substring((col("c_custkey") + 10000).cast("string"), 1, 2), lit("-"), F.substring((col("c_custkey") + 10000).cast("string"), 3, 3), lit(" x"))))))
 over("tx_cdc_value_convert", *C, "CASE WHEN c_custkey % 2 = 1 THEN 'true' ELSE 'false' END AS b, '\\x' || lower(hex(c_name)) AS x, c_acctbal::DECIMAL(19,4)::VARCHAR AS m", lambda: dict(b=(col("c_custkey") % 2).cast("boolean").cast("string"), x=F.concat(lit("\\x"), F.lower(F.hex("c_name"))), m=col("c_acctbal").cast("decimal(19,4)").cast("string")))
 
 
@@ -142,12 +148,6 @@ def mask_pipeline(spark, d):
     return M.apply_pipeline(c, {"string": "strip_trailing_nulls"}, masks, {"segment": ["redact"]})
 
 
-@register("mask_policy", "SELECT * FROM (VALUES ('auto', 'email', 'hash'), ('auto', 'ssn', 'hash'), ('strict', 'email', 'hash'), ('strict', 'ssn', 'hash')) v(policy, column_name, mask)")
-def mask_policy(spark, d):
-    rows = [(p, c, m) for p in ("none", "auto", "strict") for c, m in sorted(M.mask_policy(["c_name", "email", "ssn", "c_acctbal"], p, {}).items())]
-    return spark.createDataFrame(rows, "policy string, column_name string, mask string")
-
-
 PII_SQL = "CASE " + " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}:{r}'" for p, k, r in M.CLASSES) + " ELSE 'none:' END"
 
 
@@ -156,3 +156,22 @@ def pii_classify(spark, d):
     names = [*table(spark, d, "customer").columns, "email", "SSN", "card_number", "patient_id", "api_key", "iban", "dob", "last_name", "city"]
     found = M.classify(col("column_name"))
     return spark.createDataFrame([(n,) for n in names], "column_name string").select("column_name", found["class"].alias("class"), found["reason"].alias("reason"))
+
+
+MASKS_SQL = " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in M.CLASS_MASKS.items())
+
+
+@register("mask_pipeline_orders", "SELECT o_orderkey, sha256(o_orderkey || '@example.com') AS email, '***REDACTED***' AS priority, CASE WHEN length('' || o_custkey) > 4 THEN '****' || right('' || o_custkey, 4) ELSE '****' END AS customer FROM orders")
+def mask_pipeline_orders(spark, d):
+    """Three transforms over every order: a hash by class, a redaction and the last four digits."""
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(col("o_orderkey").cast("string"), lit("@example.com")).alias("email"), col("o_orderpriority").alias("priority"), col("o_custkey").cast("string").alias("customer"))
+    return M.apply_pipeline(o, {}, M.mask_policy(o.columns, "auto", {}), {"priority": ["redact"], "customer": ["last_four"]})
+
+
+@register("mask_policy", f"SELECT p AS policy, n AS column_name, CASE split_part(x, ':', 1) {MASKS_SQL} END AS mask FROM (SELECT n, {PII_SQL} AS x FROM (SELECT DISTINCT column_name AS n FROM (DESCRIBE customer) UNION SELECT column_name FROM (DESCRIBE documents) UNION SELECT column_name FROM (DESCRIBE events) UNION SELECT c_mktsegment || '_email' FROM customer UNION SELECT event_type || '_ssn' FROM events)), (VALUES ('auto'), ('strict')) v(p) WHERE x <> 'none:'")
+def mask_policy(spark, d):
+    """Masks under each policy, of the tables' columns and of names that their rows give."""
+    held = table(spark, d, "customer").select(F.concat("c_mktsegment", lit("_email")).alias("n")).union(table(spark, d, "events").select(F.concat("event_type", lit("_ssn")))).distinct()
+    names = sorted({*table(spark, d, "customer").columns, *table(spark, d, "documents").columns, *table(spark, d, "events").columns, *(r["n"] for r in held.collect())})  # a few names
+    rows = [(p, c, m) for p in ("none", "auto", "strict") for c, m in sorted(M.mask_policy(names, p, {}).items())]
+    return spark.createDataFrame(rows, "policy string, column_name string, mask string")

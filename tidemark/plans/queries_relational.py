@@ -431,6 +431,13 @@ def pivot_dynamic(spark, d):
     return relational.pivot_found(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", F.sum("o_custkey"))
 
 
+@register("pivot_map", "SELECT l_returnflag, l_suppkey AS supplier, count(*) AS n FROM lineitem GROUP BY ALL")
+def pivot_map(spark, d):
+    """A map of as many suppliers as there are, read back as rows."""
+    wide = relational.pivot_map(table(spark, d, "lineitem"), ["l_returnflag"], "l_suppkey", F.count("*"))
+    return wide.select("l_returnflag", F.explode("values").alias("supplier", "n"))
+
+
 @register("unpivot", "SELECT l_orderkey, l_linenumber, l_partkey, measure, amount FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount FROM lineitem) UNPIVOT (amount FOR measure IN (l_quantity, l_discount))")
 def unpivot(spark, d):
     return relational.unpivot_columns(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_discount"], "measure", "amount")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,19 @@ def scan_bounds(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
 
 
+def in_pieces(df: DataFrame, column: str, length: int, name: str = "pieces") -> DataFrame:
+    """``df`` with a long text as an array of pieces of ``length`` characters, which stay in their row: nothing is shuffled to put them together."""
+    count = F.greatest(F.ceil(F.length(column) / length).cast("int"), F.lit(1))
+    return df.withColumn(name, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col(column), i * length + 1, F.lit(length))))
+
+
+def estimated_rows(spark: SparkSession, name: str) -> tuple[int, bool]:
+    """A table's rows by its catalog statistics and True; where it has none, as counted and False."""
+    told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    found = re.search(r"(\d+) rows", told.get("Statistics") or "")
+    return (int(found[1]), True) if found else (spark.table(name).count(), False)
+
+
 def read_in_pieces(df: DataFrame, key: str, column: str, length: int) -> DataFrame:
     """(key, piece, part): a long text in pieces of ``length`` characters, numbered from 0."""
     pieces = F.greatest(F.ceil(F.length(column) / length).cast("int"), F.lit(1))
