@@ -72,6 +72,16 @@ def test_digests_find_what_a_join_finds(spark):
     assert empty["status"] == "PASSED" and empty["source_digest"] is None
 
 
+def test_values_at_places_are_those_of_a_sort(spark):
+    draw = random.Random(6)
+    groups = {g: [draw.choice([draw.randrange(50), draw.randrange(10_000), 7]) for _ in range(n)] for g, n in (("a", 3000), ("b", 1), (None, 400), ("same", 0))}
+    groups["same"] = [5] * 200
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)]
+    found = relational.values_at(spark.createDataFrame(rows, "g string, v long").repartition(4), "g", "v", 16, low=F.lit(0), mid=F.call_function("div", F.col("n"), F.lit(2)), far=F.floor(F.col("n") * 0.95), beyond=F.col("n")).collect()
+    assert {r["g"]: tuple(r)[1:] for r in found} == {g: (x[0], x[len(x) // 2], x[int(len(x) * 0.95)], None) for g, x in ((g, sorted(v)) for g, v in groups.items())}
+    assert relational.values_at(spark.createDataFrame([("a", 1)], "g string, v long"), "g", "v", at=F.lit(9)).collect() == [("a", None)]
+
+
 # ---- loads and functions
 
 

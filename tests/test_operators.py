@@ -207,6 +207,7 @@ def test_equal_ranges_are_exact_on_large_and_repeated_keys(spark):
     shuffled = spark.range(n).select(((F.col("id") * 700_001) % n).alias("k"))
     found = sorted(tuple(r) for r in relational.equal_ranges(shuffled, "k", 8).collect())
     assert found == [(b + 1, b * n // 8, (b + 1) * n // 8 - 1, n // 8) for b in range(8)]
+    assert sorted(tuple(r) for r in relational.equal_ranges(shuffled, "k", 8, unique=True).collect()) == found
     keys = sorted([5] * 11 + [7] * 3 + [1, 2, 9])
     found = sorted(tuple(r) for r in relational.equal_ranges(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 4).collect())
     cut = [[k for i, k in enumerate(keys) if i * 4 // len(keys) == b] for b in range(4)]

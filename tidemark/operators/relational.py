@@ -134,41 +134,39 @@ def stream_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str], blo
     return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["digest"]), "\n"), 256).alias("digest"))
 
 
-def ranked_values(df: DataFrame, group: str, value: str, ranges: int = 64) -> DataFrame:
-    """(group, value, first, last, n): the exact places, from 0, of each distinct value among the n of its group.
+def values_at(df: DataFrame, group: str, value: str, ranges: int = 64, **places: Column) -> DataFrame:
+    """The group's values at exact places, from 0, each an expression of its number of values ``n``, as columns.
 
-    Approximate quantiles of each group deal its values to ranges; places are counted within a range, after the
-    rows of the ranges before it, so no group is sorted on one task. Null values have no place.
+    Approximate quantiles deal each group's values to ranges, which are counted; only values of the ranges that hold a
+    wanted place are shuffled and ranked. Null values have no place.
     """
-    known = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
-    bounds = known.groupBy("_g").agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_bounds"), F.count("*").alias("n"))
-    values = known.groupBy("_g", "_v").agg(F.count("*").alias("_times")).withColumnRenamed("_g", "_of")
-    values = values.join(bounds, F.col("_of").eqNullSafe(F.col("_g"))).select("_g", "_v", "_times", "n", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_place"))
-    sizes = values.groupBy("_g", "_place").agg(F.sum("_times").alias("_size"))  # at most ``ranges`` rows a group
-    before = sizes.select(F.col("_g").alias("_bg"), F.col("_place").alias("_bp"), (F.sum("_size").over(Window.partitionBy("_g").orderBy("_place")) - F.col("_size")).alias("_before"))
-    ahead = F.sum("_times").over(Window.partitionBy("_g", "_place").orderBy("_v")) - F.col("_times")
-    placed = values.select("*", ahead.alias("_ahead")).join(before, F.col("_g").eqNullSafe(F.col("_bg")) & (F.col("_place") == F.col("_bp")))
-    first = F.col("_before") + F.col("_ahead")
-    return placed.select(F.col("_g").alias(group), F.col("_v").alias(value), first.alias("first"), (first + F.col("_times") - 1).alias("last"), "n")
-
-
-def values_at(df: DataFrame, group: str, value: str, **places: Column) -> DataFrame:
-    """The group's values at exact places, each an expression of its number of values ``n``, as columns."""
-    ranked = ranked_values(df, group, value)
-    found = [F.max(F.when((place >= F.col("first")) & (place <= F.col("last")), F.col(value))).alias(name) for name, place in places.items()]
-    return ranked.groupBy(group).agg(*found)
-
-
-def equal_ranges(df: DataFrame, key: str, n: int, ranges: int = 32) -> DataFrame:
+    known = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_of"), F.col(value).alias("_v"))
+    bounds = known.groupBy(F.col("_of").alias("_g")).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_bounds"), F.count("*").alias("n"))
+    dealt = known.join(bounds, F.col("_of").eqNullSafe(F.col("_g"))).select("_g", "_v", "n", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_place"))
+    sizes = dealt.groupBy("_g", "_place").agg(F.count("*").alias("_size"), F.first("n").alias("n"))  # at most ``ranges`` rows a group
+    placed = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("_g").orderBy("_place")) - F.col("_size"))
+    held = F.col("_before") == 0  # so that each group comes back, with nulls for places beyond its values
+    for place in places.values():
+        held = held | ((place >= F.col("_before")) & (place < F.col("_before") + F.col("_size")))
+    wanted = placed.where(held).select(F.col("_g").alias("_wg"), F.col("_place").alias("_wp"), "_before")
+    times = dealt.join(wanted, F.col("_g").eqNullSafe(F.col("_wg")) & (F.col("_place") == F.col("_wp"))).groupBy("_g", "_place", "_before", "n", "_v").agg(F.count("*").alias("_times"))
+    first = F.col("_before") + F.sum("_times").over(Window.partitionBy("_g", "_place").orderBy("_v")) - F.col("_times")
+    ranked = times.withColumn("_first", first)
+    found = [F.max(F.when((place >= F.col("_first")) & (place < F.col("_first") + F.col("_times")), F.col("_v"))).alias(name) for name, place in places.items()]
+    return ranked.groupBy(F.col("_g").alias(group)).agg(*found)
+
+
+def equal_ranges(df: DataFrame, key: str, n: int, ranges: int = 32, unique: bool = False) -> DataFrame:
     """(bucket, low, high, rows) of ``n`` buckets by the exact rank of the key, with NTILE's sizes: the first ones have a row more.
 
     Approximate quantiles only deal the distinct keys to ``ranges``; ranks are counted within each range, after
     the rows of the ranges before it, so nothing is sorted on one task. Equal keys can lie in several buckets.
-    Null keys come last.
+    Null keys come last. Keys that are known to be ``unique`` are ranked as they are, others counted first.
     """
     bounds = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("bounds"))
     place = F.when(F.col("_key").isNull(), ranges).otherwise(F.size(F.filter("bounds", lambda b: b < F.col("_key"))))
-    keys = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).join(F.broadcast(bounds)).select("_key", "_n", place.alias("_place"))
+    counted = df.select(F.col(key).alias("_key"), F.lit(1).cast("long").alias("_n")) if unique else df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    keys = counted.join(F.broadcast(bounds)).select("_key", "_n", place.alias("_place"))
     sizes = keys.groupBy("_place").agg(F.sum("_n").alias("_size"))  # one row a range
     before = sizes.select("_place", (F.sum("_size").over(Window.orderBy("_place")) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_all"))
     ahead = F.sum("_n").over(Window.partitionBy("_place").orderBy(F.col("_key").asc_nulls_last())) - F.col("_n")

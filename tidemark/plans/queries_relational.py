@@ -338,7 +338,7 @@ def win_agg_over(spark, d):
 @register("win_ntile_ranges", "SELECT bucket, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS rows FROM (SELECT o_orderkey, (ntile(8) OVER (ORDER BY o_orderkey))::INT AS bucket FROM orders) GROUP BY bucket")
 def win_ntile_ranges(spark, d):
     """Equal-count ranges by exact ranks, counted within ranges of the key: no sort on one task."""
-    return relational.equal_ranges(table(spark, d, "orders"), "o_orderkey", 8)
+    return relational.equal_ranges(table(spark, d, "orders"), "o_orderkey", 8, unique=True)
 
 
 # --- order, limits, paging, sampling ------------------------------------------------------------
