@@ -231,6 +231,14 @@ def sink_delete_range(spark, d):
     return loads.reload_range(partly, "o_orderkey", 100, 200, o.where("o_orderkey BETWEEN 100 AND 200"))
 
 
+@register("sink_reload_range", "SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 100 AND 900 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE NOT (o_orderkey BETWEEN 100 AND 900 AND o_orderkey % 9 = 0)")
+def sink_reload_range(spark, d):
+    """A range whose rows have changed and gone at the source: twice reloaded, as if the first load had been lost."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    now = o.where("o_orderkey BETWEEN 100 AND 900 AND o_orderkey % 9 <> 0").withColumn("o_totalprice", col("o_totalprice") + 1)
+    return loads.reload_range(loads.reload_range(o, "o_orderkey", 100, 900, now), "o_orderkey", 100, 900, now)
+
+
 @register("sink_quarantine", "SELECT o_orderkey // 500 AS chunk_id, min(o_orderkey) AS key_start, max(o_orderkey) AS key_end, count(*) AS bad_rows, 'cast' AS cause FROM orders WHERE o_orderkey % 61 = 0 GROUP BY 1")
 def sink_quarantine(spark, d):
     o = table(spark, d, "orders").withColumn("amount", F.when(col("o_orderkey") % 61 == 0, "n/a").otherwise(col("o_totalprice").cast("string")))
@@ -314,9 +322,12 @@ def chunk_weighted(spark, d):
     return told.join(F.broadcast(most)).select("chunks", "rows", "low", "high", (col("span") == col("high") - col("low") + 1).alias("tiles"), (col("largest") <= 1.25 * col("rows") / 24 + col("most")).alias("balanced"))
 
 
-@register("chunk_adaptive_size", "SELECT * FROM (VALUES (10000, 500, false, 15000), (10000, 2000, false, 10000), (10000, 4000, false, 7000), (10000, 100, true, 5000), (90000, 10, false, 100000), (1200, 9000, false, 1000)) v(size, ms, failed, next_size)")
+@register("chunk_adaptive_size", """SELECT event_id, size, ms, failed, least(greatest(floor(CASE WHEN failed THEN size / 2.0 WHEN ms < 1000 THEN size * 1.5::DOUBLE WHEN ms > 3000 THEN size * 0.7::DOUBLE ELSE size END), 1000), 100000)::INT AS next_size
+FROM (SELECT event_id, (1000 + event_id * 137 % 99000)::INT AS size, (event_id * 61 % 5000)::INT AS ms, event_type = 'error' AS failed FROM events)""")
 def chunk_adaptive_size(spark, d):
-    told = spark.createDataFrame([(10000, 500, False), (10000, 2000, False), (10000, 4000, False), (10000, 100, True), (90000, 10, False), (1200, 9000, False)], "size int, ms int, failed boolean")
+    """Events as chunks that took a time of their own, errors as failures."""
+    k = col("event_id")
+    told = table(spark, d, "events").select("event_id", (1000 + k * 137 % 99_000).cast("int").alias("size"), (k * 61 % 5000).cast("int").alias("ms"), (col("event_type") == "error").alias("failed"))
     return told.withColumn("next_size", chunking.next_size(col("size"), col("ms"), col("failed")))
 
 

@@ -86,12 +86,14 @@ def val_l4_keys(spark, d):
     return validation.key_sample(table(spark, d, "orders"), faulty_copy(spark, d), ["o_custkey", "o_orderkey"], 0.2, ["o_orderstatus", "o_totalprice"], ["o_totalprice"])
 
 
-@register("val_row_hash_nulls", "SELECT * FROM (VALUES ('match', 2), ('mismatch', 3)) v(state, n)")
+@register("val_row_hash_nulls", """SELECT CASE WHEN c_custkey % 4 < 3 THEN 'mismatch' ELSE 'match' END AS state, count(*) AS n FROM customer GROUP BY 1""")
 def val_row_hash_nulls(spark, d):
-    """Null against empty and texts with separators don't match; equal rows do."""
-    kind = "k int, g string, a string, b string"
-    s = spark.createDataFrame([(1, "x", None, "x"), (2, "x", "a|b", "c"), (3, "x", "1:a", None), (4, "x", None, None), (5, "x", "a", "b")], kind)
-    t = spark.createDataFrame([(1, "x", "", "x"), (2, "x", "a", "b|c"), (3, "x", "1", ":a"), (4, "x", None, None), (5, "x", "a", "b")], kind)
+    """Customers under keys that are null in part: null against empty, moved separators and moved lengths don't match; equal rows do."""
+    k, seg = col("c_custkey"), col("c_mktsegment")
+    side = lambda a, b: table(spark, d, "customer").select(F.when(k % 5 != 0, k).alias("k"), k.alias("g"), a.alias("a"), b.alias("b"))
+    none = lit(None).cast("string")
+    s = side(F.when(k % 4 == 0, none).when(k % 4 == 1, F.concat(seg, lit("|x"))).when(k % 4 == 2, F.concat(lit("1:"), seg)), F.when(k % 4 == 1, "c").when(k % 4 == 3, seg))
+    t = side(F.when(k % 4 == 0, "").when(k % 4 == 1, seg).when(k % 4 == 2, "1"), F.when(k % 4 == 1, "x|c").when(k % 4 == 2, F.concat(lit(":"), seg)).when(k % 4 == 3, seg))
     return validation.hash_level(s, t, ["k", "g"], ["a", "b"])
 
 
