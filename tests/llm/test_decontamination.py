@@ -61,3 +61,25 @@ def test_query_against_sql(spark, data):
 def test_plan_has_no_python(spark, data):
     plan = D.find_hits(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_repeated_words_against_brute_force(spark):
+    """Texts of two words have few k-grams, so windows share least hashes in many places."""
+    import random
+
+    draw = random.Random(8)
+    some = lambda n: [draw.choice("ab") for _ in range(n)]
+    docs = [(i, some(draw.randint(0, 40))) for i in range(60)] + [(99, ["a"] * 60)]
+    items = [(i, some(n)) for i, n in enumerate((30, 18, 12, 10, 9, 7, 5, 4, 3))] + [(50, ["a"] * 25), (51, []), (52, ["c"] * 12)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_hit"], list(r["items"])) for r in D.find_hits(frame, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    for i, words in docs:
+        hit, names = set(), set()
+        for item, theirs in items:
+            m = min(10, len(theirs))
+            windows = {tuple(theirs[p : p + m]) for p in range(len(theirs) - m + 1)} if m else set()
+            for p in range(len(words) - m + 1) if m else ():
+                if tuple(words[p : p + m]) in windows:
+                    hit |= set(range(p, p + m))
+                    names.add(str(item))
+        assert found[i] == (len(hit), sorted(names)), i

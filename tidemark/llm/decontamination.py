@@ -1,11 +1,12 @@
 """Operator 3: benchmark decontamination by winnowing, with DataFrame functions only.
 
-A window is ``span`` consecutive words of a benchmark item, or a whole item that is shorter. Its fingerprint
-is the least hash of the k-grams of words within it. A document's windows are winnowed alike, so a shared
-window always has a shared fingerprint. Benchmark fingerprints go into a bitmap of bounded size, which all
-tasks look their windows up in as they read the texts; texts are read once and never shuffled. Windows that
-pass are joined to the benchmark's by their words, so hits are exact, and hits are extended to the words
-they cover.
+A window is ``span`` consecutive words of a benchmark item, or a whole item that is shorter. Its fingerprint is the
+least hash of the k-grams of words within it, the first of equal ones. Documents' windows are winnowed alike, so a
+shared window always has a shared fingerprint, at the same place in it. Benchmark fingerprints go into a bitmap of
+bounded size, which all tasks look their windows up in as they read the texts; texts are read once and never shuffled.
+Fingerprints that pass, each once for all windows that it stands for, are joined to the benchmark's with the words
+around them. A match is extended to both sides, as far as the words agree and its windows reach; from ``span`` words on
+it is a hit, so hits are exact.
 
 Very long texts are read whole, a row at a time. A window that several items share counts for each of them. A
 null text has no words. Items without words match nothing. Rows of one key with different texts are told
@@ -54,18 +55,55 @@ def positions(words: Column, span: int) -> Column:
     return F.when(n >= span, F.sequence(F.lit(1), n - span + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def benchmark_windows(items: DataFrame, item: str, text: str, span: int, k: int) -> DataFrame:
-    """(gram, length, print, items): the distinct windows with the ids of the items that have them."""
+MARK = "struct<length:int,print:bigint,at:int,before:int,around:array<string>>"
+
+
+def marks(words: Column, hashes: Column, span: int, k: int, windows: Column) -> Column:
+    """The fingerprints of windows, given by their places: each with its place and the words as far around it as a window with it can reach.
+
+    ``before`` of these words lie before the fingerprint's own.
+    """
+    reach = max(0, span - k)
+
+    def place(i: Column) -> Column:
+        return i + F.array_position(F.slice(hashes, i, F.lit(reach + 1)), fingerprint(words, hashes, i, span, k)).cast("int") - 1 if span >= k else i
+
+    def mark(at: Column) -> Column:
+        first = F.greatest(F.lit(1), at - reach)
+        print_ = F.element_at(hashes, at) if span >= k else fingerprint(words, hashes, at, span, k)
+        return F.struct(F.lit(span).alias("length"), print_.alias("print"), at.alias("at"), (at - first).alias("before"), F.slice(words, first, at - first + F.lit(min(span, k) + reach)).alias("around"))
+
+    return F.transform(F.array_distinct(F.transform(windows, place)), mark)
+
+
+def benchmark_marks(items: DataFrame, item: str, text: str, span: int, k: int) -> DataFrame:
+    """(length, print, before, around, items): the distinct fingerprints of all windows, with the ids of the items that have them."""
     worded = items.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
+    found, size = None, F.size("words")
 
     def cut(m: int) -> Column:
-        return bound(F.col("words"), lambda w: bound(gram_hashes(w, k), lambda h: F.transform(positions(w, m), lambda i: F.struct(F.slice(w, i, F.lit(m)).alias("gram"), fingerprint(w, h, i, m, k).alias("print")))))
+        return bound(F.col("words"), lambda w: bound(gram_hashes(w, k), lambda h: marks(w, h, m, k, positions(w, m))))
 
-    found, size = None, F.size("words")
     for m in (span, *range(1, span)):
-        part = worded.where(size >= span if m == span else size == m).select("item", F.lit(m).alias("length"), F.inline(cut(m)))
+        part = worded.where(size >= span if m == span else size == m).select("item", F.inline(cut(m)))
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("gram", "length", "print").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found.groupBy("length", "print", "before", "around").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def extended(k: int) -> tuple[Column, Column]:
+    """(words that agree to the left of a shared fingerprint, words that agree from it on), of ``around`` and ``before`` in a document and, after ``their_``, in an item."""
+
+    def agreeing(a: Column, b: Column) -> Column:
+        """How many words two lists share from their beginnings on."""
+        n = F.least(F.size(a), F.size(b))
+        same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y)
+        at = F.array_position(same, F.lit(False)).cast("int")
+        return F.when(at > 0, at - 1).otherwise(n)
+
+    head = lambda words, n: F.reverse(F.slice(words, F.lit(1), n))
+    tail = lambda words, n: F.slice(words, n + 1, F.size(words))
+    own, theirs = (F.col("around"), F.col("before")), (F.col("their_around"), F.col("their_before"))
+    return agreeing(head(*own), head(*theirs)), agreeing(tail(*own), tail(*theirs))
 
 
 def bitmap(windows: DataFrame, count: int) -> tuple[list[int], int]:
@@ -84,31 +122,33 @@ def bitmap(windows: DataFrame, count: int) -> tuple[list[int], int]:
 
 def find_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:
     """Per row of ``docs``: key, text_hash, n_words, n_hit, items (sorted ids)."""
-    windows = written(benchmark_windows(items, item, item_text, span, k), "windows")
-    told = windows.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items")).collect()
+    tests = written(benchmark_marks(items, item, item_text, span, k), "marks")
+    told = tests.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items")).collect()
     sizes, listed = {r["length"]: r["n"] for r in told}, sum(r["items"] for r in told)
     count = sum(sizes.values())
-    table, bits = bitmap(windows, count)
+    table, bits = bitmap(tests, count)
     member = F.lit(table).cast("array<bigint>")
 
     def may(print_: Column) -> Column:
         return bound(F.call_function("shiftrightunsigned", print_, F.lit(64 - bits)), lambda s: F.call_function("getbit", F.get(member, F.call_function("shiftright", s, F.lit(6)).cast("int")), (s % 64).cast("int")) == 1)
 
-    def candidates(w: Column, h: Column) -> Column:
+    def passing(w: Column, h: Column) -> Column:
         def of(m: int) -> Column:
-            return F.transform(F.filter(positions(w, m), lambda i: may(fingerprint(w, h, i, m, k))), lambda i: F.struct(i.alias("at"), F.lit(m).alias("length"), F.slice(w, i, F.lit(m)).alias("gram")))
+            return bound(F.filter(positions(w, m), lambda i: may(fingerprint(w, h, i, m, k))), lambda at: marks(w, h, m, k, at))
 
         passed = [of(m) for m in sorted(sizes)]
-        return F.concat(*passed) if passed else F.array().cast("array<struct<at:int,length:int,gram:array<string>>>")
+        return F.concat(*passed) if passed else F.array().cast(f"array<{MARK}>")
 
-    read = bound(words_of(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), bound(gram_hashes(w, k), lambda h: candidates(w, h)).alias("passed")))
+    read = bound(words_of(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), bound(gram_hashes(w, k), lambda h: passing(w, h)).alias("passed")))
     # Two uses of the struct's fields must not compute it twice: it is written as it is and taken apart afterwards.
     told = written(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), read.alias("read")), "passed")
     passed = told.where(F.size("read.passed") > 0).select("key", "text_hash", F.inline("read.passed"))
-    tests = windows.select("gram", "length", "items")
-    tests = F.broadcast(tests) if count <= BROADCAST_WINDOWS and listed <= BROADCAST_ITEMS else tests.hint("shuffle_merge")
-    hits = passed.join(tests, ["length", "gram"]).groupBy("key", "text_hash").agg(F.collect_set(F.struct("at", "length")).alias("spans"), F.collect_set("items").alias("items"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
+    theirs = tests.select("length", "print", F.col("before").alias("their_before"), F.col("around").alias("their_around"), "items")
+    theirs = F.broadcast(theirs) if count <= BROADCAST_WINDOWS and listed <= BROADCAST_ITEMS else theirs.hint("shuffle_merge")
+    left, right = extended(k)
+    met = passed.join(theirs, ["length", "print"]).select("key", "text_hash", "length", "at", "items", left.alias("left"), right.alias("right")).where("left + right >= length")
+    hits = met.groupBy("key", "text_hash").agg(F.collect_set(F.struct((F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right") - 1).alias("last"))).alias("spans"), F.collect_set("items").alias("items"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
     hits = hits.select(F.col("key").alias("hit_key"), F.col("text_hash").alias("hit_hash"), covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
     at = F.col("key").eqNullSafe(F.col("hit_key")) & (F.col("text_hash") == F.col("hit_hash"))
     return told.select("key", "text_hash", F.col("read.n_words").alias("n_words")).join(hits, at, "left").select(
