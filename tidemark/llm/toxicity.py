@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,6 +230,16 @@ def count_grams(rows: dict[str, list]) -> dict[str, Sequence]:
     return out
 
 
+def joined_bytes(values: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all values, one after another."""
+    parts = []
+    for c in values.chunks:
+        if len(c):
+            data, at = c.buffers()[2], c[0].as_buffer().address - c.buffers()[2].address
+            parts.append(np.frombuffer(data, np.uint8)[at : at + pc.sum(pc.binary_length(c)).as_py()])
+    return np.concatenate(parts) if parts else np.empty(0, np.uint8)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> ToxicityModel | None:
     """A model fitted on at most about ``max_docs`` of the rows of ``docs`` that ``labels`` covers; None without both classes."""
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
@@ -246,10 +258,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     table = counted.toArrow()
     if not table.num_rows:
         return None
-    found = table.column("gram").to_pylist()
-    is_word = np.array([len(g) == 8 for g in found], bool)
-    grams = np.frombuffer(b"".join([g for g in found if len(g) > 8]), np.uint32).reshape(-1, ORDER)
-    keys = np.frombuffer(b"".join([g for g in found if len(g) == 8]), np.uint64)
+    is_word = pc.equal(pc.binary_length(table.column("gram")), 8).to_numpy()
+    grams = joined_bytes(table.column("gram").filter(pa.array(~is_word))).view(np.uint32).reshape(-1, ORDER)
+    keys = joined_bytes(table.column("gram").filter(pa.array(is_word))).view(np.uint64)
     n = {(c, f): table.column(f"n{c}{f}").to_numpy().astype(np.float64) for c in (0, 1) for f in (0, 1)}
 
     def fitted(folds: tuple[int, ...]) -> tuple[Ratio, WordRatio]:
