@@ -235,8 +235,8 @@ def joined_bytes(values: pa.ChunkedArray) -> np.ndarray:
     parts = []
     for c in values.chunks:
         if len(c):
-            data, at = c.buffers()[2], c[0].as_buffer().address - c.buffers()[2].address
-            parts.append(np.frombuffer(data, np.uint8)[at : at + pc.sum(pc.binary_length(c)).as_py()])
+            ends = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[c.offset] : ends[c.offset + len(c)]])
     return np.concatenate(parts) if parts else np.empty(0, np.uint8)
 
 
