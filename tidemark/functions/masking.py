@@ -57,7 +57,7 @@ def last_four(x: Column) -> Column:
 
 
 def fpe_numeric(x: Column, salt: str = "") -> Column:
-    """A text of the same shape, its digits replaced in order by those of the hash of its digits; without digits all is redacted."""
+    """A text of the same shape, its digits replaced in order by those of the hash of its digits; a text without digits is redacted, an empty one stays."""
     value = x.cast("string")
     digits = F.regexp_replace(value, "[^0-9]", "")
     digest = F.sha2(F.concat(F.lit(salt), digits), 256)
@@ -67,7 +67,7 @@ def fpe_numeric(x: Column, salt: str = "") -> Column:
         chars, F.struct(F.lit("").alias("text"), F.lit(0).alias("n")),
         lambda at, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(at["text"], (F.conv(F.substring(digest, at["n"] % 64 + 1, F.lit(1)), 16, 10).cast("int") % 10).cast("string")).alias("text"), (at["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(at["text"], c).alias("text"), at["n"].alias("n"))),
     )["text"]
-    return F.when(digits == "", REDACTED).otherwise(placed)
+    return F.when((digits == "") & (value != ""), REDACTED).otherwise(placed)
 
 
 TRANSFORMS = {"identity": lambda x: x, "bit_to_bool": bit_to_bool, "money_to_decimal": money_to_decimal, "datetime_to_utc": datetime_to_utc, "strip_trailing_nulls": strip_trailing_nulls, "nullify": nullify, "redact": redact, "hash": sha256_text, "tokenize": tokenize, "partial_email": partial_email, "last_four": last_four, "fpe_numeric": fpe_numeric}
