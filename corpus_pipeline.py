@@ -4,7 +4,7 @@ Each stage works on all rows that the one before it kept and returns the columns
 returns encoded texts. What a stage returns is written to the shared folder and read again for the next.
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables, and columns
-beside those of ``documents``, whose names don't clash with its own. Null and empty texts are no more toxic than
+beside those of ``documents`` under any names, which come through all stages but the last. Null and empty texts are no more toxic than
 a text that tells nothing, are near-duplicates of each other (as are other texts without words), hold no
 benchmark passage and no secret, and are encoded as null and as no pieces. Of equal rows one stays from the
 near-dedup on; of rows of one key with different texts each is judged by its own text. Ties: a toxicity equal to
@@ -48,7 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces, with the scores and digests of its N best segmentations."""
+    """Every document's best segmentation and the changes that make the other N best of it, with scores and digests."""
     return segmentation.encode_documents(docs, nbest_ids=False)
 
 
