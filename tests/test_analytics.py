@@ -1,6 +1,7 @@
 """Comparisons, loads, graphs, chunk plans and assessments against brute force and on odd rows."""
 
 import datetime
+import hashlib
 import json
 import random
 
@@ -243,3 +244,11 @@ def test_phases_follow_the_weeks(spark):
 def test_dates_are_told_in_reports(spark):
     df = spark.createDataFrame([(datetime.date(2024, 1, 2), 1.5)], "d date, x double")
     assert loads.as_csv_lines(df).first()[0] == "2024-01-02,1.5"
+
+
+def test_numbers_of_more_than_five_digits_are_masked_by_all_of_them(spark, tmp_path):
+    keys = [1, 89_999, 90_000, 90_001, 899_999, 12_345_678, 9]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    moved = {k: "".join(str(int(h, 16) % 10) for h in hashlib.sha256(str(k + 10_000).encode()).hexdigest()[:5]) for k in keys}
+    want = {k: "***REDACTED***" if k % 9 == 0 else f"{v[:2]}-{v[2:]} x" for k, v in moved.items()}
+    assert {r["c_custkey"]: r["v"] for r in QUERIES["mask_fpe_digits"](spark, str(tmp_path)).collect()} == want
