@@ -252,3 +252,10 @@ def test_numbers_of_more_than_five_digits_are_masked_by_all_of_them(spark, tmp_p
     moved = {k: "".join(str(int(h, 16) % 10) for h in hashlib.sha256(str(k + 10_000).encode()).hexdigest()[:5]) for k in keys}
     want = {k: "***REDACTED***" if k % 9 == 0 else f"{v[:2]}-{v[2:]} x" for k, v in moved.items()}
     assert {r["c_custkey"]: r["v"] for r in QUERIES["mask_fpe_digits"](spark, str(tmp_path)).collect()} == want
+
+
+def test_alerts_reach_back_to_the_microsecond(spark, tmp_path):
+    now = datetime.datetime(2024, 1, 30, 12, 0, 0, 500_000)
+    back = [datetime.timedelta(0), datetime.timedelta(hours=72), datetime.timedelta(hours=72, microseconds=1), datetime.timedelta(hours=72, microseconds=400_000), datetime.timedelta(hours=71)]
+    spark.createDataFrame([(12 * i, 1, now - b) for i, b in enumerate(back)], "event_id long, user_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in QUERIES["ops_alerts"](spark, str(tmp_path)).collect()] == [("warning", 3)]

@@ -238,8 +238,8 @@ def metrics_text(metrics: DataFrame) -> DataFrame:
 
 
 def alerts(jobs: DataFrame, now: Column, hours: int = 72) -> DataFrame:
-    """Failed jobs of the last hours by severity: more than three retries are critical."""
-    recent = jobs.where((F.col("status") == "FAILED") & (F.unix_timestamp(now) - F.unix_timestamp(F.col("ended").cast("timestamp")) <= hours * 3600))
+    """Failed jobs of the last hours, to the microsecond, by severity: more than three retries are critical. Both times are of one type."""
+    recent = jobs.where((F.col("status") == "FAILED") & (F.col("ended") >= now - F.make_dt_interval(hours=F.lit(hours))))
     return recent.groupBy(F.when(F.col("retries") > 3, "critical").otherwise("warning").alias("severity")).agg(F.count("*").alias("n"))
 
 

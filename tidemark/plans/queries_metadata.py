@@ -349,7 +349,7 @@ def jobs(spark, d):
 @register("ops_alerts", f"SELECT CASE WHEN retries > 3 THEN 'critical' ELSE 'warning' END AS severity, count(*) AS n FROM {JOBS_SQL} WHERE status = 'FAILED' AND ended >= (SELECT max(ts) FROM events) - INTERVAL 72 HOUR GROUP BY 1")
 def ops_alerts(spark, d):
     last = table(spark, d, "events").agg(F.max("ts").alias("now"))
-    return M.alerts(jobs(spark, d).join(F.broadcast(last)), col("now").cast("timestamp"))
+    return M.alerts(jobs(spark, d).join(F.broadcast(last)), col("now"))
 
 
 @register("ops_retention", f"SELECT job_id FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ended DESC, job_id) AS r FROM {JOBS_SQL}) WHERE status NOT IN ('RUNNING', 'FAILED') AND r > 20 AND (SELECT max(ts)::DATE FROM events) - ended::DATE >= 5")
