@@ -262,3 +262,13 @@ def test_migration_rules_take_nulls_and_any_case(spark):
     rows = [("a", "int", None, "int", False), ("b", "int", True, "int", None), ("c", None, False, None, None), ("d", "alias_type", False, "int", False)]
     found = dict(map(tuple, metadata.transfer_preflight(spark.createDataFrame(rows, kinds)).collect()))
     assert found == {"a": "blocker:nulls", "b": "ok", "c": "blocker:missing", "d": "warning:alias"}
+
+
+def test_pages_join_no_table_on_one_task(spark):
+    rows = [("a", f"{n:020x}", 1) for n in range(300)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cdc.pages(spark.createDataFrame(rows, "table_name string, lsn string, seq long"), 30)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

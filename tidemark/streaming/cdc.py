@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sources import files
+from tidemark.sources.scratch import cut_lineage
 
 OPERATIONS = {1: "DELETE", 2: "INSERT", 4: "UPDATE"}  # 3 is the row before an update
 
@@ -214,18 +215,15 @@ def stream_lag(captured: DataFrame, applied: DataFrame) -> DataFrame:
 def pages(events: DataFrame, rows: int, ranges: int = 64) -> DataFrame:
     """Events with the poll (page) that brings them, by position within each table.
 
-    Approximate quantiles of the LSN deal a table's events to ranges; places are counted within a range, after the
-    rows of the ranges before it, so no table's events are sorted on one task unless they share one LSN.
+    Events are dealt to ranges by table and position and sorted there, so no task has a table of its own. An event's
+    place is that within its range, after what its table has in the ranges before, of which there is a row a range and
+    table.
     """
-    digits = lambda at: F.conv(F.substring("lsn", at, 10), 16, 10).cast("double")
-    # A double keeps the order of LSNs; those too near to tell apart share a range.
-    mark = digits(1) * 2.0**40 + digits(11)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    bounds = events.groupBy(F.col("table_name").alias("_of")).agg(F.percentile_approx(mark, [i / ranges for i in range(1, ranges)], 10_000).alias("_bounds"))
-    place = F.when(F.col("lsn").isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < mark)))
-    dealt = events.join(bounds, same("table_name", "_of")).withColumn("_range", place).drop("_of", "_bounds")
-    sizes = dealt.groupBy(F.col("table_name").alias("_of"), F.col("_range").alias("_at")).agg(F.count("*").alias("_size"))  # at most ``ranges`` + 1 rows a table
-    before = sizes.select("_of", "_at", (F.sum("_size").over(Window.partitionBy("_of").orderBy("_at")) - F.col("_size")).alias("_before"))
-    ahead = F.row_number().over(Window.partitionBy("table_name", "_range").orderBy("lsn", "seq")) - 1
-    placed = dealt.withColumn("_ahead", ahead).join(before, same("table_name", "_of") & (F.col("_range") == F.col("_at")))
-    return placed.withColumn("page", F.call_function("div", F.col("_before") + F.col("_ahead"), F.lit(rows)).cast("int")).drop("_range", "_ahead", "_of", "_at", "_before")
+    order = ["table_name", "lsn", "seq"]
+    dealt = events.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(dealt.select("*", F.spark_partition_id().alias("_range"), (F.monotonically_increasing_id() % (1 << 33)).alias("_at")))
+    sizes = placed.groupBy(F.col("table_name").alias("_of"), F.col("_range").alias("_in")).agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
+    ahead = F.sum("_size").over(Window.partitionBy("_of").orderBy("_in")) - F.col("_size") - F.col("_first")
+    before = F.broadcast(sizes.select("_of", "_in", ahead.alias("_before")))
+    numbered = placed.join(before, F.col("table_name").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
+    return numbered.withColumn("page", F.call_function("div", F.col("_before") + F.col("_at"), F.lit(rows)).cast("int")).select(*events.columns, "page")
