@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.sources import files
 from tidemark.sources.scratch import new_folder
 from tidemark.streaming import cdc
-from tidemark.streaming.poll import START, ChangeFiles, PollReader, poll, poll_into
+from tidemark.streaming.poll import START, ChangeFiles, PollReader, pages_of, poll, poll_into
 from tidemark.streaming.store import StoredTable, take_snapshot
 
 EVENT = "k long, v string, op string, lsn string, seq long, table_name string"
@@ -245,3 +245,39 @@ def test_change_folders_of_files_apply_once(spark):
         cdc.apply_files(spark, source, change, target, points, files_per_batch=1).awaitTermination()
     assert rows_of(target) == applied(rows) and target.versions()[-1] == 4
     assert target.positions().select(F.col("table_name")).first()[0] == "changes"
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_a_batch_of_many_polls_ends_where_single_polls_do(spark, monkeypatch, shuffled):
+    path, rows = new_folder(spark, "log"), random_events(1000, 9, 8) + [(1, "tie", "INSERT", 334, 7)] * 3
+    if shuffled:
+        random.Random(1).shuffle(rows)
+        events(spark, *rows).coalesce(5).write.parquet(path)
+    else:
+        events(spark, *rows).repartitionByRange(9, "lsn").sortWithinPartitions("lsn", "seq").write.parquet(path)
+    events(spark, (1, "none", "INSERT", 1, 1)).withColumn("lsn", F.lit(None).cast("string")).write.mode("append").parquet(path)
+    ordered = sorted((f"{e[3]:020x}", e[4]) for e in rows)
+    for at_driver in (1_000_000, 60):
+        monkeypatch.setattr("tidemark.streaming.poll.AT_DRIVER", at_driver)
+        found, at, passed = ChangeFiles(path), START, 0
+        while end := found.end_of_polls(at, 20, 7):
+            read = sorted((r["lsn"], r["seq"]) for p in PollReader({"path": path, "limit": "20", "polls": "7", "splits": "3"}, None).partitions(dict(zip(("lsn", "seq"), at)), dict(zip(("lsn", "seq"), end))) for b in found.read(p.units, p.low, p.high, ["lsn", "seq"]) for r in b.to_pylist())
+            assert read == ordered[passed : passed + len(read)] and (len(read) % 20 == 0 and 0 < len(read) <= 140 or passed + len(read) == len(ordered))
+            assert at_driver == 60 or len(read) == 140 or passed + len(read) == len(ordered)
+            at, passed = end, passed + len(read)
+        assert passed == len(ordered)
+
+
+def test_many_polls_take_few_batches(spark):
+    path, to, rows = new_folder(spark, "log"), new_folder(spark, "polls"), random_events(1000, 9, 9)
+    write_log(spark, rows[:905], path, 5)
+    points = new_folder(spark, "points")
+    for more in (None, rows[905:]):
+        if more:
+            write_log(spark, more, path, 1)
+        stream = pages_of(spark, poll(spark, path, 10, EVENT, polls=40), to, points, 10)
+        stream.processAllAvailable()
+        stream.stop()
+    pages = sorted((r["lsn"], r["seq"], r["page"]) for r in spark.read.schema(f"{EVENT}, page int").parquet(f"{to}/poll=*").collect())
+    assert [p for _, _, p in pages] == [*[i // 10 for i in range(905)], *[91 + i // 10 for i in range(95)]]
+    assert len([n for n in files.names(spark, to) if n.startswith("poll=")]) == 4

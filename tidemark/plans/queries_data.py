@@ -550,6 +550,10 @@ def cdc_fsm(spark, d):
     return spark.createDataFrame(cdc.run_states(["START", "SNAPSHOT_BEGIN", "SNAPSHOT_DONE", "PAUSE", "RESUME", "CATCHUP_DONE", "STOP", "COMPLETE"]), "step int, from_state string, event string, to_state string")
 
 
+#: Bytes of a row group of a polled log, so that the driver reads the positions of few events where a batch ends.
+GROUP = 4 << 20
+
+
 @register("cdc_poll_loop", f"WITH {EVENTS_SQL}, p AS (SELECT table_name, ((row_number() OVER (PARTITION BY table_name ORDER BY lsn, seq) - 1) // 500)::INT AS page FROM e) SELECT table_name, page, count(*) AS rows, count(*) < 500 AS streaming FROM p GROUP BY table_name, page")
 def cdc_poll_loop(spark, d):
     """A stream source that polls 500 events by (lsn, seq), for two tables at once: a poll that isn't full ends the catch-up."""
@@ -572,10 +576,10 @@ def cdc_poll_pages(spark, d):
 
 @register("cdc_poll_apply", APPLIED_SQL)
 def cdc_poll_apply(spark, d):
-    """Polls of a change table applied in order to a stored one, with their positions."""
+    """Polls of 5,000 events of a change table applied in order to a stored one, with their positions; up to 2,000 polls that are there at a time."""
     log, target = new_folder(spark, "log"), stored(spark, "polled")
-    events(spark, d).repartitionByRange(4, "lsn").sortWithinPartitions("lsn", "seq").write.parquet(log)
-    changed = poll(spark, log, 5000, "o_orderkey long, o_totalprice double, op string, lsn string, seq long, table_name string")
+    events(spark, d).repartitionByRange("lsn").sortWithinPartitions("lsn", "seq").write.option("parquet.block.size", GROUP).parquet(log)
+    changed = poll(spark, log, 5000, "o_orderkey long, o_totalprice double, op string, lsn string, seq long, table_name string", polls=2000, splits=64)
     stream = poll_into(target, changed, new_folder(spark, "points"), 5000)
     stream.processAllAvailable()
     stream.stop()
