@@ -556,11 +556,14 @@ GROUP = 4 << 20
 
 @register("cdc_poll_loop", f"WITH {EVENTS_SQL}, p AS (SELECT table_name, ((row_number() OVER (PARTITION BY table_name ORDER BY lsn, seq) - 1) // 500)::INT AS page FROM e) SELECT table_name, page, count(*) AS rows, count(*) < 500 AS streaming FROM p GROUP BY table_name, page")
 def cdc_poll_loop(spark, d):
-    """A stream source that polls 500 events by (lsn, seq), for two tables at once: a poll that isn't full ends the catch-up."""
+    """A stream source that polls 500 events by (lsn, seq), for two tables at once: a poll that isn't full ends the catch-up.
+
+    A batch takes up to 4,000 polls that are there.
+    """
     log, to = new_folder(spark, "log"), new_folder(spark, "polls")
-    events(spark, d).repartitionByRange(4, "lsn").sortWithinPartitions("lsn", "seq").write.partitionBy("table_name").parquet(log)
+    events(spark, d).repartitionByRange("lsn").sortWithinPartitions("table_name", "lsn", "seq").write.partitionBy("table_name").option("parquet.block.size", GROUP).parquet(log)
     names = ("even", "odd")
-    running = [pages_of(spark, poll(spark, f"{log}/table_name={t}", 500, "o_orderkey long, op string, lsn string, seq long"), f"{to}/{t}", new_folder(spark, "points")) for t in names]
+    running = [pages_of(spark, poll(spark, f"{log}/table_name={t}", 500, "o_orderkey long, op string, lsn string, seq long", polls=4000, splits=32), f"{to}/{t}", new_folder(spark, "points"), 500) for t in names]
     for stream in running:
         stream.processAllAvailable()
         stream.stop()
