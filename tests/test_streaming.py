@@ -281,3 +281,16 @@ def test_many_polls_take_few_batches(spark):
     pages = sorted((r["lsn"], r["seq"], r["page"]) for r in spark.read.schema(f"{EVENT}, page int").parquet(f"{to}/poll=*").collect())
     assert [p for _, _, p in pages] == [*[i // 10 for i in range(905)], *[91 + i // 10 for i in range(95)]]
     assert len([n for n in files.names(spark, to) if n.startswith("poll=")]) == 4
+
+
+def test_state_of_repeats_lies_on_disk(spark):
+    path, to = new_folder(spark, "days"), new_folder(spark, "once")
+    batches(spark, path, *[[(i * 10 + j, day(i)) for j in range(10)] + [((i - 1) * 10 + j, day(i - 1)) for j in range(4) if i] for i in range(4)])
+    stream = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    kept = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(kept)
+    with cdc.state_on_disk(spark):
+        query = cdc.drop_repeats(stream, "ts", "2 days", ["id"]).writeStream.format("parquet").option("path", to).option("checkpointLocation", new_folder(spark, "points")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(to).collect()) == list(range(40))
+    assert any("rocksdb" in k for p in query.recentProgress for s in p["stateOperators"] for k in s["customMetrics"]) and spark.conf.get(kept) == before

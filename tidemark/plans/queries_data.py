@@ -434,8 +434,12 @@ def captured_in_bands(spark, d, bands: int = 6) -> tuple[str, str]:
     band = F.least(F.floor(share * bands), lit(bands - 1)).cast("int")
     twice = e.where("o_orderkey % 11 = 0").dropDuplicates(["table_name", "lsn", "seq", "op"])
     dealt = e.dropDuplicates(["table_name", "lsn", "seq", "op"]).withColumn("band", band).unionByName(twice.withColumn("band", band + 1))
+    # Made once; each band is then copied to its file in turn, as a stream takes files by their age.
+    staged = new_folder(spark, "staged")
+    dealt.write.partitionBy("band").parquet(staged)
+    found = spark.read.schema(dealt.schema).parquet(staged)
     for i in range(bands + 1):
-        dealt.where(col("band") == i).drop("band").coalesce(1).write.parquet(f"{path}/band={i}")
+        found.where(col("band") == i).drop("band").coalesce(1).write.parquet(f"{path}/band={i}")
     return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.drop("band").schema)
 
 
@@ -446,7 +450,9 @@ def cdc_dedup(spark, d):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/band=*")
     once = cdc.drop_repeats(stream, "ts", "900 days").select("o_orderkey", "op", "seq")
     to = new_folder(spark, "once")
-    once.writeStream.format("parquet").option("path", to).option("checkpointLocation", new_folder(spark, "points")).trigger(availableNow=True).start().awaitTermination()
+    with cdc.state_on_disk(spark):
+        query = once.writeStream.format("parquet").option("path", to).option("checkpointLocation", new_folder(spark, "points")).trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema("o_orderkey long, op string, seq long").parquet(to)
 
 

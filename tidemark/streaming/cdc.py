@@ -6,7 +6,8 @@ their order. Applying is idempotent: the target keeps each key's last position,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -170,12 +171,33 @@ def apply_files(spark: SparkSession, source: str, schema: str, target, checkpoin
 def drop_repeats(stream: DataFrame, time: str, delay: str, identity: Sequence[str] = ("table_name", "lsn", "seq", "op")) -> DataFrame:
     """One event of each identity of a stream, if repeats come within ``delay`` of event time.
 
-    State holds the identities of the last ``delay`` only, however long the stream runs. Events later than that are
+    State holds the identities of the last ``delay`` only, however long the stream runs; start it within
+    ``state_on_disk`` where these are more than memory holds. Events later than that are
     dropped with the repeats; ``split_late`` keeps them apart first.
     """
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([c for c in identity if c in stream.columns])
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB on the executors' disks, in memory of a bounded size, not in the heap."""
+    store = "spark.sql.streaming.stateStore"
+    wanted = {
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{store}.rocksdb.boundedMemoryUsage": "true",
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+        f"{store}.rocksdb.trackTotalNumberOfRows": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def split_late(batch: DataFrame, time: str, mark: object) -> tuple[DataFrame, DataFrame]:
     """(on time, late) rows of a batch: late are those before the mark. Rows without a time are on time."""
     late = F.coalesce(F.col(time) < F.lit(mark), F.lit(False)) if mark is not None else F.lit(False)
