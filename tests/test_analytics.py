@@ -267,3 +267,12 @@ def test_the_root_digest_is_that_of_all_ranges_in_order(spark):
     leaves = sorted((r["node"], r["digest"]) for r in tree.levels[0].collect())
     assert len(leaves) > validation.FANOUT
     assert tree.root == (hashlib.sha256(",".join(f"{n}:{d}" for n, d in leaves).encode()).hexdigest(), 1000)
+
+
+def test_a_routine_is_searched_once_from_the_hardest_pattern_down(spark):
+    texts = ["exec sp_executesql @q", "merge into t", "select 1 for json path", "select 1", None, "", "'cursor'", "goto a; fetch next"]
+    df = spark.createDataFrame([(i, t, i == 3) for i, t in enumerate(texts)], "name int, body string, is_function boolean")
+    found = metadata.assess_routines(df)
+    assert [(r["difficulty"], r["tier"]) for r in found.orderBy("name").collect()] == [("extreme", "BLOCKER"), ("complex", "WARNING"), ("simple", "WARNING"), ("simple", "WARNING"), ("extreme", "BLOCKER"), ("extreme", "BLOCKER"), ("simple", "SAFE"), ("complex", "WARNING")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= len(metadata.ROUTINE_PATTERNS)

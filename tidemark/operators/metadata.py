@@ -150,15 +150,17 @@ def assess_routines(routines: DataFrame) -> DataFrame:
     which is a blocker of its own.
     """
     text = F.trim(F.coalesce("body", F.lit("")))
-    outside, upper, read = F.lower(F.regexp_replace(text, "'(''|[^'])*'", "''")), F.upper(text), text != ""
-    hits = [(outside.rlike(p), d) for _, p, d in ROUTINE_PATTERNS]
-    level = F.greatest(F.lit(0), *[F.when(hit, d).otherwise(0) for hit, d in hits if d])
-    found = sum((F.when(hit, 1).otherwise(0) for hit, _ in hits), F.lit(0))
+    outside, upper, read = F.col("_outside"), F.upper(text), text != ""
+    # The hardest first, so that a text is searched once at most, up to its first hit; -1 without a hit.
+    hardest = F.coalesce(*[F.when(outside.rlike(p), d) for _, p, d in sorted(ROUTINE_PATTERNS, key=lambda r: -r[2])], F.lit(-1))
+    level, found = F.greatest(F.lit(0), F.col("_hardest")), F.col("_hardest") >= 0
     blockers = sum((F.when(upper.contains(m), 1).otherwise(0) for m in ROUTINE_BLOCKERS), F.lit(0)) + F.when(level == 3, 1).otherwise(0)
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), level + 1)
-    told = routines.select(
+    # Each text once, and in steps that Spark doesn't merge, as what they make is used more than once.
+    own = routines.select("name", "body", "is_function", F.lower(F.regexp_replace(text, "'(''|[^'])*'", "''")).alias("_outside")).withColumn("_hardest", hardest)
+    told = own.select(
         "name", F.when(read, pick(DIFFICULTIES)).otherwise("extreme").alias("difficulty"), F.when(read, F.least(F.lit(100), pick(ROUTINE_SCORES) + 15 * blockers)).otherwise(100).cast("int").alias("score"),
-        F.when(read, pick(ROUTINE_MINUTES)).otherwise(0.0).alias("minutes"), F.when(read, blockers).otherwise(1).cast("int").alias("blockers"), ((found > 0) | F.coalesce("is_function", F.lit(False))).alias("_warned"),
+        F.when(read, pick(ROUTINE_MINUTES)).otherwise(0.0).alias("minutes"), F.when(read, blockers).otherwise(1).cast("int").alias("blockers"), (found | F.coalesce("is_function", F.lit(False))).alias("_warned"),
     )
     return told.withColumn("tier", tier_of(F.col("blockers") > 0, F.col("_warned"), F.col("score"))).drop("_warned")
 
