@@ -276,3 +276,13 @@ def test_a_routine_is_searched_once_from_the_hardest_pattern_down(spark):
     assert [(r["difficulty"], r["tier"]) for r in found.orderBy("name").collect()] == [("extreme", "BLOCKER"), ("complex", "WARNING"), ("simple", "WARNING"), ("simple", "WARNING"), ("extreme", "BLOCKER"), ("extreme", "BLOCKER"), ("simple", "SAFE"), ("complex", "WARNING")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= len(metadata.ROUTINE_PATTERNS)
+
+
+def test_levels_take_edges_as_they_are(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), (None, "a"), ("c", None)], "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in "cabd"], "node string")
+    monkeypatch.setattr(graphs, "clean", lambda edges: pytest.fail("a shuffle of all edges"))
+    found, whole = graphs.levels_found(nodes, edges)
+    assert whole and {r["node"]: r["level"] for r in found.collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
+    found, whole = graphs.levels_found(nodes, edges.unionByName(spark.createDataFrame([("c", "b")], edges.schema)))
+    assert not whole and {r["node"] for r in found.collect()} == {"a", "d"}

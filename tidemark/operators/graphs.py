@@ -85,11 +85,17 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): 0 without predecessors, else one more than the highest of them; nodes on or behind a cycle have none.
+    """(node, level): 0 without predecessors, else one more than the highest of them; nodes on or behind a cycle have none."""
+    return levels_found(nodes, edges)[0]
 
-    Each turn takes the nodes to which no edge leads any more, with the edges that leave them: a turn a level.
+
+def levels_found(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Levels, and whether all nodes have one.
+
+    Each turn takes the nodes to which no edge leads any more, with the edges that leave them: a turn a level. Repeated
+    edges change nothing, so they stay.
     """
-    left, rest = cut_lineage(nodes.select("node").where("node IS NOT NULL").distinct()), cut_lineage(clean(edges))
+    left, rest = cut_lineage(nodes.select("node").where("node IS NOT NULL").distinct()), cut_lineage(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
     out, level = None, 0
     while not left.isEmpty():
         told = cut_lineage(left.join(rest.select(F.col("dst").alias("node")).distinct().withColumn("waits", F.lit(True)), "node", "left"))
@@ -99,7 +105,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rest = cut_lineage(rest.join(ready.toDF("src"), "src", "left_anti"))
         found = ready.withColumn("level", F.lit(level))
         out, level = found if out is None else out.unionByName(found), level + 1
-    return out if out is not None else nodes.select("node").limit(0).withColumn("level", F.lit(0))
+    return (out if out is not None else nodes.select("node").limit(0).withColumn("level", F.lit(0))), left.isEmpty()
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -116,8 +122,7 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, position) by level and name; empty if the graph has a cycle."""
-    found = cut_lineage(levels(nodes, edges))
-    whole = found.count() == nodes.where("node IS NOT NULL").distinct().count()
+    found, whole = levels_found(nodes, edges)
     return numbered(found if whole else found.limit(0), "level", "node")
 
 

@@ -283,8 +283,12 @@ edges_sql = lambda of: "(SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT
 FEW_SQL, EDGES_SQL = edges_sql(REFERENCES), edges_sql((*REFERENCES, *LINES))
 
 
+def references_of(spark, d, of) -> DataFrame:
+    return reduce(DataFrame.unionByName, [table(spark, d, n).select(F.expr(s).alias("src"), F.expr(t).alias("dst")) for n, s, t in of])
+
+
 def edges_of(spark, d, of) -> DataFrame:
-    return reduce(DataFrame.unionByName, [table(spark, d, n).select(F.expr(s).alias("src"), F.expr(t).alias("dst")) for n, s, t in of]).distinct()
+    return references_of(spark, d, of).distinct()
 
 
 def nodes_of(df):
@@ -302,13 +306,13 @@ LEVELS_SQL = f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {EDGES_SQL}), l A
 
 @register("lineage_levels", LEVELS_SQL)
 def lineage_levels(spark, d):
-    e = edges_of(spark, d, (*REFERENCES, *LINES))
+    e = references_of(spark, d, (*REFERENCES, *LINES))
     return G.levels(nodes_of(e), e)
 
 
 @register("lineage_toposort", f"SELECT node, (row_number() OVER (ORDER BY level, node))::INT AS position FROM ({LEVELS_SQL})")
 def lineage_toposort(spark, d):
-    e = edges_of(spark, d, (*REFERENCES, *LINES))
+    e = references_of(spark, d, (*REFERENCES, *LINES))
     return G.topological_order(nodes_of(e), e).select("node", "position")
 
 
