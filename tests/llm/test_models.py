@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 
 from tidemark.llm import language_id, lattice_lm, toxicity
+from tidemark.llm.shared import HashLookup
 from tidemark.llm.vocabulary import SPACE, BatchLattice, expected_counts, load_vocabulary, marginal
 
 SF = "/root/testdata/sf0.01"
@@ -220,3 +221,20 @@ def test_shared_backoff_against_definition():
 
     for g, found in zip(tuples, toxicity.shared_backoff(grams)):
         assert abs(found - p(g[1:-1], g[-1])) < 1e-9
+
+
+def test_lookup_of_many_keys_is_small_and_right():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 1 << 20, dtype=np.uint64))
+    rng.shuffle(keys)
+    values = rng.random(len(keys), np.float32)
+    table = HashLookup(keys[:-1000], values[:-1000])
+    assert sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) < 64e6
+    found, present = table.get(keys)
+    assert present[:-1000].all() and not present[-1000:].any()
+    assert (found[:-1000] == values[:-1000]).all() and not found[-1000:].any()
+    again = HashLookup(*table.__reduce__()[1]).get(keys[:5000])
+    assert again[1].all() and (again[0] == values[:5000]).all()
+    for few in (np.empty(0, np.uint64), np.zeros(1, np.uint64), np.full(1, 7, np.uint64)):
+        got, there = HashLookup(few, np.ones(len(few))).get(np.array([0, 7, 8], np.uint64))
+        assert there.tolist() == [k in few.tolist() for k in (0, 7, 8)] and got.tolist() == there.astype(float).tolist()

@@ -1,5 +1,6 @@
 import itertools
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -165,3 +166,20 @@ def test_repeated_keys_with_several_texts(spark):
     unkeyed = spark.createDataFrame([(None, texts["t1"]), (None, texts["t1"] + " eight nine ten eleven twelve thirteen fourteen fifteen"), (None, texts["t1"]), (None, texts["t2"])], "doc_id long, text string")
     assert S.keep_first(unkeyed, radius=0.2).count() == 3
     assert S.near_duplicates(unkeyed, radius=0.2).where("component_id IS NULL").count() == 4
+
+
+def test_search_of_many_nodes_looks_at_few_edges_at_a_time():
+    rng = np.random.default_rng(1)
+    shards = np.repeat(np.arange(9), 512)
+    prints = rng.integers(0, 1 << 63, 9, dtype=np.uint64)[shards]
+    for _ in range(10):
+        prints ^= np.uint64(1) << rng.integers(0, 64, len(prints), dtype=np.uint64)
+    queries = np.arange(len(prints), dtype=np.int32)
+    tracemalloc.start()
+    forest = S.BKForest(shards, prints, 24)
+    a, b = forest.earlier_within(queries, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    near = [(i, j) for i in range(512) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 24]
+    assert sorted(zip(a[a < 512].tolist(), b[a < 512].tolist())) == near

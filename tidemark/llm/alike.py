@@ -241,7 +241,7 @@ def link_sets(made: DataFrame, bound: float, hashes: Callable) -> DataFrame:
             prints, simhash, sizes = (t[c].to_numpy() for c in ("print", "simhash", "size"))
             shards, hubs = numbered(t["shard"]), numbered(t["hub"])
             a, b = candidates(shards, simhash.view(np.uint64), sizes, hubs, bound)
-            pairs = links(a, b, [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()], hubs, bound)
+            pairs = links(a, b, [np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"]], hubs, bound)
             yield pa.RecordBatch.from_arrays([pa.array([prints[p[side]] for p in pairs], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
     out = grouped.mapInArrow(link, "a long, b long")

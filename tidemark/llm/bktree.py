@@ -46,8 +46,11 @@ class BKForest:
             on = at != rest
             rest, at = rest[on], at[on]
 
-    def earlier_within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) pairs within the radius where the member comes first; only edges within it are followed."""
+    def earlier_within(self, queries: np.ndarray, radius: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) pairs within the radius where the member comes first; only edges within it are followed.
+
+        Edges are looked at for ``block`` pairs of a query and a node at a time, as each pair has up to 2 * radius + 1 of them.
+        """
         if radius > self.pad:
             raise ValueError(f"the radius is at most {self.pad}")
         found_q, found_m, edges = [], [], np.arange(self.pad - radius, self.pad + radius + 1, dtype=np.int16)
@@ -57,9 +60,14 @@ class BKForest:
             hit = (d <= radius) & (node < q)
             found_q.append(q[hit])
             found_m.append(node[hit])
-            near = self.child[node[:, None], d[:, None] + edges]
-            go = (near >= 0) & (near < q[:, None])  # a subtree's members all come after its root
-            q, node = np.repeat(q, go.sum(1)), near[go]
+            next_q, next_node = [], []
+            for at in range(0, len(q), block):
+                part = q[at : at + block]
+                near = self.child[node[at : at + block, None], d[at : at + block, None] + edges]
+                go = (near >= 0) & (near < part[:, None])  # a subtree's members all come after its root
+                next_q.append(np.repeat(part, go.sum(1)))
+                next_node.append(near[go])
+            q, node = np.concatenate(next_q), np.concatenate(next_node)
         return np.concatenate(found_q), np.concatenate(found_m)
 
     def spanning(self, radius: int, room: int = 500_000) -> tuple[np.ndarray, np.ndarray]:

@@ -120,37 +120,37 @@ def mix(h: np.ndarray) -> np.ndarray:
 class HashLookup:
     """An immutable map from 64-bit keys to floats with a vectorised ``get``; absent keys give 0.
 
-    It travels as its keys and values; each worker lays the slots out for itself.
+    It travels as its keys and values; each worker lays the slots out for itself. A slot holds the position of a key, 0 if
+    it is empty: the key at 0 is never looked up in another slot than its own, so no empty slot looks like it.
     """
 
     def __reduce__(self) -> tuple:
-        return HashLookup, self.pairs
+        return HashLookup, (self.keys, self.values)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        keys = keys.astype(np.uint64)
-        self.pairs = keys, values.astype(np.float32)
+        self.keys, self.values = keys.astype(np.uint64, copy=False), values.astype(np.float32, copy=False)
         bits = max(4, int(4 * max(len(keys), 1)).bit_length())
         self.shift = np.uint64(64 - bits)
-        slot = (mix(keys) >> self.shift).astype(np.int64)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
-        self.keys[int(mix(np.zeros(1, np.uint64))[0] >> self.shift)] = 1  # no empty slot looks like its own key
-        self.full = np.zeros(1 << bits, bool)
-        _, first = np.unique(slot, return_index=True)
-        self.keys[slot[first]], self.values[slot[first]], self.full[slot[first]] = keys[first], values[first], True
-        rest = np.ones(len(keys), bool)
-        rest[first] = False
-        order = np.argsort(keys[rest])
-        self.more_keys, self.more_values = keys[rest][order], values[rest][order].astype(np.float32)
+        slot = (mix(self.keys) >> self.shift).astype(np.int64)
+        self.place = np.zeros(1 << bits, np.uint32)
+        self.place[slot[::-1]] = np.arange(len(keys), dtype=np.uint32)[::-1]  # of the keys of a slot the first stays
+        self.first = slot[0] if len(keys) else -1
+        rest = np.flatnonzero(self.place[slot] != np.arange(len(keys), dtype=np.uint32))
+        self.more = rest[np.argsort(self.keys[rest])].astype(np.uint32)
+        self.more_keys = self.keys[self.more]
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of ``keys`` and which of them are present."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
         slot = (mix(keys) >> self.shift).astype(np.int64)
-        found = self.keys[slot] == keys
-        values = np.where(found, self.values[slot], np.float32(0))
-        if len(self.more_keys):
+        at = self.place[slot]
+        found = self.keys[at] == keys
+        values = np.where(found, self.values[at], np.float32(0))
+        if len(self.more):
             odd = np.flatnonzero(~found)
-            odd = odd[self.full[slot[odd]]]  # a key that isn't in its slot was there after another
-            at = np.minimum(np.searchsorted(self.more_keys, keys[odd]), len(self.more_keys) - 1)
-            hit = self.more_keys[at] == keys[odd]
-            values[odd[hit]], found[odd[hit]] = self.more_values[at[hit]], True
+            odd = odd[(at[odd] > 0) | (slot[odd] == self.first)]  # a key that isn't in its slot was there after another
+            near = np.minimum(np.searchsorted(self.more_keys, keys[odd]), len(self.more) - 1)
+            hit = self.more_keys[near] == keys[odd]
+            values[odd[hit]], found[odd[hit]] = self.values[self.more[near[hit]]], True
         return values, found
