@@ -238,3 +238,15 @@ def test_lookup_of_many_keys_is_small_and_right():
     for few in (np.empty(0, np.uint64), np.zeros(1, np.uint64), np.full(1, 7, np.uint64)):
         got, there = HashLookup(few, np.ones(len(few))).get(np.array([0, 7, 8], np.uint64))
         assert there.tolist() == [k in few.tolist() for k in (0, 7, 8)] and got.tolist() == there.astype(float).tolist()
+
+
+def test_words_count_once_however_often_counts_are_sent_on(spark):
+    rows = [(t, k) for t, k in (("a b A", True), ("b c", False), ("", True), (None, False), ("d e f g a", True), ("h c", False), ("a", None))]
+    docs = spark.createDataFrame(rows, "text string, train boolean").coalesce(1)
+    want = {}
+    for text, train in rows:
+        for w in [*(x.encode() for x in (text or "").lower().split()), None]:
+            c, n = want.get(w, (0, 0))
+            want[w] = (c + bool(train), n + 1)
+    for room in (2, 300_000):
+        assert {r["word"] and bytes(r["word"]): (r["c"], r["n"]) for r in lattice_lm.count_words(docs, room).collect()} == want

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,27 +49,25 @@ def count_words(docs: DataFrame, room: int = 300_000) -> DataFrame:
     """(word, c, n) with c over rows whose ``train`` is true and n over all rows; the null word is the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = Counter(), Counter()
+        learnt, other = Counter(), Counter()  # a word counts in one of them, so no text is counted twice
 
         def flush() -> pa.RecordBatch:
-            words = list(seen)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([held[w] for w in words], pa.int64()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "c", "n"])
-            held.clear()
-            seen.clear()
+            words = [*learnt, *[w for w in other if w not in learnt]]
+            c = [learnt.get(w, 0) for w in words]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([n + other.get(w, 0) for w, n in zip(words, c)], pa.int64())], names=["word", "c", "n"])
+            learnt.clear()
+            other.clear()
             return out
 
         for batch in batches:
             for part in pieces(batch):
                 for text, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = lower_bytes(text).split()
-                    seen.update(words)
-                    seen[None] += 1
-                    if train:
-                        held.update(words)
-                        held[None] += 1
-                    if len(seen) > room:
+                    counts = learnt if train else other
+                    counts.update(lower_bytes(text).split())
+                    counts[None] += 1
+                    if max(len(learnt), len(other)) > room:
                         yield flush()
-        if seen:
+        if learnt or other:
             yield flush()
 
     return docs.select("text", "train").mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -143,31 +142,32 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
     unit = math.log10(tokens + (distinct + 1))
     # At most ``hot`` words can have a share of 1 / hot.
     common = words.where(F.col("word").isNotNull() & (F.col("n") * hot >= everything)).select("word", "c", "lp").toArrow()
-    table = {w: (c > 0, math.log10(c + 1) - unit, lp) for w, c, lp in zip(*(common.column(i).to_pylist() for i in range(3)))}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    end = (end_c > 0, math.log10(end_c + 1) - unit, end_logp)
+    common_c, common_lp = common.column("c").to_numpy(), common.column("lp").to_numpy()
+    # Each common word's place in the columns of what it adds; the last row is for all other words.
+    table = {w: i for i, w in enumerate(common.column("word").to_pylist())}
+    adds = np.zeros((3, len(table) + 1))
+    adds[:, : len(table)] = common_c > 0, np.log10(common_c + 1) - unit, common_lp
+    shared = docs.sparkSession.sparkContext.broadcast((table, adds))
+    end = (int(end_c > 0), math.log10(end_c + 1) - unit, end_logp)
 
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n_rows or 0) // BUCKET_ROWS)
 
     def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words = shared.value
+        hot_words, added = shared.value
         for batch in batches:
             out = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                known, base, score, words = int(end[0]), end[1], end[2], lower_bytes(t).split()
-                for w, n in Counter(words).items():
-                    if (x := hot_words.get(w)) is not None:
-                        known, base, score = known + n * x[0], base + n * x[1], score + n * x[2]
-                out.append((*row_id(k, t), 1, len(words) + 1, known, base, score))
+                words = lower_bytes(t).split()
+                known, base, score = added[:, np.fromiter(map(hot_words.get, words, repeat(len(hot_words))), np.int64, len(words))].sum(1).tolist()
+                out.append((*row_id(k, t), 1, len(words) + 1, int(known) + end[0], base + end[1], score + end[2]))
             if out:
                 yield dealt(compact([np.array(out, SUM)]), buckets)
 
     def pack(batches: Iterator[pa.RecordBatch], room: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-        hot_words, held, size = shared.value, {}, 0
+        hot, held, size = shared.value[0].__contains__, {}, 0
 
         def flush() -> pa.RecordBatch:
-            order = sorted(held)
-            out = pa.RecordBatch.from_arrays([pa.array(order, pa.binary()), pa.array([bytes(held[w]) for w in order], pa.binary())], names=["word", "rows"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(map(b"".join, held.values())), pa.binary())], names=["word", "rows"])
             held.clear()
             return out
 
@@ -176,13 +176,15 @@ def score_texts(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     i, tag = row_id(k, t)
                     head = i.to_bytes(8, "little", signed=True) + tag.to_bytes(4, "little")
-                    for w, n in Counter(lower_bytes(t).split()).items():
-                        if w not in hot_words:
-                            if w in held:
-                                held[w] += head + n.to_bytes(4, "little")
-                            else:
-                                held[w] = bytearray(head + n.to_bytes(4, "little"))
-                            size += 1
+                    once = head + (1).to_bytes(4, "little")
+                    rare = Counter(filterfalse(hot, lower_bytes(t).split()))
+                    for w, n in rare.items():
+                        pair = once if n == 1 else head + n.to_bytes(4, "little")
+                        if w in held:
+                            held[w].append(pair)
+                        else:
+                            held[w] = [pair]
+                    size += len(rare)
                     if size > room:
                         yield flush()
                         size = 0
