@@ -13,6 +13,8 @@ from tidemark.sources.scratch import cut_lineage
 
 #: Severities from the least to the worst.
 SEVERITY = {"match": 0, "info": 1, "warning": 2, "blocker": 3}
+#: Turns of a search whose finds stay in tables of their own before these are written as one.
+FOLD = 16
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -38,9 +40,8 @@ def trimmed(edges: DataFrame) -> DataFrame:
     rest, size = cut_lineage(clean(edges).where("src <> dst")), None
     while (now := rest.count()) and now != size:
         size = now
-        both = rest.select(F.col("src").alias("node")).intersect(rest.select(F.col("dst").alias("node")))
-        inner = cut_lineage(both)
-        rest = cut_lineage(rest.join(inner.toDF("src"), "src", "left_semi").join(inner.toDF("dst"), "dst", "left_semi").select("src", "dst"))
+        into, from_ = rest.select(F.col("dst").alias("src")), rest.select(F.col("src").alias("dst"))
+        rest = cut_lineage(rest.join(into, "src", "left_semi").join(from_, "dst", "left_semi").select("src", "dst"))
     return rest
 
 
@@ -72,15 +73,20 @@ def cycles(edges: DataFrame) -> DataFrame:
         within = cut_lineage(named.where("a = b").select("src", "dst", F.col("a").alias("colour")))
         # Backwards from the node that names a colour, along edges of that colour.
         reached = frontier = cut_lineage(ahead.where("node = colour"))
+        turn = 0
         while not frontier.isEmpty():
+            turn += 1
             back = within.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
             frontier = cut_lineage(back.join(reached, ["node", "colour"], "left_anti"))
-            reached = cut_lineage(reached.unionByName(frontier))
+            reached = reached.unionByName(frontier)
+            if turn % FOLD == 0:
+                reached = cut_lineage(reached)
+        reached = cut_lineage(reached)
         sizes = reached.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
         found = reached.join(sizes, "colour").select(F.col("node").alias("member"), F.col("colour").alias("component"))
         out = out.unionByName(found)
-        gone = reached.select("node")
-        rest = trimmed(rest.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+        # An edge between colours lies on no cycle, and one within a colour to a reached node comes from one.
+        rest = trimmed(within.select("src", "dst").join(reached.select(F.col("node").alias("src")), "src", "left_anti"))
     return cut_lineage(out)
 
 
