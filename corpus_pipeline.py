@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, secret_scan, segmentation, simhash, toxicity
-from tidemark.llm.shared import written
+from tidemark.llm.shared import small_batches, written
 
 
 #: Jaccard distance of sets of five-word shingles, an exact bound.
@@ -26,6 +26,7 @@ NEAR = 0.2
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches the threshold go."""
+    small_batches(spark)
     return toxicity.keep_ordinary(spark, docs, sf_dir)
 
 
@@ -34,6 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Two documents are linked if they are alike in 0.8 or more of their shingles of five words.
     """
+    small_batches(spark)
     return simhash.keep_first(docs, radius=NEAR)
 
 
@@ -44,11 +46,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark."""
+    small_batches(spark)
     return secret_scan.redact_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's best segmentation and the changes that make the other N best of it, with scores and digests."""
+    small_batches(spark)
     return segmentation.encode_documents(docs, nbest_ids=False)
 
 

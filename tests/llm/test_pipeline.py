@@ -1,6 +1,9 @@
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tidemark.llm import decontamination, secret_scan, segmentation, simhash, toxicity
-from tidemark.llm.shared import written
+from tidemark.llm.shared import give_back, process_cache, written
 
 
 def test_stages_follow_each_other(spark, data):
@@ -59,3 +62,31 @@ def test_stages_without_labels_or_benchmark_keep_all(spark, data, tmp_path):
         spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     stages = dict(P.STAGES)
     assert stages["toxicity"](spark, docs, str(tmp_path)).count() == docs.count() == stages["benchmark_decontamination"](spark, docs, str(tmp_path)).count()
+
+
+def test_python_workers_get_small_batches_and_give_memory_back(spark, data):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+
+    def most():
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").agg(F.max("n")).first()[0]
+
+    try:
+        assert most() > 20_000_000
+        P.encode(spark, docs, data)
+        assert most() < 6_000_000
+        spark.conf.set(key, "16m")
+        P.encode(spark, docs, data)
+        assert spark.conf.get(key) == "16m"  # a session's own size stays
+    finally:
+        spark.conf.unset(key)
+
+
+def test_caches_of_other_operators_go():
+    mine, other = process_cache("test-a:table"), process_cache("test-b")
+    mine["x"] = other["x"] = 1
+    give_back("test-a")
+    assert mine == {"x": 1} and other == {}
+    give_back()
+    assert mine == {}

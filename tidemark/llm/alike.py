@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bktree import BKForest, joined
-from tidemark.llm.shared import mapped, mix, written
+from tidemark.llm.shared import give_back, mapped, mix, written
 
 MISS, ROOM, GUESTS, RADIUS, SMALL_TABLE = 3e-5, 512, 64, 24, 100_000
 
@@ -103,6 +103,7 @@ def alike_prints(text: Column, hashes: Callable, majority: Callable, bound: floa
 
     @F.pandas_udf("print long, simhash long, size long, bands array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
+        give_back()
         rows = []
         for t in texts:
             h = hashes(t)
@@ -138,6 +139,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], room: int, room_bytes: int =
                 if rows >= room or sum(x.nbytes for x in held) + batch.slice(at, start - at).nbytes >= room_bytes:
                     yield pa.Table.from_batches([*held, batch.slice(at, start - at)])
                     held, at = [], start
+                    give_back()
         if batch.num_rows > at:
             held.append(batch.slice(at))
     if held:

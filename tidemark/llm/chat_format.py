@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.segmentation import process_cache
-from tidemark.llm.shared import mapped, pieces, written
+from tidemark.llm.shared import mapped, pieces, process_cache, written
 
 TOKENS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -83,7 +82,7 @@ def budgeted_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     count = token_counter(tokens_path)
     kinds = {c: turns.schema[c].dataType.simpleString() for c in (conv, turn)}
     base = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    counted = mapped(base, lambda r: {**r, "tokens": [count(a, b) for a, b in zip(r["role"], r["text"])]}, f"conv {kinds[conv]}, turn {kinds[turn]}, role string, text string, tokens long")
+    counted = mapped(base, lambda r: {**r, "tokens": [count(a, b) for a, b in zip(r["role"], r["text"])]}, f"conv {kinds[conv]}, turn {kinds[turn]}, role string, text string, tokens long", keep="tiktoken")
     counted = written(
         counted.select(
             "*",
@@ -137,7 +136,7 @@ def budgeted_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
             out["fresh"].append(begins)
         return {"key": r["key"], "conv": r["conv"], "start": r["start"], "nth": r["nth"], "tokens": r["tokens"], **out}
 
-    return mapped(windows.select("key", "conv", "start", "nth", "tokens", "turns"), assemble, f"key string, conv {kinds[conv]}, start long, nth long, tokens long, formatted string, mask array<struct<begin:int,end:int>>, fresh int").withColumnRenamed("conv", conv)
+    return mapped(windows.select("key", "conv", "start", "nth", "tokens", "turns"), assemble, f"key string, conv {kinds[conv]}, start long, nth long, tokens long, formatted string, mask array<struct<begin:int,end:int>>, fresh int", keep="tiktoken").withColumnRenamed("conv", conv)
 
 
 def parse_turns(formatted: str) -> list[tuple[str, str]]:

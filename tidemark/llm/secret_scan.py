@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import mapped
+from tidemark.llm.shared import give_back, mapped
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -186,6 +186,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts):
+        give_back()
         return texts.map(lambda x: redacted(x, scan_text(x, ratio, THRESHOLD)[1]), na_action="ignore")
 
     text = clean("text")

@@ -20,8 +20,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import sys
-import types
 from collections.abc import Iterator, Sequence
 from itertools import chain, repeat
 
@@ -29,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import mapped
+from tidemark.llm.shared import mapped, process_cache
 from tidemark.llm.vocabulary import MODEL_PATH, SPACE, BatchLattice, Vocabulary, load_vocabulary
 
 NBEST, CACHE, LONG, BLOCK, ROWS = 4, 400_000, 200, 1 << 20, 1024
@@ -39,12 +37,6 @@ PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 Part = tuple[tuple[int, ...], float, float | None]
 
 
-def process_cache(name: str) -> dict:
-    """A dict that lives as long as the Python process, over all tasks that it runs."""
-    home = sys.modules.setdefault("_tidemark_caches", types.ModuleType("_tidemark_caches"))
-    return home.__dict__.setdefault(name, {})
-
-
 def gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of runs of the given sizes, one run after the other."""
     ends = np.cumsum(size)
@@ -403,7 +395,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     made = mapped(
         docs.select(F.col(key).alias("key"), F.col(text).alias("text")), encode,
         f"key {kind}, piece_ids array<int>, nbest_changes array<array<struct<place:int,count:int,ids:array<int>>>>, nbest_ids array<array<int>>, n_pieces int, score double, nbest_scores array<double>, pieces_sha256 string, nbest_sha256 array<string>, decoded_sha256 string, exact boolean",
-        ROWS,
+        ROWS, segmenter.name,
     )
     return made.drop(*([] if nbest_ids else ["nbest_ids"])).withColumnRenamed("key", key)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -68,16 +70,50 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def mapped(df: DataFrame, of: Callable[[dict[str, list]], dict[str, Sequence]], schema: str | StructType, rows: int = 512) -> DataFrame:
-    """Apply ``of`` to pieces of at most ``rows`` rows as Python lists by column; it returns columns of ``schema``."""
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the Python process, over all tasks that it runs, or until another operator's task gives it back."""
+    home = sys.modules.setdefault("_tidemark_caches", types.ModuleType("_tidemark_caches"))
+    return home.__dict__.setdefault(name, {})
+
+
+def give_back(keep: str | None = None) -> None:
+    """Return what a Python process holds and doesn't need now: caches but those whose names begin with ``keep``, and freed memory."""
+    for name, cache in vars(sys.modules.get("_tidemark_caches", types.ModuleType(""))).items():
+        if isinstance(cache, dict) and not (keep and name.startswith(keep)):
+            cache.clear()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on the session sends Python workers Arrow batches of about ``size``, unless it has a size of its own.
+
+    The batches of 10,000 rows that are usual take, with long texts, some 100 MB of an executor for each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
+def mapped(df: DataFrame, of: Callable[[dict[str, list]], dict[str, Sequence]], schema: str | StructType, rows: int = 512, keep: str | None = None) -> DataFrame:
+    """Apply ``of`` to pieces of at most ``rows`` rows as Python lists by column; it returns columns of ``schema``.
+
+    Between batches the process gives back what it holds, but for the caches that ``keep`` names.
+    """
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
+    def made(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batch, rows):
+            out = of({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
+            yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(keep)
         for batch in batches:
-            for part in pieces(batch, rows):
-                out = of({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
-                yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            yield from made(batch)
+            del batch
+            give_back(keep)
 
     return df.mapInArrow(run, kind)
 

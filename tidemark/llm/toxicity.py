@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import HashLookup, code_points, free_name, mapped, remainder, written
+from tidemark.llm.shared import HashLookup, code_points, free_name, give_back, mapped, remainder, written
 
 ORDER, DISCOUNT, MAX_DOCS, THRESHOLD, SMOOTHING, LEAST = 5, 0.75, 12_000, 0.3, 0.5, 0.02
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -284,6 +284,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "te
 
     @F.pandas_udf("double")
     def score(texts):
+        give_back()
         return texts.map(model.score)
 
     return docs.withColumn(name, score(F.col(text)))
