@@ -294,3 +294,42 @@ def test_state_of_repeats_lies_on_disk(spark):
     query.awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(to).collect()) == list(range(40))
     assert any("rocksdb" in k for p in query.recentProgress for s in p["stateOperators"] for k in s["customMetrics"]) and spark.conf.get(kept) == before
+
+
+def test_a_small_batch_is_kept_in_few_parts(spark, monkeypatch):
+    target, parts, whole = stored(spark), [], StoredTable._write
+    changed, shuffled = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(changed), spark.conf.get(shuffled)
+
+    def write(self, version, fresh, *more):
+        parts.append(fresh.rdd.getNumPartitions())
+        whole(self, version, fresh, *more)
+
+    monkeypatch.setattr(StoredTable, "_write", write)
+    rows = random_events(200, 30, 11)
+    try:
+        spark.conf.set(shuffled, "64")
+        for i in range(2):
+            target.apply(events(spark, *rows[i::2], *rows[i::4]), batch=i)
+    finally:
+        spark.conf.set(shuffled, before[1])
+    assert max(parts) <= 8 and spark.conf.get(changed) == before[0]
+    assert rows_of(target) == applied(rows) and target.positions().first()["rows_applied"] == 200
+
+
+def test_files_of_a_batch_are_read_by_all_cores(spark, monkeypatch):
+    from tidemark.plans import queries_data
+
+    seen, whole = {}, cdc.apply_files
+
+    def apply_files(session, source, schema, target, *more, **named):
+        seen.update(source=source, target=target, files=named["files_per_batch"])
+        return whole(session, source, schema, target, *more, **named)
+
+    monkeypatch.setattr(cdc, "apply_files", apply_files)
+    queries_data.cdc_stream_apply(spark, "/root/testdata/sf0.001").count()
+    width = spark.sparkContext.defaultParallelism
+    written = spark.read.parquet(seen["source"]).withColumn("file", F.input_file_name())
+    assert seen["files"] == width and written.select("file").distinct().count() == 4 * width and seen["target"].versions()[-1] == 4
+    copies = written.groupBy("lsn", "seq").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files")).where("n = 2")
+    assert copies.where("files = 2").count() > 0.9 * copies.count() > 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import chunking, loads
 from tidemark.plans.queries_relational import COPY_SQL, STAGED_SQL, faulty_copy, staged_customers
 from tidemark.plans.registry import register
-from tidemark.sources import scans
+from tidemark.sources import files, scans
 from tidemark.sources.scratch import new_folder, remove_at_end
 from tidemark.sources.scans import table
 from tidemark.streaming import cdc
@@ -597,11 +597,16 @@ def cdc_poll_apply(spark, d):
 
 @register("cdc_stream_apply", APPLIED_SQL)
 def cdc_stream_apply(spark, d):
-    """The change table as files in no order, a stream that applies them to a stored table in four batches, and its rows."""
+    """The change table as files in no order, a stream that applies them to a stored table in four batches, and its rows.
+
+    Changes are dealt by a hash of event and part, so that repeats fall in different files, to as many files a batch as
+    there are cores.
+    """
     source, target = new_folder(spark, "changes"), stored(spark, "applied")
-    captured = changes(spark, d)
-    captured.repartition(4).write.parquet(source)
-    cdc.apply_files(spark, source, captured.schema.simpleString()[len("struct<") : -1].replace(":", " "), target, new_folder(spark, "points"), files_per_batch=1).awaitTermination()
+    captured, width = changes(spark, d), spark.sparkContext.defaultParallelism
+    captured.repartition(4 * width, F.xxhash64("lsn", "seq", F.spark_partition_id())).write.parquet(source)
+    written = sum(n.endswith(".parquet") for n in files.names(spark, source))
+    cdc.apply_files(spark, source, captured.schema.simpleString()[len("struct<") : -1].replace(":", " "), target, new_folder(spark, "points"), files_per_batch=-(-written // 4)).awaitTermination()
     return target.rows()
 
 

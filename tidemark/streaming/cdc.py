@@ -73,10 +73,10 @@ def apply_idempotent(target: DataFrame, events: DataFrame, keys: Sequence[str],
     return last.select(*keys, "_row.*")
 
 
-def checkpoints(events: DataFrame) -> DataFrame:
-    """Last position and rows applied by table."""
+def checkpoints(events: DataFrame, *more: Column) -> DataFrame:
+    """Last position and rows applied by table, and ``more`` aggregates of its events."""
     place = F.max(F.struct("lsn", "seq"))
-    return events.groupBy("table_name").agg(place["lsn"].alias("last_lsn"), place["seq"].alias("last_seq"), F.count("*").alias("rows_applied"))
+    return events.groupBy("table_name").agg(place["lsn"].alias("last_lsn"), place["seq"].alias("last_seq"), F.count("*").alias("rows_applied"), *more)
 
 
 def clamp_to_retention(points: DataFrame, least: DataFrame) -> DataFrame:
@@ -178,6 +178,19 @@ def drop_repeats(stream: DataFrame, time: str, delay: str, identity: Sequence[st
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([c for c in identity if c in stream.columns])
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for what is planned within."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @contextmanager
 def state_on_disk(spark: SparkSession) -> Iterator[None]:
     """Streams that start within keep their state in RocksDB on the executors' disks, in memory of a bounded size, not in the heap."""
@@ -188,14 +201,8 @@ def state_on_disk(spark: SparkSession) -> Iterator[None]:
         f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
         f"{store}.rocksdb.trackTotalNumberOfRows": "false",
     }
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
+    with settings(spark, wanted):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def split_late(batch: DataFrame, time: str, mark: object) -> tuple[DataFrame, DataFrame]:

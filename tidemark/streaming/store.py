@@ -80,10 +80,12 @@ class StoredTable:
             known = self.positions().select("table_name", "last_lsn", "last_seq")
             fresh = fresh.join(F.broadcast(known), "table_name", "left").where(F.col("last_lsn").isNull() | (F.struct("lsn", "seq") > F.struct("last_lsn", "last_seq"))).drop("last_lsn", "last_seq")
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        fresh = fresh.withColumn("_bucket", bucket).persist()
+        # Kept in as many parts as its size asks for: each part of a small batch is written in as many pieces as a shuffle has.
+        with cdc.settings(events.sparkSession, {"spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true"}):
+            fresh = fresh.withColumn("_bucket", bucket).persist()
         try:
-            told = {r["table_name"]: r for r in cdc.checkpoints(fresh).collect()}
-            touched = sorted(r["_bucket"] for r in fresh.select("_bucket").distinct().collect())
+            told = {r["table_name"]: r for r in cdc.checkpoints(fresh, F.collect_set("_bucket").alias("touched")).collect()}
+            touched = sorted({b for r in told.values() for b in r["touched"]})
             version, folders = old["version"] + 1, dict(old["folders"])
             if touched:
                 self._write(version, fresh.drop("_bucket"), folders, [str(b) for b in touched], bucket, horizon)
