@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import masking, tsql
 from tidemark.operators import chunking, graphs, loads, metadata, relational, validation
-from tidemark.catalog import QUERIES
+from tidemark.catalog import ORACLE_SQL, QUERIES
 from tidemark.sources import scans
 
 SF = "/root/testdata/sf0.001"
@@ -286,3 +287,16 @@ def test_levels_take_edges_as_they_are(spark, monkeypatch):
     assert whole and {r["node"]: r["level"] for r in found.collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
     found, whole = graphs.levels_found(nodes, edges.unionByName(spark.createDataFrame([("c", "b")], edges.schema)))
     assert not whole and {r["node"] for r in found.collect()} == {"a", "d"}
+
+
+def test_masked_numbers_keep_all_their_digits(spark, tmp_path):
+    keys = [1, 89_999, 90_001, 899_999, 12_345_679, 9_000_000_000_000_000_001]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    want = {}
+    for text in (str(k + 10_000) for k in keys):
+        moved = "".join(str(int(h, 16) % 10) for h in hashlib.sha256(text.encode()).hexdigest()[: len(text)])
+        want[int(text) - 10_000] = f"{moved[:2]}-{moved[2:]} x"
+    assert {r["c_custkey"]: r["v"] for r in QUERIES["mask_fpe_digits"](spark, str(tmp_path)).collect()} == want
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+        assert dict(con.execute(ORACLE_SQL["mask_fpe_digits"]).fetchall()) == want
